@@ -73,8 +73,10 @@ def benchmark_windows(docs: DataFrame, benchmark: DataFrame, id_column: str = "d
     # only the first counts, so an exact passage gives one window.
     places = items.select("item", F.size("ih").alias("m"), F.posexplode("ih").alias("q", "g"), F.col("ih"))
     places = places.select("item", "m", "q", "g", F.get("ih", F.col("q") - 1).alias("before"))
-    keyed = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(F.col(text_column)).alias("row_key"), _shingles(_words(F.col(text_column)), shingle).alias("h"))
-    hits = keyed.select("*", F.posexplode("h").alias("p", "g")).join(_checked(places, n_places), "g")
+    keyed = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(F.col(text_column)).alias("row_key"), _words(F.col(text_column)).alias("w"))
+    keyed = keyed.select("doc_id", "row_key", _shingles(F.col("w"), shingle).alias("h"))
+    # the outer form, for of the other Spark takes a filter on size(h) and computes h twice
+    hits = keyed.select("*", F.posexplode_outer("h").alias("p", "g")).join(_checked(places, n_places), "g")
     hits = hits.filter((F.col("p") == 0) | F.col("before").isNull() | (F.get("h", F.col("p") - 1) != F.col("before")))
     start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.size("h") - F.col("m")))
     windows = hits.select("doc_id", "row_key", "item", start.alias("start"), F.slice("h", start + 1, F.col("m")).alias("wh"))
