@@ -1,0 +1,319 @@
+"""Queries over lineage, texts, privacy, logs and sinks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .. import fixtures as fx
+from ..functions import strings
+from ..operators import lineage, mutations, privacy, reuse, tokens, turns, whatif
+from ..operators.lineage import settled
+from ..sources import ledger, logs, traces
+from .registry import query, sessions, table
+
+# ---- lineage over conversations: an assistant turn is a request, what came before it its input
+
+_W = "list_filter(string_split_regex(coalesce({0}, ''), '[ \n\t]+'), lambda w: w <> '')"
+_SH = "CASE WHEN len({0}) = 0 THEN []::VARCHAR[] ELSE list_distinct([md5(array_to_string({0}[i:i + 7], ' ')) for i in range(1, greatest(len({0}) - 7, 1) + 1)]) END"
+_IN = f"""x_a AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role = 'assistant'),
+    x_b AS (SELECT 'c' || conv_id || '-' || turn AS request_id, 'a' || conv_id % 20 AS user_id, conv_id, turn, k, conv_id * 100000 + turn * 1000 AS end_ms, 'call-' || conv_id || 'x' || turn AS cid, {_W.format('substr(text, 1, 8000)')} AS w FROM x_a),
+    x_s AS (SELECT *, {_SH.format('w')} AS sh FROM x_b), x_in AS (SELECT *, CASE WHEN k % 3 <> 0 THEN [regexp_replace(cid, '[^A-Za-z0-9]', '', 'g')] ELSE []::VARCHAR[] END AS emitted_ids, lag(CASE WHEN k % 3 <> 0 THEN [regexp_replace(cid, '[^A-Za-z0-9]', '', 'g')] ELSE []::VARCHAR[] END) OVER p AS replayed_ids,
+      lag(sh) OVER p AS replayed_shingles, row_number() OVER (PARTITION BY user_id ORDER BY end_ms, request_id) AS rn FROM x_s WINDOW p AS (PARTITION BY conv_id ORDER BY turn)),
+    x_tl AS (SELECT c.request_id, arg_max(p.request_id, p.rn) AS tool_parent FROM x_in c JOIN x_in p ON c.user_id = p.user_id AND c.rn - p.rn BETWEEN 1 AND 128 AND list_has_any(c.replayed_ids, p.emitted_ids) GROUP BY 1),
+    x_xl AS (SELECT c.request_id, arg_max(p.request_id, p.rn) AS text_parent FROM x_in c JOIN x_in p ON c.user_id = p.user_id AND c.rn - p.rn BETWEEN 1 AND 128 AND len(p.sh) > 0 AND 10 * len(list_intersect(c.replayed_shingles, p.sh)) >= 9 * len(p.sh) WHERE c.request_id NOT IN (SELECT request_id FROM x_tl) GROUP BY 1),
+    x_link AS (SELECT request_id, coalesce(tool_parent, text_parent) AS parent_request_id, CASE WHEN tool_parent IS NOT NULL THEN 'tool_id' WHEN text_parent IS NOT NULL THEN 'text' END AS link FROM x_in LEFT JOIN x_tl USING (request_id) LEFT JOIN x_xl USING (request_id))"""
+
+
+def inputs(s, d):
+    a = table(s, d, "conversations").filter("role = 'assistant'").select("conv_id", "turn", "text")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    a = a.withColumn("k", F.row_number().over(w)).withColumn("cid", F.concat(F.lit("call-"), "conv_id", F.lit("x"), "turn"))
+    a = a.withColumn("answer_shingles", strings.shingles(F.col("text"))).withColumn("emitted_ids", F.when(F.col("k") % 3 != 0, strings.emitted_keys(F.col("cid"))).otherwise(F.array().cast("array<string>")))
+    return a.select(
+        F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("request_id"), F.concat(F.lit("a"), F.col("conv_id") % 20).alias("user_id"), (F.col("conv_id") * 100000 + F.col("turn") * 1000).alias("end_ms"), "conv_id", "turn", "k", "text",
+        "emitted_ids", F.lag("emitted_ids").over(w).alias("replayed_ids"), "answer_shingles", F.lag("answer_shingles").over(w).alias("replayed_shingles"),
+    )
+
+
+@query("C1_lineage_links", "WITH " + _IN + " SELECT * FROM x_link", fixture=False)
+def _(s, d):
+    return lineage.links(inputs(s, d))
+
+
+@query("X1_shingles", f"WITH x_w AS (SELECT doc_id, {_W.format('substr(text, 1, 8000)')} AS w FROM documents), x_s AS (SELECT doc_id, {_SH.format('w')} AS s FROM x_w) SELECT doc_id, len(s) AS n, md5(array_to_string(list_sort(s), ',')) AS digest FROM x_s", fixture=False)
+def _(s, d):
+    return table(s, d, "documents").select("doc_id", strings.shingles(F.col("text")).alias("s")).select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join(F.array_sort("s"), ",")).alias("digest"))
+
+
+_CH = "WITH RECURSIVE " + _IN + """, x_e AS (SELECT l.*, end_ms, conv_id FROM x_link l JOIN x_in USING (request_id)),
+    x_g AS (SELECT request_id, request_id AS session_id, 0 AS step FROM x_e WHERE parent_request_id IS NULL UNION ALL SELECT e.request_id, g.session_id, g.step + 1 FROM x_g g JOIN x_e e ON e.parent_request_id = g.request_id),
+    x_t AS (SELECT session_id, arg_max(request_id, struct_pack(a := step, b := end_ms, c := request_id)) AS tip FROM x_g JOIN x_e USING (request_id) GROUP BY 1),
+    x_m AS (SELECT tip AS request_id FROM x_t UNION SELECT e.parent_request_id FROM x_m m JOIN x_e e ON e.request_id = m.request_id WHERE e.parent_request_id IS NOT NULL),
+    x_o AS (SELECT g.*, m.request_id IS NOT NULL AS on_main_chain, CASE WHEN m.request_id IS NOT NULL THEN CASE WHEN link = 'tool_id' THEN 'tool' ELSE 'user' END END AS turn FROM x_g g JOIN x_e USING (request_id) LEFT JOIN x_m m ON m.request_id = g.request_id)"""
+
+
+@query("C3_chains", _CH + " SELECT request_id, session_id, step, on_main_chain, turn, count(*) FILTER (WHERE turn = 'tool') OVER s >= 1 AND count(*) FILTER (WHERE turn = 'user') OVER s >= 2 AS is_agent_session FROM x_o WINDOW s AS (PARTITION BY session_id)", fixture=False)
+def _(s, d):
+    i = settled(inputs(s, d), "inputs")
+    links = lineage.links(i)
+    return lineage.chains(settled(links.join(i.select("request_id", "end_ms"), "request_id").withColumn("harness", F.lit("pi")).withColumn("new_content_kind", F.lit(None).cast("string")), "linked"))
+
+
+@query("G1_roots", _CH + " SELECT request_id, session_id AS root, step AS depth FROM x_g", fixture=False)
+def _(s, d):
+    return lineage.roots(lineage.links(inputs(s, d)))
+
+
+@query("R1_common_prefix", """WITH x_w AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \n\t]+'), lambda w: w <> '') AS a FROM documents), x_p AS (SELECT doc_id, a, lag(a) OVER (ORDER BY doc_id) AS b, lag(doc_id) OVER (ORDER BY doc_id) AS e FROM x_w)
+    SELECT doc_id, coalesce(list_position([a[i] = b[i] for i in range(1, least(len(a), len(b)) + 1)], false) - 1, least(len(a), len(b)))::INT AS shared FROM x_p WHERE e IS NOT NULL AND e = doc_id - 1""", fixture=False)
+def _(s, d):
+    w = table(s, d, "documents").select("doc_id", strings.words(F.col("text")).alias("a"))
+    b = w.select((F.col("doc_id") + 1).alias("doc_id"), F.col("a").alias("b"))
+    return w.join(b, "doc_id").select("doc_id", whatif.common_prefix(F.col("a"), F.col("b")).alias("shared"))
+
+
+def _context(s, d):
+    """Inputs of assistant turns as digests; every fifth loses its first message, every seventh has it changed."""
+    c = table(s, d, "conversations").withColumn("h", F.md5(F.concat_ws(":", "role", "text")))
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    c = c.withColumn("hashes", F.collect_list("h").over(before)).withColumn("roles", F.collect_list("role").over(before)).withColumn("texts", F.collect_list("text").over(before)).filter("role = 'assistant' and size(hashes) > 0")
+    cut = F.col("turn") % 5 == 0
+    start = F.when(cut, 2).otherwise(1)
+    size = F.greatest(F.size("hashes") - F.when(cut, 1).otherwise(0), F.lit(0))
+    changed = (F.col("turn") % 7 == 0) & (F.col("turn") > 0)
+    put = lambda col, v: F.when(changed, F.concat(F.array(v), F.slice(col, 2, 10_000))).otherwise(col)
+    return c.select(
+        F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("step"), F.lit("m").alias("model"), F.concat(F.lit("p"), (F.col("turn") / 6).cast("int")).alias("provider"),
+        F.slice("roles", start, size).alias("roles"), F.slice(put(F.col("hashes"), F.lit("changed")), start, size).alias("hashes"), F.slice("texts", start, size).alias("texts"), F.transform(F.slice("roles", start, size), lambda r: F.lit(False)).alias("notes"),
+    )
+
+
+@query("C5_transitions")
+def _(s, d):
+    return mutations.classify(_context(s, d))
+
+
+# ---- spawns, closure
+
+
+def _family(s, d):
+    """Users 5n + 1 and 5n + 2 are spawned by the user before them, in the same week, at that session's first call."""
+    r = fx.base_requests(s, d)
+    u = F.substring("user_id", 2, 20).cast("long")
+    a = r.groupBy("session_id", "week", "user_id").agg(F.min("harness").alias("harness"), F.min("start_ms").alias("start_ms"), F.min(F.when(F.col("n_tool_calls") > 0, F.col("step"))).alias("spawn_step")).withColumn("u", u)
+    p = a.filter("spawn_step is not null").select("week", (F.col("u") + 1).alias("u"), F.col("session_id").alias("parent_session_id"), F.col("spawn_step").alias("spawned_by_step"), F.lit(0).alias("spawned_by_call_index"))
+    return a.drop("spawn_step").join(p.filter(F.col("u") % 5 > 0).filter(F.col("u") % 5 < 3), ["week", "u"], "left")
+
+
+_FAM = """x_f AS (SELECT session_id, week, user_id, min(harness) AS harness, min(start_ms) AS start_ms, min(CASE WHEN n_tool_calls > 0 THEN step END) AS ss, CAST(substr(user_id, 2) AS BIGINT) AS u FROM fx_requests GROUP BY ALL),
+    x_fam AS (SELECT c.session_id, c.week, c.user_id, c.harness, c.start_ms, p.session_id AS parent_session_id, p.ss AS spawned_by_step FROM x_f c LEFT JOIN x_f p ON p.week = c.week AND p.u = c.u - 1 AND p.ss IS NOT NULL AND c.u % 5 IN (1, 2))"""
+
+
+@query("G3_closure", _FAM.replace("x_f AS", "x_f AS", 1) + ", x_1 AS (SELECT session_id FROM x_fam WHERE parent_session_id IS NULL AND harness = 'hermes'), x_2 AS (SELECT session_id FROM x_1 UNION SELECT c.session_id FROM x_fam c WHERE parent_session_id IN (SELECT session_id FROM x_1)) SELECT session_id FROM x_2 UNION SELECT c.session_id FROM x_fam c WHERE parent_session_id IN (SELECT session_id FROM x_2)")
+def _(s, d):
+    f = settled(_family(s, d), "family")
+    return lineage.closure(f.filter("parent_session_id is null and harness = 'hermes'"), f.filter("parent_session_id is not null").select(F.col("parent_session_id").alias("parent"), F.col("session_id").alias("child")))
+
+
+@query("G4_unreached", _FAM + " SELECT session_id FROM x_fam WHERE false")
+def _(s, d):
+    f = settled(_family(s, d), "family")
+    return lineage.unreached(f, f.filter("parent_session_id is not null").select(F.col("parent_session_id").alias("parent"), F.col("session_id").alias("child")))
+
+
+@query("F9_exclusions", _FAM + ", x_1 AS (SELECT *, CASE WHEN harness = 'hermes' THEN 'harness' END AS own FROM x_fam), x_2 AS (SELECT a.session_id, coalesce(a.own, b.own, c.own) AS reason FROM x_1 a LEFT JOIN x_1 b ON b.session_id = a.parent_session_id LEFT JOIN x_1 c ON c.session_id = b.parent_session_id) SELECT * FROM x_2 WHERE reason IS NOT NULL")
+def _(s, d):
+    none = s.createDataFrame([], "session_id string, reason string")
+    return privacy.exclusion_reasons(_family(s, d), {"hermes": "harness"}, none)
+
+
+_SPAWN = """x_sp AS (SELECT user_id, session_id, session_id || ':' || step AS request_id, 0 AS call_index, end_ms, model AS opening FROM fx_requests WHERE event_type = 'purchase' AND k % 5 = 4),
+    x_ro AS (SELECT user_id, session_id AS child, start_ms AS child_start FROM fx_requests WHERE step = 0), x_ca AS (SELECT s.*, child, child_start FROM x_sp s JOIN x_ro r ON s.user_id = r.user_id AND child <> session_id AND child_start BETWEEN end_ms - 86400000 AND end_ms + 691200000)"""
+
+
+def _spawns(s, d):
+    r = fx.base_requests(s, d)
+    sp = r.filter("event_type = 'purchase' and k % 5 = 4").select("user_id", "session_id", F.concat_ws(":", "session_id", "step").alias("request_id"), F.lit(0).alias("call_index"), "end_ms", F.col("model").alias("opening"))
+    return sp, r.filter("step = 0").select("user_id", "session_id", "start_ms", F.concat(F.lit("go "), "model").alias("first_user_text"))
+
+
+@query("J11_spawn_candidates", _SPAWN + " SELECT request_id, call_index, child FROM x_ca")
+def _(s, d):
+    return lineage.spawn_candidates(*_spawns(s, d), 86_400_000, 691_200_000).select("request_id", "call_index", "child")
+
+
+@query("C4_spawn_matches")
+def _(s, d):
+    return lineage.match_spawns(*_spawns(s, d), 86_400_000, 691_200_000)
+
+
+# ---- texts, ids, times
+
+
+@query("X2_normalise", "SELECT page_id, md5(lower(trim(regexp_replace(html, '[ \n\t\r]+', ' ', 'g'), ' '))) AS digest FROM pages", fixture=False)
+def _(s, d):
+    return table(s, d, "pages").select("page_id", F.md5(strings.normalise(F.col("html"))).alias("digest"))
+
+
+@query("X11_ip_scan", r"""SELECT doc_id FROM documents WHERE regexp_matches(text, '(^|[^0-9.])[0-9]{1,3}(\.[0-9]{1,3}){3}($|[^0-9.])') OR len(list_filter(regexp_extract_all(text, '[0-9A-Fa-f:]{3,}'), lambda c: len(c) - len(replace(c, ':', '')) >= 2 AND regexp_matches(c, '[0-9]'))) > 0""", fixture=False)
+def _(s, d):
+    return table(s, d, "documents").filter(strings.holds_ip(F.col("text"))).select("doc_id")
+
+
+@query("X20_id_keys", "SELECT DISTINCT session_id, list_sort(list_distinct([regexp_replace(session_id || '_7', '[^A-Za-z0-9]', '', 'g'), regexp_replace(session_id, '[^A-Za-z0-9]', '', 'g')])) AS keys FROM fx_requests WHERE length(session_id) >= 12")
+def _(s, d):
+    return fx.base_requests(s, d).select("session_id").distinct().filter(F.length("session_id") >= 12).select("session_id", F.array_sort(strings.emitted_keys(F.concat("session_id", F.lit("_7")))).alias("keys"))
+
+
+@query("D1_completion_ms", "SELECT event_id, start_ms FROM fx_e")
+def _(s, d):
+    return table(s, d, "events").select("event_id", strings.completion_ms(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))).alias("start_ms"))
+
+
+@query("D2_weeks", "SELECT strftime(CAST(week AS DATE), '%Y-%m-%d') || '_' || strftime(CAST(week AS DATE) + 6, '%Y-%m-%d') AS name, count(*) AS events FROM fx_e GROUP BY 1")
+def _(s, d):
+    return table(s, d, "events").groupBy(strings.week_name(strings.week_of(F.to_date("ts"))).alias("name")).agg(F.count("*").alias("events"))
+
+
+@query("M7_pseudonyms", "SELECT DISTINCT session_id, substr(sha256('salt' || 'session:' || session_id), 1, 32) AS session_hash, substr(sha256('salt' || 'user:' || user_id), 1, 16) AS user_hash FROM fx_requests")
+def _(s, d):
+    return fx.base_requests(s, d).select("session_id", "user_id").distinct().select("session_id", strings.pseudonym(F.col("session_id"), "session", "salt", 32).alias("session_hash"), strings.pseudonym(F.col("user_id"), "user", "salt", 16).alias("user_hash"))
+
+
+@query("M8_chained_blocks", """WITH x_w AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \n\t]+'), lambda w: w <> '') AS w FROM documents), x_b AS (SELECT doc_id, [array_to_string(w[i * 16 + 1:i * 16 + 16], ' ') for i in range(len(w) // 16)] AS b FROM x_w)
+    SELECT doc_id, len(b) AS blocks, CASE WHEN len(b) > 0 THEN list_reduce(list_prepend('', b), lambda a, x: md5(a || x)) END AS last FROM x_b""", fixture=False)
+def _(s, d):
+    b = table(s, d, "documents").select("doc_id", strings.chained_blocks(strings.words(F.col("text"))).alias("b"))
+    return b.select("doc_id", F.size("b").cast("long").alias("blocks"), F.try_element_at("b", F.lit(-1)).alias("last"))
+
+
+@query("X27_outcomes", """SELECT event_id, CASE WHEN k % 10 = 0 THEN CASE WHEN k % 20 = 0 THEN 'ok' ELSE 'error' END WHEN k % 10 = 1 THEN 'denied' WHEN k % 10 = 2 THEN 'timeout' WHEN k % 10 = 3 THEN CASE WHEN k % 4 = 0 THEN 'ok' ELSE 'error' END
+    WHEN k % 10 = 4 THEN 'error' WHEN k % 10 = 5 THEN 'ok' WHEN k % 10 = 6 THEN 'error' WHEN k % 10 = 7 THEN CASE WHEN k % 3 = 0 THEN 'ok' ELSE 'error' END WHEN k % 10 = 8 THEN 'error' ELSE 'ok' END AS outcome FROM fx_requests""")
+def _(s, d):
+    k = F.col("k")
+    text = (
+        F.when(k % 10 == 0, F.concat(F.lit('{"exit_code": '), F.when(k % 20 == 0, "0").otherwise("2"), F.lit("}"))).when(k % 10 == 1, "Note: user denied it").when(k % 10 == 2, "  Command timed out after 3 s")
+        .when(k % 10 == 3, F.concat(F.lit("<returncode>"), F.when(k % 4 == 0, "0").otherwise("-1"), F.lit("</returncode>"))).when(k % 10 == 4, "Error: no such file").when(k % 10 == 5, '{"error": "none", "status": "OK"}')
+        .when(k % 10 == 6, '{"error": "boom"}').when(k % 10 == 7, F.concat(F.lit("done\nexit code: "), F.when(k % 3 == 0, "0").otherwise("1"))).when(k % 10 == 8, "Search failed badly").otherwise("fine")
+    )
+    return fx.base_requests(s, d).select("event_id", strings.outcome(text, F.lit(None).cast("boolean")).alias("outcome"))
+
+
+# ---- privacy
+
+_PUB = "WITH x_w AS (SELECT source AS account, unnest(list_filter(string_split_regex(lower(text), '[ \n\t]+'), lambda w: w <> '')) AS word FROM documents), x_p AS (SELECT word, count(DISTINCT account) AS accounts FROM x_w WHERE account IS NOT NULL GROUP BY word HAVING count(DISTINCT account) >= 3)"
+
+
+@query("C13_public_words", _PUB + " SELECT * FROM x_p", fixture=False)
+def _(s, d):
+    return privacy.public_words(fx.words(s, d))
+
+
+@query("X18_stand_ins", _PUB + ", x_l AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[ \n\t]+'), lambda w: w <> '')[1:2] AS w FROM documents), x_f AS (SELECT doc_id, w[1] AS a, array_to_string(w, ' ') AS label, len(w) AS n FROM x_l WHERE len(w) > 0) SELECT doc_id, label, CASE WHEN n = 1 AND a IN (SELECT word FROM x_p) THEN a WHEN a IN (SELECT word FROM x_p) THEN a || ' <word>' ELSE '<word>' END AS shown FROM x_f", fixture=False)
+def _(s, d):
+    docs = table(s, d, "documents").select("doc_id", F.array_join(F.slice(strings.words(F.lower("text")), 1, 2), " ").alias("label")).filter("label <> ''")
+    return privacy.with_stand_ins(docs, privacy.public_words(fx.words(s, d)))
+
+
+@query("X32_released_names", _PUB + ", x_l AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \n\t]+'), lambda w: w <> '')[1] AS name FROM documents) SELECT doc_id, name, CASE WHEN name IS NULL THEN NULL WHEN lower(name) IN (SELECT word FROM x_p) THEN lower(name) ELSE 'other' END AS released_name FROM x_l", fixture=False)
+def _(s, d):
+    names = table(s, d, "documents").select("doc_id", F.get(strings.words(F.col("text")), 0).alias("name"))
+    return privacy.released_name(names, "name", privacy.public_words(fx.words(s, d)))
+
+
+@query("W16_block_local_ids", "x_f AS (SELECT week, block, min(struct_pack(a := session_id, b := step, c := pos)) AS f FROM fx_blocks GROUP BY ALL) SELECT week, f.a AS session_id, f.b AS step, f.c AS pos, row_number() OVER (PARTITION BY week ORDER BY f) - 1 AS local_id FROM x_f")
+def _(s, d):
+    r = fx.block_reads(s, d)
+    ids = settled(privacy.block_local_ids(settled(r, "reads")), "ids")
+    first = r.groupBy("week", "block_id").agg(F.min(F.struct("session_id", "step", F.col("pos").cast("long").alias("pos"))).alias("f"))
+    return ids.join(first, ["week", "block_id"]).select("week", "f.session_id", "f.step", "f.pos", "local_id")
+
+
+@query("C15_privacy_gate", "SELECT DISTINCT 'requests' AS \"table\", 'session_id' AS \"column\", session_id AS value, 'raw_id' AS violation FROM fx_requests WHERE length(session_id) >= 12 UNION ALL SELECT DISTINCT 'requests', 'harness', harness, 'form' FROM fx_requests WHERE harness = 'eval:swe-bench'")
+def _(s, d):
+    r = fx.base_requests(s, d)
+    values = privacy.string_values(r.select("session_id", "harness", "transition"), "requests")
+    return privacy.gate(values, r.select(F.col("session_id").alias("id")).distinct(), {"harness": F.col("value").rlike("^[a-z]+$"), "transition": F.col("value").isin("append", "mutation", "switch")})
+
+
+# ---- logs and sinks
+
+
+def _lines(s, d):
+    """Log lines of events, some broken: k = 1 cut short, 2 a bad status, 3 without a time, 4 an array."""
+    e = table(s, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    rec = F.to_json(F.struct(F.concat(F.lit("r"), "event_id").alias("request_id"), F.concat(F.lit("u"), "user_id").alias("user_id"), F.when(F.col("k") != 3, stamp).alias("timestamp"), F.when(F.col("k") == 2, 500).otherwise(200).alias("status_code"), F.lit(100).alias("latency_ms"), F.concat(F.lit("You are "), F.when(F.col("user_id") % 3 == 0, "hermes").otherwise("codex")).alias("prompt")))
+    return e.select("event_id", F.when(F.col("k") == 1, F.substring(rec, 1, 20)).when(F.col("k") == 4, F.concat(F.lit("["), rec, F.lit("]"))).otherwise(rec).alias("value"))
+
+
+_OUT = "CASE WHEN k IN (1, 4) THEN 'unparsable' WHEN k = 3 THEN 'unreadable_record' WHEN user_id = 7 THEN 'excluded_user' WHEN k = 2 THEN 'status_not_200' WHEN user_id % 3 <> 0 THEN 'harness_not_shortlisted' ELSE 'kept' END"
+
+
+def _outcomes(s, d):
+    f = logs.with_fields(_lines(s, d))
+    return logs.outcomes(f, ["u7"], logs.harness_of(F.lower("prompt"), F.col("user_agent"), [("hermes", "hermes"), ("codex", "codex")], []), ["hermes"])
+
+
+@query("F2_log_outcomes", f"SELECT event_id, {_OUT} AS outcome FROM fx_e")
+def _(s, d):
+    return _outcomes(s, d).select("event_id", "outcome")
+
+
+@query("K8_week_counters", f"SELECT {_OUT} AS outcome, count(*) AS lines FROM fx_e GROUP BY 1")
+def _(s, d):
+    return _outcomes(s, d).groupBy("outcome").agg(F.count("*").alias("lines"))
+
+
+@query("S8_log_fields", "SELECT event_id, 'r' || event_id AS request_id, CASE WHEN k <> 3 THEN start_ms END AS end_ms, CASE WHEN k <> 3 THEN start_ms - 100 END AS start_ms, CASE WHEN k = 2 THEN 500 ELSE 200 END::BIGINT AS status_code FROM fx_e WHERE k NOT IN (1, 4)")
+def _(s, d):
+    return logs.with_fields(_lines(s, d)).filter("record is not null").select("event_id", "request_id", "end_ms", "start_ms", "status_code")
+
+
+@query("K4_log_manifest", "SELECT count(*) AS lines, count(*) FILTER (WHERE k IN (1, 4)) AS invalid, min(start_ms) FILTER (WHERE k NOT IN (1, 3, 4)) AS earliest, max(start_ms) FILTER (WHERE k NOT IN (1, 3, 4)) AS latest, count(*) FILTER (WHERE k NOT IN (1, 3, 4) AND week <> '2024-01-07') AS other_weeks FROM fx_e")
+def _(s, d):
+    return logs.manifest(logs.with_fields(_lines(s, d)), "2024-01-07").drop("bytes")
+
+
+@query("K5_week_split", "SELECT CASE WHEN k NOT IN (1, 3, 4) THEN week || '_' || strftime(CAST(week AS DATE) + 6, '%Y-%m-%d') END AS week, count(*) AS lines FROM fx_e GROUP BY 1")
+def _(s, d):
+    return logs.by_week(logs.with_fields(_lines(s, d))).groupBy("week").agg(F.count("*").alias("lines"))
+
+
+def _nested(s, d):
+    f = _family(s, d).select("session_id", "harness", "user_id", "parent_session_id", "spawned_by_step", "spawned_by_call_index")
+    return traces.nest(f, fx.base_requests(s, d).select("session_id", "step", "start_ms", "end_ms", "prompt_tokens", "model"), fx.tool_calls(s, d).select("session_id", "step", "call_index", "category", "outcome", "result_tokens"))
+
+
+@query("K1_nested_lines", _FAM + " SELECT strftime(make_timestamp(start_ms * 1000), '%Y-%m-%d') AS day, session_id, start_ms FROM x_fam WHERE parent_session_id IS NULL")
+def _(s, d):
+    return _nested(s, d).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "session_id", "start_ms")
+
+
+@query("S1_nest_roundtrip", "SELECT session_id, step, call_index, category, outcome, result_tokens::BIGINT AS result_tokens FROM fx_tool_calls")
+def _(s, d):
+    return traces.flatten(_nested(s, d), "line")[2]
+
+
+@query("S1_nest_roundtrip_sessions", _FAM + " SELECT session_id, harness, user_id, parent_session_id, spawned_by_step FROM x_fam")
+def _(s, d):
+    return traces.flatten(_nested(s, d), "line")[0].drop("spawned_by_call_index")
+
+
+@query("K7_stale_weeks", "x_w AS (SELECT DISTINCT week FROM fx_e) SELECT week, 'tallies' AS file FROM x_w WHERE week > '2024-01-14' UNION ALL SELECT week, 'totals' FROM x_w")
+def _(s, d):
+    w = fx.base_requests(s, d).select("week").distinct().withColumn("sha256", F.sha2("week", 256))
+    done = w.filter("week <= '2024-01-14'").withColumn("file", F.lit("tallies"))
+    return ledger.stale(w, done, ["tallies", "totals"])
+
+
+@query("K9_run_record", "x_w AS (SELECT week, count(*) AS n FROM fx_e GROUP BY week) SELECT strftime(d, '%Y-%m-%d') AS week, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1000 THEN 'complete' ELSE 'partial' END AS status FROM (SELECT unnest(generate_series(DATE '2023-12-24', DATE '2024-02-04', INTERVAL 7 DAY)) AS d) LEFT JOIN x_w ON week = strftime(d, '%Y-%m-%d')")
+def _(s, d):
+    m = fx.base_requests(s, d).groupBy("week").agg((F.count("*") > 1000).alias("complete"))
+    return ledger.week_status(m, m, "2023-12-24", "2024-02-04")
+
+
+@query("A33_accounts_per_entry", "WITH x_w AS (SELECT DISTINCT source AS account, unnest(list_filter(string_split_regex(lower(text), '[ \n\t]+'), lambda w: w <> '')) AS word FROM documents) SELECT accounts, count(*) AS words FROM (SELECT word, count(*) AS accounts FROM x_w WHERE account IS NOT NULL GROUP BY word) GROUP BY 1", fixture=False)
+def _(s, d):
+    return privacy.public_words(fx.words(s, d), 1).groupBy("accounts").agg(F.count("*").alias("words"))
