@@ -250,5 +250,5 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 
 def lookup(manifest: DataFrame, doc_id: int) -> list[np.ndarray]:
     """The ids stored for one document, from the shards whose range holds it."""
-    rows = manifest.filter((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id)).select("path").collect()
+    rows = manifest.filter((F.col("first_id").isNull() | (F.col("first_id") <= doc_id)) & (F.col("last_id") >= doc_id)).select("path").collect()
     return [ids for r in rows for ids in open_shard(r["path"]).lookup(doc_id)]
