@@ -12,6 +12,7 @@ import json
 import re
 import unicodedata
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import regex
@@ -24,6 +25,18 @@ _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 #: Character by which a byte-level model names a byte: printable ones themselves, the others from 256 on.
 _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTE_SIGNS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(_PRINTED))}
+_SPACE = chr(_BYTE_SIGNS[32])
+
+
+class _Signs(dict):
+    """character -> the characters that name its bytes"""
+
+    def __missing__(self, c: str) -> str:
+        signs = self[c] = c.encode().decode("latin-1").translate(_BYTE_SIGNS)
+        return signs
+
+
+_SIGNS = _Signs()
 #: Beyond these scripts, character classes and cases are left to the library.
 _BEYOND = re.compile("[^\x20-\x7e\xa1-\u024f]").search
 #: Pieces the memo holds before it starts again.
@@ -63,7 +76,7 @@ class MemoTokenizer:
         plain = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in spec.get("added_tokens", []))
         if not plain or spec["model"].get("dropout"):
             return None
-        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in spec.get("added_tokens", [])) or "(?!)").search
         if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and norm is None:
             self.inner = regex.compile(_BYTE_LEVEL)
             return _LED.findall
@@ -80,20 +93,28 @@ class MemoTokenizer:
         self.pool = np.zeros(1 << 20, np.uint32)
         self.starts, self.sizes, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
 
+    def _words(self, piece: str):
+        """What the pre-tokenizer makes of a piece; letters alone are one word."""
+        if self.lower:
+            piece = piece.lower() if piece.isascii() else unicodedata.normalize("NFC", piece).lower()
+            return (piece,) if piece.isalpha() else self.inner.findall(piece)
+        return (piece,) if (piece[1:] if piece[0] == " " else piece).isalpha() else self.inner.findall(piece)
+
     def _piece_ids(self, pieces: list[str]) -> list[list[int]]:
         """As _library, for pieces: those of plain letters go to the model alone, word by word."""
         out: list = [None] * len(pieces)
         rest = []
-        known, tokenize = self.known, self.library.model.tokenize
+        known, tokenize, special, words_of = self.known, self.library.model.tokenize, self.special, self._words
         for k, piece in enumerate(pieces):
-            if _BEYOND(piece) or any(x in piece for x in self.special):
+            if _BEYOND(piece) or special(piece):
                 rest.append(k)
                 continue
             ids: list[int] = []
-            for word in self.inner.findall(unicodedata.normalize("NFC", piece).lower() if self.lower else piece):
+            for word in words_of(piece):
                 got = known.get(word)
                 if got is None:
-                    got = known[word] = [t.id for t in tokenize(word.encode().decode("latin-1").translate(_BYTE_SIGNS))]
+                    signs = word.replace(" ", _SPACE) if word.isascii() else "".join(map(_SIGNS.__getitem__, word))
+                    got = known[word] = [t.id for t in tokenize(signs)]
                 ids += got
             out[k] = ids
         for k, ids in zip(rest, self._library([pieces[k] for k in rest]), strict=True):
@@ -110,7 +131,7 @@ class MemoTokenizer:
             some = [p.decode("utf-8", "replace") if isinstance(p, bytes) else p for p in waiting[at : at + 20_000]]
             got = self._piece_ids(some)
             sizes = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter((i for ids in got for i in ids), np.uint32, int(sizes.sum()))
+            flat = np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))
             while self.used + len(flat) > len(self.pool):
                 self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
             while first + at + len(got) > len(self.starts):
