@@ -96,7 +96,7 @@ def outcome(text: Column, is_error: Column) -> Column:
 def completion_ms(stamp: Column) -> Column:
     """Strict timestamp text to epoch milliseconds: the fraction is cut, no offset means UTC, anything invalid is null."""
     ok = stamp.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})?$")
-    part = lambda a, n: F.substring(stamp, a, n).cast("int")
+    part = lambda a, n: F.substring(stamp, a, n).try_cast("int")
     day = F.try_to_date(F.substring(stamp, 1, 10), "yyyy-MM-dd")
     h, m, s = part(12, 2), part(15, 2), part(18, 2)
     fraction = F.rpad(F.regexp_extract(stamp, r"\.(\d+)", 1), 3, "0")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .turns import IN_SESSION
+from .turns import in_session
 
 # fixed values
 CACHED_PRICE, UNCACHED_PRICE, OUTPUT_PRICE = 1.0, 10.0, 50.0
@@ -56,7 +56,7 @@ def role_shares(requests: DataFrame, parts: dict[str, tuple[str, ...]], keys: li
 
 def user_prompt_rise(requests: DataFrame) -> DataFrame:
     """Tokens of each new user prompt: the rise of user tokens over the step before, all of them at step 0."""
-    rise = F.when(F.col("step") > 0, F.col("tokens_user") - F.lag("tokens_user").over(IN_SESSION)).otherwise(F.col("tokens_user"))
+    rise = F.when(F.col("step") > 0, F.col("tokens_user") - F.lag("tokens_user").over(in_session())).otherwise(F.col("tokens_user"))
     return requests.withColumn("rise", rise).filter((F.col("step_trigger") == "user") & (F.col("rise") > 0)).select("session_id", "step", F.col("rise").cast("long").alias("rise"))
 
 

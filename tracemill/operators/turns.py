@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from ..schemas import BENCHMARK_HARNESS
 
-IN_SESSION = Window.partitionBy("session_id").orderBy("step")
-SO_FAR = IN_SESSION.rowsBetween(Window.unboundedPreceding, 0)
 TOOL_WAITED_FOR = ("tool", "ask_user_tool", "subagent")
 
 
+def in_session() -> WindowSpec:
+    return Window.partitionBy("session_id").orderBy("step")
+
+
 def scope_of(harness: Column) -> Column:
     return F.when(harness == BENCHMARK_HARNESS, "SWE-Bench").otherwise("Agentic")
 
@@ -38,17 +40,17 @@ def waited_for(step: Column, trigger: Column, categories: Column) -> Column:
 
 def with_waited_for(requests: DataFrame, calls: DataFrame) -> DataFrame:
     called = calls.groupBy("session_id", "step").agg(F.collect_set("category").alias("__called"))
-    joined = requests.join(called, ["session_id", "step"], "left").withColumn("__before", F.lag("__called").over(IN_SESSION))
+    joined = requests.join(called, ["session_id", "step"], "left").withColumn("__before", F.lag("__called").over(in_session()))
     return joined.withColumn("waited_for", waited_for(F.col("step"), F.col("step_trigger"), F.col("__before"))).drop("__called", "__before")
 
 
 def wait_s() -> Column:
     """Seconds between the previous completion in the session and this arrival."""
-    return (F.col("start_ms") - F.lag("end_ms").over(IN_SESSION)) / 1000
+    return (F.col("start_ms") - F.lag("end_ms").over(in_session())) / 1000
 
 
 def turn_number() -> Column:
-    return F.sum(F.when(F.col("step_trigger") == "user", 1).otherwise(0)).over(SO_FAR)
+    return F.sum(F.when(F.col("step_trigger") == "user", 1).otherwise(0)).over(in_session().rowsBetween(Window.unboundedPreceding, 0))
 
 
 def counts_per_session(requests: DataFrame) -> DataFrame:
@@ -65,7 +67,7 @@ def session_durations(requests: DataFrame) -> DataFrame:
 
 def tool_wait_s() -> Column:
     """The wait of the next request, if that waited for a call."""
-    return F.when(F.lead("waited_for").over(IN_SESSION).isin(*TOOL_WAITED_FOR), (F.lead("start_ms").over(IN_SESSION) - F.col("end_ms")) / 1000)
+    return F.when(F.lead("waited_for").over(in_session()).isin(*TOOL_WAITED_FOR), (F.lead("start_ms").over(in_session()) - F.col("end_ms")) / 1000)
 
 
 def totals(sessions: DataFrame, requests: DataFrame) -> DataFrame:

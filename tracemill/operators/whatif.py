@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .turns import IN_SESSION
+from .turns import in_session
 
 # fixed values
 TTLS = (("5m", 300.0), ("15m", 900.0), ("none", float("inf")))
@@ -37,9 +37,9 @@ def step_facts(requests: DataFrame, prefixes: DataFrame) -> DataFrame:
     j = requests.join(prefixes, ["session_id", "step"], "left")
     missing = F.when(F.col("blocks").isNull() | F.col("prompt_tokens").isNull(), F.raise_error(F.concat(F.lit("no blocks or no prompt count: "), "session_id")))
     j = j.withColumn("prompt_tokens", F.coalesce(missing.cast("long"), F.col("prompt_tokens")))
-    before = F.lag("prompt_tokens").over(IN_SESSION)
+    before = F.lag("prompt_tokens").over(in_session())
     share = F.when(F.col("blocks") > 0, F.col("shared_blocks") / F.col("blocks")).otherwise(0.0)
-    j = j.withColumn("before", before).withColumn("gap_s", (F.col("start_ms") - F.lag("end_ms").over(IN_SESSION)) / 1000).withColumn("cached_if_warm", F.col("prompt_tokens") * share)
+    j = j.withColumn("before", before).withColumn("gap_s", (F.col("start_ms") - F.lag("end_ms").over(in_session())) / 1000).withColumn("cached_if_warm", F.col("prompt_tokens") * share)
     j = j.withColumn("is_reduction", F.coalesce((F.col("transition") == "mutation") & (F.col("prompt_tokens") < F.col("before")), F.lit(False)))
     return j.select(
         "session_id", "step", "week", "prompt_tokens", "completion_tokens", "gap_s", "cached_if_warm", "is_reduction",

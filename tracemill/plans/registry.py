@@ -86,7 +86,7 @@ def _(s, d):
 
 @query("W4_tool_latencies", "SELECT session_id, step, lead(start_ms) OVER (PARTITION BY session_id ORDER BY step) - end_ms AS latency_ms FROM fx_requests")
 def _(s, d):
-    return fx.base_requests(s, d).select("session_id", "step", (F.lead("start_ms").over(turns.IN_SESSION) - F.col("end_ms")).alias("latency_ms"))
+    return fx.base_requests(s, d).select("session_id", "step", (F.lead("start_ms").over(turns.in_session()) - F.col("end_ms")).alias("latency_ms"))
 
 
 @query("W6_user_prompt_rise", """SELECT session_id, step, rise FROM (SELECT session_id, step, step_trigger, CASE WHEN step > 0 THEN tokens_user - lag(tokens_user) OVER (PARTITION BY session_id ORDER BY step) ELSE tokens_user END::BIGINT AS rise FROM fx_requests) WHERE step_trigger = 'user' AND rise > 0""")
