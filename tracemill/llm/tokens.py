@@ -40,9 +40,9 @@ _SIGNS = _Signs()
 #: Beyond these scripts, character classes and cases are left to the library.
 _BEYOND = re.compile("[^\x20-\x7e\xa1-\u024f]").search
 #: Pieces the memo holds before it starts again.
-MEMO_PIECES = 400_000
-#: A longer piece is encoded each time.
-LONGEST_PIECE = 200
+MEMO_PIECES = 600_000
+#: And ids, so that very long pieces do not fill it.
+MEMO_IDS = 8_000_000
 
 
 class _Codes(dict):
@@ -144,7 +144,7 @@ class MemoTokenizer:
         self.codes.waiting = []
 
     def _coded(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.codes) > MEMO_PIECES:
+        if len(self.codes) > MEMO_PIECES or self.used > MEMO_IDS:
             self._renew()
         codes = self.codes
         out = []
