@@ -497,3 +497,4 @@ def _(s, d):
 
 
 from . import more  # noqa: E402, F401  the rest of the registry
+from . import jobs  # noqa: E402, F401
