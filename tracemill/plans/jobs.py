@@ -176,3 +176,54 @@ def _(s, d):
 
     r = fx.requests(s, d).select("waited_for", turns.wait_s().alias("w"), tokens.hit_ratio().alias("h")).filter("w >= 0 and waited_for is not null and h is not null")
     return r.groupBy("waited_for").agg(F.avg("h").alias("mean_hit_ratio"))
+
+
+@query("C11_digests", """WITH x_m AS (SELECT conv_id, role, turn, list_filter(string_split_regex(coalesce(text, ''), '[ \n\t]+'), lambda w: w <> '') AS t, sha256('salt' || text) AS h FROM conversations), x_g AS (SELECT conv_id, list(h ORDER BY turn) AS hs, flatten(list(t ORDER BY turn)) AS a, sum(len(t)) FILTER (WHERE role = 'user') AS u, sum(len(t)) FILTER (WHERE role = 'assistant') AS s FROM x_m GROUP BY conv_id),
+    x_b AS (SELECT *, [array_to_string(a[i * 16 + 1:i * 16 + 16], ' ') for i in range(len(a) // 16)] AS b FROM x_g) SELECT conv_id, md5(array_to_string(hs, '')) AS messages, coalesce(u, 0)::BIGINT AS tokens_user, coalesce(s, 0)::BIGINT AS tokens_assistant, CASE WHEN len(b) > 0 THEN list_reduce(list_prepend('salt', b), lambda p, x: md5(p || x)) END AS last_block FROM x_b""", fixture=False)
+def _(s, d):
+    from ..operators import digests
+
+    m = table(s, d, "conversations").select(F.col("conv_id").alias("request_id"), F.col("turn").alias("position"), "role", "text")
+    return digests.digests(m, "salt").select(F.col("request_id").alias("conv_id"), F.md5(F.array_join("hashes", "")).alias("messages"), "tokens_user", "tokens_assistant", F.try_element_at("block_hashes", F.lit(-1)).alias("last_block"))
+
+
+@query("X10_typed_words", "SELECT event_id, ['--port=<value>', '-p=<value>', '-20', '<assign>', '<var>', '> <path>', '<num>', '<path>', '<str>', '<str>', '2>&1'][k % 11 + 1] AS typed FROM fx_requests")
+def _(s, d):
+    from ..functions import arguments
+
+    w = F.element_at(F.array(*map(F.lit, ("--port=80", "-p1x", "-20", "A=1", "$HOME", ">out.txt", "3.5", "src/a.py", "word", "---DONE ---", "2>&1"))), (F.col("k") % 11 + 1).cast("int"))
+    return fx.base_requests(s, d).select("event_id", arguments.type_word(w).alias("typed"))
+
+
+@query("X9_value_types", "SELECT event_id, ['<bool>', '<num>', '<null>', '<list>', '<object>', '<num>', '<path>', '<str>'][k % 8 + 1] AS kind FROM fx_requests")
+def _(s, d):
+    from ..functions import arguments
+
+    v = F.element_at(F.array(*map(F.lit, ("true", "1.5", "null", "[1]", '{"a":1}', '"12"', '"a/b"', '"plain"'))), (F.col("k") % 8 + 1).cast("int"))
+    return fx.base_requests(s, d).select("event_id", F.parse_json(F.concat(F.lit('{"v":'), v, F.lit("}"))).alias("j")).select("event_id", arguments.value_type(F.try_variant_get("j", "$.v", "variant")).alias("kind"))
+
+
+@query("R5_ordered_pairs", "SELECT event_id, '{\"b\":' || k || ',\"a\":\"' || event_type || '\",\"b\":null}' AS text, 3 AS n FROM fx_requests")
+def _(s, d):
+    from ..functions import arguments
+
+    e = fx.base_requests(s, d).select("event_id", F.concat(F.lit('{"b": '), "k", F.lit(', "a": "'), "event_type", F.lit('", "b": null}')).alias("t")).select("event_id", arguments.ordered_pairs("t").alias("p"))
+    return e.select("event_id", arguments.pairs_text(F.col("p")).alias("text"), F.size("p").alias("n"))
+
+
+@query("R4_last_assistant", "SELECT conv_id, max(i) FILTER (WHERE role = 'assistant')::INT AS last FROM (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations) GROUP BY conv_id", fixture=False)
+def _(s, d):
+    from ..functions import arguments
+
+    c = table(s, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("m"))
+    return c.select("conv_id", arguments.last_position(F.transform("m", lambda x: x["role"]), "assistant").alias("last"))
+
+
+@query("X25_plain_text", "SELECT conv_id, turn, trim(text || CASE WHEN turn % 2 = 1 THEN chr(10) || 'bash' || chr(10) || '{}' ELSE '' END, ' ' || chr(10)) AS text FROM conversations", fixture=False)
+def _(s, d):
+    from ..functions import arguments
+
+    c = table(s, d, "conversations")
+    call = F.when(F.col("turn") % 2 == 1, F.array(F.struct(F.struct(F.lit("bash").alias("name"), F.lit("{}").alias("arguments")).alias("function"))))
+    m = F.to_json(F.struct(F.array(F.struct(F.lit("thinking").alias("type"), F.lit("hidden").alias("text")), F.struct(F.lit("text").alias("type"), F.col("text"))).alias("content"), call.alias("tool_calls")))
+    return c.select("conv_id", "turn", arguments.plain_text(m).alias("text"))
