@@ -67,7 +67,7 @@ def benchmark_windows(docs: DataFrame, benchmark: DataFrame, id_column: str = "d
     items = benchmark.select(F.col(item_column).alias("item_id"), _words(F.col(item_text)).alias("w")).filter(F.col("item_id").isNotNull() & (F.size("w") >= shingle))
     items = items.select("item_id", _shingles(F.col("w"), shingle).alias("ih")).dropDuplicates(["item_id", "ih"])
     items = stored(items.select("*", _simhash(F.col("ih")).alias("ifp")).withColumn("item", F.xxhash64("item_id", "ih")), "items")
-    n_items, n_places = items.agg(F.count("*"), F.coalesce(F.sum(F.size("ih")), F.lit(0))).first()
+    n_items, n_places, longest = items.agg(F.count("*"), F.coalesce(F.sum(F.size("ih")), F.lit(0)), F.coalesce(F.max(F.size("ih")), F.lit(1))).first()
 
     # A shared shingle at p and q aligns the item with the window at p - q. Of a run of shared shingles
     # only the first counts, so an exact passage gives one window.
@@ -75,29 +75,48 @@ def benchmark_windows(docs: DataFrame, benchmark: DataFrame, id_column: str = "d
     places = places.select("item", "m", "q", "g", F.get("ih", F.col("q") - 1).alias("before"))
     keyed = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(F.col(text_column)).alias("row_key"), _words(F.col(text_column)).alias("w"))
     keyed = keyed.select("doc_id", "row_key", _shingles(F.col("w"), shingle).alias("h"))
-    # the outer form, for of the other Spark takes a filter on size(h) and computes h twice
-    hits = keyed.select("*", F.posexplode_outer("h").alias("p", "g")).join(_checked(places, n_places), "g")
-    hits = hits.filter((F.col("p") == 0) | F.col("before").isNull() | (F.get("h", F.col("p") - 1) != F.col("before")))
-    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.size("h") - F.col("m")))
-    windows = hits.select("doc_id", "row_key", "item", start.alias("start"), F.slice("h", start + 1, F.col("m")).alias("wh"))
-    windows = windows.dropDuplicates(["doc_id", "row_key", "item", "start"])
+    # Rows made from one document are buffered together, so none carries all its shingles: documents are cut into
+    # stretches that have the longest item's length before and after them. The outer forms are used, for of the
+    # others Spark takes a filter on the size and computes the array twice.
+    step = max(256, longest)
+    n, h = F.size("h"), F.col("h")
+
+    def stretch(c):
+        low = F.greatest(F.lit(0), c * step - longest)
+        return F.struct((c * step).alias("base"), low.alias("low"), F.slice(h, low + 1, c * step - low + step + longest).alias("hs"))
+
+    stretches = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / step).cast("int")), stretch))
+    cut = keyed.select("doc_id", "row_key", n.alias("n"), F.explode_outer(stretches).alias("c")).select("doc_id", "row_key", "n", "c.*")
+    hits = cut.select("*", F.posexplode_outer(F.slice("hs", F.col("base") - F.col("low") + 1, F.lit(step))).alias("i", "g")).withColumn("p", F.col("base") + F.col("i")).join(_checked(places, n_places), "g")
+    hits = hits.filter((F.col("p") == 0) | F.col("before").isNull() | (F.get("hs", F.col("p") - F.col("low") - 1) != F.col("before")))
+    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("n") - F.col("m")))
+    windows = hits.select("doc_id", "row_key", "item", start.alias("start"), F.slice("hs", start - F.col("low") + 1, F.col("m")).alias("wh"))
     windows = windows.withColumn("fp", _simhash(F.col("wh")))
 
-    masks = [m for m in range(256) if m.bit_count() <= radius // 8]
+    flips = radius // 8
+    masks = [m for m in range(256) if m.bit_count() <= flips]
     index = items.select("item", "ifp", F.explode(_blocks(F.col("ifp"))).alias("b")).select("item", "ifp", "b.block", F.explode(F.array(*map(F.lit, masks))).alias("mask"), F.col("b.value").alias("v"))
     index = index.select("item", "ifp", "block", F.col("v").bitwiseXOR(F.col("mask")).alias("value"))
     blocks = windows.select("*", F.explode(_blocks(F.col("fp"))).alias("b")).select("doc_id", "row_key", "item", "start", "wh", "fp", "b.block", "b.value")
-    near = blocks.join(_checked(index, n_items * 8 * len(masks)), ["item", "block", "value"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= radius)
-    near = near.dropDuplicates(["doc_id", "row_key", "item", "start"])
+    near = blocks.join(_checked(index, n_items * 8 * len(masks)), ["item", "block", "value"])
+    # a pair that meets in several blocks counts in the first of them, so nothing has to be made distinct
+    differ = F.col("fp").bitwiseXOR(F.col("ifp"))
+    meets = lambda k: F.bit_count(F.shiftrightunsigned(differ, 8 * k).bitwiseAND(F.lit(255))) <= flips
+    first = F.lit(8)
+    for k in reversed(range(8)):
+        first = F.when(meets(k), k).otherwise(first)
+    near = near.filter((F.bit_count(differ) <= radius) & (F.col("block") == first))
     found = near.join(_checked(items.select("item", "item_id", "ih"), n_items), "item").withColumn("similarity", _similarity(F.col("wh"), F.col("ih")))
     return found.filter(F.col("similarity") >= similarity).select("doc_id", "row_key", "item_id", F.col("start").cast("long").alias("start"), "similarity")
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """doc_id, item_id, start and similarity of the best window of each document and item (the first of equals)."""
-    best = F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best")
-    found = benchmark_windows(docs, benchmark, **options).groupBy("doc_id", "item_id").agg(best)
-    return found.select("doc_id", "item_id", (-F.col("best.back")).alias("start"), F.col("best.similarity").alias("similarity"))
+    found = benchmark_windows(docs, benchmark, **options)
+    # similarity, then the earlier start, as one number: numbers alone are aggregated in hash tables, without sorts
+    order = F.round(F.col("similarity") * 1_000_000_000).cast("long") * (1 << 32) + ((1 << 31) - 1 - F.col("start"))
+    best = found.groupBy("doc_id", "item_id").agg(F.max(order).alias("best"), F.max("similarity").alias("similarity"))
+    return best.select("doc_id", "item_id", ((1 << 31) - 1 - F.pmod("best", F.lit(1 << 32))).alias("start"), "similarity")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
