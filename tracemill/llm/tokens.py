@@ -106,11 +106,16 @@ class MemoTokenizer:
         rest = []
         known, tokenize, special, words_of = self.known, self.library.model.tokenize, self.special, self._words
         for k, piece in enumerate(pieces):
-            if _BEYOND(piece) or special(piece):
+            if not piece or _BEYOND(piece) or special(piece):
                 rest.append(k)
                 continue
+            words = words_of(piece)
+            if words and words[0] is piece:  # a word that no other piece has: nothing to look up or keep
+                signs = piece.replace(" ", _SPACE) if piece.isascii() else "".join(map(_SIGNS.__getitem__, piece))
+                out[k] = [t.id for t in tokenize(signs)]
+                continue
             ids: list[int] = []
-            for word in words_of(piece):
+            for word in words:
                 got = known.get(word)
                 if got is None:
                     signs = word.replace(" ", _SPACE) if word.isascii() else "".join(map(_SIGNS.__getitem__, word))
