@@ -209,6 +209,53 @@ def test_band_recall():
     assert tries > 50 and hits / tries > 0.97
 
 
+def template_lines():
+    """Lines of one template that are mostly below the similarity, with planted pairs that reach it, and a chain of near copies."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    head, out = word(60), []
+    for _ in range(150):
+        own = word(20)
+        out += [f"{head} {own}", f"{head} {own[:-8]}{word(8)}"]
+    out += [f"{head} {word(20)}" for _ in range(300)] + [f"{word(70)} page {k}" for k in range(20)]
+    page = word(70)
+    out += [f"{page} page {k} of 90" for k in range(90)]
+    return sorted(set(out), key=lambda x: hashlib.md5(x.encode()).digest())
+
+
+def test_pairs_in_a_template_bucket(spark):
+    texts = template_lines()
+    grams = [{x[i : i + 5] for i in range(len(x) - 4)} for x in texts]
+    sig = lines.signatures(texts).reshape(len(texts), lines.ROWS, lines.BANDS)
+    near = [(a, b) for b in range(len(texts)) for a in range(b) if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])]
+    banded = [(a, b) for a, b in near if (sig[a] == sig[b]).all(axis=0).any()]
+
+    def roots(links):
+        parent = {}
+        for a, b in links:
+            x, y = a, b
+            while parent.get(x, x) != x:
+                x = parent[x]
+            while parent.get(y, y) != y:
+                y = parent[y]
+            parent[max(x, y)] = min(x, y)
+
+        def root(x):
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        return [root(x) for x in range(len(texts))]
+
+    plain = roots(near)
+    assert len(banded) > 100 and len(set(plain)) > 100
+    table = spark.createDataFrame(list(enumerate(texts)), "lid long, line string").repartition(3)
+    for options in ({}, {"bucket": 6, "tile": 16}):
+        found = roots([(r.a, r.b) for r in lines.near_links(table, **options).collect()])
+        assert all(found[a] == found[b] for a, b in banded)
+        assert all(plain[x] == plain[r] for x, r in enumerate(found))
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1080)] + [(5000, 5000 + k) for k in range(1, 200)] + [(None, 3), (7, 7), (1, 2), (1, 2)]
