@@ -345,6 +345,28 @@ def test_decontamination(spark):
     assert decontaminate.contaminations(docs.limit(0), bench).collect() == [] == decontaminate.contaminations(docs, bench.limit(0)).collect()
 
 
+def test_decontamination_between_alignments(spark):
+    words = [f"w{k}" for k in range(59)]
+    inserted = ["first", *words[1:29], "two", "more", *words[29:58], "last"]
+    swapped = [*words[30:], *words[:30]]
+    noise = [f"n{k}" for k in range(300)]
+    rows = [(k, " ".join([*noise[:at], *piece, *noise[at:]])) for k, (at, piece) in enumerate((at, piece) for piece in (inserted, swapped) for at in (0, 1, 40, 250, 290, 300))]
+    rows += [(50, " ".join(inserted)), (51, " ".join(noise))]
+
+    def best(text):
+        d, q = shingle_words(text), Counter(tuple(words[i : i + 5]) for i in range(55))
+        out = 0
+        for at in range(max(1, len(d) - 58)):
+            a = Counter(tuple(d[at : at + 59][i : i + 5]) for i in range(len(d[at : at + 59]) - 4))
+            out = max(out, sum((a & q).values()) / sum((a | q).values()))
+        return out
+
+    wanted = {k: best(text) for k, text in rows}
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    found = {r.doc_id: r.similarity for r in decontaminate.contaminations(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert found == pytest.approx({k: v for k, v in wanted.items() if v >= 0.8}) and len(found) > 6
+
+
 def plain_fingerprint(text):
     words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
     grams = [b" ".join(words[i : i + 4]) for i in range(len(words) - 3)] or ([b" ".join(words)] if words else [])

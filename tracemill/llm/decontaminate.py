@@ -1,8 +1,10 @@
 """Benchmark decontamination in DataFrame functions alone.
 
 Texts are lower-cased and cut into words of letters and digits. A benchmark item of n words is compared with
-document windows of n words. Windows worth a fingerprint are those aligned with the item at a shared
-shingle: a window without any has similarity 0. Each such window gets a 64-bit SimHash of its
+document windows of n words. A window whose start lies before (after) all alignments of the shingles it shares with
+the item shares no less when it moves on to the first (back to the last), so the windows to try are those aligned with the
+item at a shared shingle, and all between two alignments. Of these, windows that hold too few of the item's shingles for
+the similarity are dropped (an exact bound). Each window left gets a 64-bit SimHash of its
 shingles; items are indexed under every value of each of eight 8-bit blocks within RADIUS // 8
 changed bits, so by the pigeonhole principle each window within RADIUS meets its item in some block. Pairs
 within the radius are verified by exact weighted-shingle similarity: sum of least over sum of
@@ -76,21 +78,42 @@ def benchmark_windows(docs: DataFrame, benchmark: DataFrame, id_column: str = "d
     keyed = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(F.col(text_column)).alias("row_key"), _words(F.col(text_column)).alias("w"))
     keyed = keyed.select("doc_id", "row_key", _shingles(F.col("w"), shingle).alias("h"))
     # Rows made from one document are buffered together, so none carries all its shingles: documents are cut into
-    # stretches that have the longest item's length before and after them. The outer forms are used, for of the
+    # stretches that have the longest item's length before them and twice that after them. The outer forms are used, for of the
     # others Spark takes a filter on the size and computes the array twice.
     step = max(256, longest)
     n, h = F.size("h"), F.col("h")
 
     def stretch(c):
         low = F.greatest(F.lit(0), c * step - longest)
-        return F.struct((c * step).alias("base"), low.alias("low"), F.slice(h, low + 1, c * step - low + step + longest).alias("hs"))
+        return F.struct((c * step).alias("base"), low.alias("low"), F.slice(h, low + 1, c * step - low + step + 2 * longest).alias("hs"))
 
     stretches = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / step).cast("int")), stretch))
     cut = keyed.select("doc_id", "row_key", n.alias("n"), F.explode_outer(stretches).alias("c")).select("doc_id", "row_key", "n", "c.*")
     hits = cut.select("*", F.posexplode_outer(F.slice("hs", F.col("base") - F.col("low") + 1, F.lit(step))).alias("i", "g")).withColumn("p", F.col("base") + F.col("i")).join(_checked(places, n_places), "g")
     hits = hits.filter((F.col("p") == 0) | F.col("before").isNull() | (F.get("hs", F.col("p") - F.col("low") - 1) != F.col("before")))
-    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("n") - F.col("m")))
-    windows = hits.select("doc_id", "row_key", "item", start.alias("start"), F.slice("hs", start - F.col("low") + 1, F.col("m")).alias("wh"))
+    # Each hit answers for its own alignment a and for the starts from there to the next alignment in reach, which
+    # is looked for only where [a, a + 2m) holds enough of the item's shingles for any window in it.
+    hits = hits.join(_checked(items.select("item", "ih"), n_items), "item").withColumn("a", F.col("p") - F.col("q"))
+    m, low, hs = F.col("m"), F.col("low"), F.col("hs")
+
+    def held(first, size):
+        return F.size(F.filter(F.slice(hs, F.greatest(F.lit(0), first - low) + 1, size), lambda x: F.array_contains(F.col("ih"), x)))
+
+    def enough(n_held, size):
+        return n_held * (1 + similarity) >= similarity * (size + m) - 1e-6
+
+    # a window that the document's ends cut to fewer shingles needs fewer of them
+    near = F.col("a").between(1 - m, F.col("n") - 1) & enough(held(F.col("a"), 2 * m), F.least(m, F.col("n")))
+    aligned = lambda s: F.exists(F.sequence(F.lit(0), m - 1), lambda j: (s + j >= low) & (F.get(hs, F.greatest(F.lit(0), s + j - low)) == F.get(F.col("ih"), j)))
+    further = F.get(F.filter(F.sequence(F.col("a") + 1, F.col("a") + 2 * m), aligned), F.lit(0))
+    hits = hits.withColumn("next", F.when(near, further))
+    last = F.greatest(F.col("a"), F.least(F.col("next") - 1, F.col("a") + m - 1))
+    clipped = lambda s: F.greatest(F.lit(0), F.least(s, F.col("n") - m))
+    starts = F.array_distinct(F.transform(F.sequence(F.col("a"), F.when(F.col("next").isNull(), F.col("a")).otherwise(last)), clipped))
+    size_at = lambda s: F.least(m, F.col("n") - s)
+    hits = hits.withColumn("starts", F.filter(starts, lambda s: enough(held(s, m), size_at(s))))
+    windows = hits.select("doc_id", "row_key", "item", "m", "low", "hs", F.explode_outer("starts").alias("start")).filter("start is not null")
+    windows = windows.select("doc_id", "row_key", "item", "start", F.slice("hs", F.col("start") - F.col("low") + 1, F.col("m")).alias("wh"))
     windows = windows.withColumn("fp", _simhash(F.col("wh")))
 
     flips = radius // 8
