@@ -76,6 +76,24 @@ def test_spawns_claim_once(spark):
     assert got["p3"].child_session_id is None and not got["p3"].has_prompt and got["q1"].child_session_id is None
 
 
+def test_spawns_of_a_busy_account(spark, monkeypatch):
+    """Equal to the plain greedy rule, without a frame of a whole account."""
+    rng = random.Random(3)
+    spawns = [("busy" if k % 3 else f"u{k % 7}", f"p{k % 40}", f"r{k}", k % 2, rng.randrange(4_000_000), rng.choice(["do", "go", "do it"])) for k in range(400)]
+    starts = [("busy" if k % 4 else f"u{k % 7}", f"c{k}", rng.randrange(4_000_000), rng.choice(["do it now", "go", "no"])) for k in range(300)]
+    taken, wanted = set(), {}
+    for user, session, request, call, end, opening in sorted(spawns, key=lambda x: (x[4], x[2], x[3])):
+        near = [(abs(start - end), start, c) for u, c, start, text in starts if u == user and -30_000 <= start - end <= 600_000 and c != session and opening in text and c not in taken]
+        wanted[request] = min(near)[2] if near else None
+        taken.add(wanted[request])
+    from pyspark.sql import GroupedData
+
+    monkeypatch.setattr(GroupedData, "applyInPandas", lambda *x: pytest.fail("a frame of a whole account"))
+    s = spark.createDataFrame(spawns, "user_id string, session_id string, request_id string, call_index int, end_ms long, opening string")
+    r = spark.createDataFrame(starts, "user_id string, session_id string, start_ms long, first_user_text string")
+    assert {x.request_id: x.child_session_id for x in lineage.match_spawns(s, r).collect()} == wanted
+
+
 def test_transitions(spark):
     kind = "session_id string, step int, model string, provider string, roles array<string>, hashes array<string>, notes array<boolean>, texts array<string>"
     cases = {

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -105,22 +107,36 @@ def spawn_candidates(spawns: DataFrame, session_roots: DataFrame, before_ms: int
 
 def match_spawns(spawns: DataFrame, session_roots: DataFrame, before_ms: int = SPAWN_BEFORE_MS, after_ms: int = SPAWN_AFTER_MS) -> DataFrame:
     """Each spawn call's child: the nearest unclaimed candidate whose first text contains the opening, in completion order.
-    Only text matches go to the greedy step, which is per account, for claims never cross accounts."""
+    Only text matches go to the greedy step. It streams each account's rows in that order, which Spark sorts and spills, and
+    holds only claimed children that later spawns may still reach; an account is one task, for claims never cross accounts."""
     c = spawn_candidates(spawns, session_roots, before_ms, after_ms)
     n = c.groupBy("session_id", "request_id", "call_index").agg(F.count("*").alias("n_candidates"))
     fit = c.filter(F.col("opening").isNotNull() & (F.col("opening") != "") & F.contains("first_user_text", "opening")).select("user_id", "session_id", "request_id", "call_index", "end_ms", "child", "child_start")
-
-    def claim(rows: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        rows = rows.assign(d=(rows.child_start - rows.end_ms).abs()).sort_values(["end_ms", "request_id", "call_index", "d", "child_start", "child"])
-        for key, group in rows.groupby(["end_ms", "request_id", "call_index"], sort=True):
-            free = group[~group.child.isin(taken)]
-            if len(free):
-                taken.add(free.child.iloc[0])
-                out.append((group.session_id.iloc[0], key[1], key[2], free.child.iloc[0]))
-        return pd.DataFrame(out, columns=["session_id", "request_id", "call_index", "child_session_id"])
-
-    won = fit.groupBy("user_id").applyInPandas(claim, "session_id string, request_id string, call_index int, child_session_id string")
+    last = session_roots.groupBy("user_id", F.col("session_id").alias("child")).agg(F.max("start_ms").alias("last_start"))
+    fit = fit.join(last, ["user_id", "child"]).select("user_id", "end_ms", "request_id", "call_index", F.abs(F.col("child_start") - F.col("end_ms")).alias("d"), "child_start", "child", "session_id", "last_start")
+
+    def claim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user = key = session = None
+        taken, reach, claimed = set(), [], False
+        for batch in batches:
+            out = []
+            for u, end, request, call, _, _, child, of, until in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if u != user:
+                    user, key, taken, reach = u, None, set(), []
+                if (end, request, call) != key:
+                    key, session, claimed = (end, request, call), of, False
+                    while reach and reach[0][0] < end - before_ms:
+                        taken.discard(heapq.heappop(reach)[1])
+                if not claimed and child not in taken:
+                    claimed = True
+                    taken.add(child)
+                    heapq.heappush(reach, (until, child))
+                    out.append((session, request, call, child))
+            yield pa.RecordBatch.from_pylist([dict(zip(won_as.names, x, strict=True)) for x in out], schema=won_as)
+
+    won_as = pa.schema([("session_id", pa.string()), ("request_id", pa.string()), ("call_index", pa.int32()), ("child_session_id", pa.string())])
+    ordered = fit.repartition("user_id").sortWithinPartitions("user_id", "end_ms", "request_id", "call_index", "d", "child_start", "child")
+    won = ordered.mapInArrow(claim, "session_id string, request_id string, call_index int, child_session_id string")
     keys = ["session_id", "request_id", "call_index"]
     return spawns.select(*keys, F.col("opening").isNotNull().alias("has_prompt")).join(n, keys, "left").join(won, keys, "left").fillna(0, ["n_candidates"])
 
