@@ -8,8 +8,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tracemill.functions import strings
-from tracemill.operators import gaps, lineage, mutations, privacy, reuse, tokens, turns, whatif
+from tracemill.functions import shell, strings
+from tracemill.operators import gaps, lineage, mutations, privacy, reuse, tokens, toolcalls, turns, whatif
 from tracemill.sources import ledger, logs, traces
 from tracemill.streaming import windows
 
@@ -305,3 +305,83 @@ def test_stream_links(spark, tmp_path):
     q = windows.linked(stream).writeStream.format("memory").queryName("linked").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c").start()
     q.awaitTermination(120)
     assert {r.request_id: r.parent_request_id for r in spark.table("linked").collect()}["r3"] == "r0"
+
+
+def test_global_rank_is_a_permutation(spark):
+    """Large enough for bounds to be sampled, with a payload column that the sizes do not need."""
+    n = 200_000
+    rows = spark.range(n, numPartitions=8).select((F.hash("id") % 1000).alias("a"), "id", F.md5(F.col("id").cast("string")).alias("payload"))
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        ranked = tokens.global_rank(rows, ["a", "id"], "rank").toPandas()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    ranked = ranked.sort_values("rank")
+    assert ranked["rank"].tolist() == list(range(n))
+    assert list(zip(ranked["a"], ranked["id"], strict=True)) == sorted(zip(ranked["a"], ranked["id"], strict=True))
+
+
+def test_cycles_of_parents_are_an_error(spark):
+    rows = spark.createDataFrame([("a", None), ("b", "a"), ("c", "e"), ("d", "c"), ("e", "d"), ("f", "lost")], "request_id string, parent_request_id string")
+    with pytest.raises(ValueError, match="cycle"):
+        lineage.roots(rows)
+    found = {r.request_id: (r.root, r.depth) for r in lineage.roots(rows.filter("request_id not in ('c', 'd', 'e')")).collect()}
+    assert found["b"] == ("a", 1) and found["f"][1] == 1
+
+
+def test_results_go_to_the_call_of_their_own_id(spark):
+    stem = "call_" + "a" * 12
+    calls = spark.createDataFrame([("s", 0, 0, stem + "_1"), ("s", 0, 1, stem + "_2"), ("s", 0, 2, "toolu_x"), ("s", 0, 3, None)], "session_id string, step int, call_index int, raw_id string")
+    results = spark.createDataFrame([("s", 1, 0, "toolu" + stem + "_2"), ("s", 1, 1, stem + "_9"), ("s", 1, 2, "x"), ("s", 1, 3, "x")], "session_id string, step int, result_index int, raw_id string")
+    found = sorted((r.call_index, r.result_index) for r in toolcalls.match_results(calls, results).collect())
+    assert found == [(0, 1), (1, 0), (2, 2)]
+
+
+COMMANDS = [
+    ("make 2>&1 | tee log", ["make", "tee"], ["", "|"], False, "success"),
+    ("import os", [], [], False, "success"),
+    ("(cd x && make) &", ["cd", "make"], ["", "&&"], True, "success"),
+    ("cat <<'EOF' > a.py\nrm -rf x; ls\nEOF\npython3.11 a.py |& less", ["cat", "python", "less"], ["", "", "|"], False, "success"),
+    ("for f in *.py; do python -m black $f; done # ; rm", ["python -m black"], [""], False, "success"),
+    ("make -j$(nproc; ls) &> out.txt || timeout 60 npm run test", ["make", "npm run"], ["", "||"], False, "success"),
+    ("a\\\n b && 'c;d' x", ["a"], [""], False, "success"),
+    ('echo "' + '\\"x; ' * 5000 + '" ; ls', ["echo", "ls"], ["", ";"], False, "success"),
+    ("echo it's", ["echo"], [""], False, "partial"),
+    ("", [], [], False, "success"),
+]
+
+
+def test_programs_of_commands(spark):
+    df = spark.createDataFrame([(k, c[0]) for k, c in enumerate(COMMANDS)], "k int, command string")
+    found = toolcalls.with_programs(df, "command").orderBy("k").collect()
+    assert [(r.programs, r.joined_by, r.background, r.parse_status) for r in found] == [(p, j, b, s) for _, p, j, b, s in COMMANDS]
+    assert one(spark, None, of=shell.programs) is None
+
+
+def test_rules_by_subject(tmp_path):
+    path = tmp_path / "rules.toml"
+    path.write_text('version = "1"\n[spawn]\ntools = ["task"]\n[shell_purposes]\ngit = ["git"]\n[shell_rules]\npurpose_order = ["git"]\nrun_subcommands = ["run"]\n[categories]\ngit = "*Git/VCS"\n')
+    rules = toolcalls.load_rules(str(path))
+    assert rules.spawn == ["task"] and rules.purposes == {"git": ["git"]} and rules.order == ["git"] and rules.setup == toolcalls.Rules().setup
+    path.write_text('[shell_rules]\nunknown = ["x"]\n')
+    with pytest.raises(ValueError, match="unknown"):
+        toolcalls.load_rules(str(path))
+    path.write_text('ask_user = ["ASK"]\n')
+    with pytest.raises(ValueError, match="lower"):
+        toolcalls.load_rules(str(path))
+
+
+def test_ordered_pairs_keep_repeats(spark):
+    from tracemill.functions import arguments
+
+    got = one(spark, '{"b": 1, "a": [1, {"x": "y"}], "b": "2"}', of=arguments.ordered_pairs)
+    assert [(p.key, p.value) for p in got] == [("b", "1"), ("a", '[1,{"x":"y"}]'), ("b", '"2"')]
+    assert one(spark, "[1]", of=arguments.ordered_pairs) is None and one(spark, None, of=arguments.ordered_pairs) is None
+
+
+def test_plain_text_of_messages(spark):
+    from tracemill.functions import arguments
+
+    m = {"content": [{"type": "thinking", "text": "no"}, {"type": "text", "id": "no", "text": "one"}, {"type": "tool_result", "content": [{"type": "text", "text": "two"}]}], "tool_calls": [{"function": {"name": "bash", "arguments": "{}"}}]}
+    assert one(spark, json.dumps(m), of=arguments.plain_text) == "one\ntwo\nbash\n{}"
+    assert one(spark, '{"content": "plain"}', of=arguments.plain_text) == "plain" and one(spark, "broken", of=arguments.plain_text) == ""

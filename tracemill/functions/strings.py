@@ -25,14 +25,15 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[ \n\t]+"), lambda w: w != "")
 
 
-def shingles(text: Column, digest=F.md5) -> Column:
-    """Hashed 8-word phrases of the first 8 000 characters; 1 to 7 words are one phrase."""
+def shingles(text: Column, digest=F.md5, characters: int | None = SHINGLED) -> Column:
+    """Hashed 8-word phrases of a text; 1 to 7 words are one phrase. Lineage links by the first 8 000 characters; with
+    characters=None the whole text counts."""
 
     def of(w: Column) -> Column:
         phrase = lambda i: digest(F.array_join(F.slice(w, i, SHINGLE_WORDS), " "))
         return F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - SHINGLE_WORDS + 1, F.lit(1))), phrase)))
 
-    return let(words(F.substring(text, 1, SHINGLED)), of)
+    return let(words(text if characters is None else F.substring(text, 1, characters)), of)
 
 
 def normalise(text: Column) -> Column:
@@ -43,6 +44,12 @@ def _key(raw: Column) -> Column:
     return F.regexp_replace(raw, "[^A-Za-z0-9]", "")
 
 
+def own_keys(raw: Column) -> Column:
+    """Keys of an id as written: without punctuation, and that without a leading toolu."""
+    keys = F.array_distinct(F.array(_key(raw), F.regexp_replace(_key(raw), "^toolu", "")))
+    return F.when(raw.isNull(), F.array().cast("array<string>")).otherwise(F.filter(keys, lambda k: k != ""))
+
+
 def emitted_keys(raw: Column) -> Column:
     """Keys of an id the model emitted: without punctuation, and without _<digits> after 12 characters or more."""
     cut = F.regexp_extract(raw, r"^([\s\S]{12,}?)_\d+$", 1)
@@ -53,7 +60,7 @@ def emitted_keys(raw: Column) -> Column:
 def replayed_keys(raw: Column) -> Column:
     """Emitted keys, and each without a leading toolu."""
     e = emitted_keys(raw)
-    more = F.transform(F.filter(e, lambda k: k.startswith("toolu")), lambda k: F.substring(k, 6, 1_000_000))
+    more = F.transform(F.filter(e, lambda k: k.startswith("toolu")), lambda k: F.regexp_replace(k, "^toolu", ""))
     return F.filter(F.array_distinct(F.concat(e, more)), lambda k: k != "")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,10 +21,13 @@ TOOL_OUTPUT_KINDS = ("tool_result", "tool_text")
 
 
 def settled(df: DataFrame, what: str) -> DataFrame:
-    """The rows as a written table in the folder of spark.checkpoint.dir, with lineage cut."""
+    """The rows as a written table in the folder of spark.checkpoint.dir, with lineage cut. Where that is unset, a temporary folder
+    serves in local mode alone; a cluster's machines would each write to their own."""
     spark = df.sparkSession
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^,]*(,\d+)?\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
@@ -41,15 +45,17 @@ def links(signals: DataFrame, lookback: int = LOOKBACK) -> DataFrame:
     s = signals.withColumn("rn", F.row_number().over(w)).withColumn("rn", F.when(same > 1, F.raise_error(F.concat(F.lit("repeated request_id "), "request_id")).cast("int")).otherwise(F.col("rn")))
     s = s.withColumn("account", F.coalesce("user_id", F.lit("\x00")))
     near = (F.col("c.rn") - F.col("p.rn")).between(1, lookback)
+    # parents stand in the child's band of numbers or the one before, so a common key meets few rows at a time
+    band = F.floor(F.col("rn") / lookback).cast("int")
 
-    def exploded(array: str, alias: str) -> DataFrame:
-        return s.select("request_id", "account", "rn", F.explode(F.array_distinct(array)).alias("key")).alias(alias)
+    def exploded(rows: DataFrame, array: str, alias: str, *more) -> DataFrame:
+        bands = F.array(band) if alias == "p" else F.array(band, band - 1)
+        return rows.select("request_id", "account", "rn", *more, F.explode(F.array_distinct(array)).alias("key"), bands.alias("bands")).withColumn("band", F.explode("bands")).drop("bands").alias(alias)
 
-    on = (F.col("c.account") == F.col("p.account")) & (F.col("c.key") == F.col("p.key")) & near
-    tool = exploded("replayed_ids", "c").join(exploded("emitted_ids", "p"), on).groupBy(F.col("c.request_id").alias("request_id")).agg(F.max_by(F.col("p.request_id"), F.col("p.rn")).alias("tool_parent"))
-    rest = s.join(tool, "request_id", "left_anti")
-    child = rest.select("request_id", "account", "rn", F.explode(F.array_distinct("replayed_shingles")).alias("key")).alias("c")
-    parent = s.select("request_id", "account", "rn", F.size(F.array_distinct("answer_shingles")).alias("size"), F.explode(F.array_distinct("answer_shingles")).alias("key")).alias("p")
+    on = (F.col("c.account") == F.col("p.account")) & (F.col("c.key") == F.col("p.key")) & (F.col("c.band") == F.col("p.band")) & near
+    tool = exploded(s, "replayed_ids", "c").join(exploded(s, "emitted_ids", "p"), on).groupBy(F.col("c.request_id").alias("request_id")).agg(F.max_by(F.col("p.request_id"), F.col("p.rn")).alias("tool_parent"))
+    child = exploded(s.join(tool, "request_id", "left_anti"), "replayed_shingles", "c")
+    parent = exploded(s, "answer_shingles", "p", F.size(F.array_distinct("answer_shingles")).alias("size"))
     shared = child.join(parent, on).groupBy(F.col("c.request_id").alias("request_id"), F.col("p.request_id").alias("parent"), F.col("p.rn").alias("prn")).agg(F.count("*").alias("n"), F.first("p.size").alias("size"))
     text = shared.filter(10 * F.col("n") >= SHARED_TENTHS * F.col("size")).groupBy("request_id").agg(F.max_by("parent", "prn").alias("text_parent"))
     out = s.select("request_id").join(tool, "request_id", "left").join(text, "request_id", "left")
@@ -57,13 +63,18 @@ def links(signals: DataFrame, lookback: int = LOOKBACK) -> DataFrame:
 
 
 def roots(nodes: DataFrame, node: str = "request_id", parent: str = "parent_request_id") -> DataFrame:
-    """node, root and depth by pointer doubling: a logarithm of the depth in self joins, each written out."""
+    """node, root and depth by pointer doubling: a logarithm of the depth in self joins, each written out. A pointer to a node
+    that is not there ends at that node; a cycle is an error."""
+    n = nodes.count()
     p = settled(nodes.select(F.col(node).alias("node"), F.col(parent).alias("up"), F.when(F.col(parent).isNull(), 0).otherwise(1).alias("depth"), F.col(node).alias("root")), "pointers")
     p = p.withColumn("root", F.coalesce("up", "root"))
     for _ in range(64):
         p = settled(p, "pointers")
         if not p.filter("up is not null").limit(1).count():
             break
+        # no path is longer than there are nodes, but the doubled jumps of a cycle are
+        if p.agg(F.max("depth")).first()[0] > n:
+            raise ValueError(f"{parent} holds a cycle, at {p.filter(F.col('depth') > n).first().node}")
         above = p.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("root").alias("root2"), F.col("depth").alias("depth2"))
         p = p.join(above, "up", "left").select("node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), F.coalesce("root2", "root").alias("root"))
     return p.select(F.col("node").alias(node), "root", "depth")
@@ -107,22 +118,28 @@ def spawn_candidates(spawns: DataFrame, session_roots: DataFrame, before_ms: int
 
 def match_spawns(spawns: DataFrame, session_roots: DataFrame, before_ms: int = SPAWN_BEFORE_MS, after_ms: int = SPAWN_AFTER_MS) -> DataFrame:
     """Each spawn call's child: the nearest unclaimed candidate whose first text contains the opening, in completion order.
-    Only text matches go to the greedy step. It streams each account's rows in that order, which Spark sorts and spills, and
-    holds only claimed children that later spawns may still reach; an account is one task, for claims never cross accounts."""
+    Only text matches go to the greedy step. Spawns of an account that are further apart than the range share no
+    candidate, so an account is cut into islands, and the step streams each island's rows in order, which Spark sorts and
+    spills, holding only claimed children that later spawns may still reach."""
     c = spawn_candidates(spawns, session_roots, before_ms, after_ms)
     n = c.groupBy("session_id", "request_id", "call_index").agg(F.count("*").alias("n_candidates"))
     fit = c.filter(F.col("opening").isNotNull() & (F.col("opening") != "") & F.contains("first_user_text", "opening")).select("user_id", "session_id", "request_id", "call_index", "end_ms", "child", "child_start")
     last = session_roots.groupBy("user_id", F.col("session_id").alias("child")).agg(F.max("start_ms").alias("last_start"))
-    fit = fit.join(last, ["user_id", "child"]).select("user_id", "end_ms", "request_id", "call_index", F.abs(F.col("child_start") - F.col("end_ms")).alias("d"), "child_start", "child", "session_id", "last_start")
+    # an island is a run of occupied time buckets as wide as the range
+    width = before_ms + after_ms
+    fit = fit.withColumn("bucket", F.floor(F.col("end_ms") / width))
+    by_user = Window.partitionBy("user_id").orderBy("bucket")
+    islands = fit.select("user_id", "bucket").distinct().withColumn("new", F.when(F.col("bucket") - F.lag("bucket").over(by_user) == 1, 0).otherwise(1)).withColumn("island", F.sum("new").over(by_user)).drop("new")
+    fit = fit.join(islands, ["user_id", "bucket"]).join(last, ["user_id", "child"]).select("user_id", "island", "end_ms", "request_id", "call_index", F.abs(F.col("child_start") - F.col("end_ms")).alias("d"), "child_start", "child", "session_id", "last_start")
 
     def claim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        user = key = session = None
+        place = key = session = None
         taken, reach, claimed = set(), [], False
         for batch in batches:
             out = []
-            for u, end, request, call, _, _, child, of, until in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if u != user:
-                    user, key, taken, reach = u, None, set(), []
+            for u, island, end, request, call, _, _, child, of, until in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if (u, island) != place:
+                    place, key, taken, reach = (u, island), None, set(), []
                 if (end, request, call) != key:
                     key, session, claimed = (end, request, call), of, False
                     while reach and reach[0][0] < end - before_ms:
@@ -135,7 +152,7 @@ def match_spawns(spawns: DataFrame, session_roots: DataFrame, before_ms: int = S
             yield pa.RecordBatch.from_pylist([dict(zip(won_as.names, x, strict=True)) for x in out], schema=won_as)
 
     won_as = pa.schema([("session_id", pa.string()), ("request_id", pa.string()), ("call_index", pa.int32()), ("child_session_id", pa.string())])
-    ordered = fit.repartition("user_id").sortWithinPartitions("user_id", "end_ms", "request_id", "call_index", "d", "child_start", "child")
+    ordered = fit.repartition("user_id", "island").sortWithinPartitions("user_id", "island", "end_ms", "request_id", "call_index", "d", "child_start", "child")
     won = ordered.mapInArrow(claim, "session_id string, request_id string, call_index int, child_session_id string")
     keys = ["session_id", "request_id", "call_index"]
     return spawns.select(*keys, F.col("opening").isNotNull().alias("has_prompt")).join(n, keys, "left").join(won, keys, "left").fillna(0, ["n_candidates"])

@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import strings
 
@@ -37,12 +36,10 @@ def released_name(df: DataFrame, name: str, public: DataFrame) -> DataFrame:
 
 def block_local_ids(reads: DataFrame) -> DataFrame:
     """Dense id of each block by its first read in (session, step, position) order of its week; the rank comes from range partitions."""
-    from .tokens import global_rank
+    from .tokens import rank_within
 
     first = reads.groupBy("week", "block_id").agg(F.min(F.struct("session_id", "step", "pos")).alias("f")).select("week", "block_id", "f.*")
-    ranked = global_rank(first, ["week", "session_id", "step", "pos", "block_id"], "__r")
-    low = ranked.groupBy("week").agg(F.min("__r").alias("__low"))
-    return ranked.join(F.broadcast(low), "week").select("week", "block_id", (F.col("__r") - F.col("__low")).alias("local_id"))  # a row a week
+    return rank_within(first, "week", ["session_id", "step", "pos", "block_id"], "local_id").select("week", "block_id", "local_id")
 
 
 def string_values(table: DataFrame, name: str) -> DataFrame:
@@ -82,9 +79,3 @@ def exclusion_reasons(sessions: DataFrame, by_harness: dict[str, str], by_id: Da
         above = s.select(F.col("session_id").alias("up"), F.col("up").alias("up2"), F.col("reason").alias("reason2"))
         s = settled(s.join(above, "up", "left").select("session_id", F.when(F.col("reason").isNull(), F.col("up2")).alias("up"), F.coalesce("reason", "reason2").alias("reason")), "exclusions")
     return s.filter("reason is not null").select("session_id", "reason")
-
-
-def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row a key, the last by a total order."""
-    w = Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order))
-    return df.withColumn("__i", F.row_number().over(w)).filter("__i = 1").drop("__i")

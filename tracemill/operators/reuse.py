@@ -1,18 +1,20 @@
 """Replay of block reads: every read is judged against the block's next read, for all TTLs and policies at once.
 
-The window is over (scope, week, block); equal blocks must meet there, since order matters. Rows are
-a few numbers, and the grid of 52 (TTL, policy) pairs is multiplied after the window and
-collapses again in the map-side aggregation.
+Reads are ordered by (scope, week, block, arrival) in range partitions, so a block that nearly every request reads is spread
+over many; the last read of a partition gets the first of the next. A hit and the time a block stays are step functions
+of the TTL: each read and policy counts under the indices where they change, and the 13 TTLs are filled in
+on those few sums.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..schemas import BLOCK_TOKENS
 from . import turns
+from .lineage import settled
 
 # fixed values
 TTLS = (("1s", 1.0), ("10s", 10.0), ("30s", 30.0), ("1m", 60.0), ("5m", 300.0), ("10m", 600.0), ("15m", 900.0), ("30m", 1800.0), ("1h", 3600.0), ("3h", 10800.0), ("6h", 21600.0), ("1d", 86400.0), ("none", float("inf")))
@@ -29,33 +31,59 @@ def judged_reads(reads: DataFrame) -> DataFrame:
     steps = steps.select("week", "session_id", "step", F.coalesce(F.lead("arrival").over(s.orderBy("step")), inf).alias("next_arrival"), F.max("completion").over(s).alias("session_end"))
     ends = r.groupBy("scope", "week").agg(F.max("completion").alias("week_end"))
     r = r.join(steps, ["week", "session_id", "step"]).join(F.broadcast(ends), ["scope", "week"])  # a row a week and scope
-    by_block = Window.partitionBy("scope", "week", "block_id")
-    order = by_block.orderBy("arrival", "session_id", "step", "pos")
-    again = F.lead("step").over(Window.partitionBy("scope", "week", "block_id", "session_id").orderBy("step", "pos"))
-    kept = F.coalesce(again == F.col("step") + 1, F.lit(False))
-    r = r.withColumn("mutate_signal", F.when(kept, inf).otherwise(F.col("next_arrival")))
+    # whether the session's next step reads the block, however often this one does
+    again = F.count("*").over(Window.partitionBy("scope", "week", "block_id", "session_id").orderBy("step").rangeBetween(1, 1))
+    r = r.withColumn("mutate_signal", F.when(again > 0, inf).otherwise(F.col("next_arrival")))
+    r = r.select("scope", "week", "session_id", "step", "pos", "block_id", "arrival", "completion", "week_end", "mutate_signal", "session_end")
+
+    block, order = ["scope", "week", "block_id"], ["arrival", "session_id", "step", "pos"]
+    parts = int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = settled(r.repartitionByRange(parts, *block, *order).withColumn("__p", F.spark_partition_id()), "ordered-reads")
+    at = F.struct(*block, *order, "completion")
+    ends_of = r.groupBy("__p").agg(F.min(at).alias("head"), F.max(at).alias("tail"))
+    by = Window.orderBy("__p")
+    # one row a partition
+    ends_of = ends_of.select("__p", F.lead("head").over(by).alias("__after"), F.lag("tail").over(by).alias("__before"))
+    same = lambda end: (F.col(f"{end}.scope") == F.col("scope")) & (F.col(f"{end}.week") == F.col("week")) & (F.col(f"{end}.block_id") == F.col("block_id"))
+    w = Window.partitionBy("__p", *block).orderBy(*order)
+    r = r.join(F.broadcast(ends_of), "__p")
+    following = lambda c: F.coalesce(F.lead(c).over(w), F.when(same("__after"), F.col(f"__after.{c}")))
+    r = r.withColumn("__arrival", following("arrival")).withColumn("__completion", following("completion")).withColumn("first", (F.row_number().over(w) == 1) & ~F.coalesce(same("__before"), F.lit(False)))
     return r.select(
         "scope", "week", "session_id", "step", "block_id", "arrival", "completion", "week_end", "mutate_signal", "session_end",
-        (F.row_number().over(order) == 1).alias("first"), (F.lead("arrival").over(order) - F.col("completion")).alias("gap"), (F.lead("completion").over(order) - F.col("completion")).alias("until_next"),
+        "first", (F.col("__arrival") - F.col("completion")).alias("gap"), (F.col("__completion") - F.col("completion")).alias("until_next"),
     )
 
 
+def _first_at_least(value: Column) -> Column:
+    """Index of the first TTL that is no less than the value."""
+    out = F.lit(len(TTLS))
+    for k in reversed(range(len(TTLS))):
+        out = F.when(value <= TTLS[k][1], k).otherwise(out)
+    return out
+
+
 def tallies(judged: DataFrame) -> DataFrame:
     """Hit and missed tokens, reusable and dead token-seconds per scope, week, policy and TTL."""
-    spark = judged.sparkSession
-    grid = spark.createDataFrame([(t, s, p) for t, s in TTLS for p in POLICIES], "ttl string, ttl_s double, policy string")
-    g = judged.join(F.broadcast(grid), F.lit(True))  # 52 rows
     inf = F.lit(float("inf"))
-    signal = F.when(F.col("policy") == "ttl_only", inf).when(F.col("policy") == "reclaim_mutate", F.col("mutate_signal")).when(F.col("policy") == "reclaim_dead", F.col("session_end")).otherwise(F.least("mutate_signal", "session_end"))
-    after = signal - F.col("completion")
-    has_next = F.col("gap").isNotNull()
-    hit = F.coalesce((F.col("gap") < 0) | ((F.col("gap") <= F.col("ttl_s")) & (F.col("gap") <= after)), F.lit(False))
-    stays = F.greatest(F.when(hit, F.col("until_next")).otherwise(F.least("ttl_s", after, F.col("week_end") - F.col("completion"))), F.lit(0.0))
-    g = g.select("scope", "week", "policy", "ttl", hit.alias("hit"), has_next.alias("has_next"), stays.alias("stays"))
-    hits = F.count_if("hit")
-    return g.groupBy("scope", "week", "policy", "ttl").agg(
-        (BLOCK_TOKENS * hits).alias("hit_tokens"), (BLOCK_TOKENS * (F.count("*") - hits)).alias("miss_tokens"),
-        (BLOCK_TOKENS * F.sum(F.when(F.col("has_next"), F.col("stays")).otherwise(0.0))).alias("reusable_token_seconds"), (BLOCK_TOKENS * F.sum(F.when(F.col("has_next"), 0.0).otherwise(F.col("stays")))).alias("dead_token_seconds"),
+    signals = {"ttl_only": inf, "reclaim_mutate": F.col("mutate_signal"), "reclaim_dead": F.col("session_end"), "reclaim_both": F.least("mutate_signal", "session_end")}
+    policies = F.explode(F.array(*(F.struct(F.lit(p).alias("policy"), (signals[p] - F.col("completion")).alias("after")) for p in POLICIES)))
+    g = judged.select("scope", "week", "gap", "until_next", (F.col("week_end") - F.col("completion")).alias("rest"), policies.alias("p")).select("*", "p.*")
+    # from this TTL on it hits, and from that one on an end other than the TTL's comes first
+    hits = F.when(F.col("gap") < 0, 0).when(F.col("gap") <= F.col("after"), _first_at_least(F.col("gap"))).otherwise(len(TTLS))
+    g = g.withColumn("hits", hits).withColumn("cap", F.greatest(F.least("after", "rest"), F.lit(0.0))).withColumn("capped", _first_at_least(F.col("cap")))
+    keys = ["scope", "week", "policy"]
+    g = g.groupBy(*keys, F.col("gap").isNotNull().alias("has_next"), "hits", F.least("capped", "hits").alias("capped")).agg(F.count("*").alias("n"), F.sum(F.greatest("until_next", F.lit(0.0))).alias("until"), F.sum("cap").alias("cap"))
+    # at most 2 x 14 x 14 rows of each scope, week and policy
+    ttl = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(t).alias("ttl"), F.lit(s).alias("ttl_s")) for k, (t, s) in enumerate(TTLS))))
+    g = g.select("*", ttl.alias("t")).select("*", "t.*")
+    hit = F.col("k") >= F.col("hits")
+    stays = F.when(hit, F.col("until")).when(F.col("k") >= F.col("capped"), F.col("cap")).otherwise(F.col("ttl_s") * F.col("n"))
+    total = lambda rows, value: F.coalesce(F.sum(F.when(rows, value)), F.lit(0) if value is n else F.lit(0.0))
+    n = F.col("n")
+    return g.groupBy(*keys, "ttl").agg(
+        (BLOCK_TOKENS * total(hit, n)).alias("hit_tokens"), (BLOCK_TOKENS * total(~hit, n)).alias("miss_tokens"),
+        (BLOCK_TOKENS * total(F.col("has_next"), stays)).alias("reusable_token_seconds"), (BLOCK_TOKENS * total(~F.col("has_next"), stays)).alias("dead_token_seconds"),
     )
 
 

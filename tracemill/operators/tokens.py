@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .lineage import settled
 from .turns import in_session
 
 # fixed values
@@ -85,9 +86,12 @@ def rank_bins(shares: DataFrame, sort_by: list[str], parts: list[str], most: int
 
 
 def global_rank(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Rank from 0 by `order`, which must be a total order."""
+    """Rank from 0 by `order`, which must be a total order.
+
+    Range partitions are written once with their numbers; ranks within them and their sizes are read from that table,
+    for a second evaluation could draw other bounds."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parted = df.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id())
+    parted = settled(df.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id()), "ranges")
     inside = Window.partitionBy("__p").orderBy(*order)
     sizes = parted.groupBy("__p").agg(F.count("*").alias("__n"))
     # one row a partition
@@ -95,6 +99,13 @@ def global_rank(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return parted.withColumn("__i", F.row_number().over(inside) - 1).join(F.broadcast(before), "__p").withColumn(name, F.col("__i") + F.col("__ahead")).drop("__p", "__i", "__ahead")
 
 
+def rank_within(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """Rank from 0 by `order` within each value of `group`, of which there are few (weeks); no group meets in one task."""
+    ranked = settled(global_rank(df, [group, *order], "__r"), "ranks")
+    low = ranked.groupBy(group).agg(F.min("__r").alias("__low"))
+    return ranked.join(F.broadcast(low), group).withColumn(name, F.col("__r") - F.col("__low")).drop("__r", "__low")  # a row a week
+
+
 def cdf(df: DataFrame, value: str) -> DataFrame:
     """Each finite value with the share of values at or below its place; ties keep places of their own."""
     finite = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(F.col(value).alias("value"))

@@ -3,19 +3,17 @@
 from __future__ import annotations
 
 import re
-import shlex
 import tomllib
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions import strings
+from ..functions import shell, strings
 
-# ---- rule tables: a parameter; the defaults are short and may be replaced from a file
+# ---- rule tables: a parameter. The defaults are a short part of what a user would load from files with load_rules
+
+# fixed values
 
 
 @dataclass
@@ -34,25 +32,51 @@ class Rules:
     setup: list[str] = field(default_factory=lambda: ["cd", "echo", "printf", "true", "false", "date", "sleep", "which", "export", "source", "pwd", "wait"])
     plumbing: list[str] = field(default_factory=lambda: ["cat", "head", "tail", "wc", "sort", "uniq", "cut", "tr", "tee", "less", "more", "column", "nl", "xargs"])
     run: list[str] = field(default_factory=lambda: ["run", "start", "dev", "exec", "x", "serve", "watch"])
+    nouns: list[str] = field(default_factory=lambda: ["content", "item", "path"])
     categories: dict[str, str] = field(default_factory=lambda: {
         "read": "Read", "browser": "Browser", "edit": "Edit", "write": "Write", "mcp": "MCP", "subagent": "Subagent", "ask_user": "Ask User", "files": "*File Ops", "interpreter": "*Interpreter", "search": "*Search",
         "waiting": "*Wait/Poll", "git": "*Git/VCS", "build_test": "*Build/Test", "packages": "*Packages", "network": "*Network", "other": "Other",
     })
 
 
-def load_rules(path: str) -> Rules:
-    """Rules from a TOML file with a table or list for each field; keys must be known and phrases in lower case."""
-    with open(path, "rb") as f:
-        given = tomllib.load(f)
-    unknown = set(given) - set(Rules.__dataclass_fields__)
+#: Where a rule file may hold a field: under the field's own name, or as (table, key) of a file by subject.
+FILED = {
+    "spawn": ("spawn", "tools"), "ask_user": ("ask_user", "tools"), "families": ("tool_families", None), "mcp": ("mcp", "name_contains"), "purposes": ("shell_purposes", None), "order": ("shell_rules", "purpose_order"),
+    "setup": ("shell_rules", "setup_programs"), "plumbing": ("shell_rules", "plumbing_programs"), "run": ("shell_rules", "run_subcommands"), "nouns": ("shell_rules", "powershell_file_nouns"),
+}
+
+
+def load_rules(*paths: str) -> Rules:
+    """Rules from TOML files (tool names, categories) with a table or list for each field; what no file holds keeps its
+    default. Tables and keys must be known, phrases in lower case, and every family and purpose of a category known."""
+    given: dict = {}
+    for path in paths:
+        with open(path, "rb") as f:
+            for name, value in tomllib.load(f).items():
+                if name in given and name != "version":
+                    raise ValueError(f"{name} is in more than one file")
+                given[name] = value
+    given.pop("version", None)
+    out = {}
+    for name in Rules.__dataclass_fields__:
+        at, key = FILED.get(name, (name, None))
+        value = given.get(at)
+        if key and isinstance(value, dict):
+            if key in value:
+                out[name] = value.pop(key)
+        elif at in given:
+            out[name] = given.pop(at)
+        elif name in given:
+            out[name] = given.pop(name)
+    unknown = [name for name, value in given.items() if value or not isinstance(value, dict)]
     if unknown:
         raise ValueError(f"unknown rule tables: {sorted(unknown)}")
-    for name, entries in given.items():
-        for x in entries.values() if isinstance(entries, dict) else [entries]:
+    for name, entries in out.items():
+        for x in entries.values() if isinstance(entries, dict) and name != "categories" else [entries]:
             for phrase in x if isinstance(x, list) else []:
                 if phrase != phrase.lower():
                     raise ValueError(f"{name}: {phrase!r} is not in lower case")
-    return Rules(**given)
+    return Rules(**out)
 
 
 def canonical_name(raw: Column, rules: Rules) -> Column:
@@ -95,105 +119,31 @@ def deciding_program(programs: Column, joined_by: Column, rules: Rules) -> Colum
 
 
 def purpose(label: Column, rules: Rules) -> Column:
+    """The first purpose in order that lists a word of the label; code is the interpreter's, a PowerShell file noun is files."""
     words = F.split(F.lower(F.trim(label)), r"\s+")
-    out = F.lit("other")
+    noun = F.regexp_extract(F.get(words, 0), r"^[a-z]+-([a-z]+)$", 1)
+    out = F.when(noun.isin(*rules.nouns), "files").otherwise("other")
     for name in reversed(rules.order):
         listed = F.arrays_overlap(words, F.array(*map(F.lit, rules.purposes.get(name, [""]))))
         value = F.when(F.get(words, 1).isin(*rules.run), "interpreter").otherwise(name) if name == "packages" else F.lit(name)
         out = F.when(listed, value).otherwise(out)
-    return out
+    return F.when(F.endswith(label, F.lit("(code)")), "interpreter").otherwise(out)
 
 
-def category(fam: Column, programs: Column, joined_by: Column, background: Column, rules: Rules) -> Column:
-    waits = background | F.exists(programs, lambda p: F.arrays_overlap(F.split(F.lower(p), r"\s+"), F.array(*map(F.lit, rules.purposes.get("waiting", [""])))))
-    shell = strings.let(deciding_program(programs, joined_by, rules), lambda d: F.when(d.isNull(), "files").otherwise(purpose(d, rules)))
-    key = F.when(fam == "shell", F.when(F.size(programs) == 0, None).when(waits, "waiting").otherwise(shell)).otherwise(fam)
+def category(fam: Column, programs: Column, joined_by: Column, background: Column, rules: Rules, wrappers: Column | None = None) -> Column:
+    """wrappers: the words before programs (`nohup`), which make a command wait as program words do."""
+    words = F.flatten(F.transform(programs, lambda p: F.split(F.lower(p), r"\s+")))
+    if wrappers is not None:
+        words = F.concat(words, F.transform(F.coalesce(wrappers, F.array().cast("array<string>")), F.lower))
+    waits = background | F.arrays_overlap(words, F.array(*map(F.lit, rules.purposes.get("waiting", [""]))))
+    by_program = strings.let(deciding_program(programs, joined_by, rules), lambda d: F.when(d.isNull(), "files").otherwise(purpose(d, rules)))
+    key = F.when(fam == "shell", F.when(F.size(programs) == 0, None).when(waits, "waiting").otherwise(by_program)).otherwise(fam)
     return F.coalesce(F.create_map(*(F.lit(x) for kv in rules.categories.items() for x in kv))[key], F.lit("Other"))
 
 
-# ---- programs of a command: a documented part of the shell's grammar. Words and quotes as shlex reads them; && || ; | & and
-# new lines part programs; here-documents and substitutions are not looked into. Unbalanced quotes make it partial.
-
-# fixed values
-WRAPPERS = {"sudo", "env", "time", "nohup", "exec", "command", "builtin", "nice", "ionice", "stdbuf", "timeout", "watch", "setsid", "caffeinate", "xargs", "rtk"}
-VALUE_FLAGS = {"-u", "-g", "-p", "-C", "-h", "-w", "-n", "--user", "--group", "-I", "-S"}
-SUBCOMMANDS = set(
-    "git npm npx pnpm yarn pip cargo docker podman docker-compose kubectl helm go apt apt-get brew poetry uv conda gh systemctl make terraform gcloud aws rustup deno bun dotnet mvn gradle rails bundle composer gem dvc"
-    " pre-commit pdm rye pipx hatch module svn hg".split()
-)
-RUNNERS = {"uv", "poetry", "pdm", "rye", "pipx", "hatch", "conda"}
-SPELLINGS = {"python3": "python", "python2": "python", "py": "python", "pip3": "pip", "node18": "node", "nodejs": "node"}
-_PLAIN = re.compile(r"[A-Za-z][A-Za-z0-9:_-]*")
-
-
-def program_name(word: str) -> str:
-    name = re.split(r"[/\\]", word)[-1].removesuffix(".exe")
-    return "python" if re.fullmatch(r"python[0-9.]+", name) else SPELLINGS.get(name, name)
-
-
-def label_of(words: list[str]) -> str | None:
-    """What ran: the program, with its subcommand or module where that says more. None for no program."""
-    words = list(words)
-    while words:
-        if re.match(r"[A-Za-z_]\w*=", words[0]):
-            words.pop(0)
-        elif program_name(words[0]) in WRAPPERS:
-            words.pop(0)
-            while words and (words[0].startswith("-") and len(words[0]) > 1 or re.fullmatch(r"[0-9.]+[smh]?", words[0])):
-                del words[: 2 if words[0] in VALUE_FLAGS else 1]
-        else:
-            break
-    if not words or not re.fullmatch(r"[A-Za-z0-9_][A-Za-z0-9_.\-]*", name := program_name(words[0])):
-        return None
-    rest = words[1:]
-    if name == "python":
-        return f"python -m {rest[1]}" if rest[:1] == ["-m"] and len(rest) > 1 else "python -c" if rest[:1] == ["-c"] else name
-    plain = [w for w in rest if _PLAIN.fullmatch(w)]
-    if name not in SUBCOMMANDS or not plain:
-        return name
-    return " ".join([name, *plain[: 2 if name in RUNNERS and plain[0] == "run" else 1]])
-
-
-def programs_of(command: str) -> tuple[list[str], list[str], bool, str]:
-    """Labels, the operator before each, whether any ran in the background, and success or partial."""
-    lexer = shlex.shlex(command, posix=True, punctuation_chars=";&|\n")
-    lexer.whitespace, lexer.whitespace_split, lexer.commenters = " \t\r", True, ""
-    words, labels, joined, before, background, status = [], [], [], "", False, "success"
-
-    def end() -> None:
-        label = label_of(words)
-        if label:
-            labels.append(label)
-            joined.append(before)
-        words.clear()
-
-    try:
-        for token in lexer:
-            if token and set(token) <= set(";&|\n"):
-                end()
-                background = background or token.strip() == "&"
-                before = "|" if token.strip() in ("|", "|&") else token.strip() or ";"
-            else:
-                words.append(token)
-    except ValueError:
-        status = "partial"
-    end()
-    return labels, joined, background, status
-
-
 def with_programs(calls: DataFrame, command: str) -> DataFrame:
-    """calls with programs, joined_by, background and parse_status of the command column; null where there is no command."""
-    names = calls.columns
-    schema = T.StructType([*calls.schema.fields, *(T.StructField(n, k) for n, k in (("programs", T.ArrayType(T.StringType())), ("joined_by", T.ArrayType(T.StringType())), ("background", T.BooleanType()), ("parse_status", T.StringType())))])
-
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            got = [programs_of(c) if isinstance(c, str) else (None,) * 4 for c in frame[command]]
-            for k, name in enumerate(("programs", "joined_by", "background", "parse_status")):
-                frame[name] = pd.Series([g[k] for g in got], index=frame.index, dtype=object)
-            yield frame[[*names, "programs", "joined_by", "background", "parse_status"]]
-
-    return calls.mapInPandas(parse, schema)
+    """calls with programs, joined_by, background, wrappers and parse_status of the command column; null where there is no command."""
+    return calls.withColumn("__p", shell.programs(F.col(command))).select(*calls.columns, "__p.*")
 
 
 # ---- calls of a response
@@ -212,34 +162,46 @@ def calls_of_responses(responses: DataFrame, text: str = "response") -> DataFram
 
 
 def command_of(arguments: Column) -> Column:
-    """The command a call's arguments hold, under any of its names; a list is joined."""
-    at = lambda name: F.coalesce(F.array_join(F.from_json(F.get_json_object(arguments, f"$.{name}"), "array<string>"), " "), F.get_json_object(arguments, f"$.{name}"))
-    return F.coalesce(F.get_json_object(arguments, "$.command"), at("commands"), F.get_json_object(arguments, "$.cmd"))
+    """The command a call's arguments hold, under any of its names; a list is run line by line."""
+    listed = F.from_json(F.get_json_object(arguments, "$.commands"), "array<string>")
+    at = F.coalesce(F.array_join(listed, "\n"), F.get_json_object(arguments, "$.commands"))
+    return F.coalesce(F.get_json_object(arguments, "$.command"), at, F.get_json_object(arguments, "$.cmd"))
+
+
+def code_label(arguments: Column) -> Column:
+    """`<language> (code)` of a call that asks for code to be run instead of a command; null for others."""
+    at = lambda name: F.get_json_object(arguments, f"$.{name}")
+    language = F.lower(F.coalesce(F.nullif(at("language"), F.lit("")), F.nullif(at("lang"), F.lit("")), F.lit("code")))
+    return F.when(at("code").isNotNull() & at("command").isNull() & at("commands").isNull(), F.concat(language, F.lit(" (code)")))
 
 
 def match_results(calls: DataFrame, results: DataFrame) -> DataFrame:
-    """Each call's result in the next request: by its id as written first, then by keys that survive renumbering; one result a call.
+    """Each call's result in the next request: by its id as written first, then, for calls without one, by its id without a
+    sequence suffix; one result a call and one call a result.
 
     calls: session_id, step, call_index, raw_id; results: session_id, step (of the request that brings it), result_index, raw_id, text.
-    Both are exploded to keys; of equal keys the first free pair counts, which the first pair in order is for distinct ids."""
-    c = calls.select("session_id", "step", "call_index", F.explode(strings.emitted_keys(F.col("raw_id"))).alias("key"), F.lit(1).alias("one"))
-    r = results.select("session_id", (F.col("step") - 1).alias("step"), "result_index", F.explode(strings.replayed_keys(F.col("raw_id"))).alias("key"))
-    own = F.regexp_replace("raw_id", "[^A-Za-z0-9]", "")
-    exact = calls.select("session_id", "step", "call_index", own.alias("key")).join(results.select("session_id", (F.col("step") - 1).alias("step"), "result_index", own.alias("key")), ["session_id", "step", "key"]).withColumn("phase", F.lit(0))
-    loose = c.join(r, ["session_id", "step", "key"]).withColumn("phase", F.lit(1))
-    pairs = exact.select("session_id", "step", "call_index", "result_index", "phase").union(loose.select("session_id", "step", "call_index", "result_index", "phase")).groupBy("session_id", "step", "call_index", "result_index").agg(F.min("phase").alias("phase"))
-
-    def assign(rows: pd.DataFrame) -> pd.DataFrame:
-        calls_, results_, out = set(), set(), []
-        for x in rows.sort_values(["phase", "call_index", "result_index"]).itertuples():
-            if x.call_index not in calls_ and x.result_index not in results_:
-                calls_.add(x.call_index)
-                results_.add(x.result_index)
-                out.append((x.session_id, x.step, x.call_index, x.result_index))
-        return pd.DataFrame(out, columns=["session_id", "step", "call_index", "result_index"])
-
-    # a group is one request's calls
-    return pairs.groupBy("session_id", "step").applyInPandas(assign, "session_id string, step int, call_index int, result_index int")
+    Both are exploded to keys; within a phase calls choose in order, each the first free result."""
+    at = ["session_id", "step"]
+    brought = results.select("session_id", (F.col("step") - 1).alias("step"), "result_index", "raw_id")
+
+    def met(phase: int, call_keys: Column, result_keys: Column) -> DataFrame:
+        c = calls.select(*at, "call_index", F.explode(call_keys).alias("key"))
+        r = brought.select(*at, "result_index", F.explode(result_keys).alias("key"))
+        return c.join(r, [*at, "key"]).select(*at, "call_index", "result_index", F.lit(phase).alias("phase"))
+
+    raw = F.col("raw_id")
+    own, renumbered = strings.own_keys(raw), F.array_except(strings.emitted_keys(raw), strings.own_keys(raw))
+    pairs = met(0, own, own).union(met(1, renumbered, strings.replayed_keys(raw))).distinct()
+
+    # a row is one request's calls
+    rows = pairs.groupBy(*at).agg(F.sort_array(F.collect_list(F.struct("phase", "call_index", "result_index"))).alias("pairs"))
+    none = F.array().cast("array<struct<call_index:int,result_index:int>>")
+
+    def choose(chosen: Column, x: Column) -> Column:
+        free = ~F.exists(chosen, lambda y: (y["call_index"] == x["call_index"]) | (y["result_index"] == x["result_index"]))
+        return F.when(free, F.array_append(chosen, F.struct(x["call_index"].alias("call_index"), x["result_index"].alias("result_index")))).otherwise(chosen)
+
+    return rows.select(*at, F.explode(F.aggregate("pairs", none, choose)).alias("x")).select(*at, "x.call_index", "x.result_index")
 
 
 def audit(requests: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .tokens import rank_within
 from .turns import in_session
 
 # fixed values
@@ -33,7 +34,10 @@ def common_prefix(a, b):
 
 
 def step_facts(requests: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """Steps with gap, cached tokens if warm, and reduction facts. A request without blocks or prompt count is an error."""
+    """Steps with gap, cached tokens if warm, and reduction facts. A request without blocks or prompt count is an error, and one
+    with two rows of prefixes too."""
+    once = F.when(F.count("*") > 1, F.raise_error(F.concat(F.lit("repeated prefixes: "), "session_id")).cast("int"))
+    prefixes = prefixes.groupBy("session_id", "step").agg(F.coalesce(once, F.min("blocks")).alias("blocks"), F.min("shared_blocks").alias("shared_blocks"))
     j = requests.join(prefixes, ["session_id", "step"], "left")
     missing = F.when(F.col("blocks").isNull() | F.col("prompt_tokens").isNull(), F.raise_error(F.concat(F.lit("no blocks or no prompt count: "), "session_id")))
     j = j.withColumn("prompt_tokens", F.coalesce(missing.cast("long"), F.col("prompt_tokens")))
@@ -49,41 +53,47 @@ def step_facts(requests: DataFrame, prefixes: DataFrame) -> DataFrame:
 
 
 def skip_ranks(steps: DataFrame) -> DataFrame:
-    """Each reduction's rank by penalty in its week (ties by session and step), and their number."""
-    w = Window.partitionBy("week")
-    r = steps.filter("is_reduction")
-    return r.select("session_id", "step", F.row_number().over(w.orderBy("penalty", "session_id", "step")).alias("rank"), F.count("*").over(w).alias("reductions"))
+    """Each reduction's rank by penalty in its week (ties by session and step), and their number; no week meets in one task."""
+    r = steps.filter("is_reduction").select("week", "penalty", "session_id", "step")
+    ranked = rank_within(r, "week", ["penalty", "session_id", "step"], "rank")
+    n = r.groupBy("week").agg(F.count("*").alias("reductions"))
+    return ranked.join(F.broadcast(n), "week").select("session_id", "step", (F.col("rank") + 1).cast("int").alias("rank"), "reductions")  # a row a week
 
 
 def skip_sweep(steps: DataFrame) -> DataFrame:
-    """Token sums and counts per week, TTL and price cut. A session's steps are folded in order, carrying what skipped reductions kept."""
+    """Token sums and counts per week, TTL and price cut. A session's steps are folded in order, carrying what skipped reductions kept;
+    today's fold knows no cut, so a session takes one fold a TTL for it and one a TTL and cut for the rest."""
     spark = steps.sparkSession
-    grid = spark.createDataFrame([(t, s, c) for t, s in TTLS for c in range(CUTS + 1)], "ttl string, ttl_s double, cut int")
+    # cut -1 is today
+    grid = spark.createDataFrame([(t, s, c) for t, s in TTLS for c in range(-1, CUTS + 1)], "ttl string, ttl_s double, cut int")
     s = steps.join(skip_ranks(steps), ["session_id", "step"], "left")
     fields = F.struct("step", "prompt_tokens", "cached_if_warm", "removed_tokens", "gap_s", "rank", "reductions")
     sessions = s.groupBy("week", "session_id").agg(F.sort_array(F.collect_list(fields)).alias("steps"), F.first("compaction_tokens").alias("limit"), F.sum(F.coalesce("completion_tokens", F.lit(0))).alias("output"), F.count_if("is_reduction").alias("reductions"))
-    g = sessions.join(F.broadcast(grid), F.lit(True))  # 63 rows
+    g = sessions.join(F.broadcast(grid), F.lit(True))  # 66 rows
     d = lambda x: F.lit(x).cast("double")
-
-    def fold(skip: bool):
-        zero = F.struct(d(0).alias("p"), d(0).alias("c"), F.lit(0).cast("long").alias("f"), d(0).alias("carry"), F.lit(0).cast("long").alias("k"))
-
-        def step(a, x):
-            warm = F.coalesce(x["gap_s"] <= F.col("ttl_s"), F.lit(False))
-            skipped = F.coalesce(x["rank"] <= F.floor(F.col("cut") * x["reductions"] / CUTS + 0.5), F.lit(False)) if skip else F.lit(False)
-            carry = a["carry"] + F.when(skipped, x["removed_tokens"]).otherwise(0.0)
-            context = x["prompt_tokens"] + carry
-            forced = context > F.col("limit")
-            p = F.when(forced, x["prompt_tokens"].cast("double")).when(skipped & warm, 0.0).when(warm, x["prompt_tokens"] - x["cached_if_warm"]).otherwise(context)
-            c = F.when(forced, 0.0).when(skipped & warm, context).when(warm, x["cached_if_warm"] + carry).otherwise(0.0)
-            return F.struct((a["p"] + p).alias("p"), (a["c"] + c).alias("c"), (a["f"] + forced.cast("long")).alias("f"), F.when(forced, 0.0).otherwise(carry).alias("carry"), (a["k"] + skipped.cast("long")).alias("k"))
-
-        return F.aggregate("steps", zero, step)
-
-    g = g.select("week", "ttl", "cut", "output", "reductions", fold(False).alias("t"), fold(True).alias("m"))
-    return g.groupBy("week", "ttl", (F.col("cut") / CUTS).alias("read_price_cut")).agg(
-        F.sum("t.p").alias("today_prefilled_tokens"), F.sum("t.c").alias("today_cached_tokens"), F.sum("m.p").alias("prefilled_tokens"), F.sum("m.c").alias("cached_tokens"),
-        F.sum("output").cast("double").alias("output_tokens"), F.sum("reductions").alias("reductions"), F.sum("m.k").alias("skipped_reductions"), F.sum("m.f").alias("forced_compactions"),
+    zero = F.struct(d(0).alias("p"), d(0).alias("c"), F.lit(0).cast("long").alias("f"), d(0).alias("carry"), F.lit(0).cast("long").alias("k"))
+
+    def step(a, x):
+        warm = F.coalesce(x["gap_s"] <= F.col("ttl_s"), F.lit(False))
+        skipped = (F.col("cut") >= 0) & F.coalesce(x["rank"] <= F.floor(F.col("cut") * x["reductions"] / CUTS + 0.5), F.lit(False))
+        carry = a["carry"] + F.when(skipped, x["removed_tokens"]).otherwise(0.0)
+        context = x["prompt_tokens"] + carry
+        forced = context > F.col("limit")
+        p = F.when(forced, x["prompt_tokens"].cast("double")).when(skipped & warm, 0.0).when(warm, x["prompt_tokens"] - x["cached_if_warm"]).otherwise(context)
+        c = F.when(forced, 0.0).when(skipped & warm, context).when(warm, x["cached_if_warm"] + carry).otherwise(0.0)
+        return F.struct((a["p"] + p).alias("p"), (a["c"] + c).alias("c"), (a["f"] + forced.cast("long")).alias("f"), F.when(forced, 0.0).otherwise(carry).alias("carry"), (a["k"] + skipped.cast("long")).alias("k"))
+
+    g = g.select("week", "ttl", "cut", "output", "reductions", F.aggregate("steps", zero, step).alias("m"))
+    sums = g.groupBy("week", "ttl", "cut").agg(
+        F.sum("m.p").alias("p"), F.sum("m.c").alias("c"), F.sum("output").cast("double").alias("output_tokens"), F.sum("reductions").alias("reductions"), F.sum("m.k").alias("skipped_reductions"), F.sum("m.f").alias("forced_compactions"),
+    )
+    # 66 rows a week
+    w = Window.partitionBy("week", "ttl")
+    today = lambda c: F.max(F.when(F.col("cut") < 0, F.col(c))).over(w)
+    sums = sums.withColumn("today_prefilled_tokens", today("p")).withColumn("today_cached_tokens", today("c")).filter("cut >= 0")
+    return sums.select(
+        "week", "ttl", (F.col("cut") / CUTS).alias("read_price_cut"), "today_prefilled_tokens", "today_cached_tokens", F.col("p").alias("prefilled_tokens"), F.col("c").alias("cached_tokens"),
+        "output_tokens", "reductions", "skipped_reductions", "forced_compactions",
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
-from ..functions import strings
+from ..functions import shell, strings
 from ..operators import release, toolcalls, tools, turns
 from ..operators.lineage import settled
 from .more import _FAM, _family
@@ -14,46 +14,91 @@ from .registry import query, table
 RULES = toolcalls.Rules()
 
 
+_TAKEN = [*shell.SOURCE_WORDS, *shell.OPENING, *shell.CLOSING, *shell.WRAPPERS, *shell.SUBCOMMANDS, *shell.SPELLINGS, "python", "git"]
+_SIX = f"""WITH x_w AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \n\t]+'), lambda w: regexp_full_match(w, '[a-z]{{4,}}') AND NOT list_contains({_TAKEN}, w)) AS w FROM documents),
+    x_s AS (SELECT doc_id, i, i % 4 AS kind, w[6 * i + 1] AS a, w[6 * i + 2] AS b, w[6 * i + 3] AS c, w[6 * i + 4] AS d, w[6 * i + 5] AS e FROM (SELECT doc_id, w, unnest(range(len(w) // 6)) AS i FROM x_w))"""
+
+
 def _commands(s, d):
-    """A command for each event: plain, wrapped, piped, in the background, with unbalanced quotes."""
-    k = F.col("k")
-    return fx.base_requests(s, d).select(
-        "event_id", "k",
-        F.when(k % 6 == 0, "cd /tmp && git commit -m 'a; b' | tail -3").when(k % 6 == 1, "sudo -u me /usr/bin/python3 -m pytest -q").when(k % 6 == 2, "cat a.txt | grep x | wc -l")
-        .when(k % 6 == 3, "X=1 nohup node server.js &").when(k % 6 == 4, 'echo "open').otherwise("uv run pytest tests; ls -l\nmkdir out").alias("command"),
-    )
+    """Commands of six words each of all documents: wrapped with redirects and a group, in the background, with a here-document, and with unbalanced quotes."""
+    w = F.filter(strings.words(F.col("text")), lambda w: w.rlike("^[a-z]{4,}$") & ~w.isin(*_TAKEN))
+    sixes = F.when(F.size("w") >= 6, F.sequence(F.lit(0), F.floor(F.size("w") / 6).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    c = table(s, d, "documents").select("doc_id", w.alias("w")).select("doc_id", "w", F.explode(sixes).alias("i"))
+    c = c.select("doc_id", "i", *(F.get("w", 6 * F.col("i") + k).alias(n) for k, n in enumerate("abcdef")))
+    made = ("sudo -u %s %s 2>&1 | %s '%s; x' && (%s) > %s &", "%s=1 nohup /usr/bin/%s %s & %s", "cat <<%1$s\n%2$s; %3$s | x\n%1$s\n%4$s || %5$s", "git %s; python3.11 -m %s # %s | x\n\"%s && %s")
+    kind = F.col("i") % 4
+    out = F.lit(None).cast("string")
+    for k, form in enumerate(made):
+        out = F.when(kind == k, F.format_string(form, *"abcdef")).otherwise(out)
+    return c.select("doc_id", "i", out.alias("command"))
+
+
+@query("X6_programs_per_command", _SIX + """ SELECT doc_id, i, CASE kind WHEN 0 THEN concat_ws(',', b, c, e) WHEN 1 THEN concat_ws(',', b, d) WHEN 2 THEN concat_ws(',', 'cat', d, e) ELSE concat_ws(',', 'git ' || a, 'python -m ' || b) END AS programs,
+    CASE kind WHEN 0 THEN ',|,&&' WHEN 1 THEN ',' WHEN 2 THEN ',,||' ELSE ',;' END AS joined_by, kind < 2 AS background, CASE WHEN kind = 3 THEN 'partial' ELSE 'success' END AS parse_status FROM x_s""", fixture=False)
+def _(s, d):
+    p = toolcalls.with_programs(_commands(s, d), "command")
+    return p.select("doc_id", "i", F.array_join("programs", ",").alias("programs"), F.array_join("joined_by", ",").alias("joined_by"), "background", "parse_status")
 
 
-@query("X6_programs_per_command", """SELECT event_id, CASE k % 6 WHEN 0 THEN 'cd,git commit,tail' WHEN 1 THEN 'python -m pytest' WHEN 2 THEN 'cat,grep,wc' WHEN 3 THEN 'node' WHEN 4 THEN 'echo' ELSE 'uv run pytest,ls,mkdir' END AS programs,
-    CASE k % 6 WHEN 0 THEN ',&&,|' WHEN 1 THEN '' WHEN 2 THEN ',|,|' WHEN 3 THEN '' WHEN 4 THEN '' ELSE ',;,;' END AS joined_by, k % 6 = 3 AS background, CASE WHEN k % 6 = 4 THEN 'partial' ELSE 'success' END AS parse_status FROM fx_requests""")
+@query("X7_wrappers_and_labels", _SIX + " SELECT doc_id, i, CASE kind WHEN 0 THEN 'sudo -u ' || a WHEN 1 THEN a || '=1 nohup' ELSE '' END AS before, CASE kind WHEN 0 THEN b WHEN 1 THEN b WHEN 2 THEN 'cat' ELSE 'git ' || a END AS label FROM x_s", fixture=False)
 def _(s, d):
     p = toolcalls.with_programs(_commands(s, d), "command")
-    return p.select("event_id", F.array_join("programs", ",").alias("programs"), F.array_join("joined_by", ",").alias("joined_by"), "background", "parse_status")
+    return p.select("doc_id", "i", F.array_join("wrappers", " ").alias("before"), F.get("programs", 0).alias("label"))
 
 
-@query("X16_categories", "SELECT event_id, CASE k % 6 WHEN 0 THEN '*Git/VCS' WHEN 1 THEN '*Build/Test' WHEN 2 THEN '*Search' WHEN 3 THEN '*Wait/Poll' WHEN 4 THEN '*File Ops' ELSE '*File Ops' END AS category FROM fx_requests")
+@query("X5_program_names", "WITH x_w AS (SELECT DISTINCT unnest(list_filter(string_split_regex(text, '[ \n\t]+'), lambda w: regexp_full_match(w, '[a-z]+'))) AS w FROM documents) SELECT w, CASE length(w) % 4 WHEN 0 THEN w WHEN 1 THEN w WHEN 2 THEN 'python' ELSE CASE w WHEN 'py' THEN 'python' WHEN 'nodejs' THEN 'node' ELSE w END END AS name FROM x_w", fixture=False)
 def _(s, d):
-    p = settled(toolcalls.with_programs(_commands(s, d), "command"), "programs")
-    return p.select("event_id", toolcalls.category(F.lit("shell"), F.col("programs"), F.col("joined_by"), F.col("background"), RULES).alias("category"))
+    w = table(s, d, "documents").select(F.explode(strings.words(F.col("text"))).alias("w")).filter(F.col("w").rlike("^[a-z]+$")).distinct()
+    k = F.length("w") % 4
+    path = F.when(k == 0, F.concat(F.lit("/usr/bin/"), "w")).when(k == 1, F.concat(F.lit("C:\\tools\\"), "w", F.lit(".exe"))).when(k == 2, F.concat(F.lit("/opt/"), "w", F.lit("/python3.11"))).otherwise(F.col("w"))
+    return w.select("w", shell.program_name(path).alias("name"))
 
 
-_NAMES = ("Bash", "read_file", "my-browser-tool", "mcp__db__query", "Task", "ask_user", "apply_patch", "weird", "run_shell_now", "")
+def _joined(k):
+    return F.transform("programs", lambda p, i: F.when(i == 0, "").otherwise(F.when(k, "|").otherwise("&&")))
+
+
+_PURPOSES = "CASE " + " ".join(f"WHEN list_contains({RULES.purposes[p]}, string_split(p, ' ')[1]) THEN '{RULES.categories[p]}'" for p in RULES.order) + " ELSE 'Other' END"
+_IGNORED = [*RULES.setup, *RULES.plumbing]
+
+
+@query("X16_categories", f"""x_p AS (SELECT session_id, step, call_index, list_filter(programs, lambda x: NOT list_contains({_IGNORED}, string_split(x, ' ')[1])) AS w FROM fx_tool_calls WHERE programs IS NOT NULL),
+    x_d AS (SELECT *, CASE WHEN step % 2 = 1 THEN w[1] ELSE w[-1] END AS p FROM x_p) SELECT session_id, step, call_index, CASE WHEN step % 13 = 0 THEN '*Wait/Poll' WHEN p IS NULL THEN '*File Ops' ELSE {_PURPOSES} END AS category FROM x_d""")
+def _(s, d):
+    """Pipelines at odd steps, lists at even ones, every thirteenth under nohup."""
+    c = fx.tool_calls(s, d).filter("programs is not null")
+    wrappers = F.when(F.col("step") % 13 == 0, F.array(F.lit("nohup")))
+    return c.select("session_id", "step", "call_index", toolcalls.category(F.lit("shell"), F.col("programs"), _joined(F.col("step") % 2 == 1), F.lit(False), RULES, wrappers).alias("category"))
 
 
 def _named(s, d):
-    return fx.base_requests(s, d).select("event_id", F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("k") % 10 + 1).cast("int")).alias("raw"))
+    """Names made of all words of documents: as they are, of an MCP server, with a keyword in front or behind."""
+    w = fx.words(s, d).select("word").distinct().filter(F.col("word").rlike("^[a-z]+$"))
+    k = F.length("word") % 5
+    raw = F.when(k == 0, F.initcap("word")).when(k == 1, F.concat(F.lit("mcp__"), "word")).when(k == 2, F.concat("word", F.lit("_Shell"))).when(k == 3, F.concat(F.lit("  browser-"), "word")).otherwise(F.concat(F.lit("re"), "word"))
+    return w.select("word", raw.alias("raw"))
+
+
+def _starts(words):
+    return "|".join("[^a-z0-9]+".join(x.split("_")) for x in words)
+
+
+_NAME = "CASE " + " ".join(f"WHEN list_contains({words}, clean) THEN '{name}'" for name, words in RULES.aliases.items()) + " " + " ".join(f"WHEN regexp_matches(clean, '(^|[^a-z0-9])({_starts(words)})') THEN '{name}'" for name, words in RULES.keywords.items()) + " ELSE clean END"
+_FAMILY = f"CASE WHEN list_contains({RULES.spawn}, low) THEN 'subagent' " + " ".join(f"WHEN list_contains({names}, name) THEN '{family}'" for family, names in reversed(RULES.families.items())) + f" WHEN list_contains({RULES.ask_user}, low) THEN 'ask_user' WHEN contains(name, 'mcp') OR contains(name, '__') THEN 'mcp' ELSE 'other' END"
+_NAMED = """WITH x_w AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[ \n\t]+')) AS word FROM documents), x_r AS (SELECT word, CASE length(word) % 5 WHEN 0 THEN upper(word[1]) || word[2:] WHEN 1 THEN 'mcp__' || word WHEN 2 THEN word || '_Shell' WHEN 3 THEN '  browser-' || word ELSE 're' || word END AS raw FROM x_w WHERE regexp_full_match(word, '[a-z]+')),
+    x_c AS (SELECT *, lower(raw) AS low, lower(trim(raw)) AS clean FROM x_r)"""
 
 
-@query("X13_names_and_families", "SELECT event_id, ['shell', 'read', 'browser', 'mcp__db__query', 'task', 'ask_user', 'edit', 'weird', 'shell', 'unknown'][k % 10 + 1] AS name, ['shell', 'read', 'browser', 'mcp', 'subagent', 'ask_user', 'edit', 'other', 'shell', 'other'][k % 10 + 1] AS family FROM fx_requests")
+@query("X13_names_and_families", f"{_NAMED}, x_n AS (SELECT *, {_NAME} AS name FROM x_c) SELECT word, name, {_FAMILY} AS family FROM x_n", fixture=False)
 def _(s, d):
     n = _named(s, d).withColumn("name", toolcalls.canonical_name(F.col("raw"), RULES))
-    return n.select("event_id", "name", toolcalls.family(F.col("raw"), F.col("name"), RULES).alias("family"))
+    return n.select("word", "name", toolcalls.family(F.col("raw"), F.col("name"), RULES).alias("family"))
 
 
 def _responses(s, d):
     """Responses with the calls of each request, in one shape or the other."""
     c = fx.tool_calls(s, d).groupBy("session_id", "step").agg(F.sort_array(F.collect_list("call_index")).alias("calls"))
-    ident = lambda i: F.concat(F.lit("call_"), F.substring(F.md5(F.concat_ws(":", "session_id", "step", i.cast("string"))), 1, 12), F.lit("_"), i.cast("string"))
+    ident = lambda i: F.concat(F.lit("call_"), F.substring(F.md5(F.concat_ws(":", "session_id", "step")), 1, 12), F.lit("_"), i.cast("string"))
     a = F.to_json(F.struct(F.array(F.struct(F.struct(F.transform("calls", lambda i: F.struct(ident(i).alias("id"), F.struct(F.lit("bash").alias("name"), F.concat(F.lit('{"command":"ls '), i.cast("string"), F.lit('"}')).alias("arguments")).alias("function"))).alias("tool_calls")).alias("message"))).alias("choices")))
     b = F.to_json(F.struct(F.concat(F.array(F.struct(F.lit("text").alias("type"), F.lit("t").alias("id"), F.lit(None).cast("string").alias("name"), F.struct(F.lit(None).cast("string").alias("cmd")).alias("input"))), F.transform("calls", lambda i: F.struct(F.lit("tool_use").alias("type"), ident(i).alias("id"), F.lit("bash").alias("name"), F.struct(F.concat(F.lit("ls "), i.cast("string")).alias("cmd")).alias("input")))).alias("content")))
     return c.select("session_id", "step", F.when(F.col("step") % 2 == 0, a).otherwise(b).alias("response"))
@@ -68,7 +113,7 @@ def _(s, d):
 @query("J13_match_results", "SELECT session_id, step, call_index, call_index AS result_index FROM fx_tool_calls WHERE call_index % 3 < 2")
 def _(s, d):
     c = settled(toolcalls.calls_of_responses(_responses(s, d)).select("session_id", "step", "call_index", "raw_id"), "calls")
-    # two of three calls have a result in the next request; some ids come back with a prefix
+    # two of three calls have a result in the next request; some ids come back with a prefix. All ids of a request share their stem
     r = c.filter("call_index % 3 < 2").select("session_id", (F.col("step") + 1).alias("step"), F.col("call_index").alias("result_index"), F.when(F.col("call_index") % 3 == 1, F.concat(F.lit("toolu"), "raw_id")).otherwise(F.col("raw_id")).alias("raw_id"))
     return toolcalls.match_results(c, r)
 
@@ -225,5 +270,5 @@ def _(s, d):
 
     c = table(s, d, "conversations")
     call = F.when(F.col("turn") % 2 == 1, F.array(F.struct(F.struct(F.lit("bash").alias("name"), F.lit("{}").alias("arguments")).alias("function"))))
-    m = F.to_json(F.struct(F.array(F.struct(F.lit("thinking").alias("type"), F.lit("hidden").alias("text")), F.struct(F.lit("text").alias("type"), F.col("text"))).alias("content"), call.alias("tool_calls")))
+    m = F.to_json(F.struct(F.array(F.struct(F.lit("thinking").alias("type"), F.lit("hidden").alias("text")), F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))).alias("content"), call.alias("tool_calls")))
     return c.select("conv_id", "turn", arguments.plain_text(m).alias("text"))

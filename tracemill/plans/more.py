@@ -41,9 +41,9 @@ def _(s, d):
     return lineage.links(inputs(s, d))
 
 
-@query("X1_shingles", f"WITH x_w AS (SELECT doc_id, {_W.format('substr(text, 1, 8000)')} AS w FROM documents), x_s AS (SELECT doc_id, {_SH.format('w')} AS s FROM x_w) SELECT doc_id, len(s) AS n, md5(array_to_string(list_sort(s), ',')) AS digest FROM x_s", fixture=False)
+@query("X1_shingles", f"WITH x_w AS (SELECT doc_id, {_W.format('text')} AS w FROM documents), x_s AS (SELECT doc_id, {_SH.format('w')} AS s FROM x_w) SELECT doc_id, len(s) AS n, md5(array_to_string(list_sort(s), ',')) AS digest FROM x_s", fixture=False)
 def _(s, d):
-    return table(s, d, "documents").select("doc_id", strings.shingles(F.col("text")).alias("s")).select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join(F.array_sort("s"), ",")).alias("digest"))
+    return table(s, d, "documents").select("doc_id", strings.shingles(F.col("text"), characters=None).alias("s")).select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join(F.array_sort("s"), ",")).alias("digest"))
 
 
 _CH = "WITH RECURSIVE " + _IN + """, x_e AS (SELECT l.*, end_ms, conv_id FROM x_link l JOIN x_in USING (request_id)),
@@ -82,14 +82,25 @@ def _context(s, d):
     start = F.when(cut, 2).otherwise(1)
     size = F.greatest(F.size("hashes") - F.when(cut, 1).otherwise(0), F.lit(0))
     changed = (F.col("turn") % 7 == 0) & (F.col("turn") > 0)
-    put = lambda col, v: F.when(changed, F.concat(F.array(v), F.slice(col, 2, 10_000))).otherwise(col)
+    put = lambda col, v: F.when(changed, F.concat(F.array(v), F.slice(col, 2, F.size(col)))).otherwise(col)
     return c.select(
         F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("step"), F.lit("m").alias("model"), F.concat(F.lit("p"), (F.col("turn") / 6).cast("int")).alias("provider"),
         F.slice("roles", start, size).alias("roles"), F.slice(put(F.col("hashes"), F.lit("changed")), start, size).alias("hashes"), F.slice("texts", start, size).alias("texts"), F.transform(F.slice("roles", start, size), lambda r: F.lit(False)).alias("notes"),
     )
 
 
-@query("C5_transitions")
+_SPAN = "CASE WHEN length(bt) <= length(t) THEN bt ELSE t END AS short, CASE WHEN length(bt) <= length(t) THEN t ELSE bt END AS long"
+
+
+@query("C5_transitions", f"""WITH x_c AS (SELECT conv_id, turn, role, list(md5(concat_ws(':', role, text))) OVER w AS hs, list(role) OVER w AS rs, list(text) OVER w AS ts FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    x_p AS (SELECT conv_id, turn, CASE WHEN turn % 7 = 0 AND turn > 0 THEN list_prepend('changed', hs[2:]) ELSE hs END AS hs, rs, ts FROM x_c WHERE role = 'assistant' AND len(hs) > 0),
+    x_s AS (SELECT conv_id::VARCHAR AS session_id, turn AS step, 'p' || (turn // 6) AS provider, CASE WHEN turn % 5 = 0 THEN hs[2:] ELSE hs END AS hs, CASE WHEN turn % 5 = 0 THEN rs[2:] ELSE rs END AS rs, CASE WHEN turn % 5 = 0 THEN ts[2:] ELSE ts END AS ts FROM x_p),
+    x_l AS (SELECT *, lag(hs) OVER v AS bh, lag(rs) OVER v AS br, lag(ts) OVER v AS bts, lag(provider) OVER v AS bp FROM x_s WINDOW v AS (PARTITION BY session_id ORDER BY step)),
+    x_a AS (SELECT *, coalesce(list_position([hs[i] = bh[i] for i in range(1, least(len(hs), len(bh)) + 1)], false) - 1, least(len(hs), len(bh))) AS p FROM x_l WHERE bh IS NOT NULL),
+    x_k AS (SELECT *, rs[p + 1] AS r, br[p + 1] AS b, ts[p + 1] AS t, bts[p + 1] AS bt, CASE WHEN provider IS DISTINCT FROM bp THEN 'switch' WHEN p = len(bh) THEN 'append' ELSE 'mutation' END AS transition FROM x_a),
+    x_o AS (SELECT *, {_SPAN} FROM x_k), x_q AS (SELECT *, coalesce(list_position([short[i] = long[i] for i in range(1, length(short) + 1)], false) - 1, length(short)) AS n FROM x_o)
+    SELECT session_id, step, transition, CASE WHEN transition = 'mutation' THEN CASE WHEN b = 'tool_definitions' OR r = 'tool_definitions' THEN 'tool_definitions' WHEN b = 'system' THEN 'system_prompt' WHEN p = len(hs) THEN 'other' WHEN list_contains(bh[p + 2:], hs[p + 1]) THEN 'dropped_turns'
+      WHEN list_contains(hs[p + 2:], bh[p + 1]) THEN 'injection' WHEN b = 'tool' AND r = 'tool' THEN 'tool_result' WHEN b = 'user' AND r = 'user' AND (length(short) = 0 OR suffix(long, short[n + 1:])) THEN 'injection' ELSE 'other' END END AS cause, p::INT AS break_position FROM x_q""", fixture=False)
 def _(s, d):
     return mutations.classify(_context(s, d))
 
@@ -116,9 +127,17 @@ def _(s, d):
     return lineage.closure(f.filter("parent_session_id is null and harness = 'hermes'"), f.filter("parent_session_id is not null").select(F.col("parent_session_id").alias("parent"), F.col("session_id").alias("child")))
 
 
-@query("G4_unreached", _FAM + " SELECT session_id FROM x_fam WHERE false")
+def _broken_family(s, d):
+    """The family, where sessions of users 50n + 3 name a parent that is not there, and those of 50n + 4 and 50n + 9 each other."""
+    f, u = _family(s, d), F.col("u") % 50
+    other = F.concat(F.lit("s"), F.when(u == 4, F.col("u") + 5).otherwise(F.col("u") - 5), F.lit("-"), "week")
+    return settled(f.withColumn("parent_session_id", F.when(u == 3, "lost").when(u.isin(4, 9), other).otherwise(F.col("parent_session_id"))), "family")
+
+
+@query("G4_unreached", "WITH RECURSIVE " + fx.DUCK.strip() + ", " + _FAM + """, x_b AS (SELECT * REPLACE (CASE WHEN u % 50 = 3 THEN 'lost' WHEN u % 50 = 4 THEN 's' || (u + 5) || '-' || week WHEN u % 50 = 9 THEN 's' || (u - 5) || '-' || week ELSE parent_session_id END AS parent_session_id) FROM (SELECT f.*, x_f.u FROM x_fam f JOIN x_f USING (session_id))),
+    x_r AS (SELECT session_id FROM x_b WHERE parent_session_id IS NULL UNION SELECT c.session_id FROM x_b c JOIN x_r ON c.parent_session_id = x_r.session_id) SELECT session_id FROM x_b WHERE session_id NOT IN (SELECT session_id FROM x_r)""", fixture=False)
 def _(s, d):
-    f = settled(_family(s, d), "family")
+    f = _broken_family(s, d)
     return lineage.unreached(f, f.filter("parent_session_id is not null").select(F.col("parent_session_id").alias("parent"), F.col("session_id").alias("child")))
 
 
@@ -143,7 +162,12 @@ def _(s, d):
     return lineage.spawn_candidates(*_spawns(s, d), 86_400_000, 691_200_000).select("request_id", "call_index", "child")
 
 
-@query("C4_spawn_matches")
+@query("C4_spawn_matches", "WITH RECURSIVE " + fx.DUCK.strip() + ", " + _SPAWN + """, x_rt AS (SELECT session_id AS child, 'go ' || model AS first_text FROM fx_requests WHERE step = 0),
+    x_n AS (SELECT session_id, request_id, call_index, count(*) AS n FROM x_ca GROUP BY ALL), x_fit AS (SELECT user_id, request_id, end_ms, list(child ORDER BY abs(child_start - end_ms), child_start, child) AS fits FROM x_ca JOIN x_rt USING (child) WHERE contains(first_text, opening) GROUP BY ALL),
+    x_k AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY end_ms, request_id) AS k FROM x_fit),
+    x_g AS (SELECT DISTINCT user_id, 0::BIGINT AS k, NULL::VARCHAR AS request_id, NULL::VARCHAR AS child, []::VARCHAR[] AS taken FROM x_k
+      UNION ALL SELECT user_id, k, request_id, child, CASE WHEN child IS NULL THEN taken ELSE list_append(taken, child) END FROM (SELECT x_k.user_id, x_k.k, x_k.request_id, list_filter(fits, lambda x: NOT list_contains(taken, x))[1] AS child, taken FROM x_g JOIN x_k ON x_k.user_id = x_g.user_id AND x_k.k = x_g.k + 1))
+    SELECT s.session_id, s.request_id, s.call_index, true AS has_prompt, coalesce(n, 0) AS n_candidates, child AS child_session_id FROM x_sp s LEFT JOIN x_n USING (session_id, request_id, call_index) LEFT JOIN x_g ON x_g.request_id = s.request_id""", fixture=False)
 def _(s, d):
     return lineage.match_spawns(*_spawns(s, d), 86_400_000, 691_200_000)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -152,7 +153,14 @@ def _(s, d):
     return gaps.idle_gap_rows(fx.base_requests(s, d))
 
 
-@query("A23_retention_points")
+_EDGES = [float(x) for x in np.geomspace(*gaps.IDLE_RANGE_S, gaps.IDLE_EDGES)]
+
+
+@query("A23_retention_points", "WITH RECURSIVE " + fx.DUCK.strip() + ", " + _IDLE + f""", x_gap AS (SELECT greatest(idle_gap_s, {_EDGES[0]}) AS gap, hit_ratio FROM x_r WHERE idle_gap_s <= {_EDGES[-1]}), x_b AS (SELECT *, greatest(len(list_filter({_EDGES}::DOUBLE[], lambda e: e < gap)) - 1, 0) AS bin FROM x_gap),
+    x_nb AS MATERIALIZED (SELECT bin, n, row_number() OVER (ORDER BY bin) AS k FROM (SELECT bin, count(*) AS n FROM x_b GROUP BY bin)),
+    x_m AS (SELECT 0::BIGINT AS k, NULL::BIGINT AS bin, 0::BIGINT AS held, 0 AS grp, 0 AS next UNION ALL SELECT x_nb.k, x_nb.bin, CASE WHEN held + n >= {gaps.MIN_ROWS} THEN 0 ELSE held + n END, next, CASE WHEN held + n >= {gaps.MIN_ROWS} THEN next + 1 ELSE next END FROM x_m JOIN x_nb ON x_nb.k = x_m.k + 1),
+    x_at AS (SELECT bin, least(grp, (SELECT max(next) FROM x_m) - 1) AS "group" FROM x_m WHERE bin IS NOT NULL AND (SELECT max(next) FROM x_m) > 0)
+    SELECT "group", quantile_cont(gap, 0.5) AS gap_s, quantile_cont(hit_ratio, 0.5) AS hit_ratio, count(*) AS rows FROM x_b JOIN x_at USING (bin) GROUP BY x_at."group" """, fixture=False)
 def _(s, d):
     return gaps.retention_points(gaps.idle_gap_rows(fx.base_requests(s, d)))
 
@@ -199,7 +207,11 @@ def _(s, d):
     return tokens.cdf(settled(fx.base_requests(s, d).select("prompt_tokens"), "values"), "prompt_tokens")
 
 
-@query("M4_size_bins")
+@query("M4_size_bins", """x_g AS (SELECT n_messages AS x, prompt_tokens, CASE WHEN cache_read_tokens IS NOT NULL THEN greatest(prompt_tokens - cache_read_tokens, 0) END AS uncached FROM fx_requests WHERE cache_read_tokens IS NOT NULL AND prompt_tokens > 0 AND n_messages >= 1),
+    x_u AS (SELECT greatest(quantile_cont(x, 0.99), 1) AS u FROM x_g), x_e AS (SELECT e, row_number() OVER (ORDER BY e) - 1 AS k FROM (SELECT DISTINCT round_even(exp(ln(u) * unnest(range(22)) / 21), 0) AS e FROM x_u)),
+    x_b AS (SELECT a.k AS bin, a.e AS low, b.e AS high FROM x_e a JOIN x_e b ON b.k = a.k + 1), x_l AS (SELECT x, 'prompt_tokens' AS series, prompt_tokens::DOUBLE AS v FROM x_g UNION ALL SELECT x, 'uncached', uncached::DOUBLE FROM x_g)
+    SELECT series, (CASE WHEN bin = 0 THEN low - 0.001 ELSE low END + high) / 2 AS mid, quantile_cont(v, 0.25) AS p25, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.75) AS p75, count(*) AS n
+    FROM x_l JOIN x_b ON x <= high AND (x > low OR (bin = 0 AND x >= low)) WHERE v IS NOT NULL GROUP BY series, bin, low, high HAVING count(*) >= 50""")
 def _(s, d):
     r = settled(tokens.growth_rows(fx.base_requests(s, d)).withColumn("uncached", tokens.uncached()).select("n_messages", "prompt_tokens", "uncached"), "growth")
     return tokens.size_bins(r, "n_messages", ["prompt_tokens", "uncached"])
