@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import release, stored
 
 MAX_ROUNDS = 60
 
@@ -36,7 +36,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     links = stored(links, "links")
     before = None
     for _ in range(MAX_ROUNDS):
-        links = stored(_star(_star(links, True).distinct(), False).distinct(), "links")
+        last, links = links, stored(_star(_star(links, True).distinct(), False).distinct(), "links")
+        release(last)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
