@@ -275,7 +275,7 @@ def test_pairs_in_a_template_bucket(spark):
     assert len(banded) > 100 and len(set(plain)) > 100
     table = spark.createDataFrame(list(enumerate(texts)), "lid long, line string").repartition(3)
     for options in ({}, {"bucket": 6, "tile": 16}):
-        found = roots([(r.a, r.b) for r in lines.near_links(table, **options).collect()])
+        found = roots([(r.node, r.root) for r in lines.near_roots(table, **options).collect()])
         assert all(found[a] == found[b] for a, b in banded)
         assert all(plain[x] == plain[r] for x, r in enumerate(found))
 
