@@ -274,12 +274,28 @@ def test_pairs_in_a_template_bucket(spark):
     plain = roots(near)
     assert len(banded) > 100 and len(set(plain)) > 100
     table = spark.createDataFrame(list(enumerate(texts)), "lid long, line string").repartition(3)
-    for options in ({}, {"bucket": 6, "tile": 16}):
+    for options in ({}, {"bucket": 6, "tile": 16}, {"bucket": 6, "tile": 4}):
         found = roots([(r.node, r.root) for r in lines.near_roots(table, **options).collect()])
         assert all(found[a] == found[b] for a, b in banded)
         assert all(plain[x] == plain[r] for x, r in enumerate(found))
 
 
+def test_large_buckets_across_batches():
+    import pyarrow as pa
+
+    bands = [1] * 2 + [2] * 9 + [3] + [4] * 5 + [5] * 3
+    cols = [pa.array(bands), pa.array(range(len(bands))), pa.array([0] * len(bands))]
+    whole = pa.RecordBatch.from_arrays(cols, names=["band", "lid", "sketch"])
+    for size in (1, 2, 3, 100):
+        parts = [whole.slice(k, size) for k in range(0, len(bands), size)]
+        got = [r for b in lines._propose(3)(iter(parts)) for r in b.to_pylist()]
+        large = {(r["a"], r["band"]) for r in got if r["b"] is None}
+        pairs = {(r["a"], r["b"]) for r in got if r["b"] is not None}
+        assert large == {(k, b) for k, b in enumerate(bands) if b in (2, 4)}
+        chain = {(s, k) for s, n in ((2, 9), (12, 5)) for k in range(s + 1, s + n)} | {(k - 1, k) for s, n in ((2, 9), (12, 5)) for k in range(s + 1, s + n)}
+        assert pairs == {(0, 1), (17, 18), (17, 19), (18, 19)} | chain
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1080)] + [(5000, 5000 + k) for k in range(1, 200)] + [(None, 3), (7, 7), (1, 2), (1, 2)]

@@ -37,15 +37,16 @@ def new_folder(spark: SparkSession, what: str) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
+def stored(df: DataFrame, what: str, numbers: bool = False) -> DataFrame:
     """The same rows as a written table in the shared folder: lineage ends there, so a lost executor costs no recomputation, and
-    the shuffle files behind it go when it is written."""
+    the shuffle files behind it go when it is written. numbers: of digests and the like, which do not compress."""
     spark = df.sparkSession
     path = new_folder(spark, what)
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        writer = df.write.option("compression", "snappy").option("parquet.enable.dictionary", "false") if numbers else df.write.option("compression", "zstd")
+        writer.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
