@@ -356,16 +356,20 @@ def test_decontamination(spark):
             piece = items[k % 30][1].split()
             if k % 2:
                 piece[0 if k % 4 == 1 else -1] = "changed"
+            if k % 5 == 0:
+                piece.insert(rng.randrange(len(piece)), "extra")
+            if k % 7 == 0:
+                del piece[rng.randrange(len(piece))]
             at = rng.randint(0, len(words))
             words[at:at] = [w.upper() + "," for w in piece]
         rows.append((k, " ".join(words)))
-    rows += [(500, None), (501, ""), (502, " ".join(word() for _ in range(30_000)) + " " + items[1][1]), (0, rows[0][1])]
+    rows += [(500, None), (501, ""), (502, " ".join(word() for _ in range(30_000)) + " " + items[1][1]), (0, rows[0][1]), (0, "another text of this id " + items[0][1]), (None, "no id " + items[3][1])]
 
     def grams(words):
         return [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
 
     wanted = set()
-    for doc, text in rows:
+    for doc, text in set(rows):
         d = shingle_words(text or "")
         known = set(grams(d))
         for item, t in items:
@@ -376,12 +380,17 @@ def test_decontamination(spark):
             for at in range(max(1, len(d) - n + 1)):
                 a, b = Counter(grams(d[at : at + n])), Counter(q)
                 if a and sum((a & b).values()) >= 0.8 * sum((a | b).values()):
-                    wanted.add((doc, item))
-    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+                    wanted.add((doc, text, item))
+    from pyspark.sql import functions as F
+
+    clash = {c: F.lit("clash") for c in ("item", "item_id", "h", "m", "g", "w", "start", "fp", "row_key", "n", "c", "a", "block", "value", "__id", "__key")}
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string").withColumns(clash), spark.createDataFrame(items, "item_id long, text string").withColumn("m", F.lit(1))
     found = decontaminate.contaminations(docs, bench).collect()
-    assert {(r.doc_id, r.item_id) for r in found} == wanted and len(found) == len(wanted)
+    same([(r.doc_id, r.item_id) for r in found], [(d, i) for d, _, i in wanted])
     clean = decontaminate.decontaminated(docs, bench)
-    same([(r.doc_id,) for r in clean.collect()], [(d,) for d, _ in rows if d not in {x for x, _ in wanted}])
+    assert clean.columns == docs.columns
+    same([(r.doc_id, r.text) for r in clean.collect()], [(d, t) for d, t in rows if (d, t) not in {(d, t) for d, t, _ in wanted}])
+    assert sorted(r.item_id for r in decontaminate.unsearchable(bench).collect()) == [90, 91]
     assert decontaminate.contaminations(docs.limit(0), bench).collect() == [] == decontaminate.contaminations(docs, bench.limit(0)).collect()
 
 

@@ -1,22 +1,22 @@
 """Benchmark decontamination in DataFrame functions alone.
 
-Texts are lower-cased and cut into words of letters and digits. A benchmark item of n words is compared with
-document windows of n words. A window whose start lies before (after) all alignments of the shingles it shares with
-the item shares no less when it moves on to the first (back to the last), so the windows to try are those aligned with the
-item at a shared shingle, and all between two alignments. Of these, windows that hold too few of the item's shingles for
-the similarity are dropped (an exact bound). Each window left gets a 64-bit SimHash of its
-shingles; items are indexed under every value of each of eight 8-bit blocks within RADIUS // 8
-changed bits, so by the pigeonhole principle each window within RADIUS meets its item in some block. Pairs
-within the radius are verified by exact weighted-shingle similarity: sum of least over sum of
-greatest multiplicities.
-
-The item index has 8 * 37 rows an item and is broadcast only below a checked number of rows; beyond it
-Spark's own joins are used. Documents are never shuffled whole, and no step groups rows by shingle, so
-frequent shingles do not gather anywhere.
+Texts are lower-cased and cut into words of letters and digits. Benchmark items of n words are compared with
+document windows of n words. A window can reach the similarity with an item of its size only if it holds enough of that item's
+shingles, so windows that hold enough of no such item need no fingerprint (an exact bound). A window whose start lies before (after)
+all alignments of the shingles it shares with an item shares no less when it moves on to the first (back to the last), so the windows
+to try are those aligned with an item at a shared shingle, and all between two alignments. Each window left gets a
+64-bit SimHash of its shingles; items are indexed by their size under every value of each of eight 8-bit blocks within
+RADIUS // 8 changed bits, so by the pigeonhole principle each window meets every item of its size within RADIUS in some block.
+Pairs within the radius are verified by exact weighted-shingle similarity: sum of least over sum of
+greatest multiplicities (shingles are compared by their 64-bit hashes).
+
+Item tables are broadcast only below a checked number of bytes; beyond it Spark's own joins are used. Documents are never
+shuffled whole, and below that size no step groups rows by shingle, so frequent shingles do not gather anywhere.
 
 Defined results: null or blank texts match nothing; items of fewer words than a shingle are too short to be evidence and match
-nothing; null item_ids are ignored; repeated rows are reported each; empty tables give an empty result;
-several items of equal text are all reported; other columns are ignored.
+nothing (unsearchable() lists them); null item_ids are ignored; rows of one id and text are reported once, other texts of the id on
+their own; very long texts are cut into overlapping stretches, which loses no window; empty tables give an empty result;
+several items of equal text are all reported; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,9 +28,10 @@ from .common import stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RADIUS = 20
-#: Rows of an item table that are broadcast at most (some 40 bytes each).
-BROADCAST_ROWS = 2_000_000
+#: Mean distance at SIMILARITY is about 10 of 64 bits.
+RADIUS = 24
+#: Bytes of an item table that are broadcast at most.
+BROADCAST_BYTES = 64_000_000
 
 
 def _words(text: Column) -> Column:
@@ -52,8 +53,9 @@ def _blocks(fp: Column) -> Column:
     return F.array(*(F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(fp, 8 * k).bitwiseAND(F.lit(255)).cast("int").alias("value")) for k in range(8)))
 
 
-def _checked(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _checked(df: DataFrame, rows: int, values: int = 0) -> DataFrame:
+    """Broadcast if so many rows of some 64 bytes and so many array values of 8 bytes fit."""
+    return F.broadcast(df) if 64 * rows + 8 * values <= BROADCAST_BYTES else df
 
 
 def _similarity(a: Column, b: Column) -> Column:
@@ -64,16 +66,21 @@ def _similarity(a: Column, b: Column) -> Column:
     return shared / (F.size(a) + F.size(b) - shared)
 
 
+def unsearchable(benchmark: DataFrame, item_column: str = "item_id", item_text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """item_id of the items that have too few words to be looked for."""
+    return benchmark.filter(F.col(item_column).isNotNull() & (F.size(_words(F.col(item_text))) < shingle)).select(F.col(item_column).alias("item_id"))
+
+
 def benchmark_windows(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """doc_id, row_key (digest of the text), item_id, start (word of the document) and similarity of each window that is an item, or nearly."""
     items = benchmark.select(F.col(item_column).alias("item_id"), _words(F.col(item_text)).alias("w")).filter(F.col("item_id").isNotNull() & (F.size("w") >= shingle))
     items = items.select("item_id", _shingles(F.col("w"), shingle).alias("ih")).dropDuplicates(["item_id", "ih"])
-    items = stored(items.select("*", _simhash(F.col("ih")).alias("ifp")).withColumn("item", F.xxhash64("item_id", "ih")), "items")
-    n_items, n_places, longest = items.agg(F.count("*"), F.coalesce(F.sum(F.size("ih")), F.lit(0)), F.coalesce(F.max(F.size("ih")), F.lit(1))).first()
+    items = stored(items.select("*", F.size("ih").alias("m"), _simhash(F.col("ih")).alias("ifp")).withColumn("item", F.xxhash64("item_id", "ih")), "items")
+    n_items, n_places, longest = items.agg(F.count("*"), F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.max("m"), F.lit(1))).first()
 
     # A shared shingle at p and q aligns the item with the window at p - q. Of a run of shared shingles
     # only the first counts, so an exact passage gives one window.
-    places = items.select("item", F.size("ih").alias("m"), F.posexplode("ih").alias("q", "g"), F.col("ih"))
+    places = items.select("item", "m", F.posexplode("ih").alias("q", "g"), F.col("ih"))
     places = places.select("item", "m", "q", "g", F.get("ih", F.col("q") - 1).alias("before"))
     keyed = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(F.col(text_column)).alias("row_key"), _words(F.col(text_column)).alias("w"))
     keyed = keyed.select("doc_id", "row_key", _shingles(F.col("w"), shingle).alias("h"))
@@ -89,11 +96,11 @@ def benchmark_windows(docs: DataFrame, benchmark: DataFrame, id_column: str = "d
 
     stretches = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / step).cast("int")), stretch))
     cut = keyed.select("doc_id", "row_key", n.alias("n"), F.explode_outer(stretches).alias("c")).select("doc_id", "row_key", "n", "c.*")
-    hits = cut.select("*", F.posexplode_outer(F.slice("hs", F.col("base") - F.col("low") + 1, F.lit(step))).alias("i", "g")).withColumn("p", F.col("base") + F.col("i")).join(_checked(places, n_places), "g")
+    hits = cut.select("*", F.posexplode_outer(F.slice("hs", F.col("base") - F.col("low") + 1, F.lit(step))).alias("i", "g")).withColumn("p", F.col("base") + F.col("i")).join(_checked(places.select("item", "m", "q", "g", "before"), n_places), "g")
     hits = hits.filter((F.col("p") == 0) | F.col("before").isNull() | (F.get("hs", F.col("p") - F.col("low") - 1) != F.col("before")))
     # Each hit answers for its own alignment a and for the starts from there to the next alignment in reach, which
     # is looked for only where [a, a + 2m) holds enough of the item's shingles for any window in it.
-    hits = hits.join(_checked(items.select("item", "ih"), n_items), "item").withColumn("a", F.col("p") - F.col("q"))
+    hits = hits.join(_checked(items.select("item", "ih"), n_items, n_places), "item").withColumn("a", F.col("p") - F.col("q"))
     m, low, hs = F.col("m"), F.col("low"), F.col("hs")
 
     def held(first, size):
@@ -112,16 +119,17 @@ def benchmark_windows(docs: DataFrame, benchmark: DataFrame, id_column: str = "d
     starts = F.array_distinct(F.transform(F.sequence(F.col("a"), F.when(F.col("next").isNull(), F.col("a")).otherwise(last)), clipped))
     size_at = lambda s: F.least(m, F.col("n") - s)
     hits = hits.withColumn("starts", F.filter(starts, lambda s: enough(held(s, m), size_at(s))))
-    windows = hits.select("doc_id", "row_key", "item", "m", "low", "hs", F.explode_outer("starts").alias("start")).filter("start is not null")
-    windows = windows.select("doc_id", "row_key", "item", "start", F.slice("hs", F.col("start") - F.col("low") + 1, F.col("m")).alias("wh"))
-    windows = windows.withColumn("fp", _simhash(F.col("wh")))
+    windows = hits.select("doc_id", "row_key", "m", "low", "hs", F.explode_outer("starts").alias("start")).filter("start is not null")
+    windows = windows.select("doc_id", "row_key", "m", "start", F.slice("hs", F.col("start") - F.col("low") + 1, F.col("m")).alias("wh"))
+    # a window that several items or hits led to is one window from here on; it meets any item of its size
+    windows = windows.groupBy("doc_id", "row_key", "m", "start").agg(F.first("wh").alias("wh")).withColumn("fp", _simhash(F.col("wh")))
 
     flips = radius // 8
     masks = [m for m in range(256) if m.bit_count() <= flips]
-    index = items.select("item", "ifp", F.explode(_blocks(F.col("ifp"))).alias("b")).select("item", "ifp", "b.block", F.explode(F.array(*map(F.lit, masks))).alias("mask"), F.col("b.value").alias("v"))
-    index = index.select("item", "ifp", "block", F.col("v").bitwiseXOR(F.col("mask")).alias("value"))
-    blocks = windows.select("*", F.explode(_blocks(F.col("fp"))).alias("b")).select("doc_id", "row_key", "item", "start", "wh", "fp", "b.block", "b.value")
-    near = blocks.join(_checked(index, n_items * 8 * len(masks)), ["item", "block", "value"])
+    index = items.select("item", "m", "ifp", F.explode(_blocks(F.col("ifp"))).alias("b")).select("item", "m", "ifp", "b.block", F.explode(F.array(*map(F.lit, masks))).alias("mask"), F.col("b.value").alias("v"))
+    index = index.select("item", "m", "ifp", "block", F.col("v").bitwiseXOR(F.col("mask")).alias("value"))
+    blocks = windows.select("*", F.explode(_blocks(F.col("fp"))).alias("b")).select("doc_id", "row_key", "m", "start", "wh", "fp", "b.block", "b.value")
+    near = blocks.join(_checked(index, n_items * 8 * len(masks)), ["m", "block", "value"])
     # a pair that meets in several blocks counts in the first of them, so nothing has to be made distinct
     differ = F.col("fp").bitwiseXOR(F.col("ifp"))
     meets = lambda k: F.bit_count(F.shiftrightunsigned(differ, 8 * k).bitwiseAND(F.lit(255))) <= flips
@@ -129,20 +137,22 @@ def benchmark_windows(docs: DataFrame, benchmark: DataFrame, id_column: str = "d
     for k in reversed(range(8)):
         first = F.when(meets(k), k).otherwise(first)
     near = near.filter((F.bit_count(differ) <= radius) & (F.col("block") == first))
-    found = near.join(_checked(items.select("item", "item_id", "ih"), n_items), "item").withColumn("similarity", _similarity(F.col("wh"), F.col("ih")))
+    found = near.join(_checked(items.select("item", "item_id", "ih"), n_items, n_places), "item").withColumn("similarity", _similarity(F.col("wh"), F.col("ih")))
     return found.filter(F.col("similarity") >= similarity).select("doc_id", "row_key", "item_id", F.col("start").cast("long").alias("start"), "similarity")
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """doc_id, item_id, start and similarity of the best window of each document and item (the first of equals)."""
+    """doc_id, item_id, start and similarity of the best window of each document (id and text) and item (the first of equals)."""
     found = benchmark_windows(docs, benchmark, **options)
     # similarity, then the earlier start, as one number: numbers alone are aggregated in hash tables, without sorts
     order = F.round(F.col("similarity") * 1_000_000_000).cast("long") * (1 << 32) + ((1 << 31) - 1 - F.col("start"))
-    best = found.groupBy("doc_id", "item_id").agg(F.max(order).alias("best"), F.max("similarity").alias("similarity"))
+    best = found.groupBy("doc_id", "row_key", "item_id").agg(F.max(order).alias("best"), F.max("similarity").alias("similarity"))
     return best.select("doc_id", "item_id", ((1 << 31) - 1 - F.pmod("best", F.lit(1 << 32))).alias("start"), "similarity")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """The rows of docs that hold no benchmark item."""
-    found = stored(benchmark_windows(docs, benchmark, id_column, text_column, **options).select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key")).distinct(), "contaminated")
-    return docs.join(found, F.col(id_column).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_column)) == F.col("__key")), "left_anti")
+    found = stored(benchmark_windows(docs, benchmark, id_column, text_column, **options).select("doc_id", "row_key").distinct(), "contaminated")
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    left = row.join(found, F.col("row")[id_column].eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.col("row")[text_column]) == F.col("row_key")), "left_anti")
+    return left.select(*(F.col("row")[c].alias(c) for c in docs.columns))
