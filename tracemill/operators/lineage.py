@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,19 +20,23 @@ SPAWN_BEFORE_MS, SPAWN_AFTER_MS = 30_000, 600_000
 TOOL_OUTPUT_KINDS = ("tool_result", "tool_text")
 
 
-def settled(df: DataFrame, what: str) -> DataFrame:
-    """The rows as a written table in the folder of spark.checkpoint.dir, with lineage cut. Where that is unset, a temporary folder
-    serves in local mode alone; a cluster's machines would each write to their own."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, what: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir. Where that is unset, a temporary folder serves in local mode alone; a
+    cluster's machines would each write to their own."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not re.fullmatch(r"local(\[[^,]*(,\d+)?\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, what: str) -> DataFrame:
+    """The rows as a written table, with lineage cut."""
+    path = new_path(df.sparkSession, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def links(signals: DataFrame, lookback: int = LOOKBACK) -> DataFrame:

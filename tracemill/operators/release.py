@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import strings
@@ -20,6 +20,44 @@ def released_requests(requests: DataFrame, letters: dict[str, str], salt: str) -
     return provider_letters(requests, letters).withColumn("session_id", strings.pseudonym(F.col("session_id"), "session", salt, 32)).withColumn("user_id", strings.pseudonym(F.col("user_id"), "user", salt, 16))
 
 
+def salt_series(salt: Column) -> Column:
+    """Public fingerprint of a salt, which tells releases of one salt apart from others without giving it away."""
+    return F.substring(F.sha2(salt, 256), 1, 16)
+
+
+def members(rows: DataFrame, released: DataFrame) -> DataFrame:
+    """Rows of released sessions, under the session's released id. released: session_id, released_id."""
+    return rows.join(released, "session_id").drop("session_id").withColumnRenamed("released_id", "session_id").select(*rows.columns)
+
+
+def released_calls(calls: DataFrame, released: DataFrame, latencies: DataFrame) -> DataFrame:
+    """Calls of released sessions with the latency of their request (session_id, step, latency_ms), null where there is none."""
+    return members(calls.join(latencies, ["session_id", "step"], "left"), released)
+
+
+def request_facts(requests: DataFrame, transitions: DataFrame, digests: DataFrame) -> DataFrame:
+    """requests with their transition and cause, both null where there is none, and their digest columns, whose lack is an error."""
+    j = requests.join(transitions.select("session_id", "step", "transition", "cause"), ["session_id", "step"], "left").join(digests.withColumn("__d", F.lit(1)), ["session_id", "step"], "left")
+    missing = F.when(F.col("__d").isNull(), F.raise_error(F.concat_ws(" ", F.lit("no digest of"), "session_id", "step")).cast("int")).otherwise(F.col("step"))
+    return j.withColumn("step", missing).drop("__d")
+
+
+def release_shaped(calls: DataFrame, full: list[str]) -> DataFrame:
+    """The full form of some columns beside the released one: <column>_full becomes <column>, the released one goes."""
+    return calls.drop(*full).withColumnsRenamed({f"{c}_full": c for c in full})
+
+
+def hidden_shares(calls: DataFrame) -> DataFrame:
+    """Shares of calls whose name was hidden, and whose programs, argument keys or command words were. calls: name, programs,
+    programs_full, arguments_skeleton, arguments_skeleton_full."""
+    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
+    words = lambda c: F.regexp_extract_all(c, F.lit(r'"(?:command|commands|cmd)":"((?:[^"\\\\]|\\\\.)*)"'), F.lit(1))
+    return calls.agg(
+        share(F.col("name") == "other").alias("name"), share(F.col("programs_full").isNotNull() & ~F.col("programs_full").eqNullSafe(F.col("programs"))).alias("program"),
+        share(F.contains("arguments_skeleton", F.lit('"<key>"'))).alias("key"), share(~words("arguments_skeleton_full").eqNullSafe(words("arguments_skeleton"))).alias("command_word"),
+    )
+
+
 def manifest(sessions: DataFrame, reads: DataFrame, reasons: DataFrame) -> DataFrame:
     """One row: sessions, sessions left out, and distinct blocks."""
     a = sessions.agg(F.count("*").alias("sessions"))

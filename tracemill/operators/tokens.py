@@ -55,6 +55,12 @@ def role_shares(requests: DataFrame, parts: dict[str, tuple[str, ...]], keys: li
     return _shares(sums, keys, list(parts))
 
 
+def context_shares(requests: DataFrame, parts: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Quartiles of each part's share of the input, by size bins of the number of messages."""
+    rows = settled(role_shares(requests.filter("n_messages >= 1"), parts, ["n_messages"]), "shares")
+    return size_bins(rows, "n_messages", list(parts))
+
+
 def user_prompt_rise(requests: DataFrame) -> DataFrame:
     """Tokens of each new user prompt: the rise of user tokens over the step before, all of them at step 0."""
     rise = F.when(F.col("step") > 0, F.col("tokens_user") - F.lag("tokens_user").over(in_session())).otherwise(F.col("tokens_user"))

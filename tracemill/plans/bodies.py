@@ -1,0 +1,148 @@
+"""Queries over request bodies made of conversations: each assistant turn is a response, the turns before it are its prompt.
+
+User turns after an assistant one come back as tool messages where turn % 4 is 2, as content blocks where it is 0, else as text;
+every assistant turn calls one tool. Prompts of even conversations declare tools, of every third a system prompt."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .. import fixtures as fx
+from ..functions import strings
+from ..operators import tokens
+from ..sources import bodies
+from .registry import query, table
+
+
+def _prompts(s, d):
+    c = table(s, d, "conversations").select("conv_id", "turn", "role", "text")
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    call = lambda turn: F.concat(F.lit("call-"), "conv_id", F.lit("x"), turn)
+    block = F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))))
+    asked = F.when(F.col("role") == "assistant", F.array(F.struct(call(F.col("turn")).alias("id"), F.struct(F.lit("bash").alias("name"), F.lit("{}").alias("arguments")).alias("function"))))
+    tool = (F.col("role") == "user") & (F.col("turn") % 4 == 2)
+    plain = F.to_json(F.struct(F.when(tool, "tool").otherwise(F.col("role")).alias("role"), F.when(tool, call(F.col("turn") - 1)).alias("tool_call_id"), F.col("text").alias("content"), asked.alias("tool_calls")))
+    message = F.when((F.col("role") == "user") & (F.col("turn") % 4 == 0), F.concat(F.lit('{"role":"user","content":'), block, F.lit("}"))).otherwise(plain)
+    c = c.withColumn("message", message).withColumn("held", F.collect_list("message").over(before)).filter("role = 'assistant'")
+    tools = F.when(F.col("conv_id") % 2 == 0, F.lit('"tools":[{"type":"function","function":{"name":"bash"}},{"name":"read"}],')).otherwise("")
+    system = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit('"system":[{"type":"text","text":"system of '), "conv_id", F.lit('"}],'))).otherwise("")
+    prompt = F.concat(F.lit("{"), tools, system, F.lit('"messages":['), F.array_join("held", ","), F.lit("]}"))
+    response = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content"), asked.alias("tool_calls")).alias("message"))).alias("choices")))
+    return c.select(F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("request_id"), F.concat(F.lit("a"), F.col("conv_id") % 20).alias("user_id"), (F.col("conv_id") * 100000 + F.col("turn") * 1000).alias("end_ms"), prompt.alias("prompt"), response.alias("response"))
+
+
+#: x_r: requests; x_m: the messages before each, with their place; x_n: the new ones.
+_BODY = """WITH x_c AS (SELECT conv_id, turn, role, text, CASE WHEN role = 'user' AND turn % 4 = 2 THEN 'tool' ELSE role END AS kind, trim(text, ' ' || chr(10) || chr(9) || chr(13)) AS t FROM conversations),
+    x_r AS (SELECT 'c' || conv_id || '-' || turn AS request_id, conv_id, turn AS here, text FROM x_c WHERE role = 'assistant'),
+    x_m AS (SELECT request_id, here, c.*, row_number() OVER (PARTITION BY request_id ORDER BY c.turn) - 1 AS place FROM x_r r JOIN x_c c ON c.conv_id = r.conv_id AND c.turn < r.here),
+    x_l AS (SELECT request_id, max(turn) FILTER (WHERE role = 'assistant') AS last FROM x_m GROUP BY 1),
+    x_n AS (SELECT m.*, last FROM x_m m JOIN x_l USING (request_id) WHERE turn > coalesce(last, -1))"""
+
+
+@query("X28_fresh_results", _BODY + " SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY turn) - 1 AS result_index, 'call-' || conv_id || 'x' || (turn - 1) AS raw_id, md5(t) AS text FROM x_n WHERE kind = 'tool' AND last IS NOT NULL", fixture=False)
+def _(s, d):
+    return bodies.fresh_results(_prompts(s, d)).select("request_id", "result_index", "raw_id", F.md5("text").alias("text"))
+
+
+@query("X24_new_content", _BODY + " SELECT request_id, CASE WHEN count(n.turn) = 0 THEN 'nothing' WHEN bool_or(kind = 'tool') THEN 'tool_result' ELSE 'user_message' END AS kind FROM x_r LEFT JOIN x_n n USING (request_id) GROUP BY 1", fixture=False)
+def _(s, d):
+    return _prompts(s, d).select("request_id", bodies.new_content_kind(F.col("prompt")).alias("kind"))
+
+
+@query("X4_intro_window", _BODY + " SELECT request_id, md5(lower(substr(coalesce(string_agg(t, chr(10) ORDER BY turn) FILTER (WHERE place < 6 AND kind IN ('system', 'user')), ''), 1, 20000))) AS intro FROM x_r LEFT JOIN x_m USING (request_id) GROUP BY 1", fixture=False)
+def _(s, d):
+    return _prompts(s, d).select("request_id", F.md5(bodies.intro_window(F.col("prompt"))).alias("intro"))
+
+
+@query("X31_first_user_text", _BODY + " SELECT request_id, md5(coalesce(arg_min(t, turn) FILTER (WHERE kind = 'user'), '')) AS first FROM x_r LEFT JOIN x_m USING (request_id) GROUP BY 1", fixture=False)
+def _(s, d):
+    return _prompts(s, d).select("request_id", F.md5(bodies.first_user_text(F.col("prompt"))).alias("first"))
+
+
+@query("X29_declared_tools", _BODY + " SELECT request_id, CASE WHEN conv_id % 2 = 0 THEN ['bash', 'read'] ELSE [] END AS tools FROM x_r", fixture=False)
+def _(s, d):
+    return _prompts(s, d).select("request_id", bodies.declared_tools(F.col("prompt")).alias("tools"))
+
+
+@query("X30_input_entries", _BODY + """, x_e AS (SELECT request_id, -2 AS k, 'tool_definitions' AS role, NULL AS text FROM x_r WHERE conv_id % 2 = 0 UNION ALL SELECT request_id, -1, 'system', 'system of ' || conv_id FROM x_r WHERE conv_id % 3 = 0
+    UNION ALL SELECT request_id, turn, kind, t || CASE WHEN role = 'assistant' THEN chr(10) || 'bash' || chr(10) || '{}' ELSE '' END FROM x_m)
+    SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY k) - 1 AS position, role, CASE WHEN role <> 'tool_definitions' THEN md5(text) END AS text FROM x_e""", fixture=False)
+def _(s, d):
+    e = bodies.input_entries(_prompts(s, d))
+    return e.select("request_id", "position", "role", F.when(F.col("role") != "tool_definitions", F.md5("text")).alias("text"))
+
+
+@query("S10_system_prompts", _BODY + " SELECT request_id, 'system of ' || conv_id AS system_text FROM x_r WHERE conv_id % 3 = 0", fixture=False)
+def _(s, d):
+    return bodies.system_prompts(_prompts(s, d)).select("request_id", "system_text")
+
+
+@query("X35_signals", _BODY + r""", x_w AS (SELECT request_id, conv_id, here, list_filter(string_split_regex(text, '[ \n\t]+'), lambda w: w <> '') AS w FROM x_r), x_p AS (SELECT r.request_id, m.conv_id, m.turn, list_filter(string_split_regex(substr(m.t || chr(10) || 'bash' || chr(10) || '{}', 1, 8000), '[ \n\t]+'), lambda w: w <> '') AS w FROM x_l r JOIN x_m m ON m.request_id = r.request_id AND m.turn = last)
+    SELECT a.request_id, 'call' || a.conv_id || 'x' || here AS emitted, CASE WHEN p.turn IS NULL THEN '' ELSE 'call' || a.conv_id || 'x' || p.turn END AS replayed, len(a.w) >= 8 AS long_answer,
+      CASE WHEN len(a.w) >= 8 THEN len(list_distinct([array_to_string(a.w[i:i + 7], ' ') for i in range(1, len(a.w) - 6)])) END AS answer, CASE WHEN p.turn IS NULL THEN 0 ELSE len(list_distinct([array_to_string(p.w[i:i + 7], ' ') for i in range(1, greatest(len(p.w) - 7, 1) + 1)])) END AS held
+    FROM x_w a LEFT JOIN x_p p USING (request_id)""", fixture=False)
+def _(s, d):
+    p = _prompts(s, d)
+    words = F.size(strings.words(F.get_json_object("response", "$.choices[0].message.content")))
+    x = bodies.signals(p).join(p.select("request_id", (words >= 8).alias("long_answer")), "request_id")
+    return x.select("request_id", F.array_join("emitted_ids", ",").alias("emitted"), F.array_join("replayed_ids", ",").alias("replayed"), "long_answer", F.when(F.col("long_answer"), F.size("answer_shingles").cast("long")).alias("answer"), F.size("replayed_shingles").cast("long").alias("held"))
+
+
+def _replies(s, d):
+    """Replies with three elements of two names, and results that name them."""
+    r = fx.base_requests(s, d).filter("n_tool_calls > 1").select("event_id", F.concat_ws(":", "session_id", "step").alias("request_id"), "k")
+    element = lambda name, text: F.concat(F.lit(f"<{name}>"), text, F.lit(f"</{name}>"))
+    reply = F.concat(F.lit("I will "), element("read", F.concat(F.lit("a"), "k")), F.lit(" then\n"), element("write", F.lit("b")), element("read", F.concat(F.lit("c"), "k")))
+    texts = F.array(F.lit("[read for 'a'] Result:\nfine"), F.lit("a plain text"), F.when(F.col("k") % 2 == 0, "[read] Result: fine").otherwise("[other] Result: no"), F.lit("[write] Result:\nok"), F.lit("<returncode>0</returncode>"))
+    prompt = F.to_json(F.struct(F.transform(texts, lambda t: F.struct(F.lit("user").alias("role"), t.alias("content"))).alias("messages")))
+    return r.select("request_id", reply.alias("reply"), prompt.alias("prompt"))
+
+
+_NAMED_CALLS = "x_q AS (SELECT session_id || ':' || step AS request_id, k FROM fx_requests WHERE n_tool_calls > 1)"
+
+
+@query("W18_result_occurrences", _NAMED_CALLS + " SELECT request_id, place, name, occurrence FROM (SELECT request_id, 0 AS place, 'read' AS name, 0 AS occurrence FROM x_q UNION ALL SELECT request_id, 2, CASE WHEN k % 2 = 0 THEN 'read' ELSE 'other' END, CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END FROM x_q UNION ALL SELECT request_id, 3, 'write', 0 FROM x_q UNION ALL SELECT request_id, 4, NULL, 0 FROM x_q)")
+def _(s, d):
+    return bodies.text_results(_replies(s, d)).select("request_id", "place", "name", "occurrence")
+
+
+@query("X23_calls_named_by_results", _NAMED_CALLS + " SELECT request_id, 'read' AS raw_name, 0 AS occurrence, 'a' || k AS arguments FROM x_q UNION ALL SELECT request_id, 'read', 1, 'c' || k FROM x_q WHERE k % 2 = 0 UNION ALL SELECT request_id, 'write', 0, 'b' FROM x_q")
+def _(s, d):
+    r = _replies(s, d)
+    return bodies.calls_named_by_results(r.select("request_id", "reply"), bodies.text_results(r).select("request_id", "name", "occurrence"))
+
+
+@query("M11_token_sources", """SELECT event_id, coalesce(CASE WHEN k % 3 = 0 THEN prompt_tokens END, CASE WHEN k % 3 = 1 THEN prompt_tokens + 1 ELSE prompt_tokens + 2 END) AS prompt_tokens, CASE WHEN k % 2 = 0 THEN completion_tokens ELSE 7 END AS completion_tokens, CASE WHEN k % 4 = 0 THEN NULL ELSE k END::BIGINT AS cache_read_tokens FROM fx_requests""")
+def _(s, d):
+    """Own field, else the usage of the response in either spelling; a boolean is no count."""
+    k, p = F.col("k"), F.col("prompt_tokens")
+    usage = F.to_json(F.struct(F.struct(F.when(k % 3 == 1, p + 1).alias("prompt_tokens"), F.when(k % 3 == 2, p + 2).alias("input_tokens"), F.lit(7).alias("output_tokens"), F.struct(F.when(k % 4 != 0, k).alias("cached_tokens")).alias("prompt_tokens_details")).alias("usage")))
+    record = F.to_json(F.struct(F.when(k % 3 == 0, p).alias("prompt_tokens"), F.when(k % 2 == 0, F.coalesce("completion_tokens", F.lit(-1))).alias("completion_tokens"), F.lit(True).alias("cache_read_tokens"), usage.alias("response")))
+    c = fx.base_requests(s, d).select("event_id", bodies.token_counts(F.parse_json(record)).alias("c"))
+    return c.select("event_id", "c.prompt_tokens", F.nullif("c.completion_tokens", F.lit(-1)).alias("completion_tokens"), "c.cache_read_tokens")
+
+
+@query("X39_billing_header", "SELECT doc_id, md5(text) AS digest FROM documents WHERE text IS NOT NULL", fixture=False)
+def _(s, d):
+    """Every second text gets a header line, which goes again."""
+    text = F.concat(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("x-some-billing-header: v="), "doc_id", F.lit("\n"))).otherwise(""), "text")
+    return table(s, d, "documents").filter("text is not null").select("doc_id", F.md5(bodies.without_billing_header(text)).alias("digest"))
+
+
+_SHARES = "x_s AS (SELECT n_messages AS x, {t} AS total, {parts} FROM fx_requests WHERE n_messages >= 1), x_u AS (SELECT greatest(quantile_cont(x, 0.99), 1) AS u FROM x_s WHERE total > 0), x_e AS (SELECT e, row_number() OVER (ORDER BY e) - 1 AS k FROM (SELECT DISTINCT round_even(exp(ln(u) * unnest(range(22)) / 21), 0) AS e FROM x_u)), x_b AS (SELECT a.k AS bin, a.e AS low, b.e AS high FROM x_e a JOIN x_e b ON b.k = a.k + 1), x_v AS ({long}) SELECT series, (CASE WHEN bin = 0 THEN low - 0.001 ELSE low END + high) / 2 AS mid, quantile_cont(v, 0.25) AS p25, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.75) AS p75, count(*) AS n FROM x_v JOIN x_b ON x <= high AND (x > low OR (bin = 0 AND x >= low)) GROUP BY series, bin, low, high HAVING count(*) >= 50"
+
+
+def _share_sql(parts):
+    sums = {name: " + ".join(f"tokens_{r}" for r in roles) for name, roles in parts.items()}
+    return _SHARES.format(t=" + ".join(f"({v})" for v in sums.values()), parts=", ".join(f"{v} AS {k}" for k, v in sums.items()), long=" UNION ALL ".join(f"SELECT x, '{k}' AS series, {k} / total AS v FROM x_s WHERE total > 0" for k in sums))
+
+
+@query("A52_context_share_by_messages", _share_sql(tokens.MESSAGE_ROLES))
+def _(s, d):
+    return tokens.context_shares(fx.base_requests(s, d), tokens.MESSAGE_ROLES)
+
+
+@query("A52_context_share_with_definitions", _share_sql(tokens.DEFINITIONS_AS_SYSTEM))
+def _(s, d):
+    return tokens.context_shares(fx.base_requests(s, d), tokens.DEFINITIONS_AS_SYSTEM)

@@ -317,7 +317,7 @@ def _(s, d):
 
 @query("S1_nest_roundtrip", "SELECT session_id, step, call_index, category, outcome, result_tokens::BIGINT AS result_tokens FROM fx_tool_calls")
 def _(s, d):
-    return traces.flatten(_nested(s, d), "line")[2]
+    return traces.flatten(_nested(s, d), "line")[2].select("session_id", "step", "call_index", "category", "outcome", "result_tokens")
 
 
 @query("S1_nest_roundtrip_sessions", _FAM + " SELECT session_id, harness, user_id, parent_session_id, spawned_by_step FROM x_fam")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .. import schemas
 
@@ -50,3 +51,25 @@ def column_of(big: DataFrame, ids: DataFrame, key: str, column: str) -> DataFram
 def public_words_table(found: DataFrame, added: DataFrame) -> DataFrame:
     """Counted and hand-added words, each once, in order of list and word. Columns: list, word."""
     return found.select("list", "word").union(added.select("list", "word")).distinct().orderBy("list", "word")
+
+
+def block_reads(requests: DataFrame, parts: int | None = None, part: int = 0) -> DataFrame:
+    """A row for each block id of each request, with its place; of parts, only those whose id leaves part as remainder. The replay
+    takes these rows, with the request's other columns."""
+    rows = requests.select(*(c for c in requests.columns if c != "block_ids"), F.posexplode("block_ids").alias("pos", "block_id"))
+    return rows if parts is None else rows.filter(F.pmod("block_id", F.lit(parts)) == part)
+
+
+def aligned(rows: DataFrame, order: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the position that order gives their keys; keys that only one of the two has, or has twice, are an error."""
+    j = rows.withColumn("__r", F.lit(1)).join(order.select(*keys, "position").withColumn("__o", F.lit(1)), keys, "full")
+    once = F.count("*").over(Window.partitionBy(*keys)) == 1
+    wrong = F.concat_ws(" ", F.lit("keys differ:"), *(F.col(k).cast("string") for k in keys))
+    held = F.when(F.col("__r").isNull() | F.col("__o").isNull() | ~once, F.raise_error(wrong).cast("long")).otherwise(F.col("position"))
+    return j.select(*rows.columns, held.alias("position"))
+
+
+def write_result(df: DataFrame, path: str, form: str = "csv") -> None:
+    """A small result table as CSV with a header, or JSON lines, in one file."""
+    writer = df.coalesce(1).write.mode("overwrite")
+    (writer.option("header", True) if form == "csv" else writer).format(form).save(path)

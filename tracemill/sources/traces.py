@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..operators.lineage import settled
 
 
@@ -53,9 +54,16 @@ def write_lines(lines: DataFrame, path: str) -> None:
     lines.repartition("day").sortWithinPartitions("day", "start_ms", "session_id").select("day", F.col("line").alias("value")).write.partitionBy("day").text(path)
 
 
-def flatten(lines: DataFrame, line: str = "value") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """sessions, requests and calls of nested lines, and the lines that hold no session (not an object, or without session_id)."""
+def _fields(spark, schema: str, leave_out: tuple[str, ...]) -> list[tuple[str, str]]:
+    return [(f.name, f.dataType.simpleString()) for f in spark.createDataFrame([], schema).schema.fields if f.name not in leave_out]
+
+
+def flatten(lines: DataFrame, line: str = "value", requests: str = schemas.REQUESTS, calls: str = schemas.TOOL_CALLS) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """sessions, requests and calls of nested lines with the columns of the schemas given, and the lines that hold no session (not an
+    object, or without session_id)."""
     get = lambda v, p, t: F.try_variant_get(v, p, t)
+    spark = lines.sparkSession
+    of_request, of_call = _fields(spark, requests, ("session_id",)), _fields(spark, calls, ("session_id", "step"))
     parsed = lines.select(F.col(line).alias("__line"), F.try_parse_json(line).alias("v")).withColumn("session_id", get(F.col("v"), "$.session_id", "string"))
     bad = parsed.filter(F.col("session_id").isNull()).select(F.col("__line").alias("line"))
     none = F.lit(None)
@@ -66,11 +74,11 @@ def flatten(lines: DataFrame, line: str = "value") -> tuple[DataFrame, DataFrame
         if not level.limit(1).count():
             break
         out[0].append(level.select("session_id", get(F.col("v"), "$.harness", "string").alias("harness"), get(F.col("v"), "$.user_id", "string").alias("user_id"), "parent_session_id", "spawned_by_step", "spawned_by_call_index"))
-        r = level.select("session_id", F.explode(get(F.col("v"), "$.requests", "array<variant>")).alias("r")).withColumn("step", get(F.col("r"), "$.step", "int"))
-        out[1].append(r.select("session_id", "step", get(F.col("r"), "$.start_ms", "bigint").alias("start_ms"), get(F.col("r"), "$.end_ms", "bigint").alias("end_ms"), get(F.col("r"), "$.prompt_tokens", "bigint").alias("prompt_tokens"), get(F.col("r"), "$.model", "string").alias("model")))
-        c = r.select("session_id", "step", F.explode(get(F.col("r"), "$.tool_calls", "array<variant>")).alias("c")).withColumn("call_index", get(F.col("c"), "$.call_index", "int"))
-        out[2].append(c.select("session_id", "step", "call_index", get(F.col("c"), "$.category", "string").alias("category"), get(F.col("c"), "$.outcome", "string").alias("outcome"), get(F.col("c"), "$.result_tokens", "bigint").alias("result_tokens")))
-        sub = c.withColumn("v", get(F.col("c"), "$.subagent", "variant")).withColumn("child", get(F.col("v"), "$.session_id", "string")).filter("child is not null")
+        r = level.select("session_id", F.explode(get(F.col("v"), "$.requests", "array<variant>")).alias("r"))
+        out[1].append(r.select("session_id", *(get(F.col("r"), f"$.{name}", kind).alias(name) for name, kind in of_request)))
+        c = r.select("session_id", get(F.col("r"), "$.step", "int").alias("step"), F.explode(get(F.col("r"), "$.tool_calls", "array<variant>")).alias("c"))
+        out[2].append(c.select("session_id", "step", *(get(F.col("c"), f"$.{name}", kind).alias(name) for name, kind in of_call)))
+        sub = c.withColumn("call_index", get(F.col("c"), "$.call_index", "int")).withColumn("v", get(F.col("c"), "$.subagent", "variant")).withColumn("child", get(F.col("v"), "$.session_id", "string")).filter("child is not null")
         level = sub.select(F.col("child").alias("session_id"), "v", F.col("session_id").alias("parent_session_id"), F.col("step").alias("spawned_by_step"), F.col("call_index").alias("spawned_by_call_index"))
     return (*(reduce(DataFrame.unionByName, x) for x in out), bad)
 
