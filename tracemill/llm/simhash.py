@@ -12,7 +12,8 @@ by what the counts skip); copies cost nothing beyond their first.
 Defined results: no words give fingerprint zero, which links like any other; fewer words than a
 shingle give one shingle of all words; a null text is empty; repeated rows share a fingerprint; null
 doc_ids are members, but never name a component unless it has no other; an empty table gives an
-empty table; other columns are ignored.
+empty table; very long texts are hashed whole, some megabytes at a time; other columns are ignored or carried along,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -161,10 +162,13 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     # few tasks make full tiles; those of one population count lie together, so tiles are full at any size
     parted = distinct.select("__fp").repartitionByRange(max(1, n // 4), F.bit_count("__fp"), "__fp")
     tiles = stored(parted.mapInArrow(_tiles, "pop int, tile long, fps binary"), "tiles")
-    left = tiles.select(F.col("tile").alias("tile_a"), F.col("fps").alias("fps_a"), F.col("pop").alias("pop_a"), F.explode(F.sequence(F.col("pop"), F.col("pop") + radius)).alias("pop"))
-    # a pair of tiles of one count is met once, by their numbers
-    pairs = left.join(tiles.select("pop", "tile", "fps"), "pop").filter((F.col("pop") > F.col("pop_a")) | (F.col("tile") >= F.col("tile_a")))
-    pairs = pairs.select("tile_a", "fps_a", F.col("tile"), "fps").repartition(4 * n, "tile_a", "tile")
+    # pairs are made of the tiles' numbers, over salts, for there are only 65 counts; a pair of tiles of one count is met once
+    salt = F.pmod(F.xxhash64("tile"), F.lit(n)).cast("int")
+    left = tiles.select(F.col("tile").alias("tile_a"), F.col("pop").alias("pop_a"), F.explode(F.sequence(F.col("pop"), F.col("pop") + radius)).alias("pop")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    pairs = left.join(tiles.select("pop", "tile", salt.alias("salt")), ["pop", "salt"]).filter((F.col("pop") > F.col("pop_a")) | (F.col("tile") >= F.col("tile_a")))
+    # the bytes of one tile of a pair are shuffled with it, those of the other come by a join that Spark may split
+    pairs = pairs.select("tile_a", "tile").join(tiles.select(F.col("tile").alias("tile_a"), F.col("fps").alias("fps_a")), "tile_a").join(tiles.select("tile", "fps"), "tile")
+    pairs = pairs.select("tile_a", "fps_a", "tile", "fps").repartition(4 * n, "tile_a", "tile")
     return pairs.mapInArrow(_compare(radius), "a long, b long")
 
 
@@ -185,8 +189,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 
 def without_near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row of docs of each component: that of the least id, of repeated rows the first stored."""
-    rows = stored(fingerprints(docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__copy", F.col(text_column)), [*docs.columns, "__row"], "__copy", shingle), "rows")
-    prints = stored(rows.select(F.col(id_column).alias("__id"), "__row", "__fp"), "fingerprints")
-    named = prints.join(classes(prints, "__id", radius).withColumnRenamed("component_id", "__component"), "__fp")
-    first = named.groupBy("__component").agg(F.min(F.struct(F.col("__id").isNull().alias("null"), "__id", "__row")).alias("f"))
-    return rows.join(first.select(F.col("f.__row").alias("__row")), "__row", "left_semi").select(*docs.columns)
+    numbered = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.monotonically_increasing_id().alias("row"), F.col(text_column).alias("text"))
+    rows = stored(fingerprints(numbered, ["doc", "row"], "text", shingle), "rows")
+    prints = stored(rows.select(F.col("doc")[id_column].alias("id"), "row", "__fp"), "fingerprints")
+    named = prints.join(classes(prints, "id", radius), "__fp")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "row")).alias("f"))
+    return rows.join(first.select(F.col("f.row").alias("row")), "row", "left_semi").select(*(F.col("doc")[c].alias(c) for c in docs.columns))
