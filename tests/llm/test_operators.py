@@ -137,6 +137,45 @@ def test_classifier(spark):
     assert {r.score for r in classifier.quality_scores(docs, truth.limit(0)).collect()} == {0.5}
 
 
+def test_classifier_against_plain_numpy(spark):
+    """The same scores from one dense least-squares solution and the min-max form of isotonic regression."""
+    rng = random.Random(15)
+    rows, labels = [], []
+    for k in range(400):
+        words = ["".join(rng.choice("abcdef") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(0, 60))]
+        good = rng.random() < (0.8 if k % 3 else 0.2)
+        rows.append((k, " ".join(words) + ("." if k % 3 else " $$$ !!!"), "clash", "clash"))
+        labels.append((k, int(good)))
+    rows += [(3, rows[3][1], "x", "y"), (400, "word " * 200_000, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, x0 string, y string").repartition(4)
+    found = {(r.doc_id, r.held_out): r.score for r in classifier.quality_scores(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+
+    x = np.array([classifier.statistics(t) for _, t, *_ in rows])
+    scale = x.std(axis=0)
+    scale[scale < 1e-9] = 1
+    seeded = np.random.default_rng(classifier.SEED)
+    w = seeded.normal(size=(x.shape[1], classifier.FEATURES)) / np.sqrt(x.shape[1])
+    phase = seeded.uniform(0, 2 * np.pi, classifier.FEATURES)
+    z = np.clip((x - x.mean(axis=0)) / scale, -6, 6)
+    design = np.hstack([np.ones((len(z), 1)), z, np.sqrt(2 / classifier.FEATURES) * np.cos(z @ w + phase)])
+    quality = dict(labels)
+    fold = np.array([zlib.crc32(str(d).encode()) % 4 for d, *_ in rows])
+    y = np.array([quality.get(d, -1) for d, *_ in rows], float)
+    teach = (y >= 0) & (fold != 2) & (fold != 3)
+    ridge = np.sqrt(classifier.RIDGE * teach.sum()) * np.eye(design.shape[1])
+    beta = np.linalg.lstsq(np.vstack([design[teach], ridge]), np.concatenate([y[teach], np.zeros(len(ridge))]), rcond=None)[0]
+    raw = design @ beta
+    held = (y >= 0) & (fold == 3)
+    bins = np.clip(np.round(raw[held] * classifier.BINS), -classifier.BINS, 2 * classifier.BINS)
+    at = np.unique(bins)
+    n, p = (np.array([f(bins == b) for b in at], float) for f in (np.sum, lambda m: y[held][m].sum()))
+    rate = [max(min(p[a : b + 1].sum() / n[a : b + 1].sum() for b in range(k, len(at))) for a in range(k + 1)) for k in range(len(at))]
+    groups = [np.flatnonzero(np.isclose(rate, v)) for v in sorted({round(v, 12) for v in rate})]
+    centre = np.array([(at[g] * n[g]).sum() / n[g].sum() / classifier.BINS for g in groups])
+    wanted = np.interp(raw, centre, [rate[g[0]] for g in groups])
+    assert max(abs(found[d, bool(f == 2)] - s) for (d, *_), f, s in zip(rows, fold, wanted, strict=True)) < 1e-6
+
+
 def test_isotonic():
     at, value = classifier.isotonic(np.arange(5.0), np.ones(5), np.array([0, 1, 0, 1, 1.0]))
     assert (np.diff(value) >= 0).all() and at[0] == 0
@@ -503,6 +542,24 @@ def test_bad_host_goes(spark):
     assert {r.source for r in found if r["__rules"].kept} == {"good"}
 
 
+def test_shards_refuse_ids_that_do_not_fit(spark, docs):
+    import io
+
+    writer = sstable.Writer(io.BytesIO(), 2)
+    writer.add(sstable.key_of(1), np.array([65_535]))
+    with pytest.raises(ValueError, match="65536"):
+        writer.add(sstable.key_of(2), np.array([65_536]))
+
+
+def test_chat_batches_are_bounded(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(chat, "BATCH_BYTES", 10)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(range(5)), pa.array(["user"] * 5), pa.array(["abcd", None, "abcdef", "x" * 50, ""])], names=["conv_id", "turn", "role", "text"])
+    parts = list(chat._bounded(iter([batch, batch.slice(0, 0)])))
+    assert [p.num_rows for p in parts] == [3, 1, 1] and pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
+
+
 def test_shards(docs, rows, empty, spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)

@@ -11,7 +11,8 @@ it crosses a batch or a task; each part has the byte spans of its assistant text
 
 Defined results: a null text or role is empty; null conversation ids form one conversation; turns
 with one number are ordered by role and text; repeated rows are turns of their own; an empty
-table gives an empty table; other columns are ignored, whatever their names.
+table gives an empty table; turns are put together some megabytes at a time, so very long texts need no buffer of more than one
+of them; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,12 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 OPEN, CLOSE, END = b"<turn ", b">", b"</turn>\n"
 LOSS_ROLE = "assistant"
 PART_BYTES = 8 << 20
+#: Bytes of text that are assembled at once.
+BATCH_BYTES = 64_000_000
 PARTS = "conv_id long, first_turn long, first_order string, formatted string, loss_starts array<long>, loss_sizes array<long>"
 
 
@@ -68,10 +72,19 @@ def assemble(role: pa.Array, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np
     return out, np.concatenate([start, ends[-1:]]), begin, t_size
 
 
-def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most BATCH_BYTES of text, or of one turn."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(3).cast(pa.binary())), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BATCH_BYTES, side="right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
+def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _bounded(batches):
         conv, turn, role, text = (batch.column(k) for k in range(4))
         out, at, begin, size = assemble(role, text)
         ids = conv.to_numpy(zero_copy_only=False)

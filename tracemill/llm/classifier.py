@@ -9,7 +9,8 @@ isotonic curve that turns raw scores into probabilities.
 Defined results: a null text counts as empty and is scored; a null doc_id is never a labelled row and is not
 held out; a document with several labels counts with the greatest; labels that are null are no labels; without
 labels of both kinds every score is their mean (0.5 without any); an empty table gives an empty
-table; other columns are ignored.
+table; repeated rows are scored each, and teach each where their id is labelled; very long texts are read whole; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -144,7 +145,7 @@ def fit(labelled: DataFrame, calibration: DataFrame, moments: tuple[np.ndarray,
     return model
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text", label_id_column: str = "doc_id") -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs. Rows whose crc32 of the id mod 4 is 2 never teach; 3 calibrates."""
     remainder = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4, F.lit(0))
     x = stored(with_statistics(docs, id_column, text_column), "statistics")
@@ -152,7 +153,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", t
     moments = x.agg(*(F.avg(n) for n in names), *(F.stddev_pop(n) for n in names)).first()
     mean, scale = (np.array([v or 0.0 for v in part]) for part in (moments[:N_STATISTICS], moments[N_STATISTICS:]))
     scale[scale < 1e-9] = 1.0
-    y = labels.filter(F.col(label).isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(F.max(label).cast("double").alias("y"))
+    y = labels.filter(F.col(label).isNotNull()).groupBy(F.col(label_id_column).alias("__id")).agg(F.max(label).cast("double").alias("y"))
     known = stored(x.join(y, F.col("doc_id") == F.col("__id")).filter(remainder != 2).select(*names, "y", (remainder == 3).alias("calibrates")), "labelled")
     model = fit(known.filter(~F.col("calibrates")).select(*names, "y"), known.filter("calibrates").select(*names, "y"), (mean, scale))
 

@@ -17,7 +17,7 @@ gathered, to add up where each shard's ids start.
 
 Defined results: a null text is empty and has only the end id; null doc_ids come first; repeated ids keep all
 their entries, ordered by text; an empty table gives no shard and an empty result; other columns
-are ignored; a document is one entry however long it is.
+are ignored; a document is one entry however long it is; an id that does not fit in the width is an error.
 """
 
 from __future__ import annotations
@@ -90,6 +90,8 @@ class Writer:
         self.n_docs = self.n_ids = 0
 
     def add(self, key: bytes, ids: np.ndarray) -> None:
+        if len(ids) and int(ids.max()) >> 8 * self.width:
+            raise ValueError(f"id {int(ids.max())} does not fit in {self.width} bytes")
         value = ids.astype(f"<u{self.width}").tobytes()
         shared = 0
         if self.block:
@@ -218,7 +220,13 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
     keys = [F.col("doc_id").asc_nulls_first()]
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     parted = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys, F.col("text").asc_nulls_first())
-    return stored(parted.mapInArrow(write, MANIFEST), "manifest")
+    manifest = stored(parted.mapInArrow(write, MANIFEST), "manifest")
+    files, at = _place(folder)
+    # what attempts that did not end have left
+    for info in files.get_file_info(fs.FileSelector(at, allow_not_found=True)):
+        if info.base_name.startswith("."):
+            files.delete_file(info.path)
+    return manifest
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:

@@ -21,7 +21,8 @@ the exchange for steps 1, 3 and 5).
 
 Defined results: a null text has no words; texts shorter than WINDOW lose nothing; repeated rows repeat each other's
 windows, so both lose them; null ids form documents like others; an empty table gives an empty table;
-other columns are ignored.
+other columns are ignored; ties do not arise, for a word goes or stays by its windows alone; a very long text is cut into
+segments that overlap by a window, so no task holds it with others.
 """
 
 from __future__ import annotations
@@ -116,11 +117,6 @@ def _count_anchors(window: int, gram: int):
     return count
 
 
-def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
-    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
-
-
 SEGMENTS = "shard_key long, block int, segment binary, n int, rows array<int>, starts array<int>"
 
 

@@ -8,7 +8,7 @@ second run at the same time can add a row twice but never a wrong one.
 Normalising must not change a count, so the default only makes null an empty text.
 
 Defined results: null counts as empty; repeated rows are counted each and encoded once; an empty
-table gives an empty table and an empty cache; other columns are ignored.
+table gives an empty table and an empty cache; very long texts are encoded whole; other columns are ignored.
 """
 
 from __future__ import annotations
