@@ -94,26 +94,30 @@ class MemoTokenizer:
         self.starts, self.sizes, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
 
     def _words(self, piece: str):
-        """What the pre-tokenizer makes of a piece; letters alone are one word."""
+        """What the pre-tokenizer makes of a piece; where case is folded, letters alone are one word."""
         if self.lower:
             piece = piece.lower() if piece.isascii() else unicodedata.normalize("NFC", piece).lower()
             return (piece,) if piece.isalpha() else self.inner.findall(piece)
-        return (piece,) if (piece[1:] if piece[0] == " " else piece).isalpha() else self.inner.findall(piece)
+        return self.inner.findall(piece)
 
     def _piece_ids(self, pieces: list[str]) -> list[list[int]]:
         """As _library, for pieces: those of plain letters go to the model alone, word by word."""
         out: list = [None] * len(pieces)
         rest = []
-        known, tokenize, special, words_of = self.known, self.library.model.tokenize, self.special, self._words
+        known, tokenize, special, words_of, lower = self.known, self.library.model.tokenize, self.special, self._words, self.lower
+        marked = special("\0".join(pieces)) is not None  # hardly ever
         for k, piece in enumerate(pieces):
-            if not piece or _BEYOND(piece) or special(piece):
+            if not piece or _BEYOND(piece) or (marked and special(piece)):
                 rest.append(k)
                 continue
+            if not lower:
+                led = piece[0] == " "
+                body = piece[1:] if led else piece
+                if body.isalpha():  # a word that no other piece has: nothing to look up or keep
+                    signs = body if body.isascii() else "".join(map(_SIGNS.__getitem__, body))
+                    out[k] = [t.id for t in tokenize(_SPACE + signs if led else signs)]
+                    continue
             words = words_of(piece)
-            if words and words[0] is piece:  # a word that no other piece has: nothing to look up or keep
-                signs = piece.replace(" ", _SPACE) if piece.isascii() else "".join(map(_SIGNS.__getitem__, piece))
-                out[k] = [t.id for t in tokenize(signs)]
-                continue
             ids: list[int] = []
             for word in words:
                 got = known.get(word)
