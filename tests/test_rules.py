@@ -385,3 +385,45 @@ def test_plain_text_of_messages(spark):
     m = {"content": [{"type": "thinking", "text": "no"}, {"type": "text", "id": "no", "text": "one"}, {"type": "tool_result", "content": [{"type": "text", "text": "two"}]}], "tool_calls": [{"function": {"name": "bash", "arguments": "{}"}}]}
     assert one(spark, json.dumps(m), of=arguments.plain_text) == "one\ntwo\nbash\n{}"
     assert one(spark, '{"content": "plain"}', of=arguments.plain_text) == "plain" and one(spark, "broken", of=arguments.plain_text) == ""
+
+
+SKELETONS = [
+    ("A=1 sudo -u bob git commit -m 'x y' && cd /tmp; ls -la > out.txt", "<assign> sudo -u <str> git commit -m <str> && cd <path> ; ls -la > <path>"),
+    ("cat <<EOF > f.py\na | b\nEOF\npython3 -m pytest -q tests/", "cat > <path> <heredoc> ; python -m pytest -q <path>"),
+    ("docker exec db mysql -proot -h127.0.0.1 x", "docker exec <str> <str> -p=<value> -h=<value> <str>"),
+    ("uv run pytest -k foo\ngrep -A10 x", "uv run pytest -k <str> ; grep -A=<value> <str>"),
+    ("(cd x && make) > log.txt 2>&1 &", "cd <str> && make > <path> 2>&1 &"),
+    ("node server.js & echo hi", "node <path> & echo <str>"),
+    ("if true; then make; fi", "true ; make"),
+    ("", None),
+]
+
+
+def test_command_skeletons(spark):
+    df = spark.createDataFrame([(k, c[0]) for k, c in enumerate(SKELETONS)], "k int, command string")
+    found = df.select("k", shell.programs(F.col("command"), skeleton=True)["skeleton"].alias("skeleton")).orderBy("k").collect()
+    assert [r.skeleton for r in found] == [s for _, s in SKELETONS]
+
+
+def test_call_facts_of_odd_arguments(spark):
+    from tracemill.operators import calljob
+
+    given = ['{"commands": ["ls", {"command": "cat f.txt"}, 3]}', '{"code": "a=1"}', "[1]", '{"a":', "{}", None, '{"x": 1, "x": "a/b", "n": null}', '{"q\\"": "é", "subagent_type": "explore"}']
+    df = spark.createDataFrame([(k, "bash", a) for k, a in enumerate(given)], "k int, raw_name string, arguments string")
+    found = calljob.facts(df, toolcalls.Rules()).orderBy("k").collect()
+    assert [r.arguments_skeleton for r in found] == ['{"commands": "ls ; cat <path>"}', '{"code": "<code>"}', "<unparsed>", "<unparsed>", "{}", "<unparsed>", '{"x": "<path>", "n": "<null>"}', '{"q\\"": "<str>", "subagent_type": "<str>"}']
+    assert [r.programs for r in found[:3]] == [["ls", "cat"], ["code (code)"], []] and [r.parse_status for r in found[:3]] == ["success", "success", "failed"]
+    assert found[7].subagent_type == "explore" and {r.category for r in found[2:]} == {"Other"}
+
+
+def test_calls_written_as_text_join_the_job(spark):
+    from tracemill.operators import calljob
+
+    first = json.dumps({"choices": [{"message": {"content": "I look: <read>a.txt</read>"}}]})
+    prompt = json.dumps({"messages": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": "I look"}, {"role": "user", "content": "[read for 'a.txt'] Result:\nError: none"}]})
+    rows = [("s", 0, '{"messages":[]}', first, "I look: <read>a.txt</read>"), ("s", 1, prompt, '{"choices":[]}', "")]
+    requests = spark.createDataFrame(rows, "session_id string, step int, prompt string, response string, reply string")
+    (found,) = calljob.tool_calls(requests, toolcalls.Rules(), F.length, reply="reply").collect()
+    assert (found.step, found.raw_name, found.family, found.category, found.arguments_skeleton) == (0, "read", "read", "Read", "<unparsed>")
+    assert found.outcome == "ok" and found.result_tokens == len("[read for 'a.txt'] Result:\nError: none")
+    assert calljob.tool_calls(requests, toolcalls.Rules(), F.length).count() == 0

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arguments import type_word
 from .strings import let
 
 # fixed values
@@ -26,6 +27,10 @@ SOURCE_WORDS = [
     "require", "print", "self", "this",
 ]
 SPELLINGS = {"python3": "python", "python2": "python", "py": "python", "pip3": "pip", "node18": "node", "nodejs": "node"}
+GLUED = [
+    "mysql", "mysqldump", "mysqladmin", "mysqlimport", "mysqlshow", "mysqlcheck", "mariadb", "mariadb-dump", "mariadb-admin", "sshpass", "sqlcmd", "bcp", "isql", "sqlplus", "mongo", "mongosh", "mongodump",
+    "mongorestore", "smbclient", "htpasswd", "redis-cli", "psql", "pg_dump", "pg_restore", "pg_dumpall",
+]
 ASSIGNMENT = r"^[A-Za-z_][A-Za-z0-9_]*="
 DURATION = r"^[0-9.]+[smh]?$"
 PROGRAM = r"^[A-Za-z0-9_][A-Za-z0-9_.\-]*$"
@@ -43,7 +48,7 @@ _HERE_DOCUMENT = r"(<<-?[ \t]*+(['\"]?)(\w++)\2[^\n]*+)\n(?:[^\n]*+\n)*?[ \t]*+\
 _BALANCED = r"""^(?:[^'"\\`]++|\\[\s\S]|'[^']*+'|"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"|`[^`]*+`)*+$"""
 
 _EMPTY = "array<string>"
-_RUN = "array<struct<joined:string,words:array<string>>>"
+_RUN = "array<struct<joined:string,words:array<string>,redirects:array<string>,here:boolean,background:boolean>>"
 
 
 def _unquoted(word: Column) -> Column:
@@ -52,21 +57,32 @@ def _unquoted(word: Column) -> Column:
 
 
 def commands(command: Column) -> Column:
-    """run: simple commands in order, with the operator before each and its words without redirects; and whether any runs in the background."""
+    """run: simple commands in order, with the operator before each, its words without redirects, the words of its redirects, and whether
+    it opens a here-document or runs in the background; and whether any runs in the background."""
     bare = F.regexp_replace(F.regexp_replace(command, r"\\\n", " "), _HERE_DOCUMENT, "$1")
-    start = F.struct(F.array().cast(_RUN).alias("run"), F.array().cast(_EMPTY).alias("words"), F.lit("").alias("joined"), F.lit(False).alias("target"), F.lit(False).alias("background"))
+    start = F.struct(F.array().cast(_RUN).alias("run"), F.array().cast(_EMPTY).alias("words"), F.array().cast(_EMPTY).alias("redirects"), F.lit(False).alias("here"), F.lit(False).alias("marker"), F.lit("").alias("joined"), F.lit(False).alias("target"), F.lit(False).alias("background"))
 
     def step(a: Column, piece: Column) -> Column:
         operator = piece.rlike(rf"^(?:{_OPERATOR}|\{{|\}})$")
         redirect = ~operator & piece.rlike(rf"^(?:{_REDIRECT})$")
         comment = piece.startswith("#")
         some = F.size(a["words"]) > 0
-        closed = F.concat(a["run"], F.array(F.struct(a["joined"].alias("joined"), a["words"].alias("words"))).cast(_RUN))
+        done = F.struct(a["joined"].alias("joined"), a["words"].alias("words"), a["redirects"].alias("redirects"), a["here"].alias("here"), (piece == "&").alias("background"))
+        closed = F.concat(a["run"], F.array(done).cast(_RUN))
+        opens = redirect & piece.rlike("^<<-?$")
+        # redirects and & after a group belong to its last command
+        late = operator & ~some & (F.size(a["run"]) > 0) & ((F.size(a["redirects"]) > 0) | a["here"] | (piece == "&"))
+        last = F.get(a["run"], F.size(a["run"]) - 1)
+        grown = F.struct(last["joined"].alias("joined"), last["words"].alias("words"), F.concat(last["redirects"], a["redirects"]).alias("redirects"), (last["here"] | a["here"]).alias("here"), (last["background"] | (piece == "&")).alias("background"))
+        grouped = F.concat(F.slice(a["run"], 1, F.size(a["run"]) - 1), F.array(grown).cast(_RUN))
         after = F.when(piece.isin("|", "|&"), "|").when(piece.isin("&&", "||"), piece).when(piece.isin(";", ";;"), ";").otherwise("")
         word = ~operator & ~redirect & ~comment
         return F.struct(
-            F.when(operator & some, closed).otherwise(a["run"]).alias("run"),
+            F.when(operator & some, closed).when(late, grouped).otherwise(a["run"]).alias("run"),
             F.when(operator, F.array().cast(_EMPTY)).when(word & ~a["target"], F.array_append(a["words"], _unquoted(piece))).otherwise(a["words"]).alias("words"),
+            F.when(operator, F.array().cast(_EMPTY)).when((redirect & ~opens) | (word & a["target"] & ~a["marker"]), F.array_append(a["redirects"], _unquoted(piece))).otherwise(a["redirects"]).alias("redirects"),
+            ((a["here"] & ~operator) | opens).alias("here"),
+            opens.alias("marker"),
             # a line break or a bracket after an operator leaves that operator in force
             F.when(operator & (some | ~piece.isin("\n", "(", "{")), after).otherwise(a["joined"]).alias("joined"),
             F.when(redirect, ~piece.rlike(r"&(?:\d+-?|-)$")).when(word | operator, False).otherwise(a["target"]).alias("target"),
@@ -111,14 +127,63 @@ def label(words: Column) -> Column:
     return let(F.slice(words, prefix_size(words) + 1, F.greatest(F.size(words), F.lit(1))), of)
 
 
-def programs(command: Column) -> Column:
-    """programs, joined_by, background, wrappers (words before each program) and parse_status of a command; null for null."""
+def _rest(words: Column) -> Column:
+    """The words after the program that its label does not name."""
+
+    def of(rest: Column) -> Column:
+        name, after = program_name(F.get(rest, 0)), F.slice(rest, 2, F.greatest(F.size(rest), F.lit(1)))
+        places = F.filter(F.transform(after, lambda w, i: F.when(w.rlike(SUBCOMMAND), i)), lambda i: i.isNotNull())
+        taken = F.when(name.isin(*RUNNERS) & (F.get(after, F.get(places, 0)) == "run"), 2).otherwise(1)
+        module = F.when((F.get(after, 0) == "-m") & (F.size(after) > 1), 2).when(F.get(after, 0) == "-c", 1).otherwise(0)
+        named = let(F.slice(places, 1, taken), lambda used: F.filter(after, lambda w, i: ~F.array_contains(used, i)))
+        return F.when(name == "python", F.filter(after, lambda w, i: i >= module)).when(name.isin(*SUBCOMMANDS), named).otherwise(after)
+
+    return let(F.slice(words, prefix_size(words) + 1, F.greatest(F.size(words), F.lit(1))), of)
+
+
+def _typed(c: Column) -> Column:
+    """A simple command with its values erased: assignments and wrappers' values, the label as it is, arguments, redirects."""
+
+    def before(w: Column) -> Column:
+        return F.when(w.rlike(ASSIGNMENT), "<assign>").when(program_name(w).isin(*WRAPPERS), program_name(w)).otherwise(type_word(w))
+
+    def after(words: Column) -> Column:
+        glues = lambda w: F.lower(program_name(w)).isin(*GLUED)
+        own = glues(F.split(c["label"], " ")[0])
+        # a program named among the arguments (`docker exec db mysql -proot`) makes the flags after it its own
+        first = F.array_position(F.transform(words, glues), True)
+        return F.transform(words, lambda w, i: type_word(w, own | ((first > 0) & (i + 1 >= first))))
+
+    kept = F.filter(c["before"], lambda w: ~w.isin(*OPENING))
+    parts = F.concat(F.transform(kept, before), F.array(c["label"]), let(F.concat(c["rest"], c["redirects"]), after), F.when(c["here"], F.array(F.lit("<heredoc>"))).otherwise(F.array().cast(_EMPTY)))
+    return F.array_join(parts, " ")
+
+
+def _skeleton(ran: Column) -> Column:
+    """Typed commands with the operators between them; a line break counts as `;`."""
+
+    def placed(c: Column, i: Column) -> Column:
+        between = F.when(F.get(ran, i - 1)["background"], "&").otherwise(F.coalesce(F.nullif(c["joined"], F.lit("")), F.lit(";")))
+        return F.concat(F.when(i == 0, "").otherwise(F.concat(between, F.lit(" "))), _typed(c))
+
+    end = F.when(F.get(ran, F.size(ran) - 1)["background"], " &").otherwise("")
+    return F.when(F.size(ran) > 0, F.concat(F.array_join(F.transform(ran, placed), " "), end))
+
+
+def programs(command: Column, skeleton: bool = False) -> Column:
+    """programs, joined_by, background, wrappers (words before each program) and parse_status of a command, and skeleton (its
+    commands with values erased; null without a program) where asked for; null for null."""
+
+    def run(c: Column) -> Column:
+        more = [_rest(c["words"]).alias("rest"), c["redirects"].alias("redirects"), c["here"].alias("here"), c["background"].alias("background")] if skeleton else []
+        return F.struct(label(c["words"]).alias("label"), c["joined"].alias("joined"), F.slice(c["words"], 1, prefix_size(c["words"])).alias("before"), *more)
+
     def of(read: Column) -> Column:
-        ran = F.transform(read["run"], lambda c: F.struct(label(c["words"]).alias("label"), c["joined"].alias("joined"), F.slice(c["words"], 1, prefix_size(c["words"])).alias("before")))
+        ran = F.transform(read["run"], run)
         status = F.when(command.rlike(_BALANCED), "success").otherwise("partial")
         return let(F.filter(ran, lambda c: c["label"].isNotNull()), lambda ran: F.struct(
             F.transform(ran, lambda c: c["label"]).alias("programs"), F.transform(ran, lambda c, i: F.when(i == 0, "").otherwise(c["joined"])).alias("joined_by"), read["background"].alias("background"),
-            F.flatten(F.transform(ran, lambda c: c["before"])).alias("wrappers"), status.alias("parse_status"),
+            F.flatten(F.transform(ran, lambda c: c["before"])).alias("wrappers"), status.alias("parse_status"), *([_skeleton(ran).alias("skeleton")] if skeleton else []),
         ))
 
     return F.when(command.isNotNull(), let(commands(command), of))

@@ -15,12 +15,14 @@ from ..sources import bodies
 from .registry import query, table
 
 
-def _prompts(s, d):
+def prompts(s, d, arguments=None):
+    """arguments: of a turn's call, from its columns; an empty object else."""
+    arguments = F.lit("{}") if arguments is None else arguments
     c = table(s, d, "conversations").select("conv_id", "turn", "role", "text")
     before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     call = lambda turn: F.concat(F.lit("call-"), "conv_id", F.lit("x"), turn)
     block = F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))))
-    asked = F.when(F.col("role") == "assistant", F.array(F.struct(call(F.col("turn")).alias("id"), F.struct(F.lit("bash").alias("name"), F.lit("{}").alias("arguments")).alias("function"))))
+    asked = F.when(F.col("role") == "assistant", F.array(F.struct(call(F.col("turn")).alias("id"), F.struct(F.lit("bash").alias("name"), arguments.alias("arguments")).alias("function"))))
     tool = (F.col("role") == "user") & (F.col("turn") % 4 == 2)
     plain = F.to_json(F.struct(F.when(tool, "tool").otherwise(F.col("role")).alias("role"), F.when(tool, call(F.col("turn") - 1)).alias("tool_call_id"), F.col("text").alias("content"), asked.alias("tool_calls")))
     message = F.when((F.col("role") == "user") & (F.col("turn") % 4 == 0), F.concat(F.lit('{"role":"user","content":'), block, F.lit("}"))).otherwise(plain)
@@ -42,40 +44,40 @@ _BODY = """WITH x_c AS (SELECT conv_id, turn, role, text, CASE WHEN role = 'user
 
 @query("X28_fresh_results", _BODY + " SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY turn) - 1 AS result_index, 'call-' || conv_id || 'x' || (turn - 1) AS raw_id, md5(t) AS text FROM x_n WHERE kind = 'tool' AND last IS NOT NULL", fixture=False)
 def _(s, d):
-    return bodies.fresh_results(_prompts(s, d)).select("request_id", "result_index", "raw_id", F.md5("text").alias("text"))
+    return bodies.fresh_results(prompts(s, d)).select("request_id", "result_index", "raw_id", F.md5("text").alias("text"))
 
 
 @query("X24_new_content", _BODY + " SELECT request_id, CASE WHEN count(n.turn) = 0 THEN 'nothing' WHEN bool_or(kind = 'tool') THEN 'tool_result' ELSE 'user_message' END AS kind FROM x_r LEFT JOIN x_n n USING (request_id) GROUP BY 1", fixture=False)
 def _(s, d):
-    return _prompts(s, d).select("request_id", bodies.new_content_kind(F.col("prompt")).alias("kind"))
+    return prompts(s, d).select("request_id", bodies.new_content_kind(F.col("prompt")).alias("kind"))
 
 
 @query("X4_intro_window", _BODY + " SELECT request_id, md5(lower(substr(coalesce(string_agg(t, chr(10) ORDER BY turn) FILTER (WHERE place < 6 AND kind IN ('system', 'user')), ''), 1, 20000))) AS intro FROM x_r LEFT JOIN x_m USING (request_id) GROUP BY 1", fixture=False)
 def _(s, d):
-    return _prompts(s, d).select("request_id", F.md5(bodies.intro_window(F.col("prompt"))).alias("intro"))
+    return prompts(s, d).select("request_id", F.md5(bodies.intro_window(F.col("prompt"))).alias("intro"))
 
 
 @query("X31_first_user_text", _BODY + " SELECT request_id, md5(coalesce(arg_min(t, turn) FILTER (WHERE kind = 'user'), '')) AS first FROM x_r LEFT JOIN x_m USING (request_id) GROUP BY 1", fixture=False)
 def _(s, d):
-    return _prompts(s, d).select("request_id", F.md5(bodies.first_user_text(F.col("prompt"))).alias("first"))
+    return prompts(s, d).select("request_id", F.md5(bodies.first_user_text(F.col("prompt"))).alias("first"))
 
 
 @query("X29_declared_tools", _BODY + " SELECT request_id, CASE WHEN conv_id % 2 = 0 THEN ['bash', 'read'] ELSE [] END AS tools FROM x_r", fixture=False)
 def _(s, d):
-    return _prompts(s, d).select("request_id", bodies.declared_tools(F.col("prompt")).alias("tools"))
+    return prompts(s, d).select("request_id", bodies.declared_tools(F.col("prompt")).alias("tools"))
 
 
 @query("X30_input_entries", _BODY + """, x_e AS (SELECT request_id, -2 AS k, 'tool_definitions' AS role, NULL AS text FROM x_r WHERE conv_id % 2 = 0 UNION ALL SELECT request_id, -1, 'system', 'system of ' || conv_id FROM x_r WHERE conv_id % 3 = 0
     UNION ALL SELECT request_id, turn, kind, t || CASE WHEN role = 'assistant' THEN chr(10) || 'bash' || chr(10) || '{}' ELSE '' END FROM x_m)
     SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY k) - 1 AS position, role, CASE WHEN role <> 'tool_definitions' THEN md5(text) END AS text FROM x_e""", fixture=False)
 def _(s, d):
-    e = bodies.input_entries(_prompts(s, d))
+    e = bodies.input_entries(prompts(s, d))
     return e.select("request_id", "position", "role", F.when(F.col("role") != "tool_definitions", F.md5("text")).alias("text"))
 
 
 @query("S10_system_prompts", _BODY + " SELECT request_id, 'system of ' || conv_id AS system_text FROM x_r WHERE conv_id % 3 = 0", fixture=False)
 def _(s, d):
-    return bodies.system_prompts(_prompts(s, d)).select("request_id", "system_text")
+    return bodies.system_prompts(prompts(s, d)).select("request_id", "system_text")
 
 
 @query("X35_signals", _BODY + r""", x_w AS (SELECT request_id, conv_id, here, list_filter(string_split_regex(text, '[ \n\t]+'), lambda w: w <> '') AS w FROM x_r), x_p AS (SELECT r.request_id, m.conv_id, m.turn, list_filter(string_split_regex(substr(m.t || chr(10) || 'bash' || chr(10) || '{}', 1, 8000), '[ \n\t]+'), lambda w: w <> '') AS w FROM x_l r JOIN x_m m ON m.request_id = r.request_id AND m.turn = last)
@@ -83,7 +85,7 @@ def _(s, d):
       CASE WHEN len(a.w) >= 8 THEN len(list_distinct([array_to_string(a.w[i:i + 7], ' ') for i in range(1, len(a.w) - 6)])) END AS answer, CASE WHEN p.turn IS NULL THEN 0 ELSE len(list_distinct([array_to_string(p.w[i:i + 7], ' ') for i in range(1, greatest(len(p.w) - 7, 1) + 1)])) END AS held
     FROM x_w a LEFT JOIN x_p p USING (request_id)""", fixture=False)
 def _(s, d):
-    p = _prompts(s, d)
+    p = prompts(s, d)
     words = F.size(strings.words(F.get_json_object("response", "$.choices[0].message.content")))
     x = bodies.signals(p).join(p.select("request_id", (words >= 8).alias("long_answer")), "request_id")
     return x.select("request_id", F.array_join("emitted_ids", ",").alias("emitted"), F.array_join("replayed_ids", ",").alias("replayed"), "long_answer", F.when(F.col("long_answer"), F.size("answer_shingles").cast("long")).alias("answer"), F.size("replayed_shingles").cast("long").alias("held"))
