@@ -29,6 +29,109 @@ def with_stand_ins(labels: DataFrame, public: DataFrame, stand_in: str = "<word>
     return labels.join(best, "label", "left").withColumn("shown", shown).drop("n")
 
 
+# fixed values
+WORD, PROGRAM, KEY = "<word>", "<program>", "<key>"
+LONG_FLAG, SHORT_FLAG, VALUE = "--<flag>", "-<flag>", "=<value>"
+FLAGS = (LONG_FLAG, SHORT_FLAG, LONG_FLAG + VALUE, SHORT_FLAG + VALUE)
+TYPES = ("<path>", "<num>", "<str>", "<bool>", "<null>", "<list>", "<object>", "<code>", "<unparsed>")
+SCRIPT = r"(?i)\.(sh|bash|py|js|mjs|cjs|ts|ps1|rb|pl|bat|cmd|php|lua)$"
+
+
+def typed_stand_in(label: Column, rules) -> Column:
+    """`<purpose>` of a hidden label whose purpose is known, else `<script>.<ending>` of a script, else null."""
+    from .toolcalls import purpose
+
+    ending = F.lower(F.regexp_extract(F.split(F.trim(label), r"\s+")[0], SCRIPT, 1))
+    return strings.let(purpose(label, rules), lambda p: F.when(p != "other", F.concat(F.lit("<"), p, F.lit(">"))).when(ending != "", F.concat(F.lit("<script>."), ending)))
+
+
+def released_labels(labels: DataFrame, public: DataFrame, stand_ins: list[str], rules) -> DataFrame:
+    """labels: label. What each ships as: itself where public; its longest public prefix and `<word>`; its typed stand-in, if that is
+    listed; else `<program>`. Distinct labels are few beside calls, and meet public words by a join."""
+    w = F.split(F.trim("label"), r"\s+")
+    parts = F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.struct(i.alias("n"), F.array_join(F.slice(w, 1, i), " ").alias("word")))
+    prefixes = labels.select("label").distinct().select("label", F.size(w).alias("size"), F.explode(parts).alias("p")).select("label", "size", "p.*")
+    best = prefixes.join(public.select("word"), "word").groupBy("label").agg(F.max_by("word", "n").alias("prefix"), F.max(F.col("n") == F.col("size")).alias("whole"))
+    typed = typed_stand_in(F.col("label"), rules)
+    shown = F.when(F.col("whole"), F.col("label")).when(F.col("prefix").isNotNull(), F.concat_ws(" ", "prefix", F.lit(WORD))).when(typed.isin(*stand_ins), typed).otherwise(PROGRAM)
+    return labels.join(best, "label", "left").withColumn("released_label", shown).drop("prefix", "whole")
+
+
+def _is_command(key: Column, value: Column) -> Column:
+    return ~value.isin(*TYPES) & (key != "subagent_type")
+
+
+def skeleton_tokens(skeletons: DataFrame) -> DataFrame:
+    """Distinct skeletons (skeleton) as rows: pair, key, value, and for commands place, token, and whether a program stands there, which
+    is in each command the first word that is no wrapper, placeholder or flag."""
+    from ..functions import arguments, shell
+
+    pairs = skeletons.select("skeleton").distinct().select("skeleton", F.posexplode(arguments.skeleton_pairs(F.col("skeleton"))).alias("pair", "p")).select("skeleton", "pair", "p.*")
+
+    def step(a: Column, w: Column) -> Column:
+        operator = w.isin(*arguments.OPERATORS)
+        program = ~operator & a["open"] & ~w.isin(*shell.WRAPPERS, *arguments.PLACEHOLDERS) & ~w.startswith("-")
+        return F.struct((operator | (a["open"] & ~program)).alias("open"), F.array_append(a["out"], F.struct(w.alias("token"), program.alias("program"))).alias("out"))
+
+    start = F.struct(F.lit(True).alias("open"), F.array().cast("array<struct<token:string,program:boolean>>").alias("out"))
+    words = F.when(_is_command(F.col("key"), F.col("value")), F.aggregate(F.split(F.trim("value"), r"\s+"), start, step, lambda a: a["out"]))
+    return pairs.select("*", F.posexplode_outer(words).alias("place", "w")).select("skeleton", "pair", "key", "value", "place", "w.token", "w.program")
+
+
+def _plain(token: Column) -> Column:
+    return F.regexp_replace(token, "=<value>$", "")
+
+
+def released_skeletons(calls: DataFrame, keys: DataFrame, words: DataFrame, stand_ins: list[str], rules) -> DataFrame:
+    """calls: skeleton (and subagent_type, public_type where those are to ship). A key that is not in keys becomes `<key>`; a command word
+    that is neither a placeholder, an operator nor in words becomes its stand-in: a program's typed one if listed, else `<program>`; a
+    flag's with its dashes; else `<word>`. keys, words: word. Works on distinct skeletons, whose words meet the lists by joins."""
+    from ..functions import arguments
+
+    t = skeleton_tokens(calls).withColumn("__w", _plain(F.col("token")))
+    t = t.join(words.select(F.col("word").alias("__w"), F.lit(True).alias("__known")), "__w", "left").join(keys.select(F.col("word").alias("key"), F.lit(True).alias("__public")), "key", "left")
+    typed = typed_stand_in(F.col("token"), rules)
+    end = F.when(F.endswith("token", F.lit(VALUE)), VALUE).otherwise("")
+    hidden = F.when(F.col("program"), F.when(typed.isin(*stand_ins), typed).otherwise(PROGRAM)).when(F.startswith("token", F.lit("--")), F.concat(F.lit(LONG_FLAG), end)).when(F.startswith("token", F.lit("-")), F.concat(F.lit(SHORT_FLAG), end)).otherwise(WORD)
+    shown = F.when(F.col("__known") | F.col("token").isin(*arguments.PLACEHOLDERS, *arguments.OPERATORS), F.col("token")).otherwise(hidden)
+    values = t.withColumn("token", F.when(F.col("token").isNotNull(), shown)).groupBy("skeleton", "pair").agg(F.any_value("key").alias("key"), F.any_value("value").alias("value"), F.any_value("__public").alias("public"), F.sort_array(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("place", "token")))).alias("w"))
+    value = F.when(F.size("w") > 0, F.array_join(F.transform("w", lambda x: x["token"]), " ")).otherwise(F.when(_is_command(F.col("key"), F.col("value")) | F.col("value").isin(*TYPES), F.col("value")).otherwise(WORD))
+    rows = values.groupBy("skeleton").agg(F.sort_array(F.collect_list(F.struct("pair", F.when(F.col("public"), F.col("key")).otherwise(KEY).alias("key"), value.alias("value"), (F.col("key") == "subagent_type").alias("kind")))).alias("__p"))
+    typed_pair = lambda p: F.struct(p["key"].alias("key"), (F.when(p["kind"] & F.col("__type").isNotNull() & (p["value"] == "<str>"), F.col("__type")).otherwise(p["value"])).alias("value"))
+    kind = F.when(F.col("public_type"), F.col("subagent_type")) if {"public_type", "subagent_type"} <= set(calls.columns) else F.lit(None).cast("string")
+    out = calls.withColumn("__type", kind).join(rows, "skeleton", "left")
+    return out.withColumn("released_skeleton", F.when(F.col("__p").isNull(), F.col("skeleton")).otherwise(arguments.skeleton_text(F.transform("__p", typed_pair)))).drop("__p", "__type")
+
+
+def allowed_labels(values: DataFrame, public: DataFrame, stand_ins: list[str]) -> DataFrame:
+    """values: value, with whether it may ship as a program label: public, a public prefix and `<word>`, `<program>` or a listed stand-in."""
+    v = values.withColumn("__w", F.regexp_replace("value", r" <word>$", "")).join(public.select(F.col("word").alias("__w"), F.lit(True).alias("__p")), "__w", "left")
+    return v.withColumn("allowed", F.coalesce(F.col("__p"), F.lit(False)) | F.col("value").isin(PROGRAM, *stand_ins)).drop("__w", "__p")
+
+
+def allowed_skeletons(skeletons: DataFrame, keys: DataFrame, words: DataFrame, stand_ins: list[str], types: DataFrame) -> DataFrame:
+    """Distinct skeletons with whether they may ship: keys public or `<key>`, values placeholders, public subagent types or commands of
+    public words, placeholders, operators and stand-ins; anything but an object or `<unparsed>` may not."""
+    from ..functions import arguments
+
+    t = skeleton_tokens(skeletons).withColumn("__w", F.when(F.col("token").isNull() & (F.col("key") == "subagent_type"), F.concat(F.lit("type "), "value")).otherwise(_plain(F.col("token"))))
+    known = words.select(F.col("word").alias("__w")).union(types.select(F.concat(F.lit("type "), "word"))).distinct().withColumn("__known", F.lit(True))
+    t = t.join(known, "__w", "left").join(keys.select(F.col("word").alias("key"), F.lit(True).alias("__public")), "key", "left")
+    marks = [WORD, PROGRAM, *FLAGS, *stand_ins, *arguments.PLACEHOLDERS, *arguments.OPERATORS]
+    key = F.col("__public") | (F.col("key") == KEY)
+    value = F.col("__known") | F.when(F.col("token").isNull(), F.col("value").isin(*TYPES)).otherwise(F.col("token").isin(*marks))
+    bad = t.filter(~(F.coalesce(key, F.lit(False)) & F.coalesce(value, F.lit(False)))).select("skeleton").distinct().withColumn("__bad", F.lit(True))
+    whole = F.coalesce((F.col("skeleton") == "<unparsed>") | arguments.ordered_pairs(F.col("skeleton")).isNotNull(), F.lit(False))
+    return skeletons.select("skeleton").distinct().join(bad, "skeleton", "left").select("skeleton", (whole & F.col("__bad").isNull()).alias("allowed"))
+
+
+def raw_ids(requests: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Distinct ids of a week's requests (request_id, session_id, user_id) and sessions (session_id, trace_id, user_id): one exploded pass
+    over each table."""
+    ids = lambda df, *columns: df.select(F.explode(F.array(*columns)).alias("id"))
+    return ids(requests, "request_id", "session_id", "user_id").union(ids(sessions, "session_id", "trace_id", "user_id")).filter(F.col("id").isNotNull()).distinct()
+
+
 def released_name(df: DataFrame, name: str, public: DataFrame) -> DataFrame:
     p = public.select(F.col("word").alias("__w")).withColumn("__p", F.lit(True))
     return df.join(p, F.lower(name) == F.col("__w"), "left").withColumn("released_name", F.when(F.col(name).isNotNull(), F.when(F.col("__p"), F.lower(name)).otherwise("other"))).drop("__w", "__p")

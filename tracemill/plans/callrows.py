@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import fixtures as fx
 from ..functions import shell, strings
-from ..operators import calljob, toolcalls
+from ..operators import calljob, privacy, toolcalls
 from .bodies import prompts
-from .jobs import _SIX, _commands
+from .jobs import _SIX, _commands, sixes
 from .registry import query
 
 RULES = toolcalls.Rules()
@@ -47,3 +48,59 @@ def _(s, d):
     c = calljob.tool_calls(r, RULES, lambda t: F.size(strings.words(t)).cast("long"))
     joined = lambda x: F.array_join(x, ",").alias(x)
     return c.select(F.col("session_id").alias("conv_id"), "step", "call_index", "canonical_name", joined("programs"), joined("joined_by"), "deciding_program", "parse_status", "category", "arguments_skeleton", "result_tokens", "outcome")
+
+
+# ---- what ships of a call
+
+_KNOWN = sorted({w for words in RULES.purposes.values() for w in words})
+STAND_INS = ["<search>", "<script>.sh"]
+_PUBLIC = _SIX + f""", x_a AS (SELECT source AS account, unnest(list_filter(string_split_regex(lower(text), '[ \n\t]+'), lambda w: w <> '')) AS word FROM documents),
+    x_p AS (SELECT word FROM x_a WHERE account IS NOT NULL AND length(word) % 2 = 0 GROUP BY word HAVING count(DISTINCT account) >= 3), x_t AS (SELECT *, a IN (FROM x_p) AS pa, b IN (FROM x_p) AS pb, c IN (FROM x_p) AS pc, d IN (FROM x_p) AS pd, e IN (FROM x_p) AS pe FROM x_s WHERE NOT list_has_any([a, b, c, d, e], {_KNOWN}))"""
+
+
+def _words(s, d):
+    return sixes(s, d).withColumn("kind", F.col("i") % 4).filter(~F.arrays_overlap(F.array(*"abcde"), F.array(*map(F.lit, _KNOWN))))
+
+
+def _public(s, d):
+    """Words of even length that three sources or more use."""
+    return privacy.public_words(fx.words(s, d)).filter("length(word) % 2 = 0").select("word")
+
+
+@query("X33_released_labels", _PUBLIC + """ SELECT doc_id, i, CASE kind WHEN 0 THEN CASE WHEN pa THEN a || ' <word>' ELSE '<program>' END WHEN 1 THEN '<search>' WHEN 2 THEN '<script>.sh' ELSE CASE WHEN pa THEN a ELSE '<program>' END END AS released FROM x_t""", fixture=False)
+def _(s, d):
+    k = F.col("kind")
+    label = F.when(k == 0, F.concat_ws(" ", "a", "b")).when(k == 1, F.concat(F.lit("grep "), "a")).when(k == 2, F.concat("a", F.lit(".sh"))).otherwise(F.col("a"))
+    return privacy.released_labels(_words(s, d).select("doc_id", "i", label.alias("label")), _public(s, d), STAND_INS, RULES).select("doc_id", "i", F.col("released_label").alias("released"))
+
+
+@query("X33_released_skeletons", _PUBLIC + """ SELECT doc_id, i, '{"' || CASE WHEN i % 2 = 0 THEN 'command' WHEN pa THEN a ELSE '<key>' END || '": "' || CASE WHEN pb THEN b ELSE '<program>' END || ' --<flag>=<value> <path> && <search> -<flag> ' || CASE WHEN pe THEN e ELSE '<word>' END
+    || '", "subagent_type": "' || CASE WHEN pd THEN d ELSE '<str>' END || '"}' AS released FROM x_t""", fixture=False)
+def _(s, d):
+    key = F.when(F.col("i") % 2 == 0, "command").otherwise(F.col("a"))
+    text = F.concat(F.lit('{"'), key, F.lit('": "'), "b", F.lit(" --"), "c", F.lit("=<value> <path> && grep -"), "d", F.lit(" "), "e", F.lit('", "subagent_type": "<str>"}'))
+    public = _public(s, d)
+    keys = public.union(s.range(2).select(F.when(F.col("id") == 0, "command").otherwise("subagent_type").alias("word")))
+    c = _words(s, d).select("doc_id", "i", text.alias("skeleton"), F.col("d").alias("subagent_type"))
+    c = c.join(public.select(F.col("word").alias("subagent_type"), F.lit(True).alias("public_type")), "subagent_type", "left")
+    return privacy.released_skeletons(c, keys, public, STAND_INS, RULES).select("doc_id", "i", F.col("released_skeleton").alias("released"))
+
+
+@query("X19_allowed_skeletons", _PUBLIC + """ SELECT DISTINCT '{"' || a || '": "' || b || ' <path> | ' || c || ' -<flag>", "subagent_type": "' || d || '"}' AS skeleton, pa AND pb AND pc AND pd AS allowed FROM x_t""", fixture=False)
+def _(s, d):
+    text = F.concat(F.lit('{"'), "a", F.lit('": "'), "b", F.lit(" <path> | "), "c", F.lit(' -<flag>", "subagent_type": "'), "d", F.lit('"}'))
+    public = _public(s, d)
+    return privacy.allowed_skeletons(_words(s, d).select(text.alias("skeleton")), public.union(s.range(1).select(F.lit("subagent_type"))), public, STAND_INS, public)
+
+
+@query("X19_allowed_labels", _PUBLIC + " SELECT doc_id, i, CASE kind WHEN 0 THEN pa WHEN 1 THEN false WHEN 2 THEN true ELSE pa END AS allowed FROM x_t", fixture=False)
+def _(s, d):
+    k = F.col("kind")
+    value = F.when(k == 0, F.concat("a", F.lit(" <word>"))).when(k == 1, F.concat_ws(" ", "a", "b")).when(k == 2, F.when(F.col("i") % 8 == 2, "<program>").otherwise("<script>.sh")).otherwise(F.col("a"))
+    return privacy.allowed_labels(_words(s, d).select("doc_id", "i", value.alias("value")), _public(s, d), STAND_INS).select("doc_id", "i", "allowed")
+
+
+@query("U7_raw_ids", "SELECT DISTINCT id FROM (SELECT session_id || ':' || step AS id FROM fx_requests UNION ALL SELECT session_id FROM fx_requests UNION ALL SELECT user_id FROM fx_requests UNION ALL SELECT 'trace-' || session_id FROM fx_requests) WHERE id IS NOT NULL")
+def _(s, d):
+    r = fx.base_requests(s, d).select(F.concat_ws(":", "session_id", "step").alias("request_id"), "session_id", "user_id")
+    return privacy.raw_ids(r, r.select("session_id", F.concat(F.lit("trace-"), "session_id").alias("trace_id"), "user_id"))

@@ -19,12 +19,17 @@ _SIX = f"""WITH x_w AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \
     x_s AS (SELECT doc_id, i, i % 4 AS kind, w[6 * i + 1] AS a, w[6 * i + 2] AS b, w[6 * i + 3] AS c, w[6 * i + 4] AS d, w[6 * i + 5] AS e FROM (SELECT doc_id, w, unnest(range(len(w) // 6)) AS i FROM x_w))"""
 
 
+def sixes(s, d):
+    """Words a to f, six by six, of all documents: those of four letters or more that are no shell words."""
+    w = F.filter(strings.words(F.col("text")), lambda w: w.rlike("^[a-z]{4,}$") & ~w.isin(*_TAKEN))
+    at = F.when(F.size("w") >= 6, F.sequence(F.lit(0), F.floor(F.size("w") / 6).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    c = table(s, d, "documents").select("doc_id", w.alias("w")).select("doc_id", "w", F.explode(at).alias("i"))
+    return c.select("doc_id", "i", *(F.get("w", 6 * F.col("i") + k).alias(n) for k, n in enumerate("abcdef")))
+
+
 def _commands(s, d):
     """Commands of six words each of all documents: wrapped with redirects and a group, in the background, with a here-document, and with unbalanced quotes."""
-    w = F.filter(strings.words(F.col("text")), lambda w: w.rlike("^[a-z]{4,}$") & ~w.isin(*_TAKEN))
-    sixes = F.when(F.size("w") >= 6, F.sequence(F.lit(0), F.floor(F.size("w") / 6).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
-    c = table(s, d, "documents").select("doc_id", w.alias("w")).select("doc_id", "w", F.explode(sixes).alias("i"))
-    c = c.select("doc_id", "i", *(F.get("w", 6 * F.col("i") + k).alias(n) for k, n in enumerate("abcdef")))
+    c = sixes(s, d)
     made = ("sudo -u %s %s 2>&1 | %s '%s; x' && (%s) > %s &", "%s=1 nohup /usr/bin/%s %s & %s", "cat <<%1$s\n%2$s; %3$s | x\n%1$s\n%4$s || %5$s", "git %s; python3.11 -m %s # %s | x\n\"%s && %s")
     kind = F.col("i") % 4
     out = F.lit(None).cast("string")
