@@ -58,12 +58,30 @@ def hidden_shares(calls: DataFrame) -> DataFrame:
     )
 
 
-def manifest(sessions: DataFrame, reads: DataFrame, reasons: DataFrame) -> DataFrame:
-    """One row: sessions, sessions left out, and distinct blocks."""
-    a = sessions.agg(F.count("*").alias("sessions"))
-    b = reads.select("block_id").distinct().agg(F.count("*").alias("blocks"))
-    c = reasons.agg(F.count("*").alias("excluded"))
-    return a.join(b, F.lit(True)).join(c, F.lit(True))
+# fixed value
+FORMAT_VERSION = 1
+
+
+def manifest(sessions: DataFrame, requests: DataFrame, calls: DataFrame, reads: DataFrame, reasons: DataFrame, tokenizer: str) -> DataFrame:
+    """One row of a release: format, tokenizer, rows of each table, sessions left out by reason, and distinct blocks."""
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    out = count(sessions, "sessions").select(F.lit(FORMAT_VERSION).alias("format_version"), F.lit(tokenizer).alias("tokenizer"), "sessions")
+    by_reason = reasons.groupBy("reason").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "n")))).alias("excluded"))
+    for part in (count(requests, "requests"), count(calls, "tool_calls"), count(reads.select("block_id").distinct(), "blocks"), by_reason):
+        out = out.join(part, F.lit(True))  # one row each
+    return out
+
+
+def week_counters(outcomes: DataFrame, links: DataFrame, chains: DataFrame, spawns: DataFrame) -> DataFrame:
+    """One row from lines to matched spawn calls. outcomes: outcome of each line; links: parent_request_id; chains: session_id; spawns: child."""
+    a = outcomes.groupBy("outcome").agg(F.count("*").alias("n")).agg(
+        F.sum("n").alias("lines"), F.coalesce(F.sum(F.when(F.col("outcome") == "unparsable", F.col("n"))), F.lit(0)).alias("unparsable"), F.coalesce(F.sum(F.when(F.col("outcome") == "kept", F.col("n"))), F.lit(0)).alias("kept"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(~F.col("outcome").isin("kept", "unparsable"), F.struct("outcome", "n"))))).alias("dropped"),
+    )
+    b = links.agg(F.count("parent_request_id").alias("linked"))
+    c = chains.agg(F.count_distinct("session_id").alias("sessions"))
+    d = spawns.agg(F.count("*").alias("spawn_calls"), F.count("child").alias("spawn_calls_matched"))
+    return a.join(b, F.lit(True)).join(c, F.lit(True)).join(d, F.lit(True))
 
 
 def release_sessions(sessions: DataFrame, agent: DataFrame, spawns: DataFrame) -> DataFrame:

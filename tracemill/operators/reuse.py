@@ -146,3 +146,10 @@ def retention_summary(curves: DataFrame) -> DataFrame:
         *((at("normalised_prefill", t) - 1).alias(f"prefill_above_floor_{t}") for t in ("5m", "15m", "1h")), *((at("mean_retained_tokens", t) / at("mean_retained_tokens", "15m")).alias(f"retained_{t}_over_15m") for t in ("1h", "1d")),
         at("dead_over_active", "1d").alias("dead_over_active_1d"), (at("dead_over_active", "1d") / at("dead_over_active", "1d", "reclaim_both")).alias("reclaim_both_dead_fall_1d"),
     )
+
+
+def prefill_against_storage(curves: DataFrame, ttls: list[str]) -> DataFrame:
+    """Per scope, policy and chosen TTL: prefill above the floor, and what it keeps over what the shortest of them keeps."""
+    c = curves.filter(F.col("ttl").isin(*ttls))
+    first = F.max(F.when(F.col("ttl") == ttls[0], F.col("mean_retained_tokens"))).over(Window.partitionBy("scope", "policy"))
+    return c.select("scope", "policy", "ttl", (F.col("normalised_prefill") - 1).alias("prefill_above_floor"), (F.col("mean_retained_tokens") / first).alias("retained_over_first"))

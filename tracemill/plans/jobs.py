@@ -237,20 +237,36 @@ def _(s, d):
     return digests.digests(m, "salt").select(F.col("request_id").alias("conv_id"), F.md5(F.array_join("hashes", "")).alias("messages"), "tokens_user", "tokens_assistant", F.try_element_at("block_hashes", F.lit(-1)).alias("last_block"))
 
 
-@query("X10_typed_words", "SELECT event_id, ['--port=<value>', '-p=<value>', '-20', '<assign>', '<var>', '> <path>', '<num>', '<path>', '<str>', '<str>', '2>&1'][k % 11 + 1] AS typed FROM fx_requests")
+_FORMED = """WITH x_w AS (SELECT DISTINCT unnest(list_filter(string_split_regex(text, '[ \n\t]+'), lambda w: regexp_full_match(w, '[a-z]+'))) AS w FROM documents), x_k AS (SELECT w, length(w) AS n, (length(w) + ascii(w)) % {k} AS kind FROM x_w)"""
+
+
+def _formed(s, d, k):
+    """All distinct words of documents, with a kind by length and first letter."""
+    w = table(s, d, "documents").select(F.explode(strings.words(F.col("text"))).alias("w")).filter(F.col("w").rlike("^[a-z]+$")).distinct()
+    return w.withColumn("n", F.length("w")).withColumn("kind", (F.col("n") + F.ascii("w")) % k)
+
+
+@query("X10_typed_words", _FORMED.replace("{k}", "11") + """ SELECT w, CASE kind WHEN 0 THEN '--' || w || '=<value>' WHEN 1 THEN '-' || w[1] || '=<value>' WHEN 2 THEN '-' || n WHEN 3 THEN '<assign>' WHEN 4 THEN '<var>' WHEN 5 THEN '> <path>' WHEN 6 THEN '<num>' WHEN 7 THEN '<path>' WHEN 8 THEN '<str>' WHEN 9 THEN '-' || w ELSE n || '>&1' END AS typed FROM x_k""", fixture=False)
 def _(s, d):
     from ..functions import arguments
 
-    w = F.element_at(F.array(*map(F.lit, ("--port=80", "-p1x", "-20", "A=1", "$HOME", ">out.txt", "3.5", "src/a.py", "word", "---DONE ---", "2>&1"))), (F.col("k") % 11 + 1).cast("int"))
-    return fx.base_requests(s, d).select("event_id", arguments.type_word(w).alias("typed"))
+    forms = ("--%1$s=80", "-%1$s7x", "-%2$s", "%1$s=1", "$%1$s", ">%1$s.txt", "%2$s.5", "src/%1$s", "%1$s", "-%1$s", "%2$s>&1")
+    made = F.lit(None).cast("string")
+    for k, form in enumerate(forms):
+        made = F.when(F.col("kind") == k, F.format_string(form, "w", "n")).otherwise(made)
+    return _formed(s, d, 11).select("w", arguments.type_word(made).alias("typed"))
 
 
-@query("X9_value_types", "SELECT event_id, ['<bool>', '<num>', '<null>', '<list>', '<object>', '<num>', '<path>', '<str>'][k % 8 + 1] AS kind FROM fx_requests")
+@query("X9_value_types", _FORMED.replace("{k}", "8") + " SELECT w, ['<bool>', '<num>', '<null>', '<list>', '<object>', '<num>', '<path>', '<str>'][kind + 1] AS type FROM x_k", fixture=False)
 def _(s, d):
     from ..functions import arguments
 
-    v = F.element_at(F.array(*map(F.lit, ("true", "1.5", "null", "[1]", '{"a":1}', '"12"', '"a/b"', '"plain"'))), (F.col("k") % 8 + 1).cast("int"))
-    return fx.base_requests(s, d).select("event_id", F.parse_json(F.concat(F.lit('{"v":'), v, F.lit("}"))).alias("j")).select("event_id", arguments.value_type(F.try_variant_get("j", "$.v", "variant")).alias("kind"))
+    forms = ("true", "%2$s.5", "null", '["%1$s"]', '{"%1$s":1}', '"%2$s"', '"%1$s/b"', '"%1$s"')
+    made = F.lit(None).cast("string")
+    for k, form in enumerate(forms):
+        made = F.when(F.col("kind") == k, F.format_string(form, "w", "n")).otherwise(made)
+    j = _formed(s, d, 8).select("w", F.parse_json(F.concat(F.lit('{"v":'), made, F.lit("}"))).alias("j"))
+    return j.select("w", arguments.value_type(F.try_variant_get("j", "$.v", "variant")).alias("type"))
 
 
 @query("R5_ordered_pairs", "SELECT event_id, '{\"b\":' || k || ',\"a\":\"' || event_type || '\",\"b\":null}' AS text, 3 AS n FROM fx_requests")

@@ -212,16 +212,25 @@ def _(s, d):
     return b.select("doc_id", F.size("b").cast("long").alias("blocks"), F.try_element_at("b", F.lit(-1)).alias("last"))
 
 
-@query("X27_outcomes", """SELECT event_id, CASE WHEN k % 10 = 0 THEN CASE WHEN k % 20 = 0 THEN 'ok' ELSE 'error' END WHEN k % 10 = 1 THEN 'denied' WHEN k % 10 = 2 THEN 'timeout' WHEN k % 10 = 3 THEN CASE WHEN k % 4 = 0 THEN 'ok' ELSE 'error' END
-    WHEN k % 10 = 4 THEN 'error' WHEN k % 10 = 5 THEN 'ok' WHEN k % 10 = 6 THEN 'error' WHEN k % 10 = 7 THEN CASE WHEN k % 3 = 0 THEN 'ok' ELSE 'error' END WHEN k % 10 = 8 THEN 'error' ELSE 'ok' END AS outcome FROM fx_requests""")
-def _(s, d):
-    k = F.col("k")
-    text = (
-        F.when(k % 10 == 0, F.concat(F.lit('{"exit_code": '), F.when(k % 20 == 0, "0").otherwise("2"), F.lit("}"))).when(k % 10 == 1, "Note: user denied it").when(k % 10 == 2, "  Command timed out after 3 s")
-        .when(k % 10 == 3, F.concat(F.lit("<returncode>"), F.when(k % 4 == 0, "0").otherwise("-1"), F.lit("</returncode>"))).when(k % 10 == 4, "Error: no such file").when(k % 10 == 5, '{"error": "none", "status": "OK"}')
-        .when(k % 10 == 6, '{"error": "boom"}').when(k % 10 == 7, F.concat(F.lit("done\nexit code: "), F.when(k % 3 == 0, "0").otherwise("1"))).when(k % 10 == 8, "Search failed badly").otherwise("fine")
+_SAID = """WITH x_d AS (SELECT doc_id, text, doc_id % 10 AS kind, length(text) AS n FROM documents WHERE text IS NOT NULL)"""
+
+
+@query("X27_outcomes", _SAID + r""" SELECT doc_id, CASE kind WHEN 0 THEN CASE WHEN n % 2 = 0 THEN 'ok' ELSE 'error' END WHEN 1 THEN 'denied' WHEN 2 THEN 'timeout' WHEN 3 THEN CASE WHEN n % 4 = 0 THEN 'ok' ELSE 'error' END WHEN 4 THEN 'error' WHEN 5 THEN 'ok' WHEN 6 THEN 'error' WHEN 7 THEN CASE WHEN n % 3 = 0 THEN 'ok' ELSE 'error' END
+    WHEN 8 THEN 'error' ELSE 'ok' END AS outcome FROM x_d""", fixture=False)
+def _(s, d):
+    """Results made around every text: JSON fields before or after it, markers and codes before it, the text alone behind a plain word."""
+    t = table(s, d, "documents").filter("text is not null").select("doc_id", "text", (F.col("doc_id") % 10).alias("kind"), F.length("text").alias("n"))
+    quoted = F.to_json(F.struct(F.substring("text", 1, 300).alias("output")))
+    field = lambda x: F.concat(F.lit("{"), x, F.lit(","), F.substring(quoted, F.lit(2), F.length(quoted)))
+    number = lambda k, other: F.when(F.col("n") % k == 0, "0").otherwise(other)
+    made = (
+        F.concat(F.lit('"exit_code": '), number(2, "2")), F.concat(F.lit("Note: user denied it\n"), "text"), F.concat(F.lit("  Command timed out after 3 s\n"), "text"), F.concat(F.lit("<returncode>"), number(4, "-1"), F.lit("</returncode>\n"), "text"),
+        F.concat(F.lit("Error: no such file\n"), "text"), F.lit('"error": "none", "status": "OK"'), F.lit('"error": "boom"'), F.concat(F.lit("done\nexit code: "), number(3, "1"), F.lit("\n"), "text"), F.concat(F.lit("Search failed badly\n"), "text"), F.concat(F.lit("fine: "), "text"),
     )
-    return fx.base_requests(s, d).select("event_id", strings.outcome(text, F.lit(None).cast("boolean")).alias("outcome"))
+    result = F.lit(None).cast("string")
+    for k, x in enumerate(made):
+        result = F.when(F.col("kind") == k, field(x) if k in (0, 5, 6) else x).otherwise(result)
+    return t.select("doc_id", strings.outcome(result, F.lit(None).cast("boolean")).alias("outcome"))
 
 
 # ---- privacy

@@ -513,3 +513,4 @@ from . import jobs  # noqa: E402, F401
 from . import bodies  # noqa: E402, F401
 from . import published  # noqa: E402, F401
 from . import callrows  # noqa: E402, F401
+from . import storage  # noqa: E402, F401

@@ -37,12 +37,39 @@ def checked(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*out)
 
 
+# fixed values
+GROUP_ROWS = 10_000
+
+
 def write_table(df: DataFrame, path: str, week: str | None = None) -> None:
-    """zstd Parquet by week."""
-    writer = df.write.mode("append").option("compression", "zstd")
+    """zstd Parquet by week, in row groups of at most GROUP_ROWS rows."""
+    writer = df.write.mode("append").option("compression", "zstd").option("parquet.block.row.count.limit", GROUP_ROWS)
     (writer.partitionBy(week) if week else writer).parquet(path)
 
 
+def written_files(spark: SparkSession, path: str) -> DataFrame:
+    """path (within the table), bytes, sha256 and rows of each Parquet file of a table. A file is hashed as one row, so it must stay under
+    2 GB: bound it with maxRecordsPerFile when it is written."""
+    inside = lambda p: F.regexp_extract(p, r"((?:[^/=]+=[^/]*/)*[^/]+)$", 1)
+    read = spark.read.option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
+    rows = read.parquet(path).groupBy(inside(F.url_decode(F.input_file_name())).alias("path")).agg(F.count("*").alias("rows"))
+    files = read.format("binaryFile").load(path).select(inside(F.col("path")).alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return files.join(rows, "path", "left").fillna(0, ["rows"])
+
+
+def check_manifest(manifests: DataFrame, version: int, sources: DataFrame) -> DataFrame:
+    """Weeks that must not be read, with the reason: another format, or tables made from another manifest of the logs than the present one.
+    manifests: week, format_version, built_from; sources: week, sha256."""
+    j = manifests.join(sources, "week", "left")
+    reason = F.when(~F.col("format_version").eqNullSafe(F.lit(version)), "format").when(~F.col("built_from").eqNullSafe(F.col("sha256")), "built_from_other_logs")
+    return j.select("week", reason.alias("reason")).filter("reason is not null")
+
+
+def missing_keys(wanted: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct keys that are wanted and not held."""
+    return wanted.select(*keys).distinct().join(held.select(*keys), keys, "left_anti")
+
+
 def column_of(big: DataFrame, ids: DataFrame, key: str, column: str) -> DataFrame:
     """One column of the big table for some ids; bodies of other rows are never shuffled with theirs."""
     return big.select(key, column).join(ids.select(key).distinct(), key, "left_semi")
