@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classifier, decontaminate, lines, packing, quality_rules, simhash, sstable, substring, token_counts
+from . import chat, classifier, decontaminate, embeddings, lines, packing, prefix_trie, quality_rules, runs, simhash, sstable, substring, token_counts
 from .common import new_folder, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -64,11 +64,27 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(rows.unionByName(tricky)))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_quality_classifier, op3_line_dedup, op4_token_counts, op5_decontamination, op6_simhash_dedup, op7_quality_rules, op8_token_shards, op9_best_fit_packing, op10_chat_format)
+    for f in (op1_substring_dedup, op2_quality_classifier, op3_line_dedup, op4_token_counts, op5_decontamination, op6_simhash_dedup, op7_quality_rules, op8_token_shards, op9_best_fit_packing, op10_chat_format, op11_prefix_trie, op12_embedding_dedup, op13_periodic_runs)
 }
 
+#: Unsigned CRC-32 of an integer's decimal digits, bit by bit (DuckDB has no function for it).
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({}::VARCHAR, ''), lambda z: ascii(z)::BIGINT)),
+                lambda a, z: list_reduce(list_prepend(xor(a, z), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, y: xor(v >> 1, CASE WHEN v % 2 = 1 THEN 3988292384 ELSE 0 END))))"""
+
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')"
 
 ORACLE_SQL = {
@@ -106,4 +122,26 @@ ORACLE_SQL = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
                sum(length('<turn ></turn>') + 1 + length(role) + length(text) + length(regexp_replace(role || text, '[^\\<>]', '', 'g')))::BIGINT AS formatted_chars
         FROM c GROUP BY conv_id""",
+    "op11_prefix_trie": f"""
+        WITH RECURSIVE t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos FROM conversations WHERE conv_id IS NOT NULL),
+        c AS (SELECT conv_id, {_CRC32.format("conv_id")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+        b AS (SELECT c.conv_id, 0 AS side, t.pos, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 5 AND t.pos < h
+              UNION ALL SELECT c.conv_id, 1, t.pos, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos >= h),
+        s AS (SELECT conv_id, list({{'r': role, 't': text}} ORDER BY side, pos) AS turns FROM b GROUP BY conv_id),
+        r AS (SELECT c.conv_id, coalesce(turns, []) AS turns FROM c LEFT JOIN s USING (conv_id)),
+        p AS (SELECT conv_id, d, turns[1:d] AS node, d = len(turns) AS is_end FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM r)),
+        n AS (SELECT node, d, min(conv_id) AS conv_id, count(*) AS n, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE is_end), '') AS ends FROM p GROUP BY node, d),
+        k AS (SELECT node[1:d - 1] AS node, count(*) AS n FROM n WHERE d > 0 GROUP BY 1),
+        f AS (SELECT n.node, n.d, n.conv_id, n.n, n.ends, coalesce(k.n, 0) AS kids, CASE WHEN n.d = 0 THEN 0 ELSE (n.n - 1) * strlen(n.node[n.d].t) END AS saved FROM n LEFT JOIN k USING (node)),
+        u AS (SELECT node[1:e] AS node, sum(saved) AS saved, count(*) FILTER (WHERE kids = 0) AS leaves FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM f) GROUP BY 1)
+        SELECT f.conv_id, f.d AS depth, o.conv_id AS parent_conv_id, f.n AS n_convs, f.kids::BIGINT AS n_children, u.leaves AS n_leaves, u.saved::BIGINT AS saved_tokens, sha256(f.ends) AS ends_sha256
+        FROM f JOIN u USING (node) LEFT JOIN n o ON f.d > 0 AND o.node = f.node[1:f.d - 1]""",
+    "op12_embedding_dedup": """
+        WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+        g AS (SELECT r, vec_id, x FROM v WHERE len(x) > 0 AND len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(x, lambda y: y <> 0)) > 0),
+        l AS (SELECT a.r AS a, b.r AS b FROM g a JOIN g b ON a.r <> b.r AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.95),
+        c AS (SELECT r AS a, r AS b FROM v UNION SELECT c.a, l.b FROM c JOIN l ON c.b = l.a),
+        m AS (SELECT c.a AS r, min(v.vec_id) AS component_id FROM c JOIN v ON c.b = v.r GROUP BY c.a),
+        n AS (SELECT a AS r, count(*) AS n FROM l GROUP BY a)
+        SELECT v.vec_id, coalesce(n.n, 0) AS n_links, m.component_id, v.vec_id IS NOT DISTINCT FROM m.component_id AS kept FROM v JOIN m USING (r) LEFT JOIN n USING (r)""",
 }
