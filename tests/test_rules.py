@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tracemill.functions import shell, strings
+from tracemill.functions import rendering, shell, strings
 from tracemill.operators import gaps, lineage, mutations, privacy, reuse, tokens, toolcalls, turns, whatif
 from tracemill.sources import ledger, logs, traces
 from tracemill.streaming import windows
@@ -380,11 +380,9 @@ def test_ordered_pairs_keep_repeats(spark):
 
 
 def test_plain_text_of_messages(spark):
-    from tracemill.functions import arguments
-
     m = {"content": [{"type": "thinking", "text": "no"}, {"type": "text", "id": "no", "text": "one"}, {"type": "tool_result", "content": [{"type": "text", "text": "two"}]}], "tool_calls": [{"function": {"name": "bash", "arguments": "{}"}}]}
-    assert one(spark, json.dumps(m), of=arguments.plain_text) == "one\ntwo\nbash\n{}"
-    assert one(spark, '{"content": "plain"}', of=arguments.plain_text) == "plain" and one(spark, "broken", of=arguments.plain_text) == ""
+    assert one(spark, json.dumps(m), of=rendering.plain_text) == "one\ntwo\nbash\n{}"
+    assert one(spark, '{"content": "plain"}', of=rendering.plain_text) == "plain" and one(spark, "broken", of=rendering.plain_text) == ""
 
 
 SKELETONS = [
@@ -419,11 +417,11 @@ def test_call_facts_of_odd_arguments(spark):
 def test_calls_written_as_text_join_the_job(spark):
     from tracemill.operators import calljob
 
-    first = json.dumps({"choices": [{"message": {"content": "I look: <read>a.txt</read>"}}]})
+    first = json.dumps({"choices": [{"message": {"content": "I look: <read><path>a.txt</path></read>"}}]})
     prompt = json.dumps({"messages": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": "I look"}, {"role": "user", "content": "[read for 'a.txt'] Result:\nError: none"}]})
-    rows = [("s", 0, '{"messages":[]}', first, "I look: <read>a.txt</read>"), ("s", 1, prompt, '{"choices":[]}', "")]
+    rows = [("s", 0, '{"messages":[]}', first, "I look: <read><path>a.txt</path></read>"), ("s", 1, prompt, '{"choices":[]}', "")]
     requests = spark.createDataFrame(rows, "session_id string, step int, prompt string, response string, reply string")
     (found,) = calljob.tool_calls(requests, toolcalls.Rules(), F.length, reply="reply").collect()
-    assert (found.step, found.raw_name, found.family, found.category, found.arguments_skeleton) == (0, "read", "read", "Read", "<unparsed>")
+    assert (found.step, found.raw_name, found.family, found.category, found.arguments_skeleton) == (0, "read", "read", "Read", '{"path": "<path>"}')
     assert found.outcome == "ok" and found.result_tokens == len("[read for 'a.txt'] Result:\nError: none")
     assert calljob.tool_calls(requests, toolcalls.Rules(), F.length).count() == 0

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .rendering import BILLING_HEADER
+
 # fixed values
 DENIAL = ("The user denied this operation", "user denied", "User declined", "The user doesn't want to proceed")
 TIMEOUT = ("did not complete in", "was sent to the background", "Command timed out", "timed out after")
@@ -36,8 +38,14 @@ def shingles(text: Column, digest=F.md5, characters: int | None = SHINGLED) -> C
     return let(words(text if characters is None else F.substring(text, 1, characters)), of)
 
 
+def without_billing_header(text: Column) -> Column:
+    """A text without a leading accounting line."""
+    return F.regexp_replace(text, BILLING_HEADER, "")
+
+
 def normalise(text: Column) -> Column:
-    return F.lower(F.btrim(F.regexp_replace(text, r"[ \n\t\r]+", " ")))
+    """Without a leading accounting line, white space as single blanks, in lower case."""
+    return F.lower(F.btrim(F.regexp_replace(without_billing_header(text), r"(?U)\s+", " ")))
 
 
 def _key(raw: Column) -> Column:

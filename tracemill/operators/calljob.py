@@ -47,9 +47,10 @@ def named_by_results(requests: DataFrame, calls: DataFrame, reply: str) -> DataF
     ident = F.to_json(F.struct(*KEY))
     replies = silent.select(*KEY, ident.alias("request_id"), F.col(reply).alias("reply"))
     results = bodies.text_results(requests.select("session_id", (F.col("step") - 1).alias("step"), "prompt").withColumn("request_id", ident))
-    found = bodies.calls_named_by_results(replies, results.select("request_id", "name", "occurrence"))
-    texts = results.select("request_id", F.col("name").alias("raw_name"), "occurrence", "place", "text", *KEY)
-    return found.join(texts, ["request_id", "raw_name", "occurrence"]).select(*KEY, F.col("place").alias("call_index"), "raw_name", F.lit(None).cast("string").alias("raw_id"), "arguments", "text")
+    k = F.coalesce("name", F.lit("")).alias("k")
+    found = bodies.calls_named_by_results(replies, results.select("request_id", "name", "occurrence")).select("request_id", k, "raw_name", "occurrence", "arguments")
+    texts = results.select("request_id", k, "occurrence", "place", "text", *KEY)
+    return found.join(texts, ["request_id", "k", "occurrence"]).select(*KEY, F.col("place").alias("call_index"), "raw_name", F.lit(None).cast("string").alias("raw_id"), "arguments", "text")
 
 
 def tool_calls(requests: DataFrame, rules: toolcalls.Rules, tokens: Callable[[Column], Column], reply: str | None = None) -> DataFrame:

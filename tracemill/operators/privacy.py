@@ -21,9 +21,11 @@ def public_words(entries: DataFrame, k: int = K_ACCOUNTS) -> DataFrame:
 
 
 def with_stand_ins(labels: DataFrame, public: DataFrame, stand_in: str = "<word>") -> DataFrame:
-    """labels: label. The longest prefix of words that is public, then a stand-in; all of it where it is public."""
+    """labels: label. The longest prefix of words that is public, then a stand-in; all of it where it is public. No prefix has more
+    words than the longest public entry, so a long label is not read once a word."""
     w = F.split("label", " ")
-    prefixes = labels.select("label").distinct().select("label", F.explode(F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.struct(i.alias("n"), F.array_join(F.slice(w, 1, i), " ").alias("prefix")))).alias("p")).select("label", "p.*")
+    most = public.agg(F.coalesce(F.max(F.size(F.split("word", " "))), F.lit(1)).alias("most"))  # one row
+    prefixes = labels.select("label").distinct().join(most, F.lit(True)).select("label", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.size(w), "most")), lambda i: F.struct(i.alias("n"), F.array_join(F.slice(w, 1, i), " ").alias("prefix")))).alias("p")).select("label", "p.*")
     best = prefixes.join(public.select(F.col("word").alias("prefix")), "prefix").groupBy("label").agg(F.max("n").alias("n"))
     shown = F.when(F.col("n") == F.size(w), F.col("label")).otherwise(F.concat_ws(" ", F.nullif(F.array_join(F.slice(w, 1, F.coalesce("n", F.lit(0))), " "), F.lit("")), F.lit(stand_in)))
     return labels.join(best, "label", "left").withColumn("shown", shown).drop("n")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import strings
+from ..functions import arguments, strings
 from . import lineage
 
 
@@ -51,7 +51,7 @@ def hidden_shares(calls: DataFrame) -> DataFrame:
     """Shares of calls whose name was hidden, and whose programs, argument keys or command words were. calls: name, programs,
     programs_full, arguments_skeleton, arguments_skeleton_full."""
     share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
-    words = lambda c: F.regexp_extract_all(c, F.lit(r'"(?:command|commands|cmd)":"((?:[^"\\\\]|\\\\.)*)"'), F.lit(1))
+    words = lambda c: F.transform(F.filter(arguments.skeleton_pairs(F.col(c)), lambda p: p["key"].isin("command", "commands", "cmd")), lambda p: p["value"])
     return calls.agg(
         share(F.col("name") == "other").alias("name"), share(F.col("programs_full").isNotNull() & ~F.col("programs_full").eqNullSafe(F.col("programs"))).alias("program"),
         share(F.contains("arguments_skeleton", F.lit('"<key>"'))).alias("key"), share(~words("arguments_skeleton_full").eqNullSafe(words("arguments_skeleton"))).alias("command_word"),

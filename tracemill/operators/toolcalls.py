@@ -9,12 +9,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import shell, strings
+from ..functions import arguments, shell, strings
 
 # ---- rule tables: a parameter. The defaults are a short part of what a user would load from files with load_rules
 
-# fixed values
-
 
 @dataclass
 class Rules:
@@ -149,16 +147,87 @@ def with_programs(calls: DataFrame, command: str) -> DataFrame:
 # ---- calls of a response
 
 
+# fixed values
+FUNCTION_CALL = (r"(?s)<function=([A-Za-z0-9_.\-]+)\s*>(.*?)(?:</function>|\z)", r"(?s)<parameter=([A-Za-z0-9_.\-]+)\s*>(.*?)</parameter>")
+INVOKE_CALL = (r'(?s)<invoke name="([^"]+)"\s*>(.*?)(?:</invoke>|\z)', r'(?s)<parameter name="([^"]+)"\s*>(.*?)</parameter>')
+CHILD_ELEMENT = r"(?s)<([A-Za-z_][\w-]*)>(.*?)</\1>"
+FENCED_BLOCK = r"(?s)```[^\n`]*\n(.*?)\n[ \t]*```"
+FENCED_NAME = "bash"
+
+_CALLS = "choices array<struct<message:struct<tool_calls:array<struct<function:struct<arguments:string>>>>>>, content array<struct<input:string>>"
+_CALL = "array<struct<raw_name:string,raw_id:string,arguments:string>>"
+
+
+def _named_texts(text: Column, pattern: str) -> Column:
+    """(key, value) of a pattern's two groups, values trimmed."""
+    all_of = lambda k: F.regexp_extract_all(text, F.lit(pattern), F.lit(k))
+    return F.zip_with(all_of(1), all_of(2), lambda k, v: F.struct(k.alias("key"), F.regexp_replace(v, r"(?U)^\s+|\s+$", "").alias("value")))
+
+
+def text_calls(text: Column) -> Column:
+    """Calls written inside a text: each opener's name, its parameters as a JSON object. One grammar's calls come before the other's."""
+
+    def of(call: str, parameter: str) -> Column:
+        names, inside = (F.regexp_extract_all(text, F.lit(call), F.lit(k)) for k in (1, 2))
+        return F.zip_with(names, inside, lambda n, i: F.struct(n.alias("raw_name"), F.lit(None).cast("string").alias("raw_id"), arguments.object_text(_named_texts(i, parameter)).alias("arguments")))
+
+    return F.when(F.contains(text, F.lit("<function=")) | F.contains(text, F.lit('<invoke name="')), F.concat(of(*FUNCTION_CALL), of(*INVOKE_CALL)))
+
+
+def named_elements(text: Column, name: Column) -> Column:
+    """Inner texts of a text's elements of this name, in order; one left open runs to the end."""
+    return F.regexp_extract_all(text, F.concat(F.lit("(?s)<"), name, F.lit(">(.*?)(?:</"), name, F.lit(r">|\z)")), F.lit(1))
+
+
+def child_elements(text: Column) -> Column:
+    """Child elements as a JSON object."""
+    return arguments.object_text(_named_texts(text, CHILD_ELEMENT))
+
+
+def fenced_command(text: Column) -> Column:
+    """The command of a text's only fenced block, as arguments; null if there is none or another."""
+    blocks = F.regexp_extract_all(text, F.lit(FENCED_BLOCK), F.lit(1))
+    return strings.let(blocks, lambda b: F.when(F.size(b) == 1, arguments.object_text(F.array(F.struct(F.lit("command").alias("key"), F.regexp_replace(b[0], r"(?U)^\s+|\s+$", "").alias("value"))))))
+
+
+def _is_text(v: Column, path: str) -> Column:
+    return F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING"
+
+
+def _visible(v: Column) -> Column:
+    get = F.try_variant_get
+    blocks = F.filter(get(v, "$.content", "array<variant>"), lambda b: (get(b, "$.type", "string") == "text") & _is_text(b, "$.text"))
+    joined = F.when(F.size(blocks) > 0, F.array_join(F.transform(blocks, lambda b: get(b, "$.text", "string")), ""))
+    first = F.when(_is_text(v, "$.choices[0].message.content"), get(v, "$.choices[0].message.content", "string"))
+    return F.when(get(v, "$.choices", "variant").isNotNull(), first).when(get(v, "$.stop_reason", "variant").isNotNull() | (get(v, "$.type", "string") == "message"), joined)
+
+
+def visible_text(response: Column) -> Column:
+    """What a response says: the first choice's text, or its text blocks with nothing between; null for another shape."""
+    return strings.let(F.try_parse_json(response), _visible)
+
+
 def calls_of_responses(responses: DataFrame, text: str = "response") -> DataFrame:
-    """responses with one row a call: call_index, raw_name, raw_id, arguments (JSON text). Two shapes of response are read: choices with
-    tool_calls, and content blocks of type tool_use."""
+    """responses with one row a call: call_index, raw_name, raw_id, arguments (JSON text, keys as sent). Two shapes of response are read: choices with
+    tool_calls, of which the first that has calls counts, and content blocks of type tool_use. A response without either gives the calls written in its text."""
     get = F.try_variant_get
-    v = responses.withColumn("__v", F.try_parse_json(text))
-    listed = get("__v", "$.choices[0].message.tool_calls", "array<variant>")
-    blocks = F.filter(F.coalesce(get("__v", "$.content", "array<variant>"), F.array().cast("array<variant>")), lambda b: get(b, "$.type", "string") == "tool_use")
-    v = v.withColumn("__c", F.coalesce(listed, blocks)).select(*responses.columns, F.posexplode("__c").alias("call_index", "__x"))
-    arguments = F.coalesce(get("__x", "$.function.arguments", "string"), F.to_json(get("__x", "$.input", "variant")))
-    return v.select(*responses.columns, "call_index", F.coalesce(get("__x", "$.function.name", "string"), get("__x", "$.name", "string")).alias("raw_name"), get("__x", "$.id", "string").alias("raw_id"), arguments.alias("arguments"))
+    none = F.array().cast("array<variant>")
+
+    def call(v: Column, name: str, given: str, raw: Column) -> Column:
+        kept = F.when(_is_text(v, given), get(v, given, "string")).when(get(v, given, "variant").isNotNull() & ~F.coalesce(F.is_variant_null(get(v, given, "variant")), F.lit(False)), arguments.spaced_json(F.coalesce(raw, F.to_json(get(v, given, "variant")))))
+        return F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.struct(F.when(_is_text(v, name), get(v, name, "string")).alias("raw_name"), F.when(_is_text(v, "$.id"), get(v, "$.id", "string")).alias("raw_id"), kept.alias("arguments")))
+
+    v = responses.withColumn("__v", F.try_parse_json(text)).withColumn("__raw", F.from_json(text, _CALLS))
+    listed = F.transform(F.coalesce(get("__v", "$.choices", "array<variant>"), none), lambda c, i: F.struct(i.alias("i"), F.coalesce(get(c, "$.message.tool_calls", "array<variant>"), none).alias("calls")))
+    v = v.withColumn("__k", F.get(F.filter(listed, lambda x: F.size(x["calls"]) > 0), 0)).withColumn("__blocks", F.coalesce(get("__v", "$.content", "array<variant>"), none))
+    of_choice = F.transform("__k.calls", lambda c, i: call(c, "$.function.name", "$.function.arguments", F.get(F.get("__raw.choices", F.col("__k.i"))["message"]["tool_calls"], i)["function"]["arguments"]))
+    block = lambda b, i: F.when(get(b, "$.type", "string") == "tool_use", call(b, "$.name", "$.input", F.get("__raw.content", i)["input"]))
+    whole = get("__v", "$.stop_reason", "variant").isNotNull() | (get("__v", "$.type", "string") == "message")
+    sent = F.when(get("__v", "$.choices", "variant").isNotNull(), of_choice).when(whole, F.transform("__blocks", block))
+    v = v.withColumn("__sent", F.coalesce(F.filter(sent, lambda c: c.isNotNull()), F.array().cast(_CALL)))
+    written = text_calls(_visible(F.col("__v")))
+    v = v.withColumn("__c", F.when(F.size("__sent") > 0, F.col("__sent")).otherwise(written))
+    return v.select(*responses.columns, F.posexplode("__c").alias("call_index", "__x")).select(*responses.columns, "call_index", "__x.raw_name", "__x.raw_id", "__x.arguments")
 
 
 def command_of(arguments: Column) -> Column:
@@ -168,13 +237,6 @@ def command_of(arguments: Column) -> Column:
     return F.coalesce(F.get_json_object(arguments, "$.command"), at, F.get_json_object(arguments, "$.cmd"))
 
 
-def code_label(arguments: Column) -> Column:
-    """`<language> (code)` of a call that asks for code to be run instead of a command; null for others."""
-    at = lambda name: F.get_json_object(arguments, f"$.{name}")
-    language = F.lower(F.coalesce(F.nullif(at("language"), F.lit("")), F.nullif(at("lang"), F.lit("")), F.lit("code")))
-    return F.when(at("code").isNotNull() & at("command").isNull() & at("commands").isNull(), F.concat(language, F.lit(" (code)")))
-
-
 def match_results(calls: DataFrame, results: DataFrame) -> DataFrame:
     """Each call's result in the next request: by its id as written first, then, for calls without one, by its id without a
     sequence suffix; one result a call and one call a result.

@@ -20,27 +20,39 @@ def _(s, d):
     return _commands(s, d).select("doc_id", "i", shell.programs(F.col("command"), skeleton=True)["skeleton"].alias("skeleton"))
 
 
+def _kind():
+    return (F.floor(F.col("turn") / 2) + F.col("conv_id")) % 5
+
+
+def _word():
+    return F.regexp_extract("text", "([a-z]{4,})", 1)
+
+
 def _arguments():
-    """A call's arguments by turn and conversation: a test run with redirects, a server in the background, broken JSON, code."""
-    word, kind = F.regexp_extract("text", "([a-z]{4,})", 1), (F.floor(F.col("turn") / 2) + F.col("conv_id")) % 4
-    tests = F.to_json(F.struct(F.concat(F.lit("pytest -k "), word, F.lit(" src/"), word, F.lit(".py 2>&1 | tail -20")).alias("command"), F.col("turn").alias("timeout")))
-    server = F.to_json(F.struct(F.array(F.concat(F.lit("cd "), word, F.lit("/x")), F.lit("nohup node server.js &")).alias("commands")))
-    code = F.to_json(F.struct(F.concat(F.lit("x = "), word).alias("code"), F.lit("Python").alias("language")))
-    return F.when(kind == 0, tests).when(kind == 1, server).when(kind == 2, F.concat(F.lit('{"command": "'), word)).otherwise(code)
+    """A call's arguments by turn and conversation: a test run with redirects and the whole text as a note, a server in the background, broken JSON, the whole text as code."""
+    tests = F.to_json(F.struct(F.concat(F.lit("pytest -k "), _word(), F.lit(" src/"), _word(), F.lit(".py 2>&1 | tail -20")).alias("command"), F.col("text").alias("note"), F.col("turn").alias("timeout")))
+    server = F.to_json(F.struct(F.array(F.concat(F.lit("cd "), _word(), F.lit("/x")), F.lit("nohup node server.js &")).alias("commands")))
+    code = F.to_json(F.struct(F.col("text").alias("code"), F.lit("Python").alias("language")))
+    return F.when(_kind() == 0, tests).when(_kind() == 1, server).when(_kind() == 2, F.concat(F.lit('{"command": "'), "text")).otherwise(code)
+
+
+def _written():
+    """Every fifth call is written as text."""
+    return F.when(_kind() == 4, F.concat(F.lit("\n<function=bash><parameter=command>pytest "), _word(), F.lit("</parameter></function>")))
 
 
-_ROWS = r"""WITH x_c AS (SELECT conv_id, turn, role, text, trim(text, ' ' || chr(10) || chr(9) || chr(13)) AS t, regexp_extract(text, '([a-z]{4,})', 1) AS w, (turn // 2 + conv_id) % 4 AS kind FROM conversations),
+_ROWS = r"""WITH x_c AS (SELECT conv_id, turn, role, text, trim(text, ' ' || chr(10) || chr(9) || chr(13)) AS t, regexp_extract(text, '([a-z]{4,})', 1) AS w, (turn // 2 + conv_id) % 5 AS kind FROM conversations),
     x_r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS step, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM x_c WHERE role = 'assistant')
-    SELECT r.conv_id, r.step, 0 AS call_index, 'shell' AS canonical_name, CASE kind WHEN 0 THEN 'pytest,tail' WHEN 1 THEN 'cd,node' WHEN 2 THEN '' ELSE 'python (code)' END AS programs, CASE kind WHEN 0 THEN ',|' WHEN 1 THEN ',' ELSE '' END AS joined_by,
-      CASE kind WHEN 0 THEN 'pytest' WHEN 1 THEN 'node' WHEN 3 THEN 'python (code)' END AS deciding_program, CASE kind WHEN 2 THEN 'failed' ELSE 'success' END AS parse_status, CASE kind WHEN 0 THEN '*Build/Test' WHEN 1 THEN '*Wait/Poll' WHEN 2 THEN 'Other' ELSE '*Interpreter' END AS category,
-      CASE kind WHEN 0 THEN '{"command": "pytest -k <str> <path> 2>&1 | tail -20", "timeout": "<num>"}' WHEN 1 THEN '{"commands": "cd <path> ; nohup node <path> &"}' WHEN 2 THEN '<unparsed>' ELSE '{"code": "<code>", "language": "<str>"}' END AS arguments_skeleton,
+    SELECT r.conv_id, r.step, 0 AS call_index, 'shell' AS canonical_name, CASE kind WHEN 0 THEN 'pytest,tail' WHEN 1 THEN 'cd,node' WHEN 2 THEN '' WHEN 4 THEN 'pytest' ELSE 'python (code)' END AS programs, CASE kind WHEN 0 THEN ',|' WHEN 1 THEN ',' ELSE '' END AS joined_by,
+      CASE kind WHEN 0 THEN 'pytest' WHEN 1 THEN 'node' WHEN 3 THEN 'python (code)' WHEN 4 THEN 'pytest' END AS deciding_program, CASE kind WHEN 2 THEN 'failed' ELSE 'success' END AS parse_status, CASE kind WHEN 0 THEN '*Build/Test' WHEN 4 THEN '*Build/Test' WHEN 1 THEN '*Wait/Poll' WHEN 2 THEN 'Other' ELSE '*Interpreter' END AS category,
+      CASE kind WHEN 0 THEN '{"command": "pytest -k <str> <path> 2>&1 | tail -20", "note": "' || CASE WHEN regexp_full_match(r.text, '[0-9]+(\.[0-9]+)?') THEN '<num>' WHEN r.text IN ('.', '..', '~', './', '../') OR regexp_matches(r.text, '[/\\]|\.[A-Za-z0-9_]{1,8}$|[*?]') THEN '<path>' ELSE '<str>' END || '", "timeout": "<num>"}' WHEN 1 THEN '{"commands": "cd <path> ; nohup node <path> &"}' WHEN 2 THEN '<unparsed>' WHEN 4 THEN '{"command": "pytest <str>"}' ELSE '{"code": "<code>", "language": "<str>"}' END AS arguments_skeleton,
       len(list_filter(string_split_regex(a.t, '[ \n\t]+'), lambda x: x <> '')) AS result_tokens, CASE WHEN a.turn IS NOT NULL THEN CASE WHEN regexp_matches(string_split(a.t, chr(10))[1], '^\s*(error|ERROR|Error)\b[:\s]') THEN 'error' ELSE 'ok' END END AS outcome
     FROM x_r r LEFT JOIN (SELECT * EXCLUDE (w, kind, role) FROM x_c WHERE role = 'user' AND turn % 4 = 2) a ON a.conv_id = r.conv_id AND a.turn = r.turn + 1 AND r.next IS NOT NULL"""
 
 
 @query("C12_tool_calls", _ROWS, fixture=False)
 def _(s, d):
-    p = prompts(s, d, _arguments())
+    p = prompts(s, d, _arguments(), _written())
     ids = F.split("request_id", "-")
     r = p.withColumn("conv_id", F.substring(ids[0], 2, 20).cast("long")).withColumn("turn", F.get(ids, 1).cast("int"))
     step = F.row_number().over(calljob.in_order("conv_id", "turn")) - 1

@@ -45,10 +45,10 @@ def _(s, d):
     return p.select("doc_id", "i", F.array_join("programs", ",").alias("programs"), F.array_join("joined_by", ",").alias("joined_by"), "background", "parse_status")
 
 
-@query("X7_wrappers_and_labels", _SIX + " SELECT doc_id, i, CASE kind WHEN 0 THEN 'sudo -u ' || a WHEN 1 THEN a || '=1 nohup' ELSE '' END AS before, CASE kind WHEN 0 THEN b WHEN 1 THEN b WHEN 2 THEN 'cat' ELSE 'git ' || a END AS label FROM x_s", fixture=False)
+@query("X7_wrappers_and_labels", _SIX + " SELECT doc_id, i, CASE kind WHEN 0 THEN 'sudo -u ' || a WHEN 1 THEN a || '=1 nohup' ELSE '' END AS before, CASE kind WHEN 0 THEN concat_ws(',', b, c, e) WHEN 1 THEN concat_ws(',', b, d) WHEN 2 THEN concat_ws(',', 'cat', d, e) ELSE concat_ws(',', 'git ' || a, 'python -m ' || b) END AS labels FROM x_s", fixture=False)
 def _(s, d):
     p = toolcalls.with_programs(_commands(s, d), "command")
-    return p.select("doc_id", "i", F.array_join("wrappers", " ").alias("before"), F.get("programs", 0).alias("label"))
+    return p.select("doc_id", "i", F.array_join("wrappers", " ").alias("before"), F.array_join("programs", ",").alias("labels"))
 
 
 @query("X5_program_names", "WITH x_w AS (SELECT DISTINCT unnest(list_filter(string_split_regex(text, '[ \n\t]+'), lambda w: regexp_full_match(w, '[a-z]+'))) AS w FROM documents) SELECT w, CASE length(w) % 4 WHEN 0 THEN w WHEN 1 THEN w WHEN 2 THEN 'python' ELSE CASE w WHEN 'py' THEN 'python' WHEN 'nodejs' THEN 'node' ELSE w END END AS name FROM x_w", fixture=False)
@@ -105,7 +105,7 @@ def _responses(s, d):
     c = fx.tool_calls(s, d).groupBy("session_id", "step").agg(F.sort_array(F.collect_list("call_index")).alias("calls"))
     ident = lambda i: F.concat(F.lit("call_"), F.substring(F.md5(F.concat_ws(":", "session_id", "step")), 1, 12), F.lit("_"), i.cast("string"))
     a = F.to_json(F.struct(F.array(F.struct(F.struct(F.transform("calls", lambda i: F.struct(ident(i).alias("id"), F.struct(F.lit("bash").alias("name"), F.concat(F.lit('{"command":"ls '), i.cast("string"), F.lit('"}')).alias("arguments")).alias("function"))).alias("tool_calls")).alias("message"))).alias("choices")))
-    b = F.to_json(F.struct(F.concat(F.array(F.struct(F.lit("text").alias("type"), F.lit("t").alias("id"), F.lit(None).cast("string").alias("name"), F.struct(F.lit(None).cast("string").alias("cmd")).alias("input"))), F.transform("calls", lambda i: F.struct(F.lit("tool_use").alias("type"), ident(i).alias("id"), F.lit("bash").alias("name"), F.struct(F.concat(F.lit("ls "), i.cast("string")).alias("cmd")).alias("input")))).alias("content")))
+    b = F.to_json(F.struct(F.concat(F.array(F.struct(F.lit("text").alias("type"), F.lit("t").alias("id"), F.lit(None).cast("string").alias("name"), F.struct(F.lit(None).cast("string").alias("cmd")).alias("input"))), F.transform("calls", lambda i: F.struct(F.lit("tool_use").alias("type"), ident(i).alias("id"), F.lit("bash").alias("name"), F.struct(F.concat(F.lit("ls "), i.cast("string")).alias("cmd")).alias("input")))).alias("content"), F.lit("tool_use").alias("stop_reason")))
     return c.select("session_id", "step", F.when(F.col("step") % 2 == 0, a).otherwise(b).alias("response"))
 
 
@@ -215,11 +215,6 @@ def _(s, d):
     return e.groupBy(F.window("ts", "7 days", "7 days", "3 days")).agg(F.count("*").alias("rows")).select(F.date_format("window.start", "yyyy-MM-dd").alias("week"), "rows")
 
 
-@query("A34_input_facts", "SELECT session_id, step, (tokens_system + tokens_user + tokens_assistant + tokens_tool)::BIGINT AS message_tokens, n_messages FROM fx_requests")
-def _(s, d):
-    return fx.base_requests(s, d).select("session_id", "step", (F.col("tokens_system") + F.col("tokens_user") + F.col("tokens_assistant") + F.col("tokens_tool")).cast("long").alias("message_tokens"), "n_messages")
-
-
 @query("A56_hit_ratio_by_waited_for", "SELECT waited_for, avg(hit_ratio) AS mean_hit_ratio FROM fx_waited WHERE wait_s >= 0 AND waited_for IS NOT NULL AND hit_ratio IS NOT NULL GROUP BY waited_for")
 def _(s, d):
     from ..operators import tokens
@@ -228,15 +223,6 @@ def _(s, d):
     return r.groupBy("waited_for").agg(F.avg("h").alias("mean_hit_ratio"))
 
 
-@query("C11_digests", """WITH x_m AS (SELECT conv_id, role, turn, list_filter(string_split_regex(coalesce(text, ''), '[ \n\t]+'), lambda w: w <> '') AS t, sha256('salt' || text) AS h FROM conversations), x_g AS (SELECT conv_id, list(h ORDER BY turn) AS hs, flatten(list(t ORDER BY turn)) AS a, sum(len(t)) FILTER (WHERE role = 'user') AS u, sum(len(t)) FILTER (WHERE role = 'assistant') AS s FROM x_m GROUP BY conv_id),
-    x_b AS (SELECT *, [array_to_string(a[i * 16 + 1:i * 16 + 16], ' ') for i in range(len(a) // 16)] AS b FROM x_g) SELECT conv_id, md5(array_to_string(hs, '')) AS messages, coalesce(u, 0)::BIGINT AS tokens_user, coalesce(s, 0)::BIGINT AS tokens_assistant, CASE WHEN len(b) > 0 THEN list_reduce(list_prepend('salt', b), lambda p, x: md5(p || x)) END AS last_block FROM x_b""", fixture=False)
-def _(s, d):
-    from ..operators import digests
-
-    m = table(s, d, "conversations").select(F.col("conv_id").alias("request_id"), F.col("turn").alias("position"), "role", "text")
-    return digests.digests(m, "salt").select(F.col("request_id").alias("conv_id"), F.md5(F.array_join("hashes", "")).alias("messages"), "tokens_user", "tokens_assistant", F.try_element_at("block_hashes", F.lit(-1)).alias("last_block"))
-
-
 _FORMED = """WITH x_w AS (SELECT DISTINCT unnest(list_filter(string_split_regex(text, '[ \n\t]+'), lambda w: regexp_full_match(w, '[a-z]+'))) AS w FROM documents), x_k AS (SELECT w, length(w) AS n, (length(w) + ascii(w)) % {k} AS kind FROM x_w)"""
 
 
@@ -283,13 +269,3 @@ def _(s, d):
 
     c = table(s, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("m"))
     return c.select("conv_id", arguments.last_position(F.transform("m", lambda x: x["role"]), "assistant").alias("last"))
-
-
-@query("X25_plain_text", "SELECT conv_id, turn, trim(text || CASE WHEN turn % 2 = 1 THEN chr(10) || 'bash' || chr(10) || '{}' ELSE '' END, ' ' || chr(10)) AS text FROM conversations", fixture=False)
-def _(s, d):
-    from ..functions import arguments
-
-    c = table(s, d, "conversations")
-    call = F.when(F.col("turn") % 2 == 1, F.array(F.struct(F.struct(F.lit("bash").alias("name"), F.lit("{}").alias("arguments")).alias("function"))))
-    m = F.to_json(F.struct(F.array(F.struct(F.lit("thinking").alias("type"), F.lit("hidden").alias("text")), F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))).alias("content"), call.alias("tool_calls")))
-    return c.select("conv_id", "turn", arguments.plain_text(m).alias("text"))

@@ -110,8 +110,8 @@ _HIDDEN = """x_h AS (SELECT session_id, step, call_index, CASE WHEN step % 3 = 0
 
 def _hidden(s, d):
     c, step = fx.tool_calls(s, d), F.col("step")
-    full = F.concat(F.lit('{"command":"ls '), "call_index", F.lit('","a":"<num>"}'))
-    shown = F.when(step % 5 == 0, '{"command":"ls <word>","<key>":"<num>"}').when(step % 5 == 1, F.concat(F.lit('{"command":"ls '), "call_index", F.lit('","<key>":"<num>"}'))).otherwise(full)
+    full = F.concat(F.lit('{"command": "ls '), "call_index", F.lit('", "a": "<num>"}'))
+    shown = F.when(step % 5 == 0, '{"command": "ls <word>", "<key>": "<num>"}').when(step % 5 == 1, F.concat(F.lit('{"command": "ls '), "call_index", F.lit('", "<key>": "<num>"}'))).otherwise(full)
     return c.select("session_id", "step", "call_index", F.when(step % 3 == 0, "other").otherwise("read").alias("name"), F.when((step % 4 == 0) & F.col("programs").isNotNull(), F.array(F.lit("<word>"))).otherwise(F.col("programs")).alias("programs"), F.col("programs").alias("programs_full"), shown.alias("arguments_skeleton"), full.alias("arguments_skeleton_full"))
 
 
@@ -120,7 +120,7 @@ def _(s, d):
     return release.hidden_shares(_hidden(s, d))
 
 
-@query("F16_full_columns", _HIDDEN + """ SELECT session_id, step, call_index, name, array_to_string(pf, ',') AS programs, '{"command":"ls ' || call_index || '","a":"<num>"}' AS arguments_skeleton FROM x_h""")
+@query("F16_full_columns", _HIDDEN + """ SELECT session_id, step, call_index, name, array_to_string(pf, ',') AS programs, '{"command": "ls ' || call_index || '", "a": "<num>"}' AS arguments_skeleton FROM x_h""")
 def _(s, d):
     c = release.release_shaped(_hidden(s, d), ["programs", "arguments_skeleton"])
     return c.withColumn("programs", F.when(F.col("programs").isNotNull(), F.array_join("programs", ",")))

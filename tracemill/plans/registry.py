@@ -511,6 +511,7 @@ def _(s, d):
 from . import more  # noqa: E402, F401  the rest of the registry
 from . import jobs  # noqa: E402, F401
 from . import bodies  # noqa: E402, F401
+from . import rendered  # noqa: E402, F401
 from . import published  # noqa: E402, F401
 from . import callrows  # noqa: E402, F401
 from . import storage  # noqa: E402, F401
