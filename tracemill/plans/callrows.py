@@ -37,7 +37,7 @@ def _arguments():
 
 
 def _written():
-    """Every fifth call is written as text."""
+    """Every fifth call is written as text: it has no id, so no result is its own."""
     return F.when(_kind() == 4, F.concat(F.lit("\n<function=bash><parameter=command>pytest "), _word(), F.lit("</parameter></function>")))
 
 
@@ -47,7 +47,7 @@ _ROWS = r"""WITH x_c AS (SELECT conv_id, turn, role, text, trim(text, ' ' || chr
       CASE kind WHEN 0 THEN 'pytest' WHEN 1 THEN 'node' WHEN 3 THEN 'python (code)' WHEN 4 THEN 'pytest' END AS deciding_program, CASE kind WHEN 2 THEN 'failed' ELSE 'success' END AS parse_status, CASE kind WHEN 0 THEN '*Build/Test' WHEN 4 THEN '*Build/Test' WHEN 1 THEN '*Wait/Poll' WHEN 2 THEN 'Other' ELSE '*Interpreter' END AS category,
       CASE kind WHEN 0 THEN '{"command": "pytest -k <str> <path> 2>&1 | tail -20", "note": "' || CASE WHEN regexp_full_match(r.text, '[0-9]+(\.[0-9]+)?') THEN '<num>' WHEN r.text IN ('.', '..', '~', './', '../') OR regexp_matches(r.text, '[/\\]|\.[A-Za-z0-9_]{1,8}$|[*?]') THEN '<path>' ELSE '<str>' END || '", "timeout": "<num>"}' WHEN 1 THEN '{"commands": "cd <path> ; nohup node <path> &"}' WHEN 2 THEN '<unparsed>' WHEN 4 THEN '{"command": "pytest <str>"}' ELSE '{"code": "<code>", "language": "<str>"}' END AS arguments_skeleton,
       len(list_filter(string_split_regex(a.t, '[ \n\t]+'), lambda x: x <> '')) AS result_tokens, CASE WHEN a.turn IS NOT NULL THEN CASE WHEN regexp_matches(string_split(a.t, chr(10))[1], '^\s*(error|ERROR|Error)\b[:\s]') THEN 'error' ELSE 'ok' END END AS outcome
-    FROM x_r r LEFT JOIN (SELECT * EXCLUDE (w, kind, role) FROM x_c WHERE role = 'user' AND turn % 4 = 2) a ON a.conv_id = r.conv_id AND a.turn = r.turn + 1 AND r.next IS NOT NULL"""
+    FROM x_r r LEFT JOIN (SELECT * EXCLUDE (w, kind, role) FROM x_c WHERE role = 'user' AND turn % 4 = 2) a ON a.conv_id = r.conv_id AND a.turn = r.turn + 1 AND r.next IS NOT NULL AND r.kind <> 4"""
 
 
 @query("C12_tool_calls", _ROWS, fixture=False)
