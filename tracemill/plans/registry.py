@@ -515,3 +515,4 @@ from . import rendered  # noqa: E402, F401
 from . import published  # noqa: E402, F401
 from . import callrows  # noqa: E402, F401
 from . import storage  # noqa: E402, F401
+from . import streams  # noqa: E402, F401

@@ -1,10 +1,105 @@
-"""What each output was made from, and what is stale."""
+"""What each output was made from, and what is stale.
+
+An output's fingerprint is a digest of its operator's version and of what it is made from: digests of source files and fingerprints of
+other outputs. So a changed file or version changes the fingerprints of all that depends on it and of nothing else, and what is
+stale is what the ledger does not hold under its present fingerprint.
+
+The ledger is a table under a path. A commit writes its rows as new files and then creates the file `_commits/N` that names them, which a
+file system does for one writer only; readers see the files of the commits. A run that dies before that leaves nothing to be read.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ROWS = "week string, output string, fingerprint string, commit long"
+
+
+@dataclass(frozen=True)
+class Output:
+    """A table made for each week: its inputs are names of sources or of outputs."""
+
+    name: str
+    inputs: tuple[str, ...]
+    version: str
+
+
+def in_order(outputs: list[Output]) -> list[Output]:
+    """Outputs after those they are made from; a cycle or a repeated name is an error."""
+    by_name = {o.name: o for o in outputs}
+    if len(by_name) < len(outputs):
+        raise ValueError("an output is named twice")
+    done: dict[str, Output] = {}
+    while len(done) < len(outputs):
+        ready = [o for o in outputs if o.name not in done and all(i not in by_name or i in done for i in o.inputs)]
+        if not ready:
+            raise ValueError(f"outputs depend on each other: {sorted(set(by_name) - set(done))}")
+        done |= {o.name: o for o in ready}
+    return list(done.values())
+
+
+def fingerprints(sources: DataFrame, outputs: list[Output]) -> DataFrame:
+    """(week, output, place, fingerprint) of every output of every week; null where a source is missing. sources: week, source, sha256. place: the
+    order in which outputs can be made."""
+    weeks = sources.groupBy("week").agg(F.map_from_entries(F.collect_list(F.struct("source", "sha256"))).alias("held"))
+    known: dict[str, Column] = {}
+    for o in in_order(outputs):
+        given = [known[i] if i in known else F.try_element_at("held", F.lit(i)) for i in o.inputs]
+        weeks = weeks.withColumn(f"__{o.name}", F.sha2(F.concat(*(x for g in [F.lit(f"{o.name}@{o.version}"), *given] for x in (g, F.lit("|")))), 256))
+        known[o.name] = F.col(f"`__{o.name}`")
+    rows = F.array(*(F.struct(F.lit(name).alias("output"), F.lit(k).alias("place"), c.alias("fingerprint")) for k, (name, c) in enumerate(known.items())))
+    return weeks.select("week", F.explode(rows).alias("o")).select("week", "o.*")
+
+
+def work_list(sources: DataFrame, outputs: list[Output], ledger: DataFrame) -> DataFrame:
+    """(week, output, place, fingerprint, status) of what is to be made, in order of place: new, stale, or blocked where a source is missing."""
+    last = ledger.groupBy("week", "output").agg(F.max_by("fingerprint", "commit").alias("made"))
+    j = fingerprints(sources, outputs).join(last, ["week", "output"], "left")
+    status = F.when(F.col("fingerprint").isNull(), "blocked").when(F.col("made").isNull(), "new").otherwise("stale")
+    return j.filter(~F.coalesce(F.col("made") == F.col("fingerprint"), F.lit(False))).select("week", "output", "place", "fingerprint", status.alias("status"))
+
+
+def _files(spark: SparkSession, path: str):
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def _commits(spark: SparkSession, path: str) -> list[int]:
+    files, folder = _files(spark, path), spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_commits")
+    return sorted(int(f.getPath().getName()) for f in files.listStatus(folder) if f.getPath().getName().isdigit()) if files.exists(folder) else []
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of all commits: week, output, fingerprint, commit."""
+    names = [r.value for r in spark.read.text([f"{path}/_commits/{n}" for n in done]).collect()] if (done := _commits(spark, path)) else []
+    if not names:
+        return spark.createDataFrame([], ROWS)
+    return spark.read.schema(ROWS).parquet(*(f"{path}/{name}" for name in names))
+
+
+def commit(made: DataFrame, path: str) -> int:
+    """Adds rows (week, output, fingerprint) as one commit, all or nothing, and returns its number."""
+    spark = made.sparkSession
+    files, new = _files(spark, path), spark._jvm.org.apache.hadoop.fs.Path
+    while True:
+        number = max(_commits(spark, path), default=0) + 1
+        name = f"rows-{number}-{uuid.uuid4().hex}"
+        made.select("week", "output", "fingerprint", F.lit(number).cast("long").alias("commit")).coalesce(1).write.parquet(f"{path}/{name}")
+        files.mkdirs(new(f"{path}/_commits"))
+        try:
+            out = files.create(new(f"{path}/_commits/{number}"), False)  # fails where another writer was first
+        except Exception:
+            if number in _commits(spark, path):
+                continue
+            raise
+        out.write(bytearray(name.encode()))
+        out.close()
+        return number
+
 
 def stale(sources: DataFrame, ledger: DataFrame, files: list[str]) -> DataFrame:
     """(week, file) whose recorded source hash is not the week's present one. sources: week, sha256; ledger: week, file, sha256."""

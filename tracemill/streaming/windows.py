@@ -1,14 +1,13 @@
-"""Streaming forms: weekly windows, late rows, and the look-back of linking as state."""
+"""Streaming forms: weekly windows, and rows of another week kept apart and counted."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from ..operators.lineage import LOOKBACK
+PARTS = ("week", "other", "undated")
+METRICS = "week_rows"
 
 
 def weekly_counts(stream: DataFrame, time: str, keys: list[str], late: str = "1 hour") -> DataFrame:
@@ -16,37 +15,55 @@ def weekly_counts(stream: DataFrame, time: str, keys: list[str], late: str = "1
     return stream.withWatermark(time, late).groupBy(F.window(time, "7 days", "7 days", "3 days"), *keys).agg(F.count("*").alias("rows"))
 
 
-def route_late(stream: DataFrame, path: str, week: str, time: str, checkpoint: str):
-    """Rows of `week` (a Sunday) to path/week, others to path/other, each batch once."""
+def part_of(time: str, week: str) -> Column:
+    """Where a row belongs: to the week (a Sunday), to another one, or to none."""
+    own = F.date_format(F.date_sub(F.next_day(F.to_date(time), "SUN"), 7), "yyyy-MM-dd") == week
+    return F.when(F.col(time).isNull(), "undated").when(own, "week").otherwise("other")
 
-    def put(batch: DataFrame, number: int) -> None:
-        own = F.date_format(F.date_sub(F.next_day(F.to_date(time), "SUN"), 7), "yyyy-MM-dd") == week
-        for name, rows in (("week", batch.filter(own)), ("other", batch.filter(~own))):
-            rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
 
-    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def _counts(part: Column) -> list[Column]:
+    return [F.count_if(part == name).alias(name) for name in PARTS]
+
+
+def observed(stream: DataFrame, time: str, week: str) -> DataFrame:
+    """The same rows, with counts of the week's, other weeks' and undated ones in each batch's progress."""
+    return stream.observe(METRICS, *_counts(part_of(time, week)))
+
+
+class WeekRows(StreamingQueryListener):
+    """Adds up what `observed` streams count, each batch of a query once however often it is run or told."""
 
+    def __init__(self) -> None:
+        self.batches: dict[tuple[str, int], dict[str, int]] = {}
 
-LINKS = "request_id string, parent_request_id string"
-STATE = "requests string"
+    def onQueryStarted(self, event) -> None: ...
 
+    def onQueryTerminated(self, event) -> None: ...
 
-def _link(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Tool-call links of one account: the nearest of its last requests that emitted an id this one replays."""
-    import json
+    def onQueryProgress(self, event) -> None:
+        row = event.progress.observedMetrics.get(METRICS)
+        if row is not None:
+            self.batches[str(event.progress.id), event.progress.batchId] = {name: row[name] for name in PARTS}
 
-    held = json.loads(state.get[0]) if state.exists else []
-    out = []
-    rows = pd.concat(list(batches))
-    for r in rows.sort_values(["end_ms", "request_id"]).itertuples():
-        replayed = set(r.replayed_ids)
-        parent = next((rid for rid, ids in reversed(held) if replayed & set(ids)), None)
-        out.append((r.request_id, parent))
-        held = [*held, (r.request_id, list(r.emitted_ids))][-LOOKBACK:]
-    state.update((json.dumps(held),))
-    yield pd.DataFrame(out, columns=["request_id", "parent_request_id"])
+    def total(self) -> dict[str, int]:
+        return {name: sum(b[name] for b in self.batches.values()) for name in PARTS}
+
+
+def route_late(stream: DataFrame, path: str, week: str, time: str, checkpoint: str) -> StreamingQuery:
+    """Each row once under path/rows/batch=N/part=(week, other or undated), and the batch's counts under path/counts/batch=N, which are written last. A batch
+    that runs again, after a failure or a restart, overwrites its own folders and nothing else."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        seen = Observation(METRICS)
+        part = part_of(time, week)
+        batch.observe(seen, *_counts(part)).withColumn("part", part).write.mode("overwrite").partitionBy("part").parquet(f"{path}/rows/batch={number}")
+        counts = batch.sparkSession.createDataFrame([tuple(seen.get[name] for name in PARTS)], ", ".join(f"{name} long" for name in PARTS))
+        counts.coalesce(1).write.mode("overwrite").parquet(f"{path}/counts/batch={number}")
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def linked(stream: DataFrame) -> DataFrame:
-    """request_id, user_id, end_ms, emitted_ids, replayed_ids to links, with the account's last 128 requests as state."""
-    return stream.groupBy("user_id").applyInPandasWithState(_link, LINKS, STATE, "append", "NoTimeout")
+def late_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of each part over all finished batches."""
+    schema = ", ".join(f"{name} long" for name in PARTS)
+    return spark.read.schema(schema + ", batch long").parquet(f"{path}/counts").agg(*(F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in PARTS))
