@@ -185,13 +185,20 @@ def _place(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as Spark resolves it, with its scheme."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(at).toString()
+
+
 def open_shard(path: str) -> Reader:
     files, at = _place(path)
     return Reader(files.open_input_file(at))
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, width: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Writes the shards and returns their manifest, stored in the same folder."""
+    """Writes the shards and returns their manifest. A folder without a scheme is where Spark has it: in the cluster's default file system."""
+    folder = qualified(docs.sparkSession, folder)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
