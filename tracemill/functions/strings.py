@@ -154,5 +154,5 @@ def pseudonym(raw: Column, kind: str, salt: str, size: int) -> Column:
 
 def finish_reason(stated: Column) -> Column:
     # fixed values
-    table = {"stop": "stop", "end_turn": "stop", "stop_sequence": "stop", "length": "length", "max_tokens": "length", "tool_calls": "tool_calls", "tool_use": "tool_calls", "content_filter": "content_filter"}
+    table = {"stop": "stop", "end_turn": "stop", "stop_sequence": "stop", "length": "length", "max_tokens": "length", "tool_calls": "tool_calls", "function_call": "tool_calls", "tool_use": "tool_calls", "content_filter": "content_filter", "refusal": "content_filter"}
     return F.when(stated.isNotNull(), F.coalesce(F.create_map(*(F.lit(x) for kv in table.items() for x in kv))[stated], F.lit("other")))

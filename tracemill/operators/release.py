@@ -95,6 +95,21 @@ def session_rows(requests: DataFrame) -> DataFrame:
     return requests.groupBy("session_id").agg(F.min("harness").alias("harness"), F.count("*").alias("requests"), F.sum("n_tool_calls").alias("tool_calls"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
 
 
+def week_sessions(chains: DataFrame, signals: DataFrame, inside: DataFrame, spawns: DataFrame) -> DataFrame:
+    """A row a session of the release, counted on its main chain. chains: request_id, session_id, on_main_chain, turn, is_agent_session; signals: request_id, user_id,
+    harness, start_ms, end_ms, of which the session's own id names its root; inside: session_id, trace_id; spawns: session_id, request_id, call_index,
+    child_session_id. A spawner outside the release is none."""
+    on_chain = chains.filter("on_main_chain").join(inside.select("session_id", "trace_id"), "session_id")
+    facts = on_chain.join(signals.select("request_id", "end_ms"), "request_id").groupBy("session_id").agg(
+        F.any_value("trace_id").alias("trace_id"), F.bool_or("is_agent_session").alias("is_agent_session"), F.count("*").alias("n_requests"), F.count_if(F.col("turn") == "user").alias("n_user_turns"), F.count_if(F.col("turn") == "tool").alias("n_tool_turns"), F.max("end_ms").alias("end_ms")
+    )
+    root = signals.select(F.col("request_id").alias("session_id"), "user_id", "harness", "start_ms")
+    by = spawns.filter("child_session_id is not null").join(inside.select("session_id"), "session_id", "left_semi")
+    by = by.select(F.col("child_session_id").alias("session_id"), F.col("session_id").alias("spawned_by_session_id"), F.col("request_id").alias("spawned_by_request_id"), F.col("call_index").alias("spawned_by_call_index"))
+    j = facts.join(root, "session_id").join(by, "session_id", "left")
+    return j.select("session_id", "trace_id", "user_id", "harness", "is_agent_session", "n_requests", "n_user_turns", "n_tool_turns", "start_ms", "end_ms", "spawned_by_session_id", "spawned_by_request_id", "spawned_by_call_index")
+
+
 def compare(ours: DataFrame, other: DataFrame) -> DataFrame:
     """(session_id, request_id) of two exports: per session same, more, fewer, differs, or only in one of them."""
     sets = lambda d, n: d.groupBy("session_id").agg(F.sort_array(F.collect_set("request_id")).alias(n))

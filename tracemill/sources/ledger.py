@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import commits
+
 ROWS = "week string, output string, fingerprint string, commit long"
 
 
@@ -63,42 +65,23 @@ def work_list(sources: DataFrame, outputs: list[Output], ledger: DataFrame) -> D
     return j.filter(~F.coalesce(F.col("made") == F.col("fingerprint"), F.lit(False))).select("week", "output", "place", "fingerprint", status.alias("status"))
 
 
-def _files(spark: SparkSession, path: str):
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-
-
-def _commits(spark: SparkSession, path: str) -> list[int]:
-    files, folder = _files(spark, path), spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_commits")
-    return sorted(int(f.getPath().getName()) for f in files.listStatus(folder) if f.getPath().getName().isdigit()) if files.exists(folder) else []
-
-
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """Rows of all commits: week, output, fingerprint, commit."""
-    names = [r.value for r in spark.read.text([f"{path}/_commits/{n}" for n in done]).collect()] if (done := _commits(spark, path)) else []
+    names = commits.read_all(spark, f"{path}/_commits")
     if not names:
         return spark.createDataFrame([], ROWS)
-    return spark.read.schema(ROWS).parquet(*(f"{path}/{name}" for name in names))
+    return spark.read.schema(ROWS).parquet(*(f"{path}/{name}" for _, name in sorted(names.items())))
 
 
 def commit(made: DataFrame, path: str) -> int:
     """Adds rows (week, output, fingerprint) as one commit, all or nothing, and returns its number."""
     spark = made.sparkSession
-    files, new = _files(spark, path), spark._jvm.org.apache.hadoop.fs.Path
     while True:
-        number = max(_commits(spark, path), default=0) + 1
+        number = max(commits.numbers(spark, f"{path}/_commits"), default=0) + 1
         name = f"rows-{number}-{uuid.uuid4().hex}"
         made.select("week", "output", "fingerprint", F.lit(number).cast("long").alias("commit")).coalesce(1).write.parquet(f"{path}/{name}")
-        files.mkdirs(new(f"{path}/_commits"))
-        try:
-            out = files.create(new(f"{path}/_commits/{number}"), False)  # fails where another writer was first
-        except Exception:
-            if number in _commits(spark, path):
-                continue
-            raise
-        out.write(bytearray(name.encode()))
-        out.close()
-        return number
+        if commits.create(spark, f"{path}/_commits", number, name):
+            return number
 
 
 def stale(sources: DataFrame, ledger: DataFrame, files: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -47,14 +47,22 @@ def write_table(df: DataFrame, path: str, week: str | None = None) -> None:
     (writer.partitionBy(week) if week else writer).parquet(path)
 
 
-def written_files(spark: SparkSession, path: str) -> DataFrame:
-    """path (within the table), bytes, sha256 and rows of each Parquet file of a table. A file is hashed as one row, so it must stay under
+def _inside(path: Column) -> Column:
+    return F.regexp_extract(path, r"((?:[^/=]+=[^/]*/)*[^/]+)$", 1)
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """path (within the table), bytes and sha256 of each Parquet file of a table, whole or not. A file is hashed as one row, so it must stay under
     2 GB: bound it with maxRecordsPerFile when it is written."""
-    inside = lambda p: F.regexp_extract(p, r"((?:[^/=]+=[^/]*/)*[^/]+)$", 1)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path)
+    return files.select(_inside(F.col("path")).alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def written_files(spark: SparkSession, path: str) -> DataFrame:
+    """path (within the table), bytes, sha256 and rows of each Parquet file of a table (see file_digests)."""
     read = spark.read.option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
-    rows = read.parquet(path).groupBy(inside(F.url_decode(F.input_file_name())).alias("path")).agg(F.count("*").alias("rows"))
-    files = read.format("binaryFile").load(path).select(inside(F.col("path")).alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    return files.join(rows, "path", "left").fillna(0, ["rows"])
+    rows = read.parquet(path).groupBy(_inside(F.url_decode(F.input_file_name())).alias("path")).agg(F.count("*").alias("rows"))
+    return file_digests(spark, path).join(rows, "path", "left").fillna(0, ["rows"])
 
 
 def check_manifest(manifests: DataFrame, version: int, sources: DataFrame) -> DataFrame:
