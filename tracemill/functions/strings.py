@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .rendering import BILLING_HEADER
 
+
+
+@dataclass(frozen=True)
+class OutcomeRules:
+    """By what the outcome of a result is read: so much of its start, markers so near it, and words of its JSON fields."""
+
+    # fixed values
+    head_characters: int = 4000
+    marker_characters: int = 600
+    denial_markers: tuple[str, ...] = ("The user denied this operation", "user denied", "User declined", "The user doesn't want to proceed")
+    timeout_markers: tuple[str, ...] = ("did not complete in", "was sent to the background", "Command timed out", "timed out after")
+    failure_markers: tuple[str, ...] = ("The tool execution failed", "<tool_use_error>", "Error executing ", "Search failed", "Command failed", "tool execution was interrupted")
+    empty_error_values: tuple[str, ...] = ("", "null", "none")
+    success_statuses: tuple[str, ...] = ("success", "approved", "ok")
+
+
 # fixed values
-DENIAL = ("The user denied this operation", "user denied", "User declined", "The user doesn't want to proceed")
-TIMEOUT = ("did not complete in", "was sent to the background", "Command timed out", "timed out after")
-FAILURE = ("The tool execution failed", "<tool_use_error>", "Error executing ", "Search failed", "Command failed", "tool execution was interrupted")
-EMPTY_ERRORS, SUCCESS = ("", "null", "none"), ("success", "approved", "ok")
-HEAD, NEAR = 4000, 600
 SHINGLE_WORDS, SHINGLED = 8, 8000
 BLOCK = 16
 IPV4 = r"(?<![\d.])\d{1,3}(\.\d{1,3}){3}(?![\d.])"
@@ -81,10 +94,10 @@ def _ltrim(text: Column) -> Column:
     return F.regexp_replace(text, r"^[\s]+", "")
 
 
-def outcome(text: Column, is_error: Column) -> Column:
+def outcome(text: Column, is_error: Column, rules: OutcomeRules = OutcomeRules()) -> Column:
     """Outcome of a tool result: flag, JSON fields, return code, markers near the start, exit code, first line."""
-    head = _ltrim(F.substring(text, 1, HEAD))
-    near = F.substring(head, 1, NEAR)
+    head = _ltrim(F.substring(text, 1, rules.head_characters))
+    near = F.substring(head, 1, rules.marker_characters)
     js = F.when(head.startswith("{"), F.try_parse_json(head))
     get = lambda p, t: F.try_variant_get(js, p, t)
     status = F.lower(F.coalesce(get("$.status", "string"), F.lit("")))
@@ -92,18 +105,19 @@ def outcome(text: Column, is_error: Column) -> Column:
     has_exit = F.try_variant_get(js, "$.exit_code", "variant").isNotNull()
     code = F.when(has_exit, integer("$.exit_code")).otherwise(integer("$.returncode"))
     boolean = lambda p: F.when(F.schema_of_variant(F.try_variant_get(js, p, "variant")) == "BOOLEAN", get(p, "boolean"))
-    error = get("$.error", "string")
+    held = F.try_variant_get(js, "$.error", "variant")
+    error = F.when(held.isNotNull() & ~F.is_variant_null(held), F.when(F.schema_of_variant(held) == "STRING", get("$.error", "string")).otherwise("an object"))
     stated = (
         F.when(js.isNull(), None).when(status == "denied", "denied").when(status == "error", "error").when(code == 0, "ok").when(code.isNotNull(), "error")
-        .when(~boolean("$.success"), "error").when(boolean("$.success"), "ok").when(error.isNotNull() & ~F.lower(F.trim(error)).isin(*EMPTY_ERRORS), "error").when(status.isin(*SUCCESS), "ok")
+        .when(~boolean("$.success"), "error").when(boolean("$.success"), "ok").when(error.isNotNull() & ~F.lower(F.trim(error)).isin(*rules.empty_error_values), "error").when(status.isin(*rules.success_statuses), "ok")
     )
     returned = F.coalesce(F.nullif(F.regexp_extract(head, r"^\s*<returncode>(-?\d+)</returncode>", 1), F.lit("")), F.nullif(F.regexp_extract(head, r'^\s*\{[^{}]{0,200}"returncode"\s*:\s*(-?\d+)', 1), F.lit("")))
-    marked = lambda marks: F.lit(False) if not marks else __import__("functools").reduce(lambda a, b: a | b, (F.contains(near, F.lit(m)) for m in marks))
+    marked = lambda marks: F.exists(F.array(*map(F.lit, marks)), lambda m: F.contains(near, m)) if marks else F.lit(False)
     exit_code = F.nullif(F.regexp_extract(near, r"[Ee]xit [Cc]ode:?\s*(-?\d+)", 1), F.lit(""))
     verdict = lambda n: F.when(n.cast("decimal(38,0)") == 0, "ok").otherwise("error")
     return (
         F.when(F.coalesce(is_error, F.lit(False)), "error").when(stated.isNotNull(), stated).when(returned.isNotNull(), verdict(returned))
-        .when(marked(DENIAL), "denied").when(marked(TIMEOUT), "timeout").when(marked(FAILURE), "error").when(exit_code.isNotNull(), verdict(exit_code))
+        .when(marked(rules.denial_markers), "denied").when(marked(rules.timeout_markers), "timeout").when(marked(rules.failure_markers), "error").when(exit_code.isNotNull(), verdict(exit_code))
         .when(is_error.isNotNull(), "ok").when(F.substring_index(head, "\n", 1).rlike(r"^\s*(?:error|ERROR|Error)\b[:\s]"), "error").otherwise("ok")
     )
 

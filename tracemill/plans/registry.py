@@ -517,3 +517,4 @@ from . import callrows  # noqa: E402, F401
 from . import storage  # noqa: E402, F401
 from . import streams  # noqa: E402, F401
 from . import releases  # noqa: E402, F401
+from . import ruled  # noqa: E402, F401
