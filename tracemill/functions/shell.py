@@ -2,8 +2,8 @@
 
 A command is cut by one pattern into comments, redirects, operators and words, and folded over these pieces. Quotes,
 substitutions and here-document bodies are part of words or taken out, so an operator inside them parts nothing. This covers a
-documented part of the grammar: loops and groups are read for the commands inside them, function bodies and
-`case` patterns are not told apart from commands, and substitutions are not looked into.
+documented part of the grammar: loops, groups, function bodies and the branches of a `case` are read for the commands inside them, names of functions
+and patterns of a `case` are no commands, and substitutions are not looked into.
 """
 
 from __future__ import annotations
@@ -45,6 +45,8 @@ _OPERATOR = r"&&|\|\||\|&|\||;;?|&|\n|[()]"
 _WORD = r"""(?:[^\s'"\\;&|<>()`$]++|\\[\s\S]|'[^']*+'|"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"|\$\((?:[^()]++|\([^()]*+\))*+\)|`[^`]*+`|\$|['"`][\s\S]*+|\\)++"""
 _PIECE = rf"({_COMMENT}|{_REDIRECT}|{_OPERATOR}|{_WORD})"
 _HERE_DOCUMENT = r"(<<-?[ \t]*+(['\"]?)(\w++)\2[^\n]*+)\n(?:[^\n]*+\n)*?[ \t]*+\3[ \t]*+(?=\n|\z)"
+#: A quoted text, or the head of a function's definition where a command may begin.
+_FUNCTION = r"""("[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"|'[^']*+')|(?<=^|[;&|\n{(])([ \t]*+(?:function[ \t]++)?)[A-Za-z_][\w.:-]*+[ \t]*+\([ \t]*+\)"""
 _BALANCED = r"""^(?:[^'"\\`]++|\\[\s\S]|'[^']*+'|"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"|`[^`]*+`)*+$"""
 
 _EMPTY = "array<string>"
@@ -59,13 +61,15 @@ def _unquoted(word: Column) -> Column:
 def commands(command: Column) -> Column:
     """run: simple commands in order, with the operator before each, its words without redirects, the words of its redirects, and whether
     it opens a here-document or runs in the background; and whether any runs in the background."""
-    bare = F.regexp_replace(F.regexp_replace(command, r"\\\n", " "), _HERE_DOCUMENT, "$1")
-    start = F.struct(F.array().cast(_RUN).alias("run"), F.array().cast(_EMPTY).alias("words"), F.array().cast(_EMPTY).alias("redirects"), F.lit(False).alias("here"), F.lit(False).alias("marker"), F.lit("").alias("joined"), F.lit(False).alias("target"), F.lit(False).alias("background"))
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(command, r"\\\n", " "), _HERE_DOCUMENT, "$1"), _FUNCTION, "$1")
+    start = F.struct(F.array().cast(_RUN).alias("run"), F.array().cast(_EMPTY).alias("words"), F.array().cast(_EMPTY).alias("redirects"), F.lit(False).alias("here"), F.lit(False).alias("marker"), F.lit("").alias("joined"), F.lit(False).alias("target"), F.lit(False).alias("background"), F.lit(False).alias("pattern"))
 
     def step(a: Column, piece: Column) -> Column:
         operator = piece.rlike(rf"^(?:{_OPERATOR}|\{{|\}})$")
-        redirect = ~operator & piece.rlike(rf"^(?:{_REDIRECT})$")
-        comment = piece.startswith("#")
+        # in a case, what stands before the bracket of a branch is its pattern
+        pattern = a["pattern"] & (piece != "esac")
+        redirect = ~operator & ~pattern & piece.rlike(rf"^(?:{_REDIRECT})$")
+        comment = piece.startswith("#") | (pattern & ~operator)
         some = F.size(a["words"]) > 0
         done = F.struct(a["joined"].alias("joined"), a["words"].alias("words"), a["redirects"].alias("redirects"), a["here"].alias("here"), (piece == "&").alias("background"))
         closed = F.concat(a["run"], F.array(done).cast(_RUN))
@@ -87,6 +91,7 @@ def commands(command: Column) -> Column:
             F.when(operator & (some | ~piece.isin("\n", "(", "{")), after).otherwise(a["joined"]).alias("joined"),
             F.when(redirect, ~piece.rlike(r"&(?:\d+-?|-)$")).when(word | operator, False).otherwise(a["target"]).alias("target"),
             (a["background"] | ((piece == "&") & (some | (F.size(a["run"]) > 0)))).alias("background"),
+            F.when(piece.isin(")", "esac"), False).when((piece == ";;") | (operator & (F.get(a["words"], 0) == "case") & (F.try_element_at(a["words"], F.lit(-1)) == "in")), True).otherwise(a["pattern"]).alias("pattern"),
         )
 
     pieces = F.concat(F.regexp_extract_all(bare, F.lit(_PIECE), 1), F.array(F.lit("\n")))

@@ -44,10 +44,14 @@ def links(signals: DataFrame, lookback: int = LOOKBACK) -> DataFrame:
     replays, else the nearest whose answer's phrases it holds to nine tenths. signals: request_id, user_id, end_ms,
     emitted_ids, replayed_ids, answer_shingles, replayed_shingles. A null account is one account. A repeated
     request_id is an error."""
-    w = Window.partitionBy("user_id").orderBy("end_ms", "request_id")
+    from .tokens import rank_within
+
+    # ids and times alone are ranked, in ranges of them: an account with a third of all requests is ranked by many tasks
+    slim = signals.select("request_id", F.coalesce("user_id", F.lit("\x00")).alias("account"), "end_ms")
+    ranked = rank_within(slim, "account", ["end_ms", "request_id"], "rn").select("request_id", "account", (F.col("rn") + 1).alias("rn"))
     same = F.count("*").over(Window.partitionBy("request_id"))
-    s = signals.withColumn("rn", F.row_number().over(w)).withColumn("rn", F.when(same > 1, F.raise_error(F.concat(F.lit("repeated request_id "), "request_id")).cast("int")).otherwise(F.col("rn")))
-    s = s.withColumn("account", F.coalesce("user_id", F.lit("\x00")))
+    ranked = ranked.withColumn("rn", F.when(same > 1, F.raise_error(F.concat(F.lit("repeated request_id "), "request_id")).cast("int")).otherwise(F.col("rn").cast("int")))
+    s = signals.select("request_id", "emitted_ids", "replayed_ids", "answer_shingles", "replayed_shingles").join(ranked, "request_id")
     near = (F.col("c.rn") - F.col("p.rn")).between(1, lookback)
     # parents stand in the child's band of numbers or the one before, so a common key meets few rows at a time
     band = F.floor(F.col("rn") / lookback).cast("int")

@@ -110,6 +110,19 @@ def week_sessions(chains: DataFrame, signals: DataFrame, inside: DataFrame, spaw
     return j.select("session_id", "trace_id", "user_id", "harness", "is_agent_session", "n_requests", "n_user_turns", "n_tool_turns", "start_ms", "end_ms", "spawned_by_session_id", "spawned_by_request_id", "spawned_by_call_index")
 
 
+def load_reference(links: DataFrame, sessions: DataFrame, spawns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Another export's tables as ours: agent sessions by their root's id (root_request_id, harness, root_week, root_month, last_week), their requests
+    (session_id, request_id; session_id is the root's id), and matched spawn pairs (request_id, child_root_request_id). links: request_id, end_us, session; sessions: session, root_request_id, framework,
+    is_agent_session, last_end_us; spawns: request_id, matched, child_root_request_id. A session whose root has no link is left out."""
+    day = lambda us: F.to_date(F.timestamp_millis(F.floor(us / 1000).cast("long")))
+    week = lambda us: F.date_format(strings.week_of(day(us)), "yyyy-MM-dd")
+    roots = links.select(F.col("request_id").alias("root_request_id"), "end_us")
+    agents = sessions.filter("is_agent_session").join(roots, "root_request_id")
+    members_of = agents.select("session", F.col("root_request_id").alias("session_id")).join(links.select("session", "request_id"), "session").select("session_id", "request_id").distinct()
+    facts = agents.select("root_request_id", F.col("framework").alias("harness"), week(F.col("end_us")).alias("root_week"), F.date_format(day(F.col("end_us")), "yyyy-MM").alias("root_month"), week(F.col("last_end_us")).alias("last_week"))
+    return facts, members_of, spawns.filter("matched").select("request_id", "child_root_request_id").distinct()
+
+
 def compare(ours: DataFrame, other: DataFrame) -> DataFrame:
     """(session_id, request_id) of two exports: per session same, more, fewer, differs, or only in one of them."""
     sets = lambda d, n: d.groupBy("session_id").agg(F.sort_array(F.collect_set("request_id")).alias(n))

@@ -25,19 +25,21 @@ RECOMPUTE_PRICE, STORAGE_PRICE_PER_DAY, MILLION, DAY_S = 1.0, 30.0, 1e6, 86_400
 def judged_reads(reads: DataFrame) -> DataFrame:
     """reads: session_id, week, harness, step, start_ms, end_ms, pos, block_id. Adds scope, first, next read and signals (seconds)."""
     inf = F.lit(float("inf"))
-    r = reads.withColumn("scope", turns.scope_of(F.col("harness"))).withColumn("arrival", F.col("start_ms") / 1000).withColumn("completion", F.col("end_ms") / 1000)
-    steps = r.select("scope", "week", "session_id", "step", "arrival", "completion").distinct()
-    s = Window.partitionBy("week", "session_id")
-    steps = steps.select("week", "session_id", "step", F.coalesce(F.lead("arrival").over(s.orderBy("step")), inf).alias("next_arrival"), F.max("completion").over(s).alias("session_end"))
+    spark = reads.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    r = reads.select("week", "session_id", "step", "pos", "block_id", turns.scope_of(F.col("harness")).alias("scope"), (F.col("start_ms") / 1000).alias("arrival"), (F.col("end_ms") / 1000).alias("completion"))
+    # one shuffle by session serves all that asks for the session: when it ends, when its next step comes, and whether that
+    # reads the block, however often this one does
+    of_session = Window.partitionBy("week", "session_id")
+    later = of_session.orderBy(F.desc("step")).rangeBetween(Window.unboundedPreceding, -1)
+    again = F.count("*").over(Window.partitionBy("week", "session_id", "scope", "block_id").orderBy("step").rangeBetween(1, 1))
+    r = r.repartition(parts, "week", "session_id").withColumn("session_end", F.max("completion").over(of_session)).withColumn("next_arrival", F.coalesce(F.last("arrival").over(later), inf))
+    r = r.withColumn("mutate_signal", F.when(again > 0, inf).otherwise(F.col("next_arrival"))).select("scope", "week", "session_id", "step", "pos", "block_id", "arrival", "completion", "mutate_signal", "session_end")
+    # written once, so that the sampling of ranges reads a table
+    r = settled(r, "session-reads")
     ends = r.groupBy("scope", "week").agg(F.max("completion").alias("week_end"))
-    r = r.join(steps, ["week", "session_id", "step"]).join(F.broadcast(ends), ["scope", "week"])  # a row a week and scope
-    # whether the session's next step reads the block, however often this one does
-    again = F.count("*").over(Window.partitionBy("scope", "week", "block_id", "session_id").orderBy("step").rangeBetween(1, 1))
-    r = r.withColumn("mutate_signal", F.when(again > 0, inf).otherwise(F.col("next_arrival")))
-    r = r.select("scope", "week", "session_id", "step", "pos", "block_id", "arrival", "completion", "week_end", "mutate_signal", "session_end")
 
     block, order = ["scope", "week", "block_id"], ["arrival", "session_id", "step", "pos"]
-    parts = int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     r = settled(r.repartitionByRange(parts, *block, *order).withColumn("__p", F.spark_partition_id()), "ordered-reads")
     at = F.struct(*block, *order, "completion")
     ends_of = r.groupBy("__p").agg(F.min(at).alias("head"), F.max(at).alias("tail"))
@@ -46,7 +48,7 @@ def judged_reads(reads: DataFrame) -> DataFrame:
     ends_of = ends_of.select("__p", F.lead("head").over(by).alias("__after"), F.lag("tail").over(by).alias("__before"))
     same = lambda end: (F.col(f"{end}.scope") == F.col("scope")) & (F.col(f"{end}.week") == F.col("week")) & (F.col(f"{end}.block_id") == F.col("block_id"))
     w = Window.partitionBy("__p", *block).orderBy(*order)
-    r = r.join(F.broadcast(ends_of), "__p")
+    r = r.join(F.broadcast(ends_of), "__p").join(F.broadcast(ends), ["scope", "week"])  # a row a partition; a row a week and scope
     following = lambda c: F.coalesce(F.lead(c).over(w), F.when(same("__after"), F.col(f"__after.{c}")))
     r = r.withColumn("__arrival", following("arrival")).withColumn("__completion", following("completion")).withColumn("first", (F.row_number().over(w) == 1) & ~F.coalesce(same("__before"), F.lit(False)))
     return r.select(

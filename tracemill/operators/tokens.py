@@ -106,10 +106,20 @@ def global_rank(df: DataFrame, order: list[str], name: str) -> DataFrame:
 
 
 def rank_within(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
-    """Rank from 0 by `order` within each value of `group`, of which there are few (weeks); no group meets in one task."""
-    ranked = settled(global_rank(df, [group, *order], "__r"), "ranks")
-    low = ranked.groupBy(group).agg(F.min("__r").alias("__low"))
-    return ranked.join(F.broadcast(low), group).withColumn(name, F.col("__r") - F.col("__low")).drop("__r", "__low")  # a row a week
+    """Rank from 0 by `order` within each value of `group`, few or many; no group meets in one task.
+
+    Range partitions of (group, order) are written once. A group is cut only where it is the last of a partition and the first of
+    the next, so what stands before a part of it is known for two parts a partition at most."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parted = settled(df.repartitionByRange(parts, group, *order).withColumn("__p", F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy("__p", group).orderBy(*order)
+    sizes = parted.groupBy("__p", group).agg(F.count("*").alias("__n"))
+    of_group = Window.partitionBy(group)
+    ahead = F.sum("__n").over(of_group.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+    before = sizes.withColumn("__ahead", ahead).withColumn("__parts", F.count("*").over(of_group)).filter("__parts > 1 and __ahead is not null").select(F.col("__p").alias("__q"), F.col(group).alias("__g"), "__ahead")
+    ranked = parted.withColumn("__i", F.row_number().over(inside) - 1)
+    ranked = ranked.join(F.broadcast(before), (F.col("__p") == F.col("__q")) & F.col(group).eqNullSafe(F.col("__g")), "left")
+    return ranked.select(*df.columns, (F.col("__i") + F.coalesce("__ahead", F.lit(0))).alias(name))
 
 
 def cdf(df: DataFrame, value: str) -> DataFrame:

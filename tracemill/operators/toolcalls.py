@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 import tomllib
 from dataclasses import dataclass, field
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arguments, shell, strings
@@ -44,16 +45,16 @@ FILED = {
 }
 
 
-def load_rules(*paths: str) -> Rules:
-    """Rules from TOML files (tool names, categories) with a table or list for each field; what no file holds keeps its
+def load_rules(*paths: str, spark: SparkSession | None = None) -> Rules:
+    """Rules from TOML files, read through Spark if a session is given, (tool names, categories) with a table or list for each field; what no file holds keeps its
     default. Tables and keys must be known, phrases in lower case, and every family and purpose of a category known."""
     given: dict = {}
     for path in paths:
-        with open(path, "rb") as f:
-            for name, value in tomllib.load(f).items():
-                if name in given and name != "version":
-                    raise ValueError(f"{name} is in more than one file")
-                given[name] = value
+        held = Path(path).read_text(encoding="utf-8") if spark is None else spark.read.text(path, wholetext=True).first().value
+        for name, value in tomllib.loads(held).items():
+            if name in given and name != "version":
+                raise ValueError(f"{name} is in more than one file")
+            given[name] = value
     given.pop("version", None)
     out = {}
     for name in Rules.__dataclass_fields__:

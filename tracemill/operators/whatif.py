@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .lineage import settled
 from .tokens import rank_within
 from .turns import in_session
 
@@ -63,27 +64,30 @@ def skip_ranks(steps: DataFrame) -> DataFrame:
 def skip_sweep(steps: DataFrame) -> DataFrame:
     """Token sums and counts per week, TTL and price cut. A session's steps are folded in order, carrying what skipped reductions kept;
     today's fold knows no cut, so a session takes one fold a TTL for it and one a TTL and cut for the rest."""
-    spark = steps.sparkSession
+    steps = settled(steps, "steps")
     # cut -1 is today
-    grid = spark.createDataFrame([(t, s, c) for t, s in TTLS for c in range(-1, CUTS + 1)], "ttl string, ttl_s double, cut int")
+    grid = F.array(*(F.struct(F.lit(t).alias("ttl"), F.lit(s).alias("ttl_s"), F.lit(c).alias("cut")) for t, s in TTLS for c in range(-1, CUTS + 1)))
     s = steps.join(skip_ranks(steps), ["session_id", "step"], "left")
     fields = F.struct("step", "prompt_tokens", "cached_if_warm", "removed_tokens", "gap_s", "rank", "reductions")
     sessions = s.groupBy("week", "session_id").agg(F.sort_array(F.collect_list(fields)).alias("steps"), F.first("compaction_tokens").alias("limit"), F.sum(F.coalesce("completion_tokens", F.lit(0))).alias("output"), F.count_if("is_reduction").alias("reductions"))
-    g = sessions.join(F.broadcast(grid), F.lit(True))  # 66 rows
     d = lambda x: F.lit(x).cast("double")
     zero = F.struct(d(0).alias("p"), d(0).alias("c"), F.lit(0).cast("long").alias("f"), d(0).alias("carry"), F.lit(0).cast("long").alias("k"))
 
-    def step(a, x):
-        warm = F.coalesce(x["gap_s"] <= F.col("ttl_s"), F.lit(False))
-        skipped = (F.col("cut") >= 0) & F.coalesce(x["rank"] <= F.floor(F.col("cut") * x["reductions"] / CUTS + 0.5), F.lit(False))
-        carry = a["carry"] + F.when(skipped, x["removed_tokens"]).otherwise(0.0)
-        context = x["prompt_tokens"] + carry
-        forced = context > F.col("limit")
-        p = F.when(forced, x["prompt_tokens"].cast("double")).when(skipped & warm, 0.0).when(warm, x["prompt_tokens"] - x["cached_if_warm"]).otherwise(context)
-        c = F.when(forced, 0.0).when(skipped & warm, context).when(warm, x["cached_if_warm"] + carry).otherwise(0.0)
-        return F.struct((a["p"] + p).alias("p"), (a["c"] + c).alias("c"), (a["f"] + forced.cast("long")).alias("f"), F.when(forced, 0.0).otherwise(carry).alias("carry"), (a["k"] + skipped.cast("long")).alias("k"))
-
-    g = g.select("week", "ttl", "cut", "output", "reductions", F.aggregate("steps", zero, step).alias("m"))
+    def fold(g):
+        def step(a, x):
+            warm = F.coalesce(x["gap_s"] <= g["ttl_s"], F.lit(False))
+            skipped = (g["cut"] >= 0) & F.coalesce(x["rank"] <= F.floor(g["cut"] * x["reductions"] / CUTS + 0.5), F.lit(False))
+            carry = a["carry"] + F.when(skipped, x["removed_tokens"]).otherwise(0.0)
+            context = x["prompt_tokens"] + carry
+            forced = context > F.col("limit")
+            p = F.when(forced, x["prompt_tokens"].cast("double")).when(skipped & warm, 0.0).when(warm, x["prompt_tokens"] - x["cached_if_warm"]).otherwise(context)
+            c = F.when(forced, 0.0).when(skipped & warm, context).when(warm, x["cached_if_warm"] + carry).otherwise(0.0)
+            return F.struct((a["p"] + p).alias("p"), (a["c"] + c).alias("c"), (a["f"] + forced.cast("long")).alias("f"), F.when(forced, 0.0).otherwise(carry).alias("carry"), (a["k"] + skipped.cast("long")).alias("k"))
+
+        return F.struct(g["ttl"].alias("ttl"), g["cut"].alias("cut"), F.aggregate("steps", zero, step).alias("m"))
+
+    # the folds of a session are made in its row: 66 small results leave it, not 66 copies of its steps
+    g = sessions.select("week", "output", "reductions", F.explode(F.transform(grid, fold)).alias("g")).select("week", "output", "reductions", "g.*")
     sums = g.groupBy("week", "ttl", "cut").agg(
         F.sum("m.p").alias("p"), F.sum("m.c").alias("c"), F.sum("output").cast("double").alias("output_tokens"), F.sum("reductions").alias("reductions"), F.sum("m.k").alias("skipped_reductions"), F.sum("m.f").alias("forced_compactions"),
     )

@@ -45,6 +45,20 @@ def _(s, d):
     return p.select("doc_id", "i", F.array_join("programs", ",").alias("programs"), F.array_join("joined_by", ",").alias("joined_by"), "background", "parse_status")
 
 
+@query("X6_shell_grammar", _SIX + """ SELECT doc_id, i, concat_ws(',', a, b, c) AS programs FROM x_s""", fixture=False)
+def _(s, d):
+    """Programs inside functions, loops, branches of a case, conditions and groups, beside quoted texts and substitutions; names of functions and patterns are none."""
+    made = (
+        "fun() { %s x; %s; }\nfunction other () {\n%s y\n}", "for i in %4$s %5$s; do %1$s $i | %2$s; done; %3$s", "case $1 in\n %4$s|%5$s) %1$s;;\n *) %2$s x && %3$s;;\nesac", "if %1$s %4$s; then %2$s; else %3$s; fi",
+        "( %1$s; { %2$s %4$s; } ) && %3$s", "%1$s \"$(%4$s %5$s)\" `%5$s` ; %2$s 'f() { x; }' && %3$s", "while %1$s; do case %4$s in %5$s) %2$s x ;; esac; done; %3$s",
+    )
+    out, kind = F.lit(None).cast("string"), F.col("i") % len(made)
+    for k, form in enumerate(made):
+        out = F.when(kind == k, F.format_string(form, *"abcde")).otherwise(out)
+    p = toolcalls.with_programs(sixes(s, d).select("doc_id", "i", out.alias("command")), "command")
+    return p.select("doc_id", "i", F.array_join("programs", ",").alias("programs"))
+
+
 @query("X7_wrappers_and_labels", _SIX + " SELECT doc_id, i, CASE kind WHEN 0 THEN 'sudo -u ' || a WHEN 1 THEN a || '=1 nohup' ELSE '' END AS before, CASE kind WHEN 0 THEN concat_ws(',', b, c, e) WHEN 1 THEN concat_ws(',', b, d) WHEN 2 THEN concat_ws(',', 'cat', d, e) ELSE concat_ws(',', 'git ' || a, 'python -m ' || b) END AS labels FROM x_s", fixture=False)
 def _(s, d):
     p = toolcalls.with_programs(_commands(s, d), "command")

@@ -137,3 +137,66 @@ def _(s, d):
         back = s.read.schema("harness string, requests long").option("header", True).format(form).load(path).withColumn("form", F.lit(form))
         out = back if out is None else out.union(back)
     return out
+
+
+def _published(s, d):
+    """The three tables written by week as they are published."""
+    f, r, c, _ = _flat(s, d)
+    path = new_path(s, "published")
+    weeks = r.groupBy("session_id").agg(F.date_format(strings.week_of(F.to_date(F.timestamp_millis(F.min("start_ms")))), "yyyy-MM-dd").alias("week"))
+    for name, df in (("sessions", f), ("requests", r), ("tool_calls", c)):
+        tables.write_table(df.join(weeks, "session_id"), f"{path}/{name}", "week")
+    return path
+
+
+_BY_WEEK = """x_wk AS (SELECT session_id, min(week) AS week FROM fx_requests GROUP BY 1), x_all AS (SELECT 'sessions' AS "table", week, session_id, 0 AS step FROM x_wk UNION ALL SELECT 'requests', w.week, session_id, step FROM fx_requests r JOIN x_wk w USING (session_id) UNION ALL SELECT 'tool_calls', w.week, session_id, step FROM fx_tool_calls JOIN x_wk w USING (session_id))"""
+
+
+def _counted(tables_):
+    parts = [t.select(F.lit(name).alias("table"), "week", "session_id", (F.col("step") if "step" in t.columns else F.lit(0)).alias("step")) for name, t in zip(("sessions", "requests", "tool_calls"), tables_, strict=True)]
+    return parts[0].union(parts[1]).union(parts[2]).groupBy("table", "week").agg(F.count("*").alias("rows"), F.count_distinct("session_id").alias("sessions"), F.coalesce(F.sum("step"), F.lit(0)).cast("long").alias("steps"))
+
+
+@query("S2_all_weeks", _BY_WEEK + ' SELECT "table", week, count(*) AS rows, count(DISTINCT session_id) AS sessions, sum(step)::BIGINT AS steps FROM x_all GROUP BY ALL')
+def _(s, d):
+    """Every week's tables as one, from their folders."""
+    return _counted(tables.load(s, _published(s, d)))
+
+
+@query("S4_chosen_weeks", _BY_WEEK + ' SELECT "table", week, count(*) AS rows, count(DISTINCT session_id) AS sessions, sum(step)::BIGINT AS steps FROM x_all WHERE week IN (SELECT max(week) FROM x_wk UNION SELECT min(week) FROM x_wk) GROUP BY ALL UNION ALL SELECT \'missing\', \'1999-01-03\', 0, 0, 0')
+def _(s, d):
+    """The first and the last week, found among the folders and read alone, and a week that is not there."""
+    path = _published(s, d)
+    weeks = s.read.parquet(f"{path}/sessions").select("week").distinct()
+    first, last = weeks.agg(F.min("week"), F.max("week")).first()
+    lost = traces.find_weeks(weeks, [str(first), "1999-01-03"]).select(F.lit("missing").alias("table"), "week", F.lit(0).cast("long").alias("rows"), F.lit(0).cast("long").alias("sessions"), F.lit(0).cast("long").alias("steps"))
+    return _counted(tables.load(s, path, [str(first), str(last)])).union(lost)
+
+
+@query("X38_user_agents", "SELECT event_id, CASE WHEN k % 5 < 3 THEN event_type || '/' || k END AS user_agent FROM fx_requests")
+def _(s, d):
+    """Metadata as JSON text: with an agent, nested ones that are none, no object, broken, or none at all."""
+    from ..sources import logs
+
+    r, k = fx.base_requests(s, d), F.col("k") % 5
+    agent = F.concat_ws("/", "event_type", "k")
+    metadata = F.when(k < 3, F.to_json(F.struct(F.lit("x").alias("a"), agent.alias("user_agent")))).when(k == 3, F.concat(F.lit('{"deep":{"user_agent":"'), agent, F.lit('"},"user_agent":7}'))).when(F.col("k") % 10 == 4, F.concat(F.lit('["'), agent)).otherwise(F.lit(None).cast("string"))
+    lines = r.select("event_id", F.to_json(F.struct(F.lit("r").alias("request_id"), metadata.alias("metadata"))).alias("value"))
+    return logs.with_fields(lines).select("event_id", "user_agent")
+
+
+@query("S13_reference_export", _FAM + """, x_s AS (SELECT session_id, min(harness) AS harness, max(end_ms) AS last FROM fx_requests GROUP BY 1), x_sun AS (SELECT session_id, step, strftime(make_timestamp(end_ms * 1000), '%Y-%m') AS month, strftime(CAST(make_timestamp(end_ms * 1000) AS DATE) - CAST(dayofweek(make_timestamp(end_ms * 1000)) AS INTEGER), '%Y-%m-%d') AS sunday, end_ms FROM fx_requests)
+    SELECT s.session_id || ':0' AS root_request_id, s.harness, r.sunday AS root_week, r.month AS root_month, l.sunday AS last_week, (SELECT count(*) FROM fx_requests q WHERE q.session_id = s.session_id) AS requests, (SELECT count(*) FROM x_fam f WHERE f.parent_session_id = s.session_id) AS spawned
+    FROM x_s s JOIN x_sun r ON r.session_id = s.session_id AND r.step = 0 JOIN (SELECT session_id, end_ms, any_value(sunday) AS sunday FROM x_sun GROUP BY ALL) l ON l.session_id = s.session_id AND l.end_ms = s.last WHERE s.harness <> 'codex'""")
+def _(s, d):
+    """Another export, in its own names and microseconds, as ours; sessions of one harness are no agents'."""
+    r = fx.base_requests(s, d).withColumn("request_id", F.concat_ws(":", "session_id", "step"))
+    links = r.select("request_id", (F.col("end_ms") * 1000 + F.col("k")).alias("end_us"), F.concat(F.lit("n"), "session_id").alias("session"))
+    sessions = r.groupBy("session_id").agg(F.min("harness").alias("framework"), (F.max("end_ms") * 1000).alias("last_end_us")).select(F.concat(F.lit("n"), "session_id").alias("session"), F.concat(F.col("session_id"), F.lit(":0")).alias("root_request_id"), "framework", (F.col("framework") != "codex").alias("is_agent_session"), "last_end_us")
+    lost = sessions.limit(1).withColumn("root_request_id", F.lit("lost"))
+    f = _family(s, d)
+    spawns = f.filter("parent_session_id is not null").select(F.concat_ws(":", "parent_session_id", "spawned_by_step").alias("request_id"), F.lit(True).alias("matched"), F.concat(F.col("session_id"), F.lit(":0")).alias("child_root_request_id"))
+    agents, members, pairs = release.load_reference(links, sessions.union(lost), spawns.union(spawns.withColumn("matched", F.lit(False)).withColumn("child_root_request_id", F.lit("x"))))
+    n = members.groupBy(F.col("session_id").alias("root_request_id")).agg(F.count("*").alias("requests"))
+    p = pairs.join(links.select("request_id", "session"), "request_id").groupBy(F.concat(F.expr("substring(session, 2)"), F.lit(":0")).alias("root_request_id")).agg(F.count("*").alias("spawned"))
+    return agents.join(n, "root_request_id").join(p, "root_request_id", "left").fillna(0, ["spawned"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import lineage, rules
+from ..operators import lineage, rules, toolcalls
 from .registry import query, table
 
 
@@ -56,3 +56,33 @@ def _(s, d):
     line = F.concat(F.lit('[[harness]]\nname = "'), name, F.lit('"\n'), F.when(F.col("n_nationkey") % 5 == 0, "").otherwise('reason = "asked"\n'))
     left_out = rules.exclusions(s, _file(s, n.select(line.alias("line"), F.col("n_nationkey").alias("place"))))
     return rules.faults(rules.harnesses(s, _phrases(s, d))).union(rules.faults(left_out)).select("table", "name", "text", "fault")
+
+
+def _tool_rules(s, d):
+    """Tool names from regions and nations: those of even regions are aliases of their region, those of odd ones its keywords; regions are families."""
+    n, r = table(s, d, "nation"), table(s, d, "region")
+    names = n.groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('"'), F.lower("n_name"), F.lit('"')))), ", ").alias("names"))
+    j = r.join(names, F.col("r_regionkey") == F.col("n_regionkey")).select("r_regionkey", F.concat(F.lower("r_name")).alias("region"), "names")
+    line = lambda: F.concat(F.lit('"'), "region", F.lit('" = ['), "names", F.lit("]"))
+    head = lambda name, place: s.range(1).select(F.lit(f"[{name}]").alias("line"), F.lit(place).cast("long").alias("place"))
+    some = lambda odd, at: j.filter(F.col("r_regionkey") % 2 == odd).select(line().alias("line"), (F.col("r_regionkey") + at).alias("place"))
+    kinds = F.element_at(F.array(*map(F.lit, _FAMILIES)), (F.col("r_regionkey") + 1).cast("int"))
+    families = j.select(F.concat(kinds, F.lit(' = ["'), "region", F.lit('"]')).alias("line"), (F.col("r_regionkey") + 100).alias("place"))
+    lines = head("aliases", -1).union(some(0, 0)).union(head("keywords", 20)).union(some(1, 21)).union(head("tool_families", 99)).union(families)
+    return toolcalls.load_rules(_file(s, lines), spark=s)
+
+
+_FAMILIES = ("shell", "read", "edit", "write", "browser")
+
+
+@query("X13_names_by_a_users_rules", """WITH x_m AS (SELECT n_nationkey AS n, lower(n_name) AS low, r_regionkey AS r, lower(r_name) AS region FROM nation JOIN region ON n_regionkey = r_regionkey), x_s AS (SELECT s_suppkey AS k, s_suppkey % 4 AS kind, m.* FROM supplier JOIN x_m m ON s_nationkey = m.n),
+    x_k AS (SELECT s.k, arg_min(m.region, m.r) AS region, min(m.r) AS r FROM x_s s JOIN x_m m ON m.r % 2 = 1 AND starts_with(s.low, m.low) GROUP BY 1), x_n AS (SELECT s.k, kind, CASE WHEN kind = 0 AND s.r % 2 = 0 THEN s.region WHEN kind <> 2 THEN coalesce(x.region, CASE kind WHEN 1 THEN 'my ' || low || ' tool' WHEN 3 THEN 'mcp__' || low END) ELSE 'x' || low END AS name FROM x_s s LEFT JOIN x_k x USING (k))
+    SELECT k, name, CASE WHEN m.r IS NOT NULL THEN """ + f"{list(_FAMILIES)}[m.r + 1]" + """ WHEN kind = 3 THEN 'mcp' ELSE 'other' END AS family FROM x_n LEFT JOIN (SELECT DISTINCT region, r FROM x_m) m ON m.region = x_n.name""", fixture=False)
+def _(s, d):
+    """Names by aliases and by keywords that start a word, and their families, all from a file."""
+    own = _tool_rules(s, d)
+    n = table(s, d, "supplier").join(table(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    kind, low = F.col("s_suppkey") % 4, F.lower("n_name")
+    raw = F.when(kind == 0, F.concat(F.lit(" "), "n_name")).when(kind == 1, F.concat(F.lit("My "), "n_name", F.lit(" Tool"))).when(kind == 2, F.concat(F.lit("x"), low)).otherwise(F.concat(F.lit("mcp__"), low))
+    named = n.select(F.col("s_suppkey").alias("k"), raw.alias("raw")).withColumn("name", toolcalls.canonical_name(F.col("raw"), own))
+    return named.select("k", "name", toolcalls.family(F.col("raw"), F.col("name"), own).alias("family"))

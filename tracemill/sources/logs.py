@@ -42,7 +42,7 @@ def with_fields(lines: DataFrame) -> DataFrame:
     return p.select(
         "*", string_field("request_id").alias("request_id"), string_field("user_id").alias("user_id"), integer_field("status_code").alias("status_code"), integer_field("latency_ms").alias("latency_ms"),
         boolean_field("stream").alias("stream"), body_field("prompt").alias("prompt"), (F.col("end_ms") - F.coalesce(integer_field("latency_ms"), F.lit(0))).alias("start_ms"),
-        F.get_json_object(string_field("metadata"), "$.user_agent").alias("user_agent"),
+        strings.let(F.try_parse_json(string_field("metadata")), lambda v: F.when(F.schema_of_variant(F.try_variant_get(v, "$.user_agent", "variant")) == "STRING", F.try_variant_get(v, "$.user_agent", "string"))).alias("user_agent"),
     )
 
 
