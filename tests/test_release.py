@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,7 +38,10 @@ def test_a_week_is_released_whole(spark, tmp_path):
     folder = f"file://{tmp_path}/release"
     manifest = release(spark, folder)
     assert manifest["distinct_block_ids"] == 3 and [sum(f["rows"] for f in manifest["files"][t]) for t in publish.TABLES] == [2, 2, 1]
-    assert all(len(f["sha256"]) == 64 and f["bytes"] > 0 for t in publish.TABLES for f in manifest["files"][t])
+    for t in publish.TABLES:
+        for f in manifest["files"][t]:
+            raw = (tmp_path / "release" / manifest["folder"] / t / f["path"]).read_bytes()
+            assert (len(raw), hashlib.sha256(raw).hexdigest()) == (f["bytes"], f["sha256"])
     r = publish.read(spark, folder, "requests").orderBy("step").collect()
     assert [x.block_ids for x in r] == [[1, 2], [1, 3]] and [x.start_ms for x in r] == [90, 300] and [x.link_reason for x in r] == [None, "assistant_message"]
     assert r[0].provider == "A" and r[1].provider is None and r[1].waited_for == "tool" and r[0].tool_definition_names == ["read", "other", None] and r[0].role_tokens.user == 4 and r[0].role_tokens.tool is None

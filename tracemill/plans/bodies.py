@@ -64,9 +64,26 @@ def _(s, d):
     return prompts(s, d).select("request_id", F.md5(bodies.first_user_text(F.col("prompt"))).alias("first"))
 
 
-@query("X29_declared_tools", _BODY + " SELECT request_id, CASE WHEN conv_id % 2 = 0 THEN ['bash', 'read'] ELSE [] END AS tools FROM x_r", fixture=False)
+_SHAPES = r"WITH x_s AS (SELECT conv_id, turn, text, (conv_id + turn) % 7 AS kind, list_filter(string_split_regex(text, '[ \n\t]+'), lambda w: w <> '') AS w FROM conversations)"
+
+
+def _shapes(s, d):
+    """Every turn's text as JSON text and its words, with a kind."""
+    c = table(s, d, "conversations").select("conv_id", "turn", strings.words(F.col("text")).alias("w"), F.regexp_extract(F.to_json(F.struct("text")), r'(?s)^\{"text":(.*)\}$', 1).alias("q"))
+    return c.withColumn("kind", (F.col("conv_id") + F.col("turn")) % 7)
+
+
+@query("X29_declared_tools", _SHAPES + " SELECT conv_id, turn, CASE WHEN kind < 3 THEN array_to_string(w, ',') WHEN kind = 3 THEN 'a,b' ELSE '' END AS tools FROM x_s", fixture=False)
 def _(s, d):
-    return prompts(s, d).select("request_id", bodies.declared_tools(F.col("prompt")).alias("tools"))
+    """Every word of a turn as a tool, in one shape, the other or both; tools without a name, a name that is no text, and bodies without a list of tools."""
+    quoted = lambda w: F.concat(F.lit('"'), F.regexp_replace(w, r'(["\\\\])', r'\\$1'), F.lit('"'))
+    chat = F.transform("w", lambda w: F.concat(F.lit('{"type":"function","function":{"name":'), quoted(w), F.lit("}}")))
+    plain = F.transform("w", lambda w: F.concat(F.lit('{"input":{},"name":'), quoted(w), F.lit("}")))
+    both = F.transform("w", lambda w: F.concat(F.lit('{"name":"other","function":{"name":'), quoted(w), F.lit("}}")))
+    k = F.col("kind")
+    tools = F.when(k == 0, F.array_join(chat, ",")).when(k == 1, F.array_join(plain, ",")).when(k == 2, F.array_join(both, ",")).when(k == 3, '{"name":"a"},{"type":"x"},5,{"function":{"name":7},"name":"b"},{"name":null}').otherwise("")
+    body = F.when(k == 4, '{"tools":{"name":"no"}}').when(k == 5, "[1]").otherwise(F.concat(F.lit('{"tools":['), tools, F.lit("]}")))
+    return _shapes(s, d).select("conv_id", "turn", F.array_join(bodies.declared_tools(body), ",").alias("tools"))
 
 
 #: x_e: the entries of each request as rendered.
@@ -94,9 +111,13 @@ def _(s, d):
     return f.select("request_id", "n_messages", *(F.col("role_tokens")[r].alias(f"tokens_{r}") for r in digests.ROLES), (F.coalesce(F.array_join("tool_definition_names", ","), F.lit("")) == "bash,read").alias("has_tools"))
 
 
-@query("S10_system_prompts", _BODY + " SELECT request_id, 'system of ' || conv_id AS system_text FROM x_r WHERE conv_id % 3 = 0", fixture=False)
+@query("S10_system_prompts", _SHAPES + " SELECT conv_id, turn, CASE WHEN kind = 2 THEN '' ELSE md5(text) END AS system_text FROM x_s WHERE kind < 3 AND (kind > 0 OR text <> '')", fixture=False)
 def _(s, d):
-    return bodies.system_prompts(prompts(s, d)).select("request_id", "system_text")
+    """System prompts as whole texts, in blocks, and in blocks that begin with an image; empty ones and none are left out."""
+    k, put = F.col("kind"), lambda a, b: F.concat(F.lit(a), "q", F.lit(b))
+    payload = F.when(k == 0, put('{"system":', "}")).when(k == 1, put('{"messages":[],"system":[{"type":"text","text":', '},{"type":"text","text":"two"}]}')).when(k == 2, '{"system":[{"type":"image"}]}').when(k == 3, '{"system":""}').when(k == 4, '{"system":[]}').when(k == 5, put('{"messages":[{"role":"system","content":', "}]}")).otherwise(put('{"system":', ""))
+    found = bodies.system_prompts(_shapes(s, d).select("conv_id", "turn", payload.alias("prompt")))
+    return found.select("conv_id", "turn", F.when(F.col("system_text") == "", "").otherwise(F.md5("system_text")).alias("system_text"))
 
 
 @query("X35_signals", _BODY + r""", x_w AS (SELECT request_id, conv_id, here, list_filter(string_split_regex(text, '[ \n\t]+'), lambda w: w <> '') AS w FROM x_r), x_p AS (SELECT r.request_id, m.conv_id, m.turn, list_filter(string_split_regex(substr(m.t || chr(10) || 'bash' || chr(10) || '{}', 1, 8000), '[ \n\t]+'), lambda w: w <> '') AS w FROM x_l r JOIN x_m m ON m.request_id = r.request_id AND m.turn = last)

@@ -147,9 +147,11 @@ def input_entries(requests: DataFrame, prompt: str = "prompt", system: Column |
 
 
 def system_prompts(records: DataFrame, payload: str = "prompt") -> DataFrame:
-    """Rows whose payload has a top-level system prompt, with its first text."""
-    v = records.withColumn("__v", F.try_parse_json(payload)).withColumn("__s", _at(F.col("__v"), "$.system")).filter("__s is not null")
-    return v.withColumn("system_text", F.coalesce(_text_of(F.col("__v"), "$.system"), _text_of(F.col("__v"), "$.system[0].text"))).drop("__v", "__s")
+    """Rows whose payload has a top-level system prompt that is not empty, with the text it starts with: its own, or its first block's."""
+    v = records.withColumn("__v", F.try_parse_json(payload)).withColumn("__s", _at(F.col("__v"), "$.system"))
+    empty = F.to_json("__s").isin('""', "[]", "{}", "null", "false", "0")
+    v = v.filter(F.col("__s").isNotNull() & ~F.is_variant_null("__s") & ~F.coalesce(empty, F.lit(False)))
+    return v.withColumn("system_text", F.coalesce(_text_of(F.col("__v"), "$.system"), _text_of(F.col("__v"), "$.system[0].text"), F.lit(""))).drop("__v", "__s")
 
 
 def token_counts(record: Column) -> Column:
