@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import tokens, whatif
+from .lineage import settled
 
 # fixed values
 TABLE_ROWS = ("append", "mutation", "injection", "system_prompt", "tool_definitions", "dropped_turns", "compaction", "tool_result", "other")
@@ -46,12 +47,15 @@ def one_span_apart(a: Column, b: Column) -> Column:
     return F.when(F.length(short) == 0, True).otherwise(F.endswith(long, F.substring(short, prefix + 1, F.length(short))))
 
 
-def classify(inputs: DataFrame) -> DataFrame:
-    """inputs: session_id, step, model, provider, roles, hashes, notes (arrays), texts. One row for each step after the first of
-    its session: transition, cause by the first rule that holds, and the break position."""
+def classify(inputs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """inputs: session_id, step, model, provider, roles, hashes, notes (arrays). One row for each step after the first of
+    its session: transition, cause by the first rule that holds, and the break position.
+
+    Only where two user messages meet at the break do texts count: they are looked up in texts (session_id, hash, text) for those rows
+    alone, so no input carries the texts of its context. Without it, inputs has an array texts of its own."""
     w = Window.partitionBy("session_id").orderBy("step")
     p = inputs
-    for c in ("model", "provider", "roles", "hashes", "notes", "texts"):
+    for c in ("model", "provider", "roles", "hashes", "notes", *(("texts",) if texts is None else ())):
         p = p.withColumn(f"b_{c}", F.lag(c).over(w))
     p = p.filter(F.col("b_hashes").isNotNull()).withColumn("at", whatif.common_prefix(F.col("b_hashes"), F.col("hashes")))
     at = F.col("at")
@@ -66,8 +70,22 @@ def classify(inputs: DataFrame) -> DataFrame:
         .when(F.array_contains(tail("b_hashes", 1), get("hashes")), "dropped_turns")
         .when(F.array_contains(tail("hashes", 1), get("b_hashes")), "injection")
         .when((get("b_roles") == "tool") & (get("roles") == "tool"), "tool_result")
-        .when((get("b_roles") == "user") & (get("roles") == "user") & one_span_apart(get("b_texts"), get("texts")), "injection")
+        .when((get("b_roles") == "user") & (get("roles") == "user"), ASK_TEXTS)
         .otherwise("other")
     )
     kind = F.when(~F.col("model").eqNullSafe(F.col("b_model")) | ~F.col("provider").eqNullSafe(F.col("b_provider")), "switch").when(at == F.size("b_hashes"), "append").otherwise("mutation")
-    return p.withColumn("transition", kind).select("session_id", "step", "transition", F.when(F.col("transition") == "mutation", cause).alias("cause"), at.alias("break_position"))
+    p = p.withColumn("transition", kind).withColumn("cause", F.when(F.col("transition") == "mutation", cause))
+    held = (get("b_hashes"), get("hashes")) if texts is not None else (get("b_texts"), get("texts"))
+    p = p.select("session_id", "step", "transition", "cause", at.alias("break_position"), *(F.when(F.col("cause") == ASK_TEXTS, x).alias(name) for x, name in zip(held, ("b", "a"), strict=True)))
+    by_text = lambda before, now: F.when(F.coalesce(one_span_apart(before, now), F.lit(False)), "injection").otherwise("other")
+    if texts is None:
+        return p.withColumn("cause", F.when(F.col("cause") == ASK_TEXTS, by_text(F.col("b"), F.col("a"))).otherwise(F.col("cause"))).drop("a", "b")
+    p = settled(p, "transitions")
+    of = lambda name: texts.select("session_id", F.col("hash").alias(name), F.col("text").alias(f"text_{name}")).dropDuplicates(["session_id", name])
+    asked = p.filter(F.col("cause") == ASK_TEXTS).join(of("b"), ["session_id", "b"], "left").join(of("a"), ["session_id", "a"], "left").withColumn("cause", by_text(F.col("text_b"), F.col("text_a")))
+    told = p.filter(F.col("cause").isNull() | (F.col("cause") != ASK_TEXTS))
+    return told.drop("a", "b").unionByName(asked.select("session_id", "step", "transition", "cause", "break_position"))
+
+
+#: Stands for a cause until the two texts are compared.
+ASK_TEXTS = "?"

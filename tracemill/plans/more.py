@@ -77,7 +77,7 @@ def _context(s, d):
     """Inputs of assistant turns as digests; every fifth loses its first message, every seventh has it changed."""
     c = table(s, d, "conversations").withColumn("h", F.md5(F.concat_ws(":", "role", "text")))
     before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn("hashes", F.collect_list("h").over(before)).withColumn("roles", F.collect_list("role").over(before)).withColumn("texts", F.collect_list("text").over(before)).filter("role = 'assistant' and size(hashes) > 0")
+    c = c.withColumn("hashes", F.collect_list("h").over(before)).withColumn("roles", F.collect_list("role").over(before)).filter("role = 'assistant' and size(hashes) > 0")
     cut = F.col("turn") % 5 == 0
     start = F.when(cut, 2).otherwise(1)
     size = F.greatest(F.size("hashes") - F.when(cut, 1).otherwise(0), F.lit(0))
@@ -85,7 +85,7 @@ def _context(s, d):
     put = lambda col, v: F.when(changed, F.concat(F.array(v), F.slice(col, 2, F.size(col)))).otherwise(col)
     return c.select(
         F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("step"), F.lit("m").alias("model"), F.concat(F.lit("p"), (F.col("turn") / 6).cast("int")).alias("provider"),
-        F.slice("roles", start, size).alias("roles"), F.slice(put(F.col("hashes"), F.lit("changed")), start, size).alias("hashes"), F.slice("texts", start, size).alias("texts"), F.transform(F.slice("roles", start, size), lambda r: F.lit(False)).alias("notes"),
+        F.slice("roles", start, size).alias("roles"), F.slice(put(F.col("hashes"), F.lit("changed")), start, size).alias("hashes"), F.transform(F.slice("roles", start, size), lambda r: F.lit(False)).alias("notes"),
     )
 
 
@@ -102,7 +102,10 @@ _SPAN = "CASE WHEN length(bt) <= length(t) THEN bt ELSE t END AS short, CASE WHE
     SELECT session_id, step, transition, CASE WHEN transition = 'mutation' THEN CASE WHEN b = 'tool_definitions' OR r = 'tool_definitions' THEN 'tool_definitions' WHEN b = 'system' THEN 'system_prompt' WHEN p = len(hs) THEN 'other' WHEN list_contains(bh[p + 2:], hs[p + 1]) THEN 'dropped_turns'
       WHEN list_contains(hs[p + 2:], bh[p + 1]) THEN 'injection' WHEN b = 'tool' AND r = 'tool' THEN 'tool_result' WHEN b = 'user' AND r = 'user' AND (length(short) = 0 OR suffix(long, short[n + 1:])) THEN 'injection' ELSE 'other' END END AS cause, p::INT AS break_position FROM x_q""", fixture=False)
 def _(s, d):
-    return mutations.classify(_context(s, d))
+    """Texts are looked up where two user messages meet at the break; a changed message says what the first did."""
+    c = table(s, d, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.md5(F.concat_ws(":", "role", "text")).alias("hash"), "turn", "text")
+    first = c.groupBy("session_id").agg(F.min_by("text", "turn").alias("text")).select("session_id", F.lit("changed").alias("hash"), "text")
+    return mutations.classify(_context(s, d), c.select("session_id", "hash", "text").union(first))
 
 
 # ---- spawns, closure
