@@ -51,7 +51,8 @@ def links(signals: DataFrame, lookback: int = LOOKBACK) -> DataFrame:
     ranked = rank_within(slim, "account", ["end_ms", "request_id"], "rn").select("request_id", "account", (F.col("rn") + 1).alias("rn"))
     same = F.count("*").over(Window.partitionBy("request_id"))
     ranked = ranked.withColumn("rn", F.when(same > 1, F.raise_error(F.concat(F.lit("repeated request_id "), "request_id")).cast("int")).otherwise(F.col("rn").cast("int")))
-    s = signals.select("request_id", "emitted_ids", "replayed_ids", "answer_shingles", "replayed_shingles").join(ranked, "request_id")
+    # read five times below, so its phrases are made once
+    s = settled(signals.select("request_id", "emitted_ids", "replayed_ids", "answer_shingles", "replayed_shingles").join(ranked, "request_id"), "ranked-signals")
     near = (F.col("c.rn") - F.col("p.rn")).between(1, lookback)
     # parents stand in the child's band of numbers or the one before, so a common key meets few rows at a time
     band = F.floor(F.col("rn") / lookback).cast("int")
