@@ -220,7 +220,7 @@ def _(s, d):
 _SAID = """WITH x_d AS (SELECT doc_id, text, doc_id % 10 AS kind, length(text) AS n, length(to_json(text)::VARCHAR) AS j FROM documents WHERE text IS NOT NULL)"""
 
 
-@query("X27_outcomes", _SAID + r""" SELECT doc_id, CASE kind WHEN 0 THEN CASE WHEN n % 2 = 0 OR j > 3974 THEN 'ok' ELSE 'error' END WHEN 1 THEN 'denied' WHEN 2 THEN 'timeout' WHEN 3 THEN CASE WHEN n % 4 = 0 THEN 'ok' ELSE 'error' END WHEN 4 THEN 'error' WHEN 5 THEN 'ok' WHEN 6 THEN CASE WHEN j > 3976 THEN 'ok' ELSE 'error' END WHEN 7 THEN CASE WHEN n % 3 = 0 THEN 'ok' ELSE 'error' END
+@query("X27_outcomes", _SAID + r""" SELECT doc_id, CASE kind WHEN 0 THEN CASE WHEN n % 2 = 0 OR j > 3974 THEN 'ok' ELSE 'error' END WHEN 1 THEN 'denied' WHEN 2 THEN 'timeout' WHEN 3 THEN CASE WHEN n % 4 = 0 THEN 'ok' ELSE 'error' END WHEN 4 THEN 'error' WHEN 5 THEN 'ok' WHEN 6 THEN CASE WHEN j > 3973 THEN 'ok' ELSE 'error' END WHEN 7 THEN CASE WHEN n % 3 = 0 THEN 'ok' ELSE 'error' END
     WHEN 8 THEN 'error' ELSE 'ok' END AS outcome FROM x_d""", fixture=False)
 def _(s, d):
     """Results made around every whole text: JSON fields before it (a JSON result longer than what an outcome is read from is none), markers and codes before it, the text alone behind a plain word."""
