@@ -1,8 +1,13 @@
 """Queries at sizes and lengths that the given tables seldom have."""
 
+import re
+
 import duckdb
 
-from tracemill.plans import registry
+from pyspark.sql import functions as F
+
+from tracemill.functions import shell
+from tracemill.plans import jobs, registry
 
 
 def test_outcomes_at_the_length_that_is_read(spark, tmp_path):
@@ -14,3 +19,16 @@ def test_outcomes_at_the_length_that_is_read(spark, tmp_path):
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert found == dict(con.sql(registry.ORACLES["X27_outcomes"]).fetchall())
     assert set(found.values()) == {"ok", "error"}
+
+
+def test_patterns_of_a_command_are_tried_once_a_piece(spark):
+    # a fold's step is pasted with all it is made of, so a pattern in it was tried some forty times a word
+    df = spark.range(1).selectExpr("cast(id as string) as command").select(shell.commands(F.col("command")))
+    assert df._jdf.queryExecution().analyzed().toString().count("RLIKE") <= 12
+
+
+def test_sixes_carry_no_document(spark):
+    # the rows of a long document took all its words with them, which grows with the square of its length
+    plan = jobs.sixes(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    made = next(x for x in plan.splitlines() if "Generate explode" in x)
+    assert re.search(r"\[1\], false, \[x#\d+\]$", made)  # the text is not among what goes on

@@ -41,6 +41,7 @@ OPENING, CLOSING = ["if", "then", "else", "elif", "while", "until", "do", "!"],
 _COMMENT = r"#[^\n]*+"
 _REDIRECT = r"\d*+(?:[<>]&(?:\d++-?|-)|<<<|<<-?|<>|>>|>\||[<>]&?)|&>>?"
 _OPERATOR = r"&&|\|\||\|&|\||;;?|&|\n|[()]"
+_OPERATORS = ("&&", "||", "|&", "|", ";", ";;", "&", "\n", "(", ")", "{", "}")
 # possessive loops, which the engine runs without recursion
 _WORD = r"""(?:[^\s'"\\;&|<>()`$]++|\\[\s\S]|'[^']*+'|"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"|\$\((?:[^()]++|\([^()]*+\))*+\)|`[^`]*+`|\$|['"`][\s\S]*+|\\)++"""
 _PIECE = rf"({_COMMENT}|{_REDIRECT}|{_OPERATOR}|{_WORD})"
@@ -54,7 +55,7 @@ _RUN = "array<struct<joined:string,words:array<string>,redirects:array<string>,h
 
 
 def _unquoted(word: Column) -> Column:
-    whole = word.rlike(r"""^(?:'[^']*'|"[^"]*")$""")
+    whole = (word.startswith("'") | word.startswith('"')) & word.rlike(r"""^(?:'[^']*'|"[^"]*")$""")
     return F.when(whole, F.substring(word, F.lit(2), F.length(word) - 2)).otherwise(word)
 
 
@@ -65,43 +66,48 @@ def commands(command: Column) -> Column:
     start = F.struct(F.array().cast(_RUN).alias("run"), F.array().cast(_EMPTY).alias("words"), F.array().cast(_EMPTY).alias("redirects"), F.lit(False).alias("here"), F.lit(False).alias("marker"), F.lit("").alias("joined"), F.lit(False).alias("target"), F.lit(False).alias("background"), F.lit(False).alias("pattern"))
 
     def step(a: Column, piece: Column) -> Column:
-        operator = piece.rlike(rf"^(?:{_OPERATOR}|\{{|\}})$")
+        text, operator = piece["text"], piece["operator"]
         # in a case, what stands before the bracket of a branch is its pattern
-        pattern = a["pattern"] & (piece != "esac")
-        redirect = ~operator & ~pattern & piece.rlike(rf"^(?:{_REDIRECT})$")
-        comment = piece.startswith("#") | (pattern & ~operator)
+        pattern = a["pattern"] & (text != "esac")
+        redirect = ~operator & ~pattern & piece["redirect"]
+        word = ~operator & ~pattern & ~piece["redirect"] & ~piece["comment"]
+        opens = redirect & piece["here"]
         some = F.size(a["words"]) > 0
-        done = F.struct(a["joined"].alias("joined"), a["words"].alias("words"), a["redirects"].alias("redirects"), a["here"].alias("here"), (piece == "&").alias("background"))
+        done = F.struct(a["joined"].alias("joined"), a["words"].alias("words"), a["redirects"].alias("redirects"), a["here"].alias("here"), (text == "&").alias("background"))
         closed = F.concat(a["run"], F.array(done).cast(_RUN))
-        opens = redirect & piece.rlike("^<<-?$")
         # redirects and & after a group belong to its last command
-        late = operator & ~some & (F.size(a["run"]) > 0) & ((F.size(a["redirects"]) > 0) | a["here"] | (piece == "&"))
+        late = operator & ~some & (F.size(a["run"]) > 0) & ((F.size(a["redirects"]) > 0) | a["here"] | (text == "&"))
         last = F.get(a["run"], F.size(a["run"]) - 1)
-        grown = F.struct(last["joined"].alias("joined"), last["words"].alias("words"), F.concat(last["redirects"], a["redirects"]).alias("redirects"), (last["here"] | a["here"]).alias("here"), (last["background"] | (piece == "&")).alias("background"))
+        grown = F.struct(last["joined"].alias("joined"), last["words"].alias("words"), F.concat(last["redirects"], a["redirects"]).alias("redirects"), (last["here"] | a["here"]).alias("here"), (last["background"] | (text == "&")).alias("background"))
         grouped = F.concat(F.slice(a["run"], 1, F.size(a["run"]) - 1), F.array(grown).cast(_RUN))
-        after = F.when(piece.isin("|", "|&"), "|").when(piece.isin("&&", "||"), piece).when(piece.isin(";", ";;"), ";").otherwise("")
-        word = ~operator & ~redirect & ~comment
+        joins = F.when(text.isin("|", "|&"), "|").when(text.isin("&&", "||"), text).when(text.isin(";", ";;"), ";").otherwise("")
         return F.struct(
             F.when(operator & some, closed).when(late, grouped).otherwise(a["run"]).alias("run"),
-            F.when(operator, F.array().cast(_EMPTY)).when(word & ~a["target"], F.array_append(a["words"], _unquoted(piece))).otherwise(a["words"]).alias("words"),
-            F.when(operator, F.array().cast(_EMPTY)).when((redirect & ~opens) | (word & a["target"] & ~a["marker"]), F.array_append(a["redirects"], _unquoted(piece))).otherwise(a["redirects"]).alias("redirects"),
+            F.when(operator, F.array().cast(_EMPTY)).when(word & ~a["target"], F.array_append(a["words"], piece["bare"])).otherwise(a["words"]).alias("words"),
+            F.when(operator, F.array().cast(_EMPTY)).when((redirect & ~opens) | (word & a["target"] & ~a["marker"]), F.array_append(a["redirects"], piece["bare"])).otherwise(a["redirects"]).alias("redirects"),
             ((a["here"] & ~operator) | opens).alias("here"),
             opens.alias("marker"),
             # a line break or a bracket after an operator leaves that operator in force
-            F.when(operator & (some | ~piece.isin("\n", "(", "{")), after).otherwise(a["joined"]).alias("joined"),
-            F.when(redirect, ~piece.rlike(r"&(?:\d+-?|-)$")).when(word | operator, False).otherwise(a["target"]).alias("target"),
-            (a["background"] | ((piece == "&") & (some | (F.size(a["run"]) > 0)))).alias("background"),
-            F.when(piece.isin(")", "esac"), False).when((piece == ";;") | (operator & (F.get(a["words"], 0) == "case") & (F.try_element_at(a["words"], F.lit(-1)) == "in")), True).otherwise(a["pattern"]).alias("pattern"),
+            F.when(operator & (some | ~text.isin("\n", "(", "{")), joins).otherwise(a["joined"]).alias("joined"),
+            F.when(redirect, piece["aims"]).when(word | operator, False).otherwise(a["target"]).alias("target"),
+            (a["background"] | ((text == "&") & (some | (F.size(a["run"]) > 0)))).alias("background"),
+            F.when(text.isin(")", "esac"), False).when((text == ";;") | (operator & (F.get(a["words"], 0) == "case") & (F.try_element_at(a["words"], F.lit(-1)) == "in")), True).otherwise(a["pattern"]).alias("pattern"),
         )
 
-    pieces = F.concat(F.regexp_extract_all(bare, F.lit(_PIECE), 1), F.array(F.lit("\n")))
+    # patterns are tried once a piece, before the fold, whose expressions stand in many places of a step
+    redirected = lambda p: (F.contains(p, F.lit("<")) | F.contains(p, F.lit(">"))) & p.rlike(rf"^(?:{_REDIRECT})$")
+    known = lambda p, redirect: F.struct(p.alias("text"), p.isin(*_OPERATORS).alias("operator"), redirect.alias("redirect"), p.startswith("#").alias("comment"), (redirect & p.isin("<<", "<<-")).alias("here"), (redirect & ~p.rlike(r"&(?:\d+-?|-)$")).alias("aims"), _unquoted(p).alias("bare"))
+    pieces = F.transform(F.concat(F.regexp_extract_all(bare, F.lit(_PIECE), 1), F.array(F.lit("\n"))), lambda p: known(p, redirected(p)))
     return F.aggregate(pieces, start, step, lambda a: F.struct(a["run"].alias("run"), a["background"].alias("background")))
 
 
 def program_name(word: Column) -> Column:
     """A program without folder and .exe, spellings of interpreters folded."""
     spelt = F.create_map(*(F.lit(x) for kv in SPELLINGS.items() for x in kv))
-    return let(F.regexp_replace(F.regexp_extract(word, r"([^/\\]*)$", 1), r"\.exe$", ""), lambda n: F.when(n.rlike("^python[0-9.]+$"), "python").otherwise(F.coalesce(spelt[n], n)))
+    # patterns are tried only on words that may hold them
+    inside = F.when(F.contains(word, F.lit("/")) | F.contains(word, F.lit("\\")), F.regexp_extract(word, r"([^/\\]*)$", 1)).otherwise(word)
+    bare = let(inside, lambda n: F.when(F.contains(n, F.lit(".exe")), F.regexp_replace(n, r"\.exe$", "")).otherwise(n))
+    return let(bare, lambda n: F.when(F.startswith(n, F.lit("python")) & n.rlike("^python[0-9.]+$"), "python").otherwise(F.coalesce(spelt[n], n)))
 
 
 def prefix_size(words: Column) -> Column:
@@ -109,41 +115,50 @@ def prefix_size(words: Column) -> Column:
     start = F.struct(F.lit(0).alias("n"), F.lit(False).alias("over"), F.lit(False).alias("wrapped"), F.lit(False).alias("value"))
 
     def step(a: Column, w: Column) -> Column:
-        wrapper = program_name(w).isin(*WRAPPERS)
-        option = a["wrapped"] & (w.rlike("^-.+") | w.rlike(DURATION))
-        inside = ~a["over"] & (a["value"] | w.rlike(ASSIGNMENT) | wrapper | option | w.isin(*OPENING))
-        return F.struct((a["n"] + inside.cast("int")).alias("n"), (~inside).alias("over"), (a["wrapped"] | wrapper).alias("wrapped"), (inside & ~a["value"] & a["wrapped"] & w.isin(*VALUE_FLAGS)).alias("value"))
+        def of(wrapper: Column) -> Column:
+            option = a["wrapped"] & (w.rlike("^-.+") | w.rlike(DURATION))
+            inside = a["value"] | wrapper | w.isin(*OPENING) | w.rlike(ASSIGNMENT) | option
+            return let(inside, lambda inside: F.struct((a["n"] + inside.cast("int")).alias("n"), (~inside).alias("over"), (a["wrapped"] | wrapper).alias("wrapped"), (inside & ~a["value"] & a["wrapped"] & w.isin(*VALUE_FLAGS)).alias("value")))
+
+        return F.when(a["over"], a).otherwise(let(program_name(w).isin(*WRAPPERS), of))
 
     return F.aggregate(words, start, step, lambda a: a["n"])
 
 
-def label(words: Column) -> Column:
-    """What ran: the program, with its subcommand or module where that says more; null where no program did."""
+def _after_prefix(words: Column, size: Column) -> Column:
+    return F.slice(words, size + 1, F.greatest(F.size(words), F.lit(1)))
 
-    def of(rest: Column) -> Column:
-        first, name, second = F.get(rest, 0), program_name(F.get(rest, 0)), F.get(rest, 1)
-        plain = F.filter(F.slice(rest, 2, F.greatest(F.size(rest), F.lit(1))), lambda w: w.rlike(SUBCOMMAND))
-        python = F.when((second == "-m") & (F.size(rest) > 2), F.concat(F.lit("python -m "), F.get(rest, 2))).when(second == "-c", "python -c").otherwise("python")
-        taken = F.when(name.isin(*RUNNERS) & (F.get(plain, 0) == "run"), 2).otherwise(1)
-        sub = F.when(F.size(plain) > 0, F.concat_ws(" ", F.concat(F.array(name), F.slice(plain, 1, taken)))).otherwise(name)
-        none = (F.size(rest) == 0) | first.isin(*SOURCE_WORDS, *CLOSING) | F.coalesce(second == "=", F.lit(False)) | ~name.rlike(PROGRAM)
-        return F.when(none, None).when(name == "python", python).when(name.isin(*SUBCOMMANDS), sub).otherwise(name)
 
-    return let(F.slice(words, prefix_size(words) + 1, F.greatest(F.size(words), F.lit(1))), of)
+def _label(rest: Column, name: Column) -> Column:
+    """The label of a command's words from its program on, with that program's name."""
+    first, second = F.get(rest, 0), F.get(rest, 1)
+    plain = F.filter(F.slice(rest, 2, F.greatest(F.size(rest), F.lit(1))), lambda w: w.rlike(SUBCOMMAND))
+    python = F.when((second == "-m") & (F.size(rest) > 2), F.concat(F.lit("python -m "), F.get(rest, 2))).when(second == "-c", "python -c").otherwise("python")
+    taken = lambda plain: F.when(name.isin(*RUNNERS) & (F.get(plain, 0) == "run"), 2).otherwise(1)
+    sub = let(plain, lambda plain: F.when(F.size(plain) > 0, F.concat_ws(" ", F.concat(F.array(name), F.slice(plain, 1, taken(plain))))).otherwise(name))
+    none = (F.size(rest) == 0) | first.isin(*SOURCE_WORDS, *CLOSING) | F.coalesce(second == "=", F.lit(False)) | ~name.rlike(PROGRAM)
+    return F.when(none, None).when(name == "python", python).when(name.isin(*SUBCOMMANDS), sub).otherwise(name)
 
 
-def _rest(words: Column) -> Column:
+def _rest(rest: Column, name: Column) -> Column:
     """The words after the program that its label does not name."""
 
-    def of(rest: Column) -> Column:
-        name, after = program_name(F.get(rest, 0)), F.slice(rest, 2, F.greatest(F.size(rest), F.lit(1)))
-        places = F.filter(F.transform(after, lambda w, i: F.when(w.rlike(SUBCOMMAND), i)), lambda i: i.isNotNull())
-        taken = F.when(name.isin(*RUNNERS) & (F.get(after, F.get(places, 0)) == "run"), 2).otherwise(1)
+    def of(after: Column) -> Column:
         module = F.when((F.get(after, 0) == "-m") & (F.size(after) > 1), 2).when(F.get(after, 0) == "-c", 1).otherwise(0)
-        named = let(F.slice(places, 1, taken), lambda used: F.filter(after, lambda w, i: ~F.array_contains(used, i)))
-        return F.when(name == "python", F.filter(after, lambda w, i: i >= module)).when(name.isin(*SUBCOMMANDS), named).otherwise(after)
 
-    return let(F.slice(words, prefix_size(words) + 1, F.greatest(F.size(words), F.lit(1))), of)
+        def named(places: Column) -> Column:
+            taken = F.when(name.isin(*RUNNERS) & (F.get(after, F.get(places, 0)) == "run"), 2).otherwise(1)
+            return let(F.slice(places, 1, taken), lambda used: F.filter(after, lambda w, i: ~F.array_contains(used, i)))
+
+        places = F.filter(F.transform(after, lambda w, i: F.when(w.rlike(SUBCOMMAND), i)), lambda i: i.isNotNull())
+        return F.when(name == "python", let(module, lambda m: F.filter(after, lambda w, i: i >= m))).when(name.isin(*SUBCOMMANDS), let(places, named)).otherwise(after)
+
+    return let(F.slice(rest, 2, F.greatest(F.size(rest), F.lit(1))), of)
+
+
+def label(words: Column) -> Column:
+    """What ran: the program, with its subcommand or module where that says more; null where no program did."""
+    return let(_after_prefix(words, prefix_size(words)), lambda rest: let(program_name(F.get(rest, 0)), lambda name: _label(rest, name)))
 
 
 def _typed(c: Column) -> Column:
@@ -153,11 +168,13 @@ def _typed(c: Column) -> Column:
         return F.when(w.rlike(ASSIGNMENT), "<assign>").when(program_name(w).isin(*WRAPPERS), program_name(w)).otherwise(type_word(w))
 
     def after(words: Column) -> Column:
-        glues = lambda w: F.lower(program_name(w)).isin(*GLUED)
+        # lowering is costly, so it is done where the word is one of these but for its case
+        like = lambda n: n.rlike(rf"(?iu)^(?:{'|'.join(GLUED)})$") & F.lower(n).isin(*GLUED)
+        glues = lambda w: let(program_name(w), like)
         own = glues(F.split(c["label"], " ")[0])
         # a program named among the arguments (`docker exec db mysql -proot`) makes the flags after it its own
-        first = F.array_position(F.transform(words, glues), True)
-        return F.transform(words, lambda w, i: type_word(w, own | ((first > 0) & (i + 1 >= first))))
+        first = F.when(own, 1).otherwise(F.array_position(F.transform(words, glues), True).cast("int"))
+        return let(first, lambda first: F.transform(words, lambda w, i: type_word(w, (first > 0) & (i + 1 >= first))))
 
     kept = F.filter(c["before"], lambda w: ~w.isin(*OPENING))
     parts = F.concat(F.transform(kept, before), F.array(c["label"]), let(F.concat(c["rest"], c["redirects"]), after), F.when(c["here"], F.array(F.lit("<heredoc>"))).otherwise(F.array().cast(_EMPTY)))
@@ -180,8 +197,14 @@ def programs(command: Column, skeleton: bool = False) -> Column:
     commands with values erased; null without a program) where asked for; null for null."""
 
     def run(c: Column) -> Column:
-        more = [_rest(c["words"]).alias("rest"), c["redirects"].alias("redirects"), c["here"].alias("here"), c["background"].alias("background")] if skeleton else []
-        return F.struct(label(c["words"]).alias("label"), c["joined"].alias("joined"), F.slice(c["words"], 1, prefix_size(c["words"])).alias("before"), *more)
+        def of(size: Column) -> Column:
+            return let(_after_prefix(c["words"], size), lambda rest: let(program_name(F.get(rest, 0)), lambda name: named(size, rest, name)))
+
+        def named(size: Column, rest: Column, name: Column) -> Column:
+            more = [_rest(rest, name).alias("rest"), c["redirects"].alias("redirects"), c["here"].alias("here"), c["background"].alias("background")] if skeleton else []
+            return F.struct(_label(rest, name).alias("label"), c["joined"].alias("joined"), F.slice(c["words"], 1, size).alias("before"), *more)
+
+        return let(prefix_size(c["words"]), of)
 
     def of(read: Column) -> Column:
         ran = F.transform(read["run"], run)

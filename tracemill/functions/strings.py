@@ -32,8 +32,11 @@ IPV4 = r"(?<![\d.])\d{1,3}(\.\d{1,3}){3}(?![\d.])"
 
 
 def let(value: Column, body) -> Column:
-    """body(value) with value computed once: a lambda's variable is not pasted into what uses it, as a column's expression is."""
-    return F.transform(F.array(value), body)[0]
+    """body(value) with value computed once: a lambda's variable is not pasted into what uses it, as a column's expression is.
+
+    The value is the start of a fold over nothing, which gives it to the body as it is. As the one element of a transformed array it would be
+    copied, and to take the result out again, Spark derives the type of the whole body for each row."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda a, x: a, body)
 
 
 def words(text: Column) -> Column:

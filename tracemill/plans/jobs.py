@@ -22,9 +22,11 @@ _SIX = f"""WITH x_w AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \
 def sixes(s, d):
     """Words a to f, six by six, of all documents: those of four letters or more that are no shell words."""
     w = F.filter(strings.words(F.col("text")), lambda w: w.rlike("^[a-z]{4,}$") & ~w.isin(*_TAKEN))
-    at = F.when(F.size("w") >= 6, F.sequence(F.lit(0), F.floor(F.size("w") / 6).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
-    c = table(s, d, "documents").select("doc_id", w.alias("w")).select("doc_id", "w", F.explode(at).alias("i"))
-    return c.select("doc_id", "i", *(F.get("w", 6 * F.col("i") + k).alias(n) for k, n in enumerate("abcdef")))
+    # each six is cut out before rows are made of them, so no row carries its document's words
+    six = lambda w, i: F.struct(i.alias("i"), *(F.get(w, 6 * i + k).alias(n) for k, n in enumerate("abcdef")))
+    at = lambda w: F.when(F.size(w) >= 6, F.sequence(F.lit(0), F.floor(F.size(w) / 6).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    c = table(s, d, "documents").select("doc_id", F.explode(strings.let(w, lambda w: F.transform(at(w), lambda i: six(w, i)))).alias("x"))
+    return c.select("doc_id", "x.*")
 
 
 def _commands(s, d):
