@@ -3,11 +3,11 @@
 import re
 
 import duckdb
-
 from pyspark.sql import functions as F
 
 from tracemill.functions import shell
-from tracemill.plans import jobs, registry
+from tracemill.operators import whatif
+from tracemill.plans import registry
 
 
 def test_outcomes_at_the_length_that_is_read(spark, tmp_path):
@@ -29,6 +29,18 @@ def test_patterns_of_a_command_are_tried_once_a_piece(spark):
 
 def test_sixes_carry_no_document(spark):
     # the rows of a long document took all its words with them, which grows with the square of its length
-    plan = jobs.sixes(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    plan = registry.jobs.sixes(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     made = next(x for x in plan.splitlines() if "Generate explode" in x)
     assert re.search(r"\[1\], false, \[x#\d+\]$", made)  # the text is not among what goes on
+
+
+def test_shared_prefixes_of_rows_by_session_are_not_shuffled_again(spark):
+    # reads made by session are compared and counted where they lie; a join by position shuffled all of them three times
+    df = registry.QUERIES["C7_shared_prefix"](spark, "/root/testdata/sf0.001")
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_shared_prefixes_of_repeated_and_missing_reads(spark):
+    rows = [("s", 0, 0, 1), ("s", 0, 1, 2), ("s", 1, 0, 1), ("s", 1, 1, 2), ("s", 1, 2, 3), ("s", 3, 0, 1), ("s", 3, 1, 2), ("s", 4, 0, 1), ("s", 4, 1, 9), ("t", 1, 0, 1)]
+    found = whatif.shared_prefixes(spark.createDataFrame(rows, "session_id string, step int, pos int, block_id long"))
+    assert {(r.session_id, r.step): (r.blocks, r.shared_blocks) for r in found.collect()} == {("s", 0): (2, 0), ("s", 1): (3, 2), ("s", 3): (2, 0), ("s", 4): (2, 1), ("t", 1): (1, 0)}

@@ -19,11 +19,13 @@ FORCED_COMPACTION_TOKENS = 900_000
 def shared_prefixes(reads: DataFrame) -> DataFrame:
     """Blocks of each request, and how many leading ones it shares with the step before.
 
-    Blocks are joined by position to the step before; the first position that differs ends the prefix."""
-    now = reads.select("session_id", "step", "pos", "block_id")
-    before = reads.select("session_id", (F.col("step") + 1).alias("step"), "pos", F.col("block_id").alias("__b"))
-    j = now.join(before, ["session_id", "step", "pos"], "left")
-    differs = F.min(F.when(F.col("__b").isNull() | (F.col("__b") != F.col("block_id")), F.col("pos")))
+    Each read looks at its position in the step before; the first position that differs ends the prefix. Rows are placed by session
+    alone, so reads that lie by session already are compared and counted without another shuffle."""
+    before = Window.partitionBy("session_id", "pos").orderBy("step").rangeBetween(-1, -1)
+    low, high = (f("block_id").over(before) for f in (F.min, F.max))
+    j = reads.select("session_id", "step", "pos", "block_id", low.alias("__low"), high.alias("__high"))
+    same = (F.col("__low") == F.col("block_id")) & (F.col("__high") == F.col("block_id"))
+    differs = F.min(F.when(~F.coalesce(same, F.lit(False)), F.col("pos")))
     return j.groupBy("session_id", "step").agg(F.count("*").cast("int").alias("blocks"), F.coalesce(differs, F.count("*")).cast("int").alias("shared_blocks"))
 
 
