@@ -6,7 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from tracemill.functions import shell
-from tracemill.operators import whatif
+from tracemill.operators import privacy, toolcalls, whatif
 from tracemill.plans import registry
 
 
@@ -44,3 +44,29 @@ def test_shared_prefixes_of_repeated_and_missing_reads(spark):
     rows = [("s", 0, 0, 1), ("s", 0, 1, 2), ("s", 1, 0, 1), ("s", 1, 1, 2), ("s", 1, 2, 3), ("s", 3, 0, 1), ("s", 3, 1, 2), ("s", 4, 0, 1), ("s", 4, 1, 9), ("t", 1, 0, 1)]
     found = whatif.shared_prefixes(spark.createDataFrame(rows, "session_id string, step int, pos int, block_id long"))
     assert {(r.session_id, r.step): (r.blocks, r.shared_blocks) for r in found.collect()} == {("s", 0): (2, 0), ("s", 1): (3, 2), ("s", 3): (2, 0), ("s", 4): (2, 1), ("t", 1): (1, 0)}
+
+
+def test_a_word_of_every_skeleton_is_dealt_over_tasks(spark):
+    # words met the lists by themselves, with the whole skeleton beside them, so one task read all rows of a common word or of no word
+    skeletons = spark.createDataFrame([(k, f'{{"command": "ls --w{k} | grep <path>", "kind": "<str>"}}') for k in range(300)], "k long, skeleton string")
+    lists = spark.createDataFrame([("ls",), ("command",), ("--w7",)], "word string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for df in (privacy.released_skeletons(skeletons, lists, lists, [], toolcalls.Rules()), privacy.allowed_skeletons(skeletons, lists, lists, [], lists)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert len(re.findall(r"Exchange hashpartitioning\(word#\d+, __salt#\d+", plan)) == 2
+            assert not re.search(r"Exchange hashpartitioning\((__w|key)#\d+, \d+\)", plan)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_odd_skeletons_against_the_lists(spark):
+    given = ['{"command": "ls --a=<value> ; x <path>", "command": "ls", "subagent_type": "ls"}', "{}", "<unparsed>", None, '{"n": "<num>", "command": ""}', '{"subagent_type": "<str>"}']
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(given)], "k long, skeleton string")
+    lists = spark.createDataFrame([("ls",), ("command",), ("command",), (None,)], "word string")
+    found = privacy.released_skeletons(rows, lists, lists, [], toolcalls.Rules()).orderBy("k").collect()
+    assert [r.released_skeleton for r in found] == ['{"command": "ls --<flag>=<value> ; <program> <path>", "command": "ls", "<key>": "<word>"}', "{}", "<unparsed>", None, '{"<key>": "<num>", "command": "<program>"}', '{"<key>": "<str>"}']
+    types = lists.union(spark.createDataFrame([("subagent_type",)], "word string"))
+    allowed = {r.skeleton: r.allowed for r in privacy.allowed_skeletons(rows, types, lists, [], lists).collect()}
+    assert allowed == {given[0]: False, "{}": True, "<unparsed>": True, None: False, given[4]: False, given[5]: True}
+    assert [r.allowed for r in privacy.allowed_skeletons(rows.select(F.lit('{"command": "ls | ls", "subagent_type": "ls"}').alias("skeleton")), types, lists, [], lists).collect()] == [True]

@@ -63,12 +63,11 @@ def _is_command(key: Column, value: Column) -> Column:
     return ~value.isin(*TYPES) & (key != "subagent_type")
 
 
-def skeleton_tokens(skeletons: DataFrame) -> DataFrame:
-    """Distinct skeletons (skeleton) as rows: pair, key, value, and for commands place, token, and whether a program stands there, which
-    is in each command the first word that is no wrapper, placeholder or flag."""
+def _parsed_skeletons(skeletons: DataFrame) -> DataFrame:
+    """Distinct skeletons (skeleton), written with a number that stands for them (__id) and their pairs (__p): key, value, and for commands the words,
+    each with whether a program stands there, which is in each command the first word that is no wrapper, placeholder or flag."""
     from ..functions import arguments, shell
-
-    pairs = skeletons.select("skeleton").distinct().select("skeleton", F.posexplode(arguments.skeleton_pairs(F.col("skeleton"))).alias("pair", "p")).select("skeleton", "pair", "p.*")
+    from .lineage import settled
 
     def step(a: Column, w: Column) -> Column:
         operator = w.isin(*arguments.OPERATORS)
@@ -76,29 +75,68 @@ def skeleton_tokens(skeletons: DataFrame) -> DataFrame:
         return F.struct((operator | (a["open"] & ~program)).alias("open"), F.array_append(a["out"], F.struct(w.alias("token"), program.alias("program"))).alias("out"))
 
     start = F.struct(F.lit(True).alias("open"), F.array().cast("array<struct<token:string,program:boolean>>").alias("out"))
-    words = F.when(_is_command(F.col("key"), F.col("value")), F.aggregate(F.split(F.trim("value"), r"\s+"), start, step, lambda a: a["out"]))
-    return pairs.select("*", F.posexplode_outer(words).alias("place", "w")).select("skeleton", "pair", "key", "value", "place", "w.token", "w.program")
+    words = lambda p: F.when(_is_command(p["key"], p["value"]), F.aggregate(F.split(F.trim(p["value"]), r"\s+"), start, step, lambda a: a["out"]))
+    s = skeletons.select("skeleton").distinct().withColumn("__q", arguments.skeleton_pairs(F.col("skeleton")))
+    pairs = F.transform("__q", lambda p: F.struct(p["key"].alias("key"), p["value"].alias("value"), words(p).alias("words")))
+    return settled(s.select("skeleton", F.monotonically_increasing_id().alias("__id"), pairs.alias("__p")), "skeletons")
 
 
 def _plain(token: Column) -> Column:
     return F.regexp_replace(token, "=<value>$", "")
 
 
+# fixed values
+KEY_MARK, WORD_MARK, TYPE_MARK = "k", "w", "t"
+SALTS = 32
+
+
+def _marked(mark: str, word: Column) -> Column:
+    return F.concat(F.lit(mark), word)
+
+
+def _with_listed(parsed: DataFrame, listed: DataFrame, types: bool) -> DataFrame:
+    """parsed skeletons with __known, which of their marked keys, words and subagent types are in listed (word). Entries meet the list beside nothing
+    but the number, and a word that nearly every skeleton holds is dealt over SALTS tasks."""
+    from ..functions import arguments
+
+    def asked(p: Column) -> Column:
+        plain = F.filter(p["words"], lambda w: ~w["token"].isin(*arguments.PLACEHOLDERS, *arguments.OPERATORS))
+        kind = F.filter(F.array(_marked(TYPE_MARK, p["value"])), lambda x: F.lit(types) & p["words"].isNull() & (p["key"] == "subagent_type"))
+        return F.concat(F.array(_marked(KEY_MARK, p["key"])), F.coalesce(F.transform(plain, lambda w: _marked(WORD_MARK, _plain(w["token"]))), F.array().cast("array<string>")), kind)
+
+    salt = F.pmod(F.hash("__id"), F.lit(SALTS)).alias("__salt")
+    entries = parsed.select("__id", salt, F.explode(F.array_distinct(F.flatten(F.transform("__p", asked)))).alias("word"))
+    dealt = listed.distinct().select("word", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
+    known = entries.join(dealt, ["word", "__salt"], "left_semi").groupBy("__id").agg(F.collect_list("word").alias("__known"))
+    return parsed.join(known, "__id", "left").withColumn("__known", F.coalesce("__known", F.array().cast("array<string>")))
+
+
+def _listed(**words: DataFrame) -> DataFrame:
+    marks = {"keys": KEY_MARK, "words": WORD_MARK, "types": TYPE_MARK}
+    return reduce(DataFrame.union, (df.select(_marked(marks[name], F.col("word")).alias("word")) for name, df in words.items())).filter("word is not null")
+
+
 def released_skeletons(calls: DataFrame, keys: DataFrame, words: DataFrame, stand_ins: list[str], rules) -> DataFrame:
     """calls: skeleton (and subagent_type, public_type where those are to ship). A key that is not in keys becomes `<key>`; a command word
     that is neither a placeholder, an operator nor in words becomes its stand-in: a program's typed one if listed, else `<program>`; a
     flag's with its dashes; else `<word>`. keys, words: word. Works on distinct skeletons, whose words meet the lists by joins."""
     from ..functions import arguments
 
-    t = skeleton_tokens(calls).withColumn("__w", _plain(F.col("token")))
-    t = t.join(words.select(F.col("word").alias("__w"), F.lit(True).alias("__known")), "__w", "left").join(keys.select(F.col("word").alias("key"), F.lit(True).alias("__public")), "key", "left")
-    typed = typed_stand_in(F.col("token"), rules)
-    end = F.when(F.endswith("token", F.lit(VALUE)), VALUE).otherwise("")
-    hidden = F.when(F.col("program"), F.when(typed.isin(*stand_ins), typed).otherwise(PROGRAM)).when(F.startswith("token", F.lit("--")), F.concat(F.lit(LONG_FLAG), end)).when(F.startswith("token", F.lit("-")), F.concat(F.lit(SHORT_FLAG), end)).otherwise(WORD)
-    shown = F.when(F.col("__known") | F.col("token").isin(*arguments.PLACEHOLDERS, *arguments.OPERATORS), F.col("token")).otherwise(hidden)
-    values = t.withColumn("token", F.when(F.col("token").isNotNull(), shown)).groupBy("skeleton", "pair").agg(F.any_value("key").alias("key"), F.any_value("value").alias("value"), F.any_value("__public").alias("public"), F.sort_array(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("place", "token")))).alias("w"))
-    value = F.when(F.size("w") > 0, F.array_join(F.transform("w", lambda x: x["token"]), " ")).otherwise(F.when(_is_command(F.col("key"), F.col("value")) | F.col("value").isin(*TYPES), F.col("value")).otherwise(WORD))
-    rows = values.groupBy("skeleton").agg(F.sort_array(F.collect_list(F.struct("pair", F.when(F.col("public"), F.col("key")).otherwise(KEY).alias("key"), value.alias("value"), (F.col("key") == "subagent_type").alias("kind")))).alias("__p"))
+    s = _with_listed(_parsed_skeletons(calls), _listed(keys=keys, words=words), types=False)
+    known = lambda mark, x: F.array_contains("__known", _marked(mark, x))
+
+    def shown(w: Column) -> Column:
+        token = w["token"]
+        typed = strings.let(typed_stand_in(token, rules), lambda x: F.when(x.isin(*stand_ins), x).otherwise(PROGRAM))
+        end = F.when(F.endswith(token, F.lit(VALUE)), VALUE).otherwise("")
+        hidden = F.when(w["program"], typed).when(F.startswith(token, F.lit("--")), F.concat(F.lit(LONG_FLAG), end)).when(F.startswith(token, F.lit("-")), F.concat(F.lit(SHORT_FLAG), end)).otherwise(WORD)
+        return F.when(token.isin(*arguments.PLACEHOLDERS, *arguments.OPERATORS) | known(WORD_MARK, _plain(token)), token).otherwise(hidden)
+
+    def pair(p: Column) -> Column:
+        value = F.when(p["words"].isNotNull(), F.array_join(F.transform(p["words"], shown), " ")).otherwise(F.when(_is_command(p["key"], p["value"]) | p["value"].isin(*TYPES), p["value"]).otherwise(WORD))
+        return F.struct(F.when(known(KEY_MARK, p["key"]), p["key"]).otherwise(KEY).alias("key"), value.alias("value"), (p["key"] == "subagent_type").alias("kind"))
+
+    rows = s.filter(F.size("__p") > 0).select("skeleton", F.transform("__p", pair).alias("__p"))
     typed_pair = lambda p: F.struct(p["key"].alias("key"), (F.when(p["kind"] & F.col("__type").isNotNull() & (p["value"] == "<str>"), F.col("__type")).otherwise(p["value"])).alias("value"))
     kind = F.when(F.col("public_type"), F.col("subagent_type")) if {"public_type", "subagent_type"} <= set(calls.columns) else F.lit(None).cast("string")
     out = calls.withColumn("__type", kind).join(rows, "skeleton", "left")
@@ -116,15 +154,13 @@ def allowed_skeletons(skeletons: DataFrame, keys: DataFrame, words: DataFrame, s
     public words, placeholders, operators and stand-ins; anything but an object or `<unparsed>` may not."""
     from ..functions import arguments
 
-    t = skeleton_tokens(skeletons).withColumn("__w", F.when(F.col("token").isNull() & (F.col("key") == "subagent_type"), F.concat(F.lit("type "), "value")).otherwise(_plain(F.col("token"))))
-    known = words.select(F.col("word").alias("__w")).union(types.select(F.concat(F.lit("type "), "word"))).distinct().withColumn("__known", F.lit(True))
-    t = t.join(known, "__w", "left").join(keys.select(F.col("word").alias("key"), F.lit(True).alias("__public")), "key", "left")
+    s = _with_listed(_parsed_skeletons(skeletons), _listed(keys=keys, words=words, types=types), types=True)
     marks = [WORD, PROGRAM, *FLAGS, *stand_ins, *arguments.PLACEHOLDERS, *arguments.OPERATORS]
-    key = F.col("__public") | (F.col("key") == KEY)
-    value = F.col("__known") | F.when(F.col("token").isNull(), F.col("value").isin(*TYPES)).otherwise(F.col("token").isin(*marks))
-    bad = t.filter(~(F.coalesce(key, F.lit(False)) & F.coalesce(value, F.lit(False)))).select("skeleton").distinct().withColumn("__bad", F.lit(True))
+    known = lambda mark, x: F.array_contains("__known", _marked(mark, x))
+    value = lambda p: F.when(p["words"].isNull(), ((p["key"] == "subagent_type") & known(TYPE_MARK, p["value"])) | p["value"].isin(*TYPES)).otherwise(F.forall(p["words"], lambda w: w["token"].isin(*marks) | known(WORD_MARK, _plain(w["token"]))))
+    sound = F.forall("__p", lambda p: F.coalesce(((p["key"] == KEY) | known(KEY_MARK, p["key"])) & value(p), F.lit(False)))
     whole = F.coalesce((F.col("skeleton") == "<unparsed>") | arguments.ordered_pairs(F.col("skeleton")).isNotNull(), F.lit(False))
-    return skeletons.select("skeleton").distinct().join(bad, "skeleton", "left").select("skeleton", (whole & F.col("__bad").isNull()).alias("allowed"))
+    return s.select("skeleton", (whole & F.coalesce(sound, F.lit(True))).alias("allowed"))
 
 
 def raw_ids(requests: DataFrame, sessions: DataFrame) -> DataFrame:
