@@ -3,11 +3,13 @@
 import re
 
 import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tracemill.functions import shell
+from tracemill.functions import rendering, shell
 from tracemill.operators import privacy, toolcalls, whatif
 from tracemill.plans import registry
+from tracemill.sources import traces
 
 
 def test_outcomes_at_the_length_that_is_read(spark, tmp_path):
@@ -70,3 +72,29 @@ def test_odd_skeletons_against_the_lists(spark):
     allowed = {r.skeleton: r.allowed for r in privacy.allowed_skeletons(rows, types, lists, [], lists).collect()}
     assert allowed == {given[0]: False, "{}": True, "<unparsed>": True, None: False, given[4]: False, given[5]: True}
     assert [r.allowed for r in privacy.allowed_skeletons(rows.select(F.lit('{"command": "ls | ls", "subagent_type": "ls"}').alias("skeleton")), types, lists, [], lists).collect()] == [True]
+
+
+def test_bodies_are_objects_some_rows_at_a_time(spark, monkeypatch):
+    # a batch of long bodies was all Python objects at once
+    monkeypatch.setattr(rendering, "SLICE_BYTES", 1)
+    body = '{"messages": [{"role": "assistant"}, {"role": "tool", "tool_call_id": "a", "content": "x"}]}'
+    found = rendering.fresh.func(pa.array([body, None, "[]", body])).to_pylist()
+    assert found == [[{"raw_id": "a", "text": "x", "is_error": None}], None, None, [{"raw_id": "a", "text": "x", "is_error": None}]]
+    assert rendering.fresh.func(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_results_meet_calls_in_one_join(spark):
+    c = spark.createDataFrame([("s", 0, 0, "call_1")], "session_id string, step int, call_index int, raw_id string")
+    r = spark.createDataFrame([("s", 1, 0, "call_1")], "session_id string, step int, result_index int, raw_id string")
+    found = toolcalls.match_results(c, r)
+    assert len(re.findall(r"\bJoin Inner", found._jdf.queryExecution().optimizedPlan().toString())) == 1
+    assert [tuple(x) for x in found.collect()] == [("s", 0, 0, 0)]
+
+
+def test_nested_lines_are_parsed_once_a_level(spark):
+    line = '{"session_id": "a", "requests": [{"step": 0, "tool_calls": [{"call_index": 0, "subagent": {"session_id": "b"}}]}]}'
+    found = traces.flatten(spark.createDataFrame([(line,), ("[]",)], "value string"))
+    assert all("parse_json" not in x._jdf.queryExecution().optimizedPlan().toString() for x in found[:3])
+    assert sorted((r.session_id, r.parent_session_id, r.spawned_by_step, r.spawned_by_call_index) for r in found[0].collect()) == [("a", None, None, None), ("b", "a", 0, 0)]
+    assert [r.session_id for r in found[1].collect()] == ["a"] and [(r.session_id, r.call_index) for r in found[2].collect()] == [("a", 0)]
+    assert [r.line for r in found[3].collect()] == ["[]"]

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window, WindowSpec
 from ..functions import arguments, shell, strings
 from ..sources import bodies
 from . import toolcalls
+from .lineage import settled
 
 KEY = ["session_id", "step"]
 
@@ -59,7 +60,8 @@ def tool_calls(requests: DataFrame, rules: toolcalls.Rules, tokens: Callable[[Co
 
     Every join is on session and step, so bodies are shuffled once a side and no session gathers in one task."""
     calls = toolcalls.calls_of_responses(requests.select(*KEY, "response")).drop("response")
-    results = bodies.fresh_results(requests.select(*KEY, "prompt")).drop("prompt")
+    # read three times below, so bodies are parsed once
+    results = settled(bodies.fresh_results(requests.select(*KEY, "prompt")).drop("prompt"), "results")
     chosen = toolcalls.match_results(calls.select(*KEY, "call_index", "raw_id"), results)
     brought = results.select("session_id", (F.col("step") - 1).alias("step"), "result_index", "text", "is_error")
     answers = chosen.join(brought, [*KEY, "result_index"]).select(*KEY, "call_index", "text", "is_error")

@@ -78,9 +78,7 @@ def new_content_kind(prompt: Column) -> Column:
 def fresh_results(requests: DataFrame, prompt: str = "prompt") -> DataFrame:
     """A row for each result that a request's new messages bring: result_index, raw_id, text, is_error. Tool messages carry one,
     tool_result blocks of user messages one each; without an assistant message nothing is fresh."""
-    ms = requests.withColumn("__m", messages(F.col(prompt))).filter(last_assistant(F.col("__m")).isNotNull())
-    found = F.flatten(F.transform(new_messages(F.col("__m")), lambda m: m["results"]))
-    return ms.select(*requests.columns, F.posexplode(found).alias("result_index", "__r")).select(*requests.columns, "result_index", "__r.*")
+    return requests.select(*requests.columns, F.posexplode(rendering.fresh(F.col(prompt))).alias("result_index", "__r")).select(*requests.columns, "result_index", "__r.*")
 
 
 def text_results(requests: DataFrame, prompt: str = "prompt") -> DataFrame:
