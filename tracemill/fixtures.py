@@ -49,8 +49,9 @@ def base_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = base_requests(spark, sf_dir).filter("n_tool_calls > 0").select("session_id", "step", "k", F.explode(F.sequence(F.lit(0), F.col("n_tool_calls") - 1)).alias("call_index"))
+def tool_calls(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
+    """base, here and below: base_requests, where they are written already."""
+    r = (base or base_requests(spark, sf_dir)).filter("n_tool_calls > 0").select("session_id", "step", "k", F.explode(F.sequence(F.lit(0), F.col("n_tool_calls") - 1)).alias("call_index"))
     k, i = F.col("k"), F.col("call_index")
     r = r.withColumn("category", _pick(CATEGORIES, (k + 3 * i) % 16))
     r = r.withColumn("outcome", F.when((k + i) % 11 == 0, None).otherwise(F.when((k + i) % 9 == 0, "error").when((k + i) % 9 == 1, "denied").when((k + i) % 9 == 2, "timeout").otherwise("ok")))
@@ -62,14 +63,14 @@ def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def requests(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
     """base_requests with what each waited for."""
-    return turns.with_waited_for(base_requests(spark, sf_dir), tool_calls(spark, sf_dir))
+    return turns.with_waited_for(base or base_requests(spark, sf_dir), tool_calls(spark, sf_dir, base))
 
 
-def block_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+def block_reads(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
     """One row per block a request reads: the first two blocks are shared by all sessions of a model, a mutation changes the rest."""
-    r = base_requests(spark, sf_dir)
+    r = base or base_requests(spark, sf_dir)
     so_far = F.sum(F.when(F.col("transition") == "mutation", 1).otherwise(0)).over(Window.partitionBy("session_id").orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
     r = r.withColumn("mutations", so_far).select("session_id", "week", "harness", "model", "step", "start_ms", "end_ms", "mutations", F.explode(F.sequence(F.lit(0), 3 + F.col("step"))).alias("pos"))
     block = F.when(F.col("pos") < 2, F.concat_ws(":", F.lit("sys"), "model", "pos")).otherwise(F.concat_ws(":", "session_id", "pos", "mutations"))

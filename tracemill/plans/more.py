@@ -111,9 +111,9 @@ def _(s, d):
 # ---- spawns, closure
 
 
-def _family(s, d):
+def _family(s, d, base=None):
     """Users 5n + 1 and 5n + 2 are spawned by the user before them, in the same week, at that session's first call."""
-    r = fx.base_requests(s, d)
+    r = base or fx.base_requests(s, d)
     u = F.substring("user_id", 2, 20).cast("long")
     a = r.groupBy("session_id", "week", "user_id").agg(F.min("harness").alias("harness"), F.min("start_ms").alias("start_ms"), F.min(F.when(F.col("n_tool_calls") > 0, F.col("step"))).alias("spawn_step")).withColumn("u", u)
     p = a.filter("spawn_step is not null").select("week", (F.col("u") + 1).alias("u"), F.col("session_id").alias("parent_session_id"), F.col("spawn_step").alias("spawned_by_step"), F.lit(0).alias("spawned_by_call_index"))
@@ -326,8 +326,9 @@ def _(s, d):
 
 
 def _nested(s, d):
-    f = _family(s, d).select("session_id", "harness", "user_id", "parent_session_id", "spawned_by_step", "spawned_by_call_index")
-    return traces.nest(f, fx.base_requests(s, d).select("session_id", "step", "start_ms", "end_ms", "prompt_tokens", "model"), fx.tool_calls(s, d).select("session_id", "step", "call_index", "category", "outcome", "result_tokens"))
+    base = settled(fx.base_requests(s, d), "base")
+    f = _family(s, d, base).select("session_id", "harness", "user_id", "parent_session_id", "spawned_by_step", "spawned_by_call_index")
+    return traces.nest(f, base.select("session_id", "step", "start_ms", "end_ms", "prompt_tokens", "model"), fx.tool_calls(s, d, base).select("session_id", "step", "call_index", "category", "outcome", "result_tokens"))
 
 
 @query("K1_nested_lines", _FAM + " SELECT strftime(make_timestamp(start_ms * 1000), '%Y-%m-%d') AS day, session_id, start_ms FROM x_fam WHERE parent_session_id IS NULL")

@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..functions import strings
 from ..operators import release, whatif
-from ..operators.lineage import new_path
+from ..operators.lineage import new_path, settled
 from ..sources import tables, traces
 from .more import _FAM, _family
 from .registry import query
 
 
-def _requests(s, d):
+def _requests(s, d, base=None):
     """Requests with every published column."""
     k, step = F.col("k"), F.col("step")
     roles = F.struct(*(F.col(f"tokens_{r}").cast("long").alias(r) for r in ("system", "user", "assistant", "tool", "tool_definitions")))
-    r = fx.requests(s, d)
+    r = fx.requests(s, d, base)
     return r.select(
         "session_id", "step", F.when(step > 0, F.when(k % 2 == 0, "tool_id").otherwise("text")).alias("link_reason"), "start_ms", "end_ms", "ttft_ms", "model", "provider", (k % 3 == 0).alias("stream"),
         F.when(k % 4 > 0, "stop").alias("finish_reason"), "step_trigger", "waited_for", "prompt_tokens", "completion_tokens", "cache_read_tokens", roles.alias("role_tokens"), F.col("n_messages").cast("int").alias("n_messages"),
@@ -28,14 +28,15 @@ def _requests(s, d):
 _BLOCKS = "[k * 100 + p for p in range(3 + step % 5)]"
 
 
-def _calls(s, d):
-    c = fx.tool_calls(s, d)
+def _calls(s, d, base=None):
+    c = fx.tool_calls(s, d, base)
     return c.select("session_id", "step", "call_index", F.concat(F.lit("t"), F.col("step") % 4).alias("name"), "category", "programs", "parse_status", F.concat(F.lit('{"a":"<num>","n":'), "call_index", F.lit("}")).alias("arguments_skeleton"), "outcome", "result_tokens", (100 * F.col("step") + F.col("call_index")).cast("long").alias("latency_ms"))
 
 
 def _flat(s, d):
-    f = _family(s, d).select("session_id", "harness", "user_id", "parent_session_id", "spawned_by_step", "spawned_by_call_index")
-    return traces.flatten(traces.nest(f, _requests(s, d), _calls(s, d)), "line")
+    base = settled(fx.base_requests(s, d), "base")
+    f = _family(s, d, base).select("session_id", "harness", "user_id", "parent_session_id", "spawned_by_step", "spawned_by_call_index")
+    return traces.flatten(traces.nest(f, _requests(s, d, base), _calls(s, d, base)), "line")
 
 
 @query("S1_all_request_columns", f"""SELECT session_id, step, CASE WHEN step > 0 THEN CASE WHEN k % 2 = 0 THEN 'tool_id' ELSE 'text' END END AS link_reason, start_ms, end_ms, ttft_ms, model, provider, k % 3 = 0 AS stream, CASE WHEN k % 4 > 0 THEN 'stop' END AS finish_reason, step_trigger, waited_for,

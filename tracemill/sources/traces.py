@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..operators.lineage import settled
+from ..operators.lineage import new_path, settled
 
 
 def _depths(sessions: DataFrame) -> DataFrame:
@@ -26,21 +26,32 @@ def _depths(sessions: DataFrame) -> DataFrame:
         levels.append(level)
 
 
+def _by_depth(rows: DataFrame, depths: DataFrame, what: str) -> DataFrame:
+    """The sessions' rows, made once and written in a folder a depth, so that each level reads its own."""
+    path = new_path(rows.sparkSession, what)
+    out = rows.join(depths.select("session_id", F.col("depth").alias("__depth")).distinct(), "session_id")
+    out.write.partitionBy("__depth").parquet(path)
+    return rows.sparkSession.read.schema(out.schema).parquet(path)
+
+
 def nest(sessions: DataFrame, requests: DataFrame, calls: DataFrame) -> DataFrame:
     """day, start_ms, session_id, line of every top-level session. sessions: session_id, harness, user_id, parent_session_id,
     spawned_by_step, spawned_by_call_index. Other columns of requests and calls are written as they are."""
+    sessions = settled(sessions, "given-sessions")
     depths = settled(sessions.join(_depths(sessions), "session_id"), "sessions")
     deepest = depths.agg(F.max("depth")).first()[0]
+    requests, calls = _by_depth(requests, depths, "requests"), _by_depth(calls, depths, "calls")
     keys = ["session_id", "step"]
-    own = [c for c in calls.columns if c not in keys]
-    request_fields = [c for c in requests.columns if c != "session_id"]
+    own = [c for c in calls.columns if c not in (*keys, "__depth")]
+    request_fields = [c for c in requests.columns if c not in ("session_id", "__depth")]
     below = None
     for d in range(deepest or 0, -1, -1):
         level = depths.filter(F.col("depth") == d)
-        c = calls.join(level.select("session_id"), "session_id", "left_semi")
+        at_depth = F.col("__depth") == d
+        c = calls.filter(at_depth).drop("__depth")
         c = c.join(below, ["session_id", "step", "call_index"], "left") if below is not None else c.withColumn("subagent", F.lit(None).cast("string"))
         c = c.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("call_index", *(x for x in own if x != "call_index"), F.parse_json("subagent").alias("subagent")).alias("c")), lambda a, b: a["call_index"] - b["call_index"]).alias("tool_calls"))
-        r = requests.join(level.select("session_id"), "session_id", "left_semi").join(c, keys, "left")
+        r = requests.filter(at_depth).drop("__depth").join(c, keys, "left")
         r = r.groupBy("session_id").agg(F.min("start_ms").alias("start"), F.array_sort(F.collect_list(F.struct("step", *(x for x in request_fields if x != "step"), "tool_calls")), lambda a, b: a["step"] - b["step"]).alias("requests"))
         s = level.join(r, "session_id").withColumn("line", F.to_json(F.struct("session_id", "harness", "user_id", "requests")))
         below = settled(s.select(F.col("parent_session_id").alias("session_id"), F.col("spawned_by_step").alias("step"), F.col("spawned_by_call_index").alias("call_index"), F.col("line").alias("subagent"), F.col("start").alias("__start"), F.col("session_id").alias("__id")), "nested")
@@ -68,18 +79,28 @@ def flatten(lines: DataFrame, line: str = "value", requests: str = schemas.REQUE
     bad = parsed.filter(F.col("session_id").isNull()).select(F.col("__line").alias("line"))
     none = F.lit(None)
     level = parsed.filter(F.col("session_id").isNotNull()).select("session_id", "v", none.cast("string").alias("parent_session_id"), none.cast("int").alias("spawned_by_step"), none.cast("int").alias("spawned_by_call_index"))
+
+    def call(c):
+        v = get(c, "$.subagent", "variant")
+        below = F.when(get(v, "$.session_id", "string").isNotNull(), F.to_json(v))
+        return F.struct(F.struct(*(get(c, f"$.{name}", kind).alias(name) for name, kind in of_call)).alias("row"), get(c, "$.call_index", "int").alias("place"), below.alias("below"))
+
     out: list[list[DataFrame]] = [[], [], []]
     while True:
-        level = settled(level.withColumn("v", F.to_json("v")), "level").withColumn("v", F.parse_json("v"))
-        if not level.limit(1).count():
+        # a level is read once: a row a request with its session's facts, typed fields and calls; what is nested in these goes on as text
+        session = F.struct("session_id", get(F.col("v"), "$.harness", "string").alias("harness"), get(F.col("v"), "$.user_id", "string").alias("user_id"), "parent_session_id", "spawned_by_step", "spawned_by_call_index")
+        # rows of requests carry no line
+        rows = level.select(session.alias("s"), get(F.col("v"), "$.requests", "array<variant>").alias("q")).select("s", F.posexplode_outer("q").alias("at", "r"))
+        typed = F.struct(*(get(F.col("r"), f"$.{name}", kind).alias(name) for name, kind in of_request))
+        rows = settled(rows.select("s", "at", typed.alias("r"), get(F.col("r"), "$.step", "int").alias("step"), F.transform(get(F.col("r"), "$.tool_calls", "array<variant>"), call).alias("calls")), "level")
+        if not rows.limit(1).count():
             break
-        out[0].append(level.select("session_id", get(F.col("v"), "$.harness", "string").alias("harness"), get(F.col("v"), "$.user_id", "string").alias("user_id"), "parent_session_id", "spawned_by_step", "spawned_by_call_index"))
-        r = level.select("session_id", F.explode(get(F.col("v"), "$.requests", "array<variant>")).alias("r"))
-        out[1].append(r.select("session_id", *(get(F.col("r"), f"$.{name}", kind).alias(name) for name, kind in of_request)))
-        c = r.select("session_id", get(F.col("r"), "$.step", "int").alias("step"), F.explode(get(F.col("r"), "$.tool_calls", "array<variant>")).alias("c"))
-        out[2].append(c.select("session_id", "step", *(get(F.col("c"), f"$.{name}", kind).alias(name) for name, kind in of_call)))
-        sub = c.withColumn("call_index", get(F.col("c"), "$.call_index", "int")).withColumn("v", get(F.col("c"), "$.subagent", "variant")).withColumn("child", get(F.col("v"), "$.session_id", "string")).filter("child is not null")
-        level = sub.select(F.col("child").alias("session_id"), "v", F.col("session_id").alias("parent_session_id"), F.col("step").alias("spawned_by_step"), F.col("call_index").alias("spawned_by_call_index"))
+        out[0].append(rows.filter("at is null or at = 0").select("s.*"))
+        out[1].append(rows.filter("at is not null").select("s.session_id", "r.*"))
+        c = rows.select("s.session_id", "step", F.explode("calls").alias("c"))
+        out[2].append(c.select("session_id", "step", "c.row.*"))
+        sub = c.filter("c.below is not null").withColumn("v", F.parse_json("c.below"))
+        level = sub.select(get(F.col("v"), "$.session_id", "string").alias("session_id"), "v", F.col("session_id").alias("parent_session_id"), F.col("step").alias("spawned_by_step"), F.col("c.place").alias("spawned_by_call_index"))
     return (*(reduce(DataFrame.unionByName, x) for x in out), bad)
 
 
