@@ -247,17 +247,18 @@ def match_results(calls: DataFrame, results: DataFrame) -> DataFrame:
     at = ["session_id", "step"]
     brought = results.select("session_id", (F.col("step") - 1).alias("step"), "result_index", "raw_id")
 
-    def met(phase: int, call_keys: Column, result_keys: Column) -> DataFrame:
-        c = calls.select(*at, "call_index", F.explode(call_keys).alias("key"))
-        r = brought.select(*at, "result_index", F.explode(result_keys).alias("key"))
-        return c.join(r, [*at, "key"]).select(*at, "call_index", "result_index", F.lit(phase).alias("phase"))
+    def keyed(rows: DataFrame, index: str, own: Column, other: Column) -> DataFrame:
+        of = lambda phase, keys: F.transform(keys, lambda k: F.struct(F.lit(phase).alias("phase"), k.alias("key")))
+        return rows.select(*at, index, F.explode(F.concat(of(0, own), of(1, other))).alias("k")).select(*at, index, "k.*")
 
+    # both phases in one join
     raw = F.col("raw_id")
-    own, renumbered = strings.own_keys(raw), F.array_except(strings.emitted_keys(raw), strings.own_keys(raw))
-    pairs = met(0, own, own).union(met(1, renumbered, strings.replayed_keys(raw))).distinct()
+    own = strings.own_keys(raw)
+    c = keyed(calls, "call_index", own, F.array_except(strings.emitted_keys(raw), own))
+    pairs = c.join(keyed(brought, "result_index", own, strings.replayed_keys(raw)), [*at, "phase", "key"])
 
     # a row is one request's calls
-    rows = pairs.groupBy(*at).agg(F.sort_array(F.collect_list(F.struct("phase", "call_index", "result_index"))).alias("pairs"))
+    rows = pairs.groupBy(*at).agg(F.sort_array(F.collect_set(F.struct("phase", "call_index", "result_index"))).alias("pairs"))
     none = F.array().cast("array<struct<call_index:int,result_index:int>>")
 
     def choose(chosen: Column, x: Column) -> Column:
