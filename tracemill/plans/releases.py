@@ -17,19 +17,20 @@ _REASONS = {"click": "end_turn", "view": "function_call", "error": "crash", "pur
 
 def _private(s, d):
     """The week's private tables: requests, facts of their inputs, sessions, and calls."""
-    r = fx.base_requests(s, d).withColumn("request_id", F.concat_ws(":", "session_id", "step"))
+    base = settled(fx.base_requests(s, d), "base")
+    r = base.withColumn("request_id", F.concat_ws(":", "session_id", "step"))
     k, stated = F.col("k"), F.create_map(*(F.lit(x) for kv in _REASONS.items() for x in kv))
     requests = r.select(
         "request_id", "session_id", "user_id", "step", F.when(F.col("step_trigger") == "tool", "tool_id").otherwise("text").alias("link"), "end_ms", F.when(k % 11 != 0, F.col("end_ms") - F.col("start_ms")).alias("latency_ms"), "ttft_ms", F.col("model").alias("model_id"), "provider",
         (k % 2 == 0).alias("stream"), F.col("step_trigger").alias("turn"), "prompt_tokens", "completion_tokens", "cache_read_tokens", stated[F.col("event_type")].alias("stated_reason"), "transition", "cause",
     )
-    reads = fx.block_reads(s, d).groupBy("session_id", "step").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "block_id"))), lambda x: x["block_id"]).alias("block_hashes"))
+    reads = fx.block_reads(s, d, base).groupBy("session_id", "step").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "block_id"))), lambda x: x["block_id"]).alias("block_hashes"))
     tokens = F.create_map(*(x for name in publish.ROLE_TOKENS for x in (F.lit(name), F.col(f"tokens_{name}").cast("long"))))
     names = F.when(k % 3 == 0, F.array(F.lit("Read"), F.lit("Hidden"), F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>"))
     facts = r.select("request_id", "session_id", "step", "n_messages", tokens.alias("role_tokens"), names.alias("tool_definition_names"), F.lit(None).cast("string").alias("unknown_role")).join(reads, ["session_id", "step"]).drop("session_id", "step")
     spawned = F.col("parent_session_id").isNotNull()
-    sessions = _family(s, d).select("session_id", "user_id", "harness", "parent_session_id", F.col("parent_session_id").alias("spawned_by_session_id"), F.when(spawned, F.concat_ws(":", "parent_session_id", "spawned_by_step")).alias("spawned_by_request_id"), F.when(spawned, 0).alias("spawned_by_call_index"))
-    calls = fx.tool_calls(s, d).withColumn("name", F.when(F.col("call_index") % 2 == 0, "Read").otherwise("Hidden")).withColumn("arguments_skeleton", F.lit('{"a": "<num>"}'))
+    sessions = _family(s, d, base).select("session_id", "user_id", "harness", "parent_session_id", F.col("parent_session_id").alias("spawned_by_session_id"), F.when(spawned, F.concat_ws(":", "parent_session_id", "spawned_by_step")).alias("spawned_by_request_id"), F.when(spawned, 0).alias("spawned_by_call_index"))
+    calls = fx.tool_calls(s, d, base).withColumn("name", F.when(F.col("call_index") % 2 == 0, "Read").otherwise("Hidden")).withColumn("arguments_skeleton", F.lit('{"a": "<num>"}'))
     return requests, facts, settled(sessions, "sessions"), calls
 
 
